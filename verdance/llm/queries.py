@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, pii, quality, toxicity
+from . import decontamination, language_id, lm, near_dup, packing, pii, quality, quality_rules, substring_dedup, toxicity
 from .common import crc_mod, table
 
 #: Key of the pseudonyms in the queries; a user passes their own.
@@ -27,6 +27,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents"), 0.8)
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_copies", "n_links")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
@@ -38,10 +43,32 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    scored = lm.score_documents(table(spark, sf_dir, "documents"), ~held, ["doc_id"])
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.protect(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"), 20)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    order = quality_rules.order_rules(quality_rules.measure(docs, quality_rules.RULES))
+    judged = quality_rules.cascade(quality_rules.with_base(docs), order)
+    failed = F.expr(f"({quality_rules.RULES['too_few_words']}) or ({quality_rules.RULES['repeated_words']})")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language_id.held_out(3, 1)
@@ -51,10 +78,52 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_minhash_neardup": op2_minhash_neardup,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_decontamination": op5_decontamination,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_pii": op7_pii,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SQL5 = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+i as (select item_id, w, least(10, len(w)) l from (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark) where len(w) > 0),
+iw as (select distinct item_id, l, array_to_string(w[s + 1 : s + l], ' ') p from (select item_id, w, l, unnest(range(len(w) - l + 1)) s from i)),
+dw as (select doc_id, l, s, array_to_string(w[s + 1 : s + l], ' ') p from (select doc_id, w, l, unnest(range(len(w) - l + 1)) s from d, (select distinct l from iw) where len(w) >= l)),
+hit as (select distinct doc_id, item_id, s, dw.l from dw join iw on dw.p = iw.p and dw.l = iw.l),
+n as (select doc_id, count(*) n_hit from (select distinct doc_id, unnest(range(s, s + l)) k from (select distinct doc_id, s, l from hit)) group by 1),
+t as (select doc_id, count(*) n_items, string_agg(x, ',' order by x) ids from (select distinct doc_id, item_id::varchar x from hit) group by 1)
+select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join n using (doc_id) left join t using (doc_id)
+"""
+
+_SQL8 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, i, array_to_string(w[i + 1 : i + 20], ' ') x from (select doc_id, w, unnest(range(len(w) - 19)) i from d where len(w) >= 20)),
+late as (select doc_id, i from (select doc_id, i, row_number() over (partition by x order by doc_id, i) n from s) where n > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) k from late),
+word as (select doc_id, unnest(range(len(w))) k, unnest(w) x from d),
+kept as (select doc_id, string_agg(x, ' ' order by k) t from word anti join gone using (doc_id, k) group by 1),
+n as (select doc_id, count(*) n from gone group by 1)
+select d.doc_id, len(w)::bigint n_words, coalesce(n, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256
+from d left join n using (doc_id) left join kept using (doc_id)
+"""
+
+_SQL9 = r"""
+with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+g as (select doc_id, i, array_to_string(w[i + 1 : i + 3], ' ') x from (select doc_id, w, unnest(range(len(w) - 2)) i from d where len(w) >= 3)),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, x) n from g) where n > 1),
+r as (select doc_id, count(*) n from (select distinct doc_id, unnest(range(i, i + 3)) k from twice) group by 1),
+l as (select doc_id, count(*) - count(distinct x) n from (select doc_id, unnest(string_split(t, chr(10))) x from d) where regexp_matches(x, '[^\x20\x09-\x0D]') group by 1),
+b as (select d.doc_id, t, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint n_symbols, coalesce(l.n, 0)::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words from d left join r using (doc_id) left join l using (doc_id)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from b)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+not (base_failed or word_chars < 2 * n_words or word_chars > 15 * n_words or 10 * n_symbols > n_words or 10 * n_dup_lines > 3 * (len(string_split(t, chr(10)))) or 2 * length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) > word_chars or 10 * length(regexp_replace(t, '[^\p{L}]+', '', 'g')) < 6 * word_chars) kept
+from f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": _SQL5, "op8_substring_dedup": _SQL8, "op9_quality_rules": _SQL9}
