@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
+from .plans import images, rows, studies  # noqa: F401  they register their queries
+from .plans.sample import ORACLE_SQL, QUERIES
+from .plans.studies import growth_by_user
 
-def growth_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("user_id").agg(F.count("*").alias("n"))
+__all__ = ["ORACLE_SQL", "QUERIES", "DataFrame", "SparkSession", "growth_by_user"]
