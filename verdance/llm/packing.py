@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -13,37 +12,72 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Words whose ids a task keeps; the table starts again when it is full.
-CACHE_WORDS = 200_000
-_SPLIT = re.compile(r"[ \n]+")
+#: Words whose ids a task keeps, twice at most; the older half goes when the newer one is full.
+CACHE_WORDS = 250_000
+#: Punctuation that is encoded apart from the letter or digit before it.
+TAIL = ".,;:!?|#$%&*+=/)]}"
 
 
 class Encoder:
-    """Token ids (little-endian unsigned 32-bit bytes) of whole texts. The tokenizer never joins text across white space,
-    so each word is encoded once and its ids are reused."""
+    """Token ids (little-endian unsigned 32-bit bytes) of whole texts. The tokenizer never joins text across white space
+    and ends each run of letters with a word-end token, so each word is encoded once and its ids are reused: punctuation
+    at a word's end apart, runs of letters many at a time."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _each(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _together(self, words: list[str]) -> None:
+        """Words of letters alone."""
+        for lo in range(0, len(words), 2000):
+            part = words[lo : lo + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cut) != len(part) + 1:  # a letter that the tokenizer takes apart
+                self._each(part)
+                continue
+            raw = ids.tobytes()
+            self.known.update((w, raw[a:b]) for w, a, b in zip(part, cut[:-1], cut[1:], strict=True))
+
+    def _learn(self, words: set[str]) -> None:
+        back = words.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in back)
+        words -= back
+        letters = {w for w in words if w.isalpha()}
+        other, ended = [], []
+        for w in words - letters:
+            core = w.rstrip(TAIL)
+            if len(core) < len(w) and core and core[-1].isalnum():
+                ended.append((w, core, w[len(core) :]))
+            else:
+                other.append(w)
+        cores = {c for _, c, _ in ended}.union(t for _, _, t in ended).difference(self.known, letters)
+        more = {c for c in cores if c.isalpha()}
+        self._together([*letters, *more])
+        self._each([*other, *(cores - more)])
+        known = self.known
+        known.update((w, known[c] + known[t]) for w, c, t in ended)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_SPLIT.split(t) for t in texts]
-        new = {w for words in split for w in words}.difference(self.known)
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        words = {w for text in split for w in text}
+        new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = {w for words in split for w in words}
-        new = list(new)
-        self.known.update(zip(new, self._ids(new), strict=True))
+            self.known, self.older, new = {}, self.known, words
+        self._learn(new)
         get = self.known.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        return out
+        return [b"".join(map(get, words)) for words in split]
 
 
 def difference(lengths: list[int], windows: int) -> list[list[int]]:
