@@ -232,11 +232,10 @@ def normalized_sharpness(pixels: DataFrame, region: Column | None = None, least:
     return got.select(*key, F.when(low > 0, top / F.nullif(low, F.lit(0.0))).otherwise(0.0).alias("norm_sharpness"))
 
 
-def lighting_region(pixels: DataFrame, measured: DataFrame, width: int, height: int, key: Sequence[str] = KEY) -> DataFrame:
-    """Background pixels: outside the measured region grown by max(15, 2 % of the longer side) pixels."""
-    grow = max(15, int(0.02 * max(width, height)))
-    runs = measured.select(*key, "x", "y").distinct()
-    grown = dilate(runs, min(grow, max(width, height)), width, height, key)
+def lighting_region(pixels: DataFrame, measured: DataFrame, width: int, height: int, key: Sequence[str] = KEY, grow: int | None = None) -> DataFrame:
+    """Background pixels: outside the measured region grown by max(15, 2 % of the longer side) pixels, or by grow."""
+    grow = max(15, int(0.02 * max(width, height))) if grow is None else grow
+    grown = dilate(measured.select(*key, "x", "y").distinct(), grow, width, height, key)
     return pixels.join(grown, [*key, "x", "y"], "left_anti")
 
 
