@@ -28,7 +28,7 @@ def ingest_images(spark: SparkSession, path: str, zone: str = "UTC") -> tuple[Da
     """Files (path, bytes, sha256, size, time and its source, in time order) and pixels (path, x, y, b, g, r) of the
     readable images under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).isin(*IMAGE_TYPES))
-    image = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(path).select("image.*")
+    image = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(path).select("image.*").withColumn("origin", F.regexp_replace("origin", "^file:/+", "file:/"))
     log = frame_time_from_name(files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "modificationTime"), "path", "modificationTime", zone)
     size = image.select(F.col("origin").alias("path"), "width", "height")
     px = image.where("nChannels in (1, 3, 4)").select(F.col("origin").alias("path"), "width", F.col("nChannels").alias("k"), "data", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))

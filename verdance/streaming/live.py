@@ -66,7 +66,7 @@ class Health(StatefulProcessor):
         self.state = handle.getValueState("state", "level string, beat double, interval double")
 
     def _row(self, key: tuple, level: str, event: str, at: float) -> pd.DataFrame:
-        return pd.DataFrame({"experiment": [key[0]], "level": [level], "event": [event], "at": [pd.Timestamp(at, unit="s")]})
+        return pd.DataFrame({"experiment": [key[0]], "level": [level], "event": [event], "at": [pd.Timestamp(round(at * 1e6), unit="us")]})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = pd.concat(list(rows)).sort_values("ts")
