@@ -5,7 +5,7 @@ rarest term on, and what is left is compared word by word."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,10 +121,9 @@ def proximity(docs: DataFrame, queries: DataFrame, within: int, key: str = "doc_
     `within` consecutive words of a document, in any order; one row for each last word of such a place."""
     wanted = queries.select("query", F.array_distinct(exact_words(F.col("text"))).alias("w")).where(F.size("w") > 0)
     terms = wanted.select("query", F.size("w").alias("need"), F.explode("w").alias("term"))
-    post = docs.select(F.col(key).alias("__key"), F.monotonically_increasing_id().alias("__row"), F.posexplode(exact_words(F.col(text))).alias("pos", "term"))
+    numbered = docs.select(F.col(key).alias("__key"), F.monotonically_increasing_id().alias("__row"), exact_words(F.col(text)).alias("__words"))
+    post = numbered.select("__key", "__row", F.posexplode("__words").alias("pos", "term"))
     both = post.join(small(terms, max_broadcast), "term")
-    from pyspark.sql import Window
-
     near = Window.partitionBy("__row", "__key", "query").orderBy("pos").rangeBetween(-(within - 1), 0)
     seen = both.withColumn("got", F.size(F.collect_set("term").over(near))).withColumn("start", F.min("pos").over(near))
     return seen.where("got = need").select(F.col("__key").alias(key), "query", "start", F.col("pos").alias("end"))
