@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import os
 import zlib
@@ -71,7 +72,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = {w for text in split for w in text}
+        words = set().union(*split)
         new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known, self.older, new = {}, self.known, words
@@ -80,6 +81,12 @@ class Encoder:
         return [b"".join(map(get, words)) for words in split]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker process: later tasks know the words of earlier ones."""
+    return Encoder(path)
+
+
 def difference(lengths: list[int], windows: int) -> list[list[int]]:
     """Karmarkar-Karp multiway differencing: the two partial partitions of largest spread are merged, the fullest window
     of one with the emptiest of the other, until one partition is left. Returns each window's items."""
@@ -155,7 +162,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = Encoder(tokenizer), TaskContext.get().partitionId() << 40
+        encode, sequence = encoder(tokenizer).encode, TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         waiting: list[tuple] = []  # (key, ids of the piece, start in the document, ids of the document)
 
@@ -180,7 +187,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                for k, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for k, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     ids += end
                     size = len(ids) // 4
                     whole = size - size % capacity
