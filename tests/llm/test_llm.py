@@ -122,6 +122,17 @@ def test_near_duplicate_groups(spark, odd, empty):
     assert near_dup.alignment(np.arange(50, dtype=np.uint64), np.arange(50, dtype=np.uint64)[::-1].copy(), 0.8) < 0.8
 
 
+def test_near_duplicates_in_a_large_family(spark):
+    """Pages of one template at 0.78 to each other, in planted pairs at 0.85: all keys that a pair shares may be the template's."""
+    base = [f"w{i}" for i in range(109)]
+    rows = [(2 * g + half, " ".join(base + [f"{'ab'[half] if k in (4, 9) else 'c'}{g}_{k}" for k in range(15)])) for g in range(150) for half in range(2)]
+    sh = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    alike = [len(sh[0] & s) / len(sh[0] | s) for s in sh]
+    assert 0.8 < alike[1] < 0.86 and all(0.75 < x < 0.79 for x in alike[2:])
+    got = {r.id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
 def test_packing(spark, docs, texts, odd, empty):
     from tokenizers import Tokenizer
 

@@ -3,7 +3,7 @@
 Exact copies meet by a hash of the text and go on as one node. A node's shingles (runs of five words) are labelled with
 their occurrence number; for each of BANDS hash functions the two smallest labelled shingles, in text order, make one
 bucket key. Each node is first compared with one leader of its buckets; where a bucket still holds several classes after that,
-all its pairs of different classes are compared (large ones: with the leader, and dealt out over pairs of keys)."""
+all its pairs of different classes are compared (large ones: with the leader, and then those whose rare shingles meet)."""
 
 from __future__ import annotations
 
@@ -167,6 +167,79 @@ def _bucket_pairs(keys: DataFrame, least: float) -> DataFrame:
     return _ordered(both.where((F.col("comp") != F.col("comp2")) & _apart("n", "n2", least)), "node", "node2")
 
 
+def _labelled(raw: bytes) -> np.ndarray:
+    """The occurrence-labelled shingles of a text's words, as alignment() has them."""
+    w = np.frombuffer(raw, "<u4").astype(np.uint64)
+    sh = shingles(w, np.array([0, len(w)]))[0]
+    return mix(sh + occurrence(sh).astype(np.uint64) * np.uint64(77))
+
+
+def _size_class(n: np.ndarray) -> np.ndarray:
+    """Numbers of shingles in steps of one in a hundred; each below 100 has a class of its own."""
+    return np.floor(np.log(n) / np.log(1.01)).astype(np.int64)
+
+
+def prefix_entries(tokens: np.ndarray, times: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, place and role (1: as the larger text) of the shingles by which a text can meet another of similarity `least`.
+    Two such texts of p <= q shingles share at least o = least (p + q) / (1 + least) of them, so that in any one order of
+    all shingles the first one they share stands before p - o + 1 in the one and q - o + 1 in the other. times[bin of the
+    shingle] gives the order, rare ones first; a shingle whose bin was met once is in no other text. The key holds the
+    smaller text's class of size, for which the larger one goes as far as the class's smallest size wants."""
+    n, bin_ = len(tokens), times[(tokens % np.uint64(len(times))).astype(np.int64)]
+    order = np.lexsort((tokens, bin_))
+    tokens, bin_ = tokens[order], bin_[order]
+    far = lambda p: n - np.ceil(least * (p + n) / (1 + least) - 1e-9).astype(np.int64) + 1
+    sizes = np.arange(max(1, int(np.ceil(least * n - 1e-9))), n + 1)
+    classes, first = np.unique(_size_class(sizes), return_index=True)
+    many = np.append(far(sizes[first]), far(np.array([n])))
+    classes, role = np.append(classes, _size_class(np.array([n]))), np.append(np.ones(len(first), np.int8), np.int8(0))
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    key = mix(tokens[place] ^ mix(np.repeat(classes, many).astype(np.uint64)))
+    met = bin_[place] > 1
+    return key.view(np.int64)[met], place[met], np.repeat(role, many)[met]
+
+
+def prefix_pairs(words: DataFrame, least: float) -> DataFrame:
+    """All pairs (x, y) of different components that can reach `least`, from words(node, words, comp); no pair that
+    reaches it is left out (prefix filtering with places and sizes)."""
+    bins = 1 << 21
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(bins, np.int32)
+        for batch in batches:
+            for raw in batch.column(0):
+                np.add.at(total, (_labelled(raw.as_py()) % np.uint64(bins)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at].astype(np.int64))], ["bin", "times"])
+
+    # a table of fixed size; its order decides the work alone, and no pair
+    got = words.select("words").mapInArrow(count, "bin long, times long").groupBy("bin").agg(F.sum("times").alias("times")).toArrow()
+    counted = np.zeros(bins, np.int32)
+    counted[got["bin"].to_numpy()] = np.minimum(got["times"].to_numpy(), 2**31 - 1)
+    times = words.sparkSession.sparkContext.broadcast(counted)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                out, n = [], []
+                for raw in part.column(1):
+                    tokens = _labelled(raw.as_py())
+                    out.append(prefix_entries(tokens, times.value, least))
+                    n.append(len(tokens))
+                many = np.array([len(k) for k, _, _ in out])
+                row = pa.array(np.repeat(np.arange(len(many)), many))
+                yield pa.record_batch([*(pa.array(np.concatenate([o[i] for o in out])) for i in range(3)), pa.array(np.repeat(np.array(n, np.int64), many)), part.column(0).take(row), part.column(2).take(row)], ["key", "place", "role", "n", "node", "comp"])
+
+    entries = written(words.select("node", "words", "comp").mapInArrow(emit, "key long, place long, role byte, n long, node binary, comp binary"))
+    mixed = entries.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("role").alias("r0"), F.max("role").alias("r1")).where("c0 < c1 and r0 < r1").select("key")
+    met = entries.join(mixed, "key", "left_semi")
+    less, more = (met.where(F.col("role") == r).select("key", *(F.col(c).alias(f"{c}{r}") for c in ("place", "n", "node", "comp"))) for r in (0, 1))
+    shared = F.ceil(F.lit(least / (1 + least)) * (F.col("n0") + F.col("n1")) - 1e-9)
+    fits = (F.col("comp0") != F.col("comp1")) & (F.col("n0") <= F.col("n1")) & _apart("n0", "n1", least) & (F.col("place0") <= F.col("n0") - shared) & (F.col("place1") <= F.col("n1") - shared)
+    return _ordered(less.join(more, "key").where(fits), "node0", "node1")
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text", max_broadcast: int = 1_000_000) -> DataFrame:
     """id, node, class_id, class_node, n_copies and n_links for every row: class_id is the smallest id of the row's class, class_node
     that row's text hash, n_copies the rows with the very text, n_links the links found that hold the class together. Links are alignments of at least `least`; a class is what
@@ -188,7 +261,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
         return pairs.join(x, "x").join(y, "y").where(F.size(F.array_intersect("sx", "sy")) >= 2).select("x", "y")
 
     def words_for(pairs: DataFrame) -> DataFrame:
-        wanted = written(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct())
+        return words_of(written(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()))
+
+    def words_of(wanted: DataFrame) -> DataFrame:
         reps = docs.select(node_of(F.col(text)).alias("node"), F.col(text).alias("text")).join(small(wanted, max_broadcast), "node", "left_semi")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,15 +281,21 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
     comps = components(edges)
     placed = written(nodes.select("node", "n", "sig").join(comps, "node", "left").select("node", "n", "sig", F.coalesce("comp", "node").alias("comp")))
     singly = placed.select(F.explode("sig").alias("key"), "node", "n", "comp")
-    big = singly.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(f"size > {BUCKET} and c0 < c1").select("key")
-    crowded = singly.join(big, "key", "left_semi").select("node").distinct()
-    pairs_of_keys = F.flatten(F.transform("sig", lambda a, i: F.transform(F.slice(F.col("sig"), i + 2, BANDS), lambda b: F.xxhash64(a, b))))
-    doubly = placed.join(crowded, "node", "left_semi").select(F.explode(pairs_of_keys).alias("key"), "node", "n", "comp")
-    more = _bucket_pairs(singly, least).unionByName(_bucket_pairs(doubly, least)).distinct().join(first, ["x", "y"], "left_anti")
-    second = written(alike(more))
+    second = written(alike(_bucket_pairs(singly, least).distinct().join(first, ["x", "y"], "left_anti")))
     if second.limit(1).count():
         edges = written(edges.unionByName(verified(second, words_for(second), least)))
         comps = components(edges)
+    # what may still be apart in buckets whose pairs were not all listed meets by its shingles, without a limit
+    placed = written(nodes.select("node", "sig").join(comps, "node", "left").select("node", "sig", F.coalesce("comp", "node").alias("comp")))
+    singly = placed.select(F.explode("sig").alias("key"), "node", "comp")
+    big = singly.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(f"size > {BUCKET} and c0 < c1").select("key")
+    crowded = written(singly.join(big, "key", "left_semi").select("node", "comp").distinct())
+    if crowded.limit(1).count():
+        words = words_of(crowded.select("node"))
+        third = written(prefix_pairs(words.join(crowded, "node"), least))
+        if third.limit(1).count():
+            edges = written(edges.unionByName(verified(third, words, least)).distinct())
+            comps = components(edges)
     final = nodes.join(comps, "node", "left").select("node", "n_copies", F.struct(F.when(F.col("nulls") == 0, F.col("rep")).alias("id"), "node").alias("lead"), F.coalesce("comp", "node").alias("comp"))
     led = final.groupBy("comp").agg(F.min("lead").alias("lead"))
     links = edges.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
