@@ -224,6 +224,23 @@ def test_pii():
     assert pii.pseudonymise(t, b"q" * 32)[0] != out
 
 
+def test_pii_beside_other_groups():
+    key = b"k" * 32
+    cards = ["4111 1111 1111 1111 123", "12 4111 1111 1111 1111", "2024 4111 1111 1111 1111", "12-4111-1111-1111-1111", "4111 1111 1111 1111 12.50", "7 4111111111111111 99", "4111 1111 1111 1111 5500 0000 0000 0004"]
+    for t in cards:
+        out, n = pii.pseudonymise(f"PAID {t} USD", key)
+        assert n["card"] == t.count("4111 1111 1111 1111 5500") + 1 and not re.search("4111[ -]?1111|5500 0000", out) and len(out) == len(t) + 9
+    for t in ("ES91 2100 0418 4502 0005 1332 EUR", "AB12 ES91 2100 0418 4502 0005 1332", "ES91 2100 0418 4502 0005 1332 2024 EUR"):
+        out, n = pii.pseudonymise(t, key)
+        assert n["iban"] == 1 and "0418 4502" not in out
+    for t in ("2024-01-15T10:00:00Z", "AT 2024-01-15t10:00", "15/01/2024T10:00"):
+        out, n = pii.pseudonymise(t, key)
+        assert n["date"] == 1 and "2024-01-15" not in out and "15/01" not in out and out[-5:] == t[-5:]
+    out, n = pii.pseudonymise("CALL 555 123 4567 4111 1111 1111 1111", key)
+    assert dict(n) == {"phone": 1, "card": 1}
+    assert pii.pseudonymise("4111 1111 1111 1112 AND 2024-13-45 AND 2024-01-15X", key)[1] == {}
+
+
 def test_pii_rows(spark, docs, odd, empty):
     got = pii.protect(docs, "key").select("doc_id", "text", "n_replaced")
     same = got.where("n_replaced = 0").join(docs.select("doc_id", F.col("text").alias("t")), "doc_id").where("not (text <=> t)")

@@ -164,36 +164,105 @@ _REST = re.compile(
     r"(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]|[^\W\d_]))"
-    r"|(?P<date>(?<![\w/.-])(?:[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}|[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4})(?![\w/-]|\.[0-9]))"
+    r"|(?P<date>(?<![\w/.-])(?:[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}|[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4})(?:(?=[Tt][0-9]{2})|(?![\w/-]|\.[0-9])))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9]))"
     r"|(?P<phone>(?<![\w+.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![\w-]|\.[0-9]))"
 )
 _ANY = re.compile("[0-9]")
 RULES: dict[str, Callable[[str, bytes], str | None]] = {"secret": secret, "iban": iban, "ip": ip, "date": date, "ssn": ssn, "card": card, "phone": phone}
+_KINDS = {kind: re.compile(next(x for x in re.split(r"(?:^|\|)(?=\(\?P<(?:%s)>)" % "|".join(RULES), _REST.pattern) if x.startswith(f"(?P<{kind}>"))) for kind in RULES}
+
+
+_GROUP, _ON = re.compile("[0-9]+"), re.compile("[ -][0-9]")
+_STUCK = re.compile(r"[\w-]|\.[0-9]")
+_PART = re.compile("[^0-9A-Za-z]*[0-9A-Za-z]+")
+#: Groups that cards are printed in.
+_PRINTED = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 3, 3, 3), (4, 4, 5)}
+
+
+def _cards(at: int, text: str, end: int, key: bytes) -> tuple[tuple[int, int, str] | None, int]:
+    """Start, end and pseudonym of a card among the groups of digits from `at` on, and where the first valid span begins
+    (without one, the end of the groups). Of the spans of groups that meet the first valid one, all groups go before
+    groups as they are printed or one alone, and these before the first and longest."""
+    groups, last, first, best, i = [], False, None, None, 0
+    while True:
+        while not last and (len(groups) < i + 19):  # as many groups as a card can have
+            lo = groups[-1][1] + 1 if groups else at
+            groups.append(_GROUP.match(text, lo, end).span())
+            last = not _ON.match(text, groups[-1][1], end)
+        if i >= len(groups) or first and groups[i][0] >= first[1]:
+            break
+        n = 0
+        for j in range(i, min(i + 19, len(groups))):
+            n += groups[j][1] - groups[j][0]
+            ends = last and j == len(groups) - 1
+            if n > 19 or ends and _STUCK.match(text, groups[j][1], end):  # too long, or the last group goes on as something else
+                break
+            part = text[groups[i][0] : groups[j][1]]
+            d = _digits(part)
+            if n < 13 or int(d[-1]) != luhn(d[:-1]) or len(set(d)) == 1:
+                continue
+            first = first or (groups[i][0], groups[j][1])
+            shape = tuple(y - x for x, y in groups[i : j + 1])
+            rank = (i > 0 or not ends, len(shape) > 1 and shape not in _PRINTED, part[0] not in "3456", i, -n)
+            best = min(best or (rank, groups[i][0], part), (rank, groups[i][0], part))
+        i += 1
+    if best is None:
+        return None, groups[-1][1]
+    return (best[1], best[1] + len(best[2]), card(best[2], key)), first[0]
+
+
+def _ibans(m: re.Match, key: bytes) -> tuple[int, int, str] | None:
+    """Start, end and pseudonym of the longest valid IBAN that begins with m and ends with one of its groups."""
+    part = m[0]
+    while part:
+        if new := iban(part, key):
+            return m.start(), m.start() + len(part), new
+        part = part.rpartition(" ")[0]
+    return None
+
+
+def _rest(text: str, at: int, end: int, key: bytes, found: Counter, clear: int = 0) -> str:
+    """text[at:end] with its values but e-mail addresses replaced. Where a match fails, the other kinds and spans that
+    begin there are tried, and then what comes after its first group. No card begins before clear."""
+    parts = []
+    while m := _REST.search(text, at, end):
+        kind, span = m.lastgroup if m.lastgroup in RULES else "date", None
+        for k in list(RULES)[list(RULES).index(kind) :]:
+            if one := m if k == kind else _KINDS[k].match(text, m.start(), end):
+                if k == "card":
+                    span, clear = _cards(m.start(), text, end, key) if m.start() >= clear else (None, clear)
+                elif k == "iban":
+                    span = _ibans(one, key)
+                elif new := RULES[k](one[0], key):
+                    span = one.start(), one.end(), new
+            if span:
+                break
+        if span:
+            found[k] += 1
+            parts += [text[at : m.start()], _rest(text, m.start(), span[0], key, found, clear), span[2]]
+            at = span[1]
+        else:
+            stop = min(m.end(), _PART.match(text, m.start(), end).end())
+            parts.append(text[at:stop])
+            at = stop
+    return "".join([*parts, text[at:end]])
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, Counter]:
     """The text with every validated value replaced, and how many of each kind; values that fail validation stay."""
     found: Counter = Counter()
-
-    def rest(m: re.Match) -> str:
-        new = RULES[m.lastgroup if m.lastgroup in RULES else "date"](m[0], key)
-        if new is None:
-            return m[0]
-        found["date" if m.lastgroup not in RULES else m.lastgroup] += 1
-        return new
-
     if not _ANY.search(text):
         return (_mail(text, key, found) if "@" in text else text), found
     if "@" not in text:
-        return _REST.sub(rest, text), found
+        return _rest(text, 0, len(text), key, found), found
     parts, at = [], 0
     for m in _MAIL.finditer(text):
-        parts += [_REST.sub(rest, text[at : m.start()]), email(m[0], key)]
+        parts += [_rest(text[at : m.start()], 0, m.start() - at, key, found), email(m[0], key)]
         found["email"] += 1
         at = m.end()
-    return "".join([*parts, _REST.sub(rest, text[at:])]), found
+    return "".join([*parts, _rest(text[at:], 0, len(text) - at, key, found)]), found
 
 
 def _mail(text: str, key: bytes, found: Counter) -> str:
