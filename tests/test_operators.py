@@ -71,6 +71,17 @@ def test_pick_evenly(spark):
     assert pick(10, 3) == [0, 4, 9] and pick(3, 10) == [0, 1, 2] and pick(5, 1) == [4]
 
 
+def test_frame_key_match(spark):
+    frames_ = spark.range(3000).select(F.col("id").alias("frame_id"), F.concat(F.lit("a/f"), "id", F.lit(".png")).alias("file"), F.concat(F.lit("2024-01-01 10:"), F.lpad((F.col("id") % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.col("id") / 60).cast("int").cast("string"), 2, "0")).alias("ts_text"))
+    hand = spark.range(3000).select(F.col("id").alias("hand_id"), F.when(F.col("id") < 2990, "2024-01-01 10").when(F.col("id") == 2990, "f7").when(F.col("id") == 2991, "2024-01-01 10:05:03").otherwise(F.lit(None)).alias("key"))
+    out = frames.frame_key_match(hand, frames_)
+    got = {r.hand_id: r.frame_id for r in out.collect()}
+    assert len(got) == 3000 and {i: v for i, v in got.items() if v is not None} == {2990: 7, 2991: 185}
+    # one row a key goes into the join: a hot prefix makes no pairs
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("by_time")
+    assert "count(1) AS n" in "".join(plan) and "Aggregate [hand_id" not in "".join(plan)
+
+
 def test_hours_refused():
     with pytest.raises(ValueError, match="empty"):
         frames.parse_hours("9-9")

@@ -122,8 +122,8 @@ def frame_key_match(hand: DataFrame, frames: DataFrame) -> DataFrame:
     # a prefix join by equality: the frames' prefixes of just the lengths that occur
     lengths = F.broadcast(rest.agg(F.collect_set(F.length("key")).alias("sizes")))
     prefixes = frames.crossJoin(lengths).select("frame_id", F.explode(F.transform("sizes", lambda n: F.when(n <= F.length("ts_text"), F.substring(F.col("ts_text"), F.lit(1), n)))).alias("key")).where("key is not null")
-    single = rest.join(prefixes, "key").groupBy("hand_id").agg(F.count(F.lit(1)).alias("n"), F.min("frame_id").alias("by_time")).where("n = 1")
-    return named.join(single.select("hand_id", "by_time"), "hand_id", "left").select("hand_id", "key", F.coalesce("by_name", "by_time").alias("frame_id"))
+    single = prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("frame_id").alias("by_time")).where("n = 1")
+    return named.join(single.select("key", "by_time"), "key", "left").select("hand_id", "key", F.coalesce("by_name", "by_time").alias("frame_id"))
 
 
 def frame_status(frames: DataFrame, by: Sequence[str] = ("camera",)) -> DataFrame:
