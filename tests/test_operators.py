@@ -82,6 +82,13 @@ def test_frame_key_match(spark):
     assert "count(1) AS n" in "".join(plan) and "Aggregate [hand_id" not in "".join(plan)
 
 
+def test_pick_diverse_in_a_long_group(spark):
+    # the 303 best rows stand within 101 positions, the next ones far away
+    d = spark.createDataFrame([(1, p, 1000.0 - p - i / 10) for p in range(101) for i in range(3)] + [(1, 5000, 5.0), (1, 9000, 4.0), (1, 9001, 3.0)], "g int, pos int, score double")
+    assert sorted((r.pick, r.pos) for r in masks.pick_diverse(d, ["g"], 3, 150).collect()) == [(1, 0), (2, 5000), (3, 9000)]
+    assert sorted((r.pick, r.pos) for r in masks.pick_diverse(d.where("pos < 101"), ["g"], 3, 150).collect()) == [(1, 0), (2, 0), (3, 0)]
+
+
 def test_hours_refused():
     with pytest.raises(ValueError, match="empty"):
         frames.parse_hours("9-9")

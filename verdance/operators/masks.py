@@ -105,11 +105,15 @@ def uncertainty_score(*parts: Column) -> Column:
     return F.when(F.size(have) > 0, F.aggregate(have, F.lit(0.0), lambda a, b: a + b) / F.size(have))
 
 
-def pick_diverse(scored: DataFrame, by: Sequence[str], k: int, min_gap: int, candidates: int = 200) -> DataFrame:
-    """Up to k rows of each group (item, pos, score) by score, no two within min_gap positions; the gap is given up if too
-    few are left. Only the `candidates` best of a group are looked at: a limit of the feature."""
-    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last("score"), "pos")
-    top = scored.where("score is not null").withColumn("r", F.row_number().over(w)).where(F.col("r") <= candidates)
+def pick_diverse(scored: DataFrame, by: Sequence[str], k: int, min_gap: int) -> DataFrame:
+    """Up to k rows of each group (item, whole pos, score) by score, no two within min_gap positions; the gap is given up
+    if too few are left. A pick shuts out 2 min_gap - 1 positions and of a position only the best row is picked with the
+    gap, so that the rows kept for picking are enough for the same picks as from all."""
+    best = F.desc_nulls_last("score")
+    w, own = Window.partitionBy(*by).orderBy(best, "pos"), Window.partitionBy(*by, "pos").orderBy("r")
+    ranked = scored.where("score is not null").withColumn("r", F.row_number().over(w)).withColumn("lead", F.row_number().over(own) == 1)
+    leads = F.sum(F.col("lead").cast("int")).over(Window.partitionBy(*by).orderBy("r"))
+    top = ranked.withColumn("leads", leads).where((F.col("r") <= k) | F.col("lead") & (F.col("leads") <= (k - 1) * max(2 * min_gap - 1, 1) + 1)).drop("lead", "leads")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, chosen = pdf.sort_values("r"), []
