@@ -3,6 +3,7 @@ text columns (numpy inside Spark tasks; Spark does all partitioning, shuffling a
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,10 +27,13 @@ _own_scratch: str | None = None
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a folder of our own only where none is set, as in tests."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Where none is set, a folder of our own, on a local master
+    alone: other executors would not see it."""
     global _own_scratch
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own_scratch = _own_scratch or tempfile.mkdtemp(prefix="verdance-")
         root = f"file://{_own_scratch}"
     return root

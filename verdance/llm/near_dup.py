@@ -2,8 +2,10 @@
 
 Exact copies meet by a hash of the text and go on as one node. A node's shingles (runs of five words) are labelled with
 their occurrence number; for each of BANDS hash functions the two smallest labelled shingles, in text order, make one
-bucket key. Each node is first compared with one leader of its buckets; where a bucket still holds several classes after that,
-all its pairs of different classes are compared (large ones: with the leader, and then those whose rare shingles meet)."""
+bucket key. In each round a node is compared with one leader of another class, the one it shares most keys with, and the
+classes that prove linked are joined; a round makes at most one pair a node. Nodes that still share keys with another
+class after the last round meet by their rarest shingles (prefix filtering), whatever the size of a bucket, so that no
+link is left out."""
 
 from __future__ import annotations
 
@@ -14,11 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, class_table, lower_table, mix, range_hash, runs, segments, small, written
 
-#: Words in a shingle, hash functions, largest bucket whose pairs are all listed.
-SHINGLE, BANDS, BUCKET = 5, 16, 16
+#: Words in a shingle, hash functions, keys that two nodes must share (at similarity 0.8 a pair misses that in about five
+#: of a million cases), rounds of comparisons with leaders.
+SHINGLE, BANDS, SHARED, ROUNDS = 5, 16, 2, 3
 _CLASSES, _LOWER = class_table(), lower_table()
 
 
@@ -70,13 +74,14 @@ def order_min_hashes(sh: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, node, n (shingles), sig (array<long>) of each row with a word; node null and sig empty otherwise."""
+    """id, node, n (shingles), sig (array<long>) and words (32-bit word hashes as bytes) of each row; node null, sig and
+    words empty for a text without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in chunks(batch.column(2)):
                 s, e, doc = runs(_CLASSES[data], offs)
-                words, seg = range_hash(_LOWER[data], s, e), segments(doc, hi - lo)
+                words, seg = range_hash(_LOWER[data], s, e).astype("<u4"), segments(doc, hi - lo)
                 full = np.flatnonzero(np.diff(seg))
                 n, lists = np.zeros(hi - lo, np.int64), np.zeros(0, np.int64)
                 if len(full):
@@ -84,9 +89,11 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                     n[full] = np.diff(cut)
                     lists = order_min_hashes(sh, cut).view(np.int64).ravel()
                 sig = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * BANDS)]), pa.int32()), pa.array(lists))
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), sig], ["id", "node", "n", "sig"])
+                raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((4 * seg).astype(np.int32)), pa.py_buffer(words)])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int32()), sig, raw], ["id", "node", "n", "sig", "words"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), node_of(F.col(text)).alias("node"), F.col(text).alias("text")).mapInArrow(run, "id long, node binary, n long, sig array<long>")
+    part = docs.select(F.col(key).alias("id"), node_of(F.col(text)).alias("node"), F.col(text).alias("text"))
+    return part.mapInArrow(run, part.select("id", "node").schema.add("n", "integer").add("sig", T.ArrayType(T.LongType())).add("words", "binary"))
 
 
 def alignment(a: np.ndarray, b: np.ndarray, least: float) -> float:
@@ -107,33 +114,46 @@ def alignment(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return len(tails) / (n + m - len(tails))
 
 
+def _labelled(raw: bytes) -> np.ndarray:
+    """The occurrence-labelled shingles of a text's words, as alignment() has them."""
+    w = np.frombuffer(raw, "<u4").astype(np.uint64)
+    sh = shingles(w, np.array([0, len(w)]))[0]
+    return mix(sh + occurrence(sh).astype(np.uint64) * np.uint64(77))
+
+
 def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """x, y of pairs(x, y) whose alignment reaches `least`. words(node, words): 32-bit word hashes as bytes."""
+    """x, y of pairs(x, y) whose alignment reaches `least`. words(nid, words). The two texts of a pair are of about one
+    size, so what a pair carries is bounded by its own texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sh(raw: bytes) -> np.ndarray:
-            w = np.frombuffer(raw, "<u4").astype(np.uint64)
+            w = np.frombuffer(raw, "<u4")
             return shingles(w, np.array([0, len(w)]))[0]
 
         for batch in batches:
             good, last, seen = [], None, None
             for p, q in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = p.as_buffer().to_pybytes(), q.as_buffer().to_pybytes()
+                p, q = p.as_py(), q.as_py()
                 if q != last:
                     last, seen = q, sh(q)
                 good.append(alignment(sh(p), seen, least) >= least)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    a, b = (words.select(F.col("node").alias(v), F.col("words").alias(f"w{v}")) for v in "xy")
+    a, b = (words.select(F.col("nid").alias(v), F.col("words").alias(f"w{v}")) for v in "xy")
     both = pairs.join(a, "x").join(b, "y").select("x", "y", "wx", "wy")
-    return both.mapInArrow(run, "x binary, y binary")
+    return both.mapInArrow(run, "x long, y long")
 
 
-def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """node and comp (the smallest node it is linked with, directly or not) of every node of the edges. Labels go to
+def ends(pairs: DataFrame) -> DataFrame:
+    """Both nodes of each pair, as rows."""
+    return pairs.select(F.col("x").alias("nid")).unionByName(pairs.select(F.col("y").alias("nid")))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and comp (the smallest node it is linked with, directly or not) of every node of edges(x, y). Labels go to
     neighbours and are then followed one step further, until nothing changes; every round is a written table."""
-    both = written(edges.select(F.col(x).alias("node"), F.col(y).alias("to")).unionByName(edges.select(F.col(y).alias("node"), F.col(x).alias("to"))))
-    now = written(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("comp")))
+    both = written(edges.select(F.col("x").alias("node"), F.col("y").alias("to")).unionByName(edges.select(F.col("y").alias("node"), F.col("x").alias("to"))))
+    now = written(both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("comp")))
     while True:
         label = now.select(F.col("node").alias("to"), F.col("comp").alias("c"))
         near = both.join(label, "to").groupBy("node").agg(F.min("c").alias("c"))
@@ -146,6 +166,14 @@ def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
             return now
 
 
+def joined(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    """placed(nid, comp) after the classes that edges(x, y) link are made one."""
+    x, y = (placed.select(F.col("nid").alias(v), F.col("comp").alias(f"c{v}")) for v in "xy")
+    between = edges.join(x, "x").join(y, "y").where("cx != cy").select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
+    up = components(written(between)).select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+    return written(placed.join(up, "comp", "left").select("nid", F.coalesce("up", "comp").alias("comp")))
+
+
 def _apart(a: str, b: str, least: float) -> Column:
     """Whether two numbers of shingles allow the similarity."""
     return F.least(a, b) >= F.lit(least) * F.greatest(a, b)
@@ -155,53 +183,42 @@ def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x < y").distinct()
 
 
-def _bucket_pairs(keys: DataFrame, least: float) -> DataFrame:
-    """Pairs (x, y) of different components from keys(key, node, n, comp): all pairs of the buckets with at most BUCKET
-    nodes, and each node with its bucket's leader in the larger ones."""
-    stats = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("key", "node").alias("o"), "node", "n", "comp")).alias("lead"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
-    few = keys.join(stats.where(F.col("size") <= BUCKET).select("key"), "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("node", "n", "comp")).alias("m"))
-    pair = few.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, BUCKET)).alias("b"))
-    star = keys.join(stats.where(F.col("size") > BUCKET).select("key", "lead"), "key").select(F.struct("node", "n", "comp").alias("a"), F.col("lead").alias("b"))
-    both = pair.select("a.node", "a.n", "a.comp", F.col("b.node").alias("node2"), F.col("b.n").alias("n2"), F.col("b.comp").alias("comp2"))
-    both = both.unionByName(star.select("a.node", "a.n", "a.comp", F.col("b.node").alias("node2"), F.col("b.n").alias("n2"), F.col("b.comp").alias("comp2")))
-    return _ordered(both.where((F.col("comp") != F.col("comp2")) & _apart("n", "n2", least)), "node", "node2")
-
-
-def _labelled(raw: bytes) -> np.ndarray:
-    """The occurrence-labelled shingles of a text's words, as alignment() has them."""
-    w = np.frombuffer(raw, "<u4").astype(np.uint64)
-    sh = shingles(w, np.array([0, len(w)]))[0]
-    return mix(sh + occurrence(sh).astype(np.uint64) * np.uint64(77))
-
-
-def _size_class(n: np.ndarray) -> np.ndarray:
-    """Numbers of shingles in steps of one in a hundred; each below 100 has a class of its own."""
-    return np.floor(np.log(n) / np.log(1.01)).astype(np.int64)
-
-
-def prefix_entries(tokens: np.ndarray, times: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """key, place and role (1: as the larger text) of the shingles by which a text can meet another of similarity `least`.
-    Two such texts of p <= q shingles share at least o = least (p + q) / (1 + least) of them, so that in any one order of
-    all shingles the first one they share stands before p - o + 1 in the one and q - o + 1 in the other. times[bin of the
-    shingle] gives the order, rare ones first; a shingle whose bin was met once is in no other text. The key holds the
-    smaller text's class of size, for which the larger one goes as far as the class's smallest size wants."""
+def crowded(keys: DataFrame, placed: DataFrame) -> DataFrame:
+    """key, nid, n, comp of keys(key, nid, n) that nodes of several classes have, of nodes with SHARED such keys."""
+    labelled = keys.join(placed, "nid")
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+    met = labelled.join(mixed, "key", "left_semi")
+    often = met.groupBy("nid").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED).select("nid")
+    return met.join(often, "nid", "left_semi").select("key", "nid", "n", "comp")
+
+
+def leader_pairs(keys: DataFrame, tested: DataFrame, least: float) -> DataFrame:
+    """x, y: each node of keys(key, nid, n, comp) with the leader of another class that it shares most keys with, at least
+    SHARED, leaving out the tested pairs. A key has two leaders, of its smallest and of its largest class."""
+    node = F.struct("comp", "nid", "n")
+    led = keys.groupBy("key").agg(F.min(node).alias("a"), F.max(node).alias("b")).where("a.comp < b.comp")
+    met = keys.join(led, "key").select("nid", "n", F.when(F.col("comp") == F.col("a.comp"), F.col("b")).otherwise(F.col("a")).alias("o"))
+    met = met.where(_apart("n", "o.n", least)).groupBy("nid", F.col("o.nid").alias("other")).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED)
+    fresh = met.withColumns({"x": F.least("nid", "other"), "y": F.greatest("nid", "other")}).join(tested, ["x", "y"], "left_anti")
+    return _ordered(fresh.groupBy("nid").agg(F.max(F.struct("times", -F.col("other"), "other")).alias("best")).select("nid", "best.other"), "nid", "other")
+
+
+def prefix_entries(tokens: np.ndarray, times: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and places by which a text can meet another of similarity `least`, rare ones first. Two such texts of p <= q
+    shingles share at least o = least (p + q) / (1 + least) of them, so that in any one order of all shingles the first
+    one they share stands before p - o + 1 in the one and q - o + 1 in the other: the larger text goes as far as a text of
+    `least` its size wants, the smaller as far as one of its own size. times[bin of the shingle] gives the order; a
+    shingle whose bin was met once is in no other text."""
     n, bin_ = len(tokens), times[(tokens % np.uint64(len(times))).astype(np.int64)]
-    order = np.lexsort((tokens, bin_))
-    tokens, bin_ = tokens[order], bin_[order]
-    far = lambda p: n - np.ceil(least * (p + n) / (1 + least) - 1e-9).astype(np.int64) + 1
-    sizes = np.arange(max(1, int(np.ceil(least * n - 1e-9))), n + 1)
-    classes, first = np.unique(_size_class(sizes), return_index=True)
-    many = np.append(far(sizes[first]), far(np.array([n])))
-    classes, role = np.append(classes, _size_class(np.array([n]))), np.append(np.ones(len(first), np.int8), np.int8(0))
-    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    key = mix(tokens[place] ^ mix(np.repeat(classes, many).astype(np.uint64)))
-    met = bin_[place] > 1
-    return key.view(np.int64)[met], place[met], np.repeat(role, many)[met]
+    order = np.lexsort((tokens, bin_))[: n - int(np.ceil(least * n - 1e-9)) + 1]
+    place = np.flatnonzero(bin_[order] > 1)
+    return tokens[order][place].view(np.int64), place.astype(np.int32)
 
 
 def prefix_pairs(words: DataFrame, least: float) -> DataFrame:
-    """All pairs (x, y) of different components that can reach `least`, from words(node, words, comp); no pair that
-    reaches it is left out (prefix filtering with places and sizes)."""
+    """All pairs (x, y) of different classes that can reach `least`, from words(nid, words, comp); no pair that reaches it
+    is left out (prefix filtering with places and sizes). In each shingle's list the nodes outside its largest class meet
+    the others; nodes of one class never meet."""
     bins = 1 << 21
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,98 +237,80 @@ def prefix_pairs(words: DataFrame, least: float) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                out, n = [], []
-                for raw in part.column(1):
-                    tokens = _labelled(raw.as_py())
-                    out.append(prefix_entries(tokens, times.value, least))
-                    n.append(len(tokens))
-                many = np.array([len(k) for k, _, _ in out])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                tokens = [_labelled(raw.as_py()) for raw in part.column(1)]
+                out = [prefix_entries(t, times.value, least) for t in tokens]
+                many, n = np.array([len(k) for k, _ in out]), np.array([len(t) for t in tokens], np.int32)
                 row = pa.array(np.repeat(np.arange(len(many)), many))
-                yield pa.record_batch([*(pa.array(np.concatenate([o[i] for o in out])) for i in range(3)), pa.array(np.repeat(np.array(n, np.int64), many)), part.column(0).take(row), part.column(2).take(row)], ["key", "place", "role", "n", "node", "comp"])
-
-    entries = written(words.select("node", "words", "comp").mapInArrow(emit, "key long, place long, role byte, n long, node binary, comp binary"))
-    mixed = entries.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("role").alias("r0"), F.max("role").alias("r1")).where("c0 < c1 and r0 < r1").select("key")
-    met = entries.join(mixed, "key", "left_semi")
-    less, more = (met.where(F.col("role") == r).select("key", *(F.col(c).alias(f"{c}{r}") for c in ("place", "n", "node", "comp"))) for r in (0, 1))
-    shared = F.ceil(F.lit(least / (1 + least)) * (F.col("n0") + F.col("n1")) - 1e-9)
-    fits = (F.col("comp0") != F.col("comp1")) & (F.col("n0") <= F.col("n1")) & _apart("n0", "n1", least) & (F.col("place0") <= F.col("n0") - shared) & (F.col("place1") <= F.col("n1") - shared)
-    return _ordered(less.join(more, "key").where(fits), "node0", "node1")
-
-
-def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text", max_broadcast: int = 1_000_000) -> DataFrame:
+                yield pa.record_batch([pa.array(np.concatenate([k for k, _ in out])), pa.array(np.concatenate([p for _, p in out])), pa.array(np.repeat(n, many)), part.column(0).take(row), part.column(2).take(row)], ["key", "place", "n", "nid", "comp"])
+
+    entries = written(words.select("nid", "words", "comp").mapInArrow(emit, "key long, place int, n int, nid long, comp long"))
+    least_shared = lambda p, q: F.ceil(F.lit(least / (1 + least)) * (F.col(p) + F.col(q)) - 1e-9)
+    early = F.col("place") <= F.col("n") - least_shared("n", "n")
+    of = entries.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many"), F.max(early).alias("early"))
+    mixed = of.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", "many").alias("most"), F.max("early").alias("early")).where("comps > 1 and early").select("key", "most")
+    met = written(entries.join(mixed, "key"))
+    a, b = (met.where(early if v == "a" else F.lit(True)).select("key", "most", *(F.col(c).alias(f"{c}_{v}") for c in ("place", "n", "nid", "comp"))) for v in "ab")
+    shared = least_shared("n_a", "n_b")
+    fits = (F.col("comp_a") != F.col("comp_b")) & (F.col("n_a") <= F.col("n_b")) & _apart("n_a", "n_b", least) & (F.col("place_a") <= F.col("n_a") - shared) & (F.col("place_b") <= F.col("n_b") - shared)
+    outer = a.where("comp_a != most").join(b.drop("most"), "key").where(fits).select("nid_a", "nid_b")
+    inner = a.where("comp_a = most").drop("most").join(b.where("comp_b != most"), "key").where(fits).select("nid_a", "nid_b")
+    return _ordered(outer.unionByName(inner), "nid_a", "nid_b")
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text", max_broadcast: int = 200_000) -> DataFrame:
     """id, node, class_id, class_node, n_copies and n_links for every row: class_id is the smallest id of the row's class, class_node
     that row's text hash, n_copies the rows with the very text, n_links the links found that hold the class together. Links are alignments of at least `least`; a class is what
     links connect. A text without a word (null, empty, white space) is alone in its class, with a null node; a null id
-    comes before all others. Repeated rows are copies of each other."""
+    comes before all others; ids keep their type. Repeated rows are copies of each other. Other columns of docs play no part."""
     rows = written(sketches(docs, key, text))
-    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count_if(F.col("id").isNull()).alias("nulls"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    keys = nodes.select(F.explode("sig").alias("key"), "node", "n")
-
-    leads = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("o"), "node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", F.col("lead.node").alias("node2"), F.col("lead.n").alias("n2"))
-    # at first each node meets one leader, the one it shares most buckets with; the others only if classes stay apart
-    shared = keys.join(leads, "key").where((F.col("node") != F.col("node2")) & _apart("n", "n2", least)).groupBy("node", "node2").agg(F.count(F.lit(1)).alias("times"))
-    closest = shared.groupBy("node").agg(F.max(F.struct("times", "node2"))["node2"].alias("node2"))
-    first = _ordered(closest, "node", "node2")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Pairs that share at least two keys: at similarity 0.8 all but 2 in a million do."""
-        x, y = (nodes.select(F.col("node").alias(v), F.col("sig").alias(f"s{v}")) for v in "xy")
-        return pairs.join(x, "x").join(y, "y").where(F.size(F.array_intersect("sx", "sy")) >= 2).select("x", "y")
-
-    def words_for(pairs: DataFrame) -> DataFrame:
-        return words_of(written(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count_if(F.col("id").isNull()).alias("nulls"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = written(nodes.sortWithinPartitions("node").withColumn("nid", F.monotonically_increasing_id()))
+    keys = nodes.select(F.explode("sig").alias("key"), "nid", "n")
+    leads = keys.groupBy("key").agg(F.min("nid").alias("lead"), F.min_by("n", "nid").alias("n2"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    multi = written(keys.join(leads, "key"))
 
     def words_of(wanted: DataFrame) -> DataFrame:
-        reps = docs.select(node_of(F.col(text)).alias("node"), F.col(text).alias("text")).join(small(wanted, max_broadcast), "node", "left_semi")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi, data, offs in chunks(batch.column(1)):
-                    s, e, doc = runs(_CLASSES[data], offs)
-                    w = range_hash(_LOWER[data], s, e).astype("<u4")
-                    seg = segments(doc, hi - lo)
-                    yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([w[a:b].tobytes() for a, b in zip(seg[:-1], seg[1:], strict=True)], pa.binary())], ["node", "words"])
-
-        return written(reps.mapInArrow(run, "node binary, words binary").groupBy("node").agg(F.min("words").alias("words")))
-
-    first = written(alike(first))
-    edges = written(verified(first, words_for(first), least))
-    comps = components(edges)
-    placed = written(nodes.select("node", "n", "sig").join(comps, "node", "left").select("node", "n", "sig", F.coalesce("comp", "node").alias("comp")))
-    singly = placed.select(F.explode("sig").alias("key"), "node", "n", "comp")
-    second = written(alike(_bucket_pairs(singly, least).distinct().join(first, ["x", "y"], "left_anti")))
-    if second.limit(1).count():
-        edges = written(edges.unionByName(verified(second, words_for(second), least)))
-        comps = components(edges)
-    # what may still be apart in buckets whose pairs were not all listed meets by its shingles, without a limit
-    placed = written(nodes.select("node", "sig").join(comps, "node", "left").select("node", "sig", F.coalesce("comp", "node").alias("comp")))
-    singly = placed.select(F.explode("sig").alias("key"), "node", "comp")
-    big = singly.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(f"size > {BUCKET} and c0 < c1").select("key")
-    crowded = written(singly.join(big, "key", "left_semi").select("node", "comp").distinct())
-    if crowded.limit(1).count():
-        words = words_of(crowded.select("node"))
-        third = written(prefix_pairs(words.join(crowded, "node"), least))
-        if third.limit(1).count():
-            edges = written(edges.unionByName(verified(third, words, least)).distinct())
-            comps = components(edges)
-    final = nodes.join(comps, "node", "left").select("node", "n_copies", F.struct(F.when(F.col("nulls") == 0, F.col("rep")).alias("id"), "node").alias("lead"), F.coalesce("comp", "node").alias("comp"))
-    led = final.groupBy("comp").agg(F.min("lead").alias("lead"))
-    links = edges.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = final.join(led.withColumnRenamed("lead", "class"), "comp").join(links, "node", "left").select("node", "n_copies", F.col("class.id").alias("class_id"), F.col("class.node").alias("class_node"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        named = nodes.select("nid", "node", "rep").join(written(wanted.distinct()), "nid", "left_semi")
+        named = small(written(named), max_broadcast)
+        found = rows.select("id", "node", "words").join(named, "node").where(F.col("id").eqNullSafe(F.col("rep"))).select("nid", "words")
+        return written(found.dropDuplicates(["nid"]))
+
+    first = multi.where((F.col("nid") != F.col("lead")) & _apart("n", "n2", least)).groupBy("nid", "lead").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED)
+    tested = written(_ordered(first.groupBy("nid").agg(F.max(F.struct("times", -F.col("lead"), "lead")).alias("best")).select("nid", "best.lead"), "nid", "lead"))
+    edges = written(verified(tested, words_of(ends(tested)), least))
+    placed = joined(written(nodes.select("nid", F.col("nid").alias("comp"))), edges)
+    left = written(crowded(multi, placed))
+    for _ in range(1, ROUNDS):
+        pairs = written(leader_pairs(left, tested, least))
+        found = written(verified(pairs, words_of(ends(pairs)), least))
+        tested = tested.unionByName(pairs)
+        if not found.limit(1).count():
+            break
+        edges, placed = edges.unionByName(found), joined(placed, found)
+        left = written(crowded(left.drop("comp"), placed))
+    apart = written(left.select("nid", "comp").distinct())
+    if apart.limit(1).count():
+        words = words_of(apart.select("nid"))
+        pairs = written(prefix_pairs(words.join(apart, "nid"), least).join(tested, ["x", "y"], "left_anti"))
+        found = written(verified(pairs, words, least))
+        edges, placed = edges.unionByName(found), joined(placed, found)
+    final = nodes.join(placed, "nid").select("nid", "node", "n_copies", F.struct(F.when(F.col("nulls") == 0, F.col("rep")).alias("id"), "node").alias("lead"), "comp")
+    led = final.groupBy("comp").agg(F.min("lead").alias("class"))
+    links = ends(edges).groupBy("nid").agg(F.count(F.lit(1)).alias("n_links"))
+    classes = final.join(led, "comp").join(links, "nid", "left").select("node", "n_copies", F.col("class.id").alias("class_id"), F.col("class.node").alias("class_node"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return rows.select("id", "node").join(classes, "node", "left").select("id", "node", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "class_node", F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def representatives(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but one row of each class; rows without a word all stay."""
+def representatives(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text", max_broadcast: int = 200_000) -> DataFrame:
+    """docs without all but one row of each class; rows without a word all stay. Columns of any name are kept."""
     found = written(near_duplicates(docs, least, key, text))
-    gone = found.where("node is not null and not (id <=> class_id and node <=> class_node)").select("id", "node").distinct()
-    twice = found.where("node is not null and id <=> class_id and node <=> class_node").groupBy("id", "node").count().where("count > 1").limit(1).count()
-    node = node_of(F.col(text))
-    marked = docs.withColumn("__node", node)
-    same = F.col("__node").eqNullSafe(F.col("gn")) & F.col(key).cast("long").eqNullSafe(F.col("gi"))
-    kept = marked.join(small(written(gone.select(F.col("id").alias("gi"), F.col("node").alias("gn"))), 1_000_000), same, "left_anti")
+    leads = (F.col("id").eqNullSafe(F.col("class_id"))) & (F.col("node") == F.col("class_node"))
+    gone = written(found.where(F.col("node").isNotNull() & ~leads).select(F.col("id").alias("gone_id"), F.col("node").alias("gone_node")).distinct())
+    twice = found.where(F.col("node").isNotNull() & leads).groupBy("id", "node").count().where("count > 1").limit(1).count()
+    packed = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), node_of(F.col(text)).alias("node"))
+    kept = packed.join(small(gone, max_broadcast), (F.col("node") == F.col("gone_node")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
     if twice:
-        kept = kept.where("__node is null").unionByName(kept.where("__node is not null").dropDuplicates([key, "__node"]))
-    return kept.drop("__node")
+        kept = kept.where("node is null").unionByName(kept.where("node is not null").dropDuplicates(["id", "node"]))
+    return kept.select("row.*")
