@@ -166,14 +166,42 @@ def test_differencing():
     n = rng.integers(1, 900, 60).tolist()
     sums = [sum(n[i] for i in p) for p in packing.difference(n, 12)]
     assert sum(sums) == sum(n) and max(sums) - min(sums) < 0.05 * max(sums)
-    assert all(sum(x[2] for x in w) <= 1000 for w in packing.pack(n, 1000, cut=False))
+    assert all(sum(n[i] for i in w) <= 1000 for w in packing.windows_for(n, 1000))
+
+
+def test_window_count_rises_and_most_documents_stay_whole():
+    n = [700] * 30 + [500] * 10 + [20] * 15
+    assert len(packing.windows_for(n[:30], 1000)) == 30 > -(-30 * 700 // 1000)
+    windows, rest = packing.pack(n, 1000)
+    items = [x for w in windows for x in w]
+    assert not rest and all(0 < sum(x[2] for x in w) <= 1000 for w in windows) and max(sum(x[2] for x in w) for w in windows[:-1]) == 1000
+    for i, size in enumerate(n):
+        at = 0
+        for _, start, k in sorted(x for x in items if x[0] == i):
+            assert start == at
+            at += k
+        assert at == size
+    rng = np.random.default_rng(3)
+    n = rng.integers(1, 2048, 200).tolist()
+    windows, rest = packing.pack(n, 2048, last=False)
+    cut = {i for w in windows for i, start, k in w if k < n[i]}
+    assert len(cut) < 0.15 * len(n) and len(windows) * 2048 == sum(k for w in windows for _, _, k in w)
+    assert sum(n) == sum(x[2] for w in [*windows, rest] for x in w)
+    assert packing.pack([], 8) == ([], []) and packing.pack([1, 1, 1], 8)[0]
 
 
 def test_encoder_is_exact():
-    e = packing.encoder(queries.tokenizer_path())
+    import pyarrow as pa
+
+    from verdance.llm import common
+
+    e = packing.Encoder(queries.tokenizer_path())
     odd = ["", "a  b", "Don't we'll 'sup", "ÉCOLE—naïve x² 12 ab3c", "a\tb\r\nc", "<|endoftext|> hi", "ΑΣ ΑΣ. İstanbul", "é x́x. x́,,", "日本語 ｱｲｳ... ½a! ⅷ.", "a.b.c.. ...", "'s 't' she's. 're!", "x" * 300 + "."]
-    for t, got in zip(odd, e.encode(odd), strict=True):
-        assert got == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    for _ in range(2):  # the second time from what is kept
+        (_, _, data, offs), = common.chunks(pa.array(odd))
+        ids, cut = e.encode(data, offs)
+        for t, a, b in zip(odd, cut[:-1], cut[1:], strict=True):
+            assert ids[a:b].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 def test_lm(docs, texts, odd, empty):

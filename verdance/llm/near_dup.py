@@ -2,10 +2,10 @@
 
 Exact copies meet by a hash of the text and go on as one node. A node's shingles (runs of five words) are labelled with
 their occurrence number; for each of BANDS hash functions the two smallest labelled shingles, in text order, make one
-bucket key. In each round a node is compared with one leader of another class, the one it shares most keys with, and the
-classes that prove linked are joined; a round makes at most one pair a node. Nodes that still share keys with another
-class after the last round meet by their rarest shingles (prefix filtering), whatever the size of a bucket, so that no
-link is left out."""
+bucket key. In each round a node is compared with a few leaders of other classes, those it shares most keys with,
+and the classes that prove linked are joined; a round makes at most LEADERS pairs a node. Nodes that at last still share keys with
+another class meet by their rarest shingles (prefix filtering), whatever the size of a bucket, so that no link is left
+out."""
 
 from __future__ import annotations
 
@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 from .common import chunks, class_table, lower_table, mix, range_hash, runs, segments, small, written
 
 #: Words in a shingle, hash functions, keys that two nodes must share (at similarity 0.8 a pair misses that in about five
-#: of a million cases), rounds of comparisons with leaders.
-SHINGLE, BANDS, SHARED, ROUNDS = 5, 16, 2, 3
+#: of a million cases), leaders that a node is compared with in a round, nodes
+#: of a key to one leader in later rounds, later rounds at most.
+SHINGLE, BANDS, SHARED, LEADERS, GROUP, ROUNDS = 5, 16, 2, 6, 4, 3
 _CLASSES, _LOWER = class_table(), lower_table()
 
 
@@ -149,28 +150,28 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("x").alias("nid")).unionByName(pairs.select(F.col("y").alias("nid")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
     """node and comp (the smallest node it is linked with, directly or not) of every node of edges(x, y). Labels go to
     neighbours and are then followed one step further, until nothing changes; every round is a written table."""
     both = written(edges.select(F.col("x").alias("node"), F.col("y").alias("to")).unionByName(edges.select(F.col("y").alias("node"), F.col("x").alias("to"))))
     now = written(both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("comp")))
+    few = now.count() <= max_broadcast  # the same number of rows in every round
     while True:
         label = now.select(F.col("node").alias("to"), F.col("comp").alias("c"))
-        near = both.join(label, "to").groupBy("node").agg(F.min("c").alias("c"))
-        low = now.join(near, "node").select("node", F.col("comp").alias("before"), F.least("comp", "c").alias("comp"))
+        near = both.join(F.broadcast(label) if few else label, "to").groupBy("node").agg(F.min("c").alias("c"))
+        low = near.join(F.broadcast(now) if few else now, "node").select("node", F.col("comp").alias("before"), F.least("comp", "c").alias("comp"))
         up = now.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = written(low.join(up, "comp").select("node", "before", F.least("comp", "up").alias("comp")))
-        changed = new.where(F.col("before") != F.col("comp")).limit(1).count()
+        new = written(low.join(F.broadcast(up) if few else up, "comp").select("node", "before", F.least("comp", "up").alias("comp")))
         now = new.select("node", "comp")
-        if not changed:
+        if not new.where(F.col("before") != F.col("comp")).limit(1).count():
             return now
 
 
-def joined(placed: DataFrame, edges: DataFrame) -> DataFrame:
+def joined(placed: DataFrame, edges: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
     """placed(nid, comp) after the classes that edges(x, y) link are made one."""
     x, y = (placed.select(F.col("nid").alias(v), F.col("comp").alias(f"c{v}")) for v in "xy")
-    between = edges.join(x, "x").join(y, "y").where("cx != cy").select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
-    up = components(written(between)).select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+    between = edges.join(x, "x").join(y, "y").where("cx != cy").select(F.col("cx").alias("x"), F.col("cy").alias("y"))
+    up = small(components(between).select(F.col("node").alias("comp"), F.col("comp").alias("up")), max_broadcast)
     return written(placed.join(up, "comp", "left").select("nid", F.coalesce("up", "comp").alias("comp")))
 
 
@@ -184,23 +185,29 @@ def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def crowded(keys: DataFrame, placed: DataFrame) -> DataFrame:
-    """key, nid, n, comp of keys(key, nid, n) that nodes of several classes have, of nodes with SHARED such keys."""
-    labelled = keys.join(placed, "nid")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    met = labelled.join(mixed, "key", "left_semi")
-    often = met.groupBy("nid").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED).select("nid")
-    return met.join(often, "nid", "left_semi").select("key", "nid", "n", "comp")
+    """key, nid, n, comp and size (its nodes) of the keys of keys(key, nid, n) that nodes of several classes have."""
+    labelled = keys.select("key", "nid", "n").join(placed, "nid")
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1").select("key", "size")
+    return labelled.join(mixed, "key").select("key", "nid", "n", "comp", "size")
 
 
-def leader_pairs(keys: DataFrame, tested: DataFrame, least: float) -> DataFrame:
-    """x, y: each node of keys(key, nid, n, comp) with the leader of another class that it shares most keys with, at least
-    SHARED, leaving out the tested pairs. A key has two leaders, of its smallest and of its largest class."""
+def leader_pairs(keys: DataFrame, salt: int, least: float) -> DataFrame:
+    """x, y: each node of keys(key, nid, n, comp, size) with leaders of other classes, those it meets most often. A key's
+    nodes are dealt by hash into groups of about GROUP; each group has two leaders, of its smallest and its largest
+    class."""
+    dealt = keys.withColumn("part", F.pmod(F.xxhash64("nid", "key", F.lit(salt)), F.ceil(F.col("size") / GROUP)))
     node = F.struct("comp", "nid", "n")
-    led = keys.groupBy("key").agg(F.min(node).alias("a"), F.max(node).alias("b")).where("a.comp < b.comp")
-    met = keys.join(led, "key").select("nid", "n", F.when(F.col("comp") == F.col("a.comp"), F.col("b")).otherwise(F.col("a")).alias("o"))
-    met = met.where(_apart("n", "o.n", least)).groupBy("nid", F.col("o.nid").alias("other")).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED)
-    fresh = met.withColumns({"x": F.least("nid", "other"), "y": F.greatest("nid", "other")}).join(tested, ["x", "y"], "left_anti")
-    return _ordered(fresh.groupBy("nid").agg(F.max(F.struct("times", -F.col("other"), "other")).alias("best")).select("nid", "best.other"), "nid", "other")
+    led = dealt.groupBy("key", "part").agg(F.min(node).alias("a"), F.max(node).alias("b")).where("a.comp < b.comp")
+    met = dealt.join(led, ["key", "part"]).select("nid", "n", F.when(F.col("comp") == F.col("a.comp"), F.col("b")).otherwise(F.col("a")).alias("o"))
+    return _ordered(_closest(met.where(_apart("n", "o.n", least)).select("nid", F.col("o.nid").alias("other")), 1), "nid", "other")
+
+
+def _closest(met: DataFrame, least_times: int) -> DataFrame:
+    """nid, other: of met(nid, other) the LEADERS others that each node meets most often. The lists have one entry a key
+    of the node, so they are short."""
+    each = F.transform(F.array_distinct("met"), lambda o: F.struct(F.size(F.filter("met", lambda x: x == o)).alias("times"), F.xxhash64(o).alias("o"), o.alias("other")))
+    best = F.slice(F.sort_array(F.filter(each, lambda x: x["times"] >= least_times), False), 1, LEADERS)
+    return met.groupBy("nid").agg(F.collect_list("other").alias("met")).select("nid", F.explode(best["other"]).alias("other"))
 
 
 def prefix_entries(tokens: np.ndarray, times: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -271,31 +278,41 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
     leads = keys.groupBy("key").agg(F.min("nid").alias("lead"), F.min_by("n", "nid").alias("n2"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     multi = written(keys.join(leads, "key"))
 
-    def words_of(wanted: DataFrame) -> DataFrame:
-        named = nodes.select("nid", "node", "rep").join(written(wanted.distinct()), "nid", "left_semi")
-        named = small(written(named), max_broadcast)
+    def words_of(wanted: DataFrame, most: int) -> DataFrame:
+        """nid and words of the wanted nodes, at most `most`."""
+        named = nodes.select("nid", "node", "rep").join(wanted.distinct(), "nid", "left_semi")
+        named = F.broadcast(named) if most <= max_broadcast else named
         found = rows.select("id", "node", "words").join(named, "node").where(F.col("id").eqNullSafe(F.col("rep"))).select("nid", "words")
         return written(found.dropDuplicates(["nid"]))
 
-    first = multi.where((F.col("nid") != F.col("lead")) & _apart("n", "n2", least)).groupBy("nid", "lead").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED)
-    tested = written(_ordered(first.groupBy("nid").agg(F.max(F.struct("times", -F.col("lead"), "lead")).alias("best")).select("nid", "best.lead"), "nid", "lead"))
-    edges = written(verified(tested, words_of(ends(tested)), least))
-    placed = joined(written(nodes.select("nid", F.col("nid").alias("comp"))), edges)
-    left = written(crowded(multi, placed))
-    for _ in range(1, ROUNDS):
-        pairs = written(leader_pairs(left, tested, least))
-        found = written(verified(pairs, words_of(ends(pairs)), least))
-        tested = tested.unionByName(pairs)
-        if not found.limit(1).count():
+    def links_of(pairs: DataFrame) -> DataFrame:
+        return written(verified(pairs, words_of(ends(pairs), 2 * pairs.count()), least))
+
+    met = multi.where((F.col("nid") != F.col("lead")) & _apart("n", "n2", least)).select("nid", F.col("lead").alias("other"))
+    tested = written(_closest(met, SHARED).select(F.col("other").alias("x"), F.col("nid").alias("y")))
+    edges = links_of(tested)
+    placed = joined(nodes.select("nid", F.col("nid").alias("comp")), edges, max_broadcast)
+    left = crowded(multi, placed)
+    for salt in range(ROUNDS):
+        left = written(left)
+        pairs = written(leader_pairs(left, salt, least).join(small(tested, max_broadcast), ["x", "y"], "left_anti"))
+        many = pairs.count()
+        if not many:
+            break
+        found = links_of(pairs)
+        tested, edges = tested.unionByName(pairs), edges.unionByName(found)
+        linked = found.count()
+        placed = joined(placed, found, max_broadcast) if linked else placed
+        left = crowded(left, placed)
+        if linked < 0.05 * many:  # further rounds would cost more than they save the last step
             break
-        edges, placed = edges.unionByName(found), joined(placed, found)
-        left = written(crowded(left.drop("comp"), placed))
-    apart = written(left.select("nid", "comp").distinct())
-    if apart.limit(1).count():
-        words = words_of(apart.select("nid"))
-        pairs = written(prefix_pairs(words.join(apart, "nid"), least).join(tested, ["x", "y"], "left_anti"))
-        found = written(verified(pairs, words, least))
-        edges, placed = edges.unionByName(found), joined(placed, found)
+    apart = left.groupBy("nid", "comp").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED)
+    apart = written(apart.select("nid", "comp"))
+    if many := apart.count():
+        words = words_of(apart.select("nid"), many)
+        pairs = written(prefix_pairs(words.join(small(apart, max_broadcast), "nid"), least).join(small(tested, max_broadcast), ["x", "y"], "left_anti"))
+        edges = edges.unionByName(written(verified(pairs, words, least)))
+    placed = nodes.select("nid").join(components(edges, max_broadcast).withColumnRenamed("node", "nid"), "nid", "left").select("nid", F.coalesce("comp", "nid").alias("comp"))
     final = nodes.join(placed, "nid").select("nid", "node", "n_copies", F.struct(F.when(F.col("nulls") == 0, F.col("rep")).alias("id"), "node").alias("lead"), "comp")
     led = final.groupBy("comp").agg(F.min("lead").alias("class"))
     links = ends(edges).groupBy("nid").agg(F.count(F.lit(1)).alias("n_links"))

@@ -13,78 +13,99 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Words whose ids a task keeps, twice at most; the older half goes when the newer one is full.
-CACHE_WORDS = 250_000
+from .common import CHUNK_BYTES, chunks, class_table, range_hash, runs
+
+#: Bytes of known words that an encoder keeps (hashes, ids and their bounds); when they are full it starts anew.
+CACHE_BYTES = 24 << 20
 #: Punctuation that is encoded apart from the letter or digit before it.
 TAIL = ".,;:!?|#$%&*+=/)]}"
+_CLASSES = class_table()
+_IS_TAIL, _IS_ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_IS_TAIL[list(TAIL.encode())] = True
+_IS_ALNUM[[b for b in range(128) if chr(b).isalnum()]] = True
+
+
+@functools.lru_cache(maxsize=1)
+def load_tokenizer(path: str):
+    """The tokenizer (of fixed size, so a worker process keeps it) and which of its tokens end a word."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    vocab = tokenizer.get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+    return tokenizer, ends
 
 
 class Encoder:
-    """Token ids (little-endian unsigned 32-bit bytes) of whole texts. The tokenizer never joins text across white space
-    and ends each run of letters with a word-end token, so each word is encoded once and its ids are reused: punctuation
-    at a word's end apart, runs of letters many at a time."""
+    """Token ids of whole texts. The tokenizer never joins text across white space and ends each run of letters with a
+    word-end token, so each different word (by its 64-bit hash) is encoded once and its ids are copied: punctuation at a
+    word's end apart, runs of letters many at a time. What it keeps is bounded by CACHE_BYTES, and it lives as long as a
+    task."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _each(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def _together(self, words: list[str]) -> None:
-        """Words of letters alone."""
+        self.tokenizer, self.ends = load_tokenizer(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.names, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of ids of each word."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((x for ids in found for x in ids), np.uint32, size.sum()), size
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters alone."""
+        ids, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for lo in range(0, len(words), 2000):
             part = words[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            if len(cut) != len(part) + 1:  # a letter that the tokenizer takes apart
-                self._each(part)
-                continue
-            raw = ids.tobytes()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(part, cut[:-1], cut[1:], strict=True))
-
-    def _learn(self, words: set[str]) -> None:
-        back = words.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in back)
-        words -= back
-        letters = {w for w in words if w.isalpha()}
-        other, ended = [], []
-        for w in words - letters:
-            core = w.rstrip(TAIL)
-            if len(core) < len(w) and core and core[-1].isalnum():
-                ended.append((w, core, w[len(core) :]))
-            else:
-                other.append(w)
-        cores = {c for _, c, _ in ended}.union(t for _, _, t in ended).difference(self.known, letters)
-        more = {c for c in cores if c.isalpha()}
-        self._together([*letters, *more])
-        self._each([*other, *(cores - more)])
-        known = self.known
-        known.update((w, known[c] + known[t]) for w, c, t in ended)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, self.older, new = {}, self.known, words
-        self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-@functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """One for all tasks of a worker process: later tasks know the words of earlier ones."""
-    return Encoder(path)
+            found = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[found])
+            # a letter that the tokenizer takes apart makes more word ends than words
+            found, many = (found, np.diff(ends, prepend=-1)) if len(ends) == len(part) else self._each(part)
+            ids.append(found)
+            size.append(many)
+        return np.concatenate(ids), np.concatenate(size)
+
+    def _learn(self, names: np.ndarray, words: list[str]) -> None:
+        """Adds new names (ascending hashes) and their words."""
+        letters = np.fromiter((w.isalpha() for w in words), bool, len(words))
+        at, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for kind, how in ((True, self._together), (False, self._each)):
+            where = np.flatnonzero(letters == kind)
+            ids, many = how([words[i] for i in where.tolist()])
+            size[where], at[where] = many, len(self.ids) + np.cumsum(many) - many
+            self.ids = np.concatenate([self.ids, ids])
+        spot = np.searchsorted(self.names, names)
+        self.names, self.at, self.size = np.insert(self.names, spot, names), np.insert(self.at, spot, at), np.insert(self.size, spot, size)
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all the texts, one after another, and the texts' offsets; data and offs as chunks() has them."""
+        start, end, doc = runs(_CLASSES[data], offs)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        solid = np.maximum.accumulate(np.where(_IS_TAIL[data], 0, np.arange(1, len(data) + 1)))
+        core = np.maximum(solid[end - 1], start)  # where the punctuation at the end begins
+        cut = np.flatnonzero((core < end) & (core > start) & _IS_ALNUM[data[core - 1]])
+        lo, hi = np.insert(start, cut + 1, core[cut]), np.insert(end, cut, core[cut])
+        doc = np.insert(doc, cut, doc[cut])
+        names, first, which = np.unique(range_hash(data, lo, hi), return_index=True, return_inverse=True)
+        if 24 * len(self.names) + 4 * len(self.ids) > CACHE_BYTES:
+            self._forget()
+        spot = np.minimum(np.searchsorted(self.names, names), max(len(self.names) - 1, 0))
+        new = np.flatnonzero(self.names[spot] != names) if len(self.names) else np.arange(len(names))
+        if len(new):
+            raw = data.tobytes()
+            self._learn(names[new], [raw[a:b].decode() for a, b in zip(lo[first[new]].tolist(), hi[first[new]].tolist(), strict=True)])
+            spot = np.searchsorted(self.names, names)
+        size = self.size[spot][which]
+        cut = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.at[spot][which] - cut[:-1], size) + np.arange(cut[-1])]
+        return ids, cut[np.searchsorted(doc, np.arange(len(offs)))]
 
 
 def difference(lengths: list[int], windows: int) -> list[list[int]]:
@@ -118,66 +139,78 @@ def difference(lengths: list[int], windows: int) -> list[list[int]]:
     return out
 
 
-def pack(lengths: list[int], capacity: int, cut: bool = True) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, start in it, length), each of at most capacity. With cut, what a window holds over the capacity
-    is cut off and moved into the windows that have room; otherwise (items no longer than the capacity) the number of
-    windows rises until every window fits."""
-    total = sum(lengths)
-    windows = max(1, -(-total // capacity))
-    parts = difference(lengths, windows)
-    while not cut and max((sum(lengths[i] for i in p) for p in parts), default=0) > capacity:
-        windows += 1
+def windows_for(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Each window's items (none longer than capacity): differencing into the fewest windows the total allows, and into
+    one more as long as the fullest is over the capacity."""
+    windows = max(1, -(-sum(lengths) // capacity))
+    while True:
         parts = difference(lengths, windows)
-    out, over = [], []
-    for p in parts:
-        room, here = capacity, []
-        for i in p:
-            n = min(room, lengths[i])
-            if n:
-                here.append((i, 0, n))
-            if n < lengths[i]:
-                over.append((i, n, lengths[i] - n))
-            room -= n
-        out.append([here, room])
-    for window in out:
-        while window[1] and over:
-            i, start, n = over.pop()
-            take = min(n, window[1])
-            window[0].append((i, start, take))
-            window[1] -= take
+        if max(sum(lengths[i] for i in p) for p in parts) <= capacity:
+            return parts
+        windows += 1
+
+
+def pack(lengths: list[int], capacity: int, last: bool = True) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """Windows of (item, start in it, length), each of at most capacity, and what is left over. Most items go whole into
+    the windows that differencing makes; the last items are kept back and cut to fill the room in those. What is left of
+    them goes on to the next group or, with last, into windows of its own."""
+    fill, kept = len(lengths), 0
+    parts = windows_for(lengths, capacity) if fill else []
+    room = len(parts) * capacity - sum(lengths)
+    while fill and kept < room:  # the fewer items make fewer windows, with another room
+        while fill and kept < room:
+            fill -= 1
+            kept += lengths[fill]
+        parts = windows_for(lengths[:fill], capacity) if fill else []
+        room = len(parts) * capacity - sum(lengths[:fill])
+    out = [[(i, 0, lengths[i]) for i in p] for p in parts]
+    rest = [(i, 0, lengths[i]) for i in range(len(lengths) - 1, fill - 1, -1)]
+    for window in sorted(out, key=lambda w: sum(n for _, _, n in w)):
+        free = capacity - sum(n for _, _, n in window)
+        while free and rest:
+            i, start, n = rest.pop()
+            take = min(free, n)
+            window.append((i, start, take))
+            free -= take
             if take < n:
-                over.append((i, start + take, n - take))
-    return [w for w, _ in out if w]
+                rest.append((i, start + take, n - take))
+    if last and rest:
+        out += [[rest[j] for j in p] for p in windows_for([n for _, _, n in rest], capacity)]
+        rest = []
+    return [w for w in out if w], rest[::-1]
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, group: int = 64, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, group: int = 96, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pieces (SCHEMA) of every document's ids, in windows of at most capacity ids. A null or empty text is the end id
-    alone; a null key stays null; repeated rows are packed each. Whole windows are cut from long documents; the
-    remainders are packed in groups of about `group` pieces with a total of whole windows, what is over goes to the next
-    group of the task. So only the last window of a task has room. No shuffle; sequence ids hold the partition's number,
-    and a task that runs again gives the same rows."""
-    end = int(end_id).to_bytes(4, "little")
+    alone; a null key stays null; repeated rows are packed each; other columns play no part. Whole windows are cut from
+    long documents; the remainders are packed in groups of `group` pieces or more (16 windows at least) by differencing, the room that leaves is
+    filled with the group's last pieces, and what is left of those goes to the task's next group. No shuffle; sequence
+    ids hold the partition's number, and a task that runs again gives the same rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sequence = encoder(tokenizer).encode, TaskContext.get().partitionId() << 40
+        encoder, sequence = Encoder(tokenizer), TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         waiting: list[tuple] = []  # (key, ids of the piece, start in the document, ids of the document)
+        total = 0  # ids that wait
 
         def put(piece: tuple, start: int, n: int, offset: int) -> None:
             k, ids, at, size = piece
-            rows.append((k, at + start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), size, sequence, offset))
+            rows.append((k, at + start, n, zlib.crc32(ids[start : start + n]), size, sequence, offset))
 
-        def settle(pieces: list[tuple]) -> None:
-            nonlocal sequence
-            for window in pack([len(p[1]) // 4 for p in pieces], capacity):
+        def settle(last: bool) -> None:
+            nonlocal sequence, waiting, total
+            windows, rest = pack([len(p[1]) for p in waiting], capacity, last)
+            for window in windows:
                 offset = 0
                 for i, start, n in window:
-                    put(pieces[i], start, n, offset)
+                    put(waiting[i], start, n, offset)
                     offset += n
                 sequence += 1
+            waiting = [(waiting[i][0], waiting[i][1][start : start + n], waiting[i][2] + start, waiting[i][3]) for i, start, n in rest]
+            total = sum(len(p[1]) for p in waiting)
 
         def emit() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
@@ -185,33 +218,25 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
             return pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for k, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    size = len(ids) // 4
+            for lo, hi, data, offs in chunks(batch.column(1), CHUNK_BYTES):
+                flat, cut = encoder.encode(data, offs)
+                flat = np.insert(flat, cut[1:], np.uint32(end_id)).astype("<u4")
+                cut = (cut + np.arange(len(cut))).tolist()
+                for k, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), cut[:-1], cut[1:], strict=True):
+                    ids, size = flat[a:b], b - a
                     whole = size - size % capacity
                     for start in range(0, whole, capacity):
                         put((k, ids, 0, size), start, capacity, 0)
                         sequence += 1
                     if whole < size:
-                        waiting.append((k, ids[4 * whole :], whole, size))
-                    if len(waiting) >= group and (total := sum(len(p[1]) // 4 for p in waiting)) >= capacity:
-                        left, rest = total % capacity, []
-                        while left:  # the last pieces wait for the next group
-                            k2, ids2, at, n2 = waiting.pop()
-                            n = len(ids2) // 4
-                            if n > left:
-                                waiting.append((k2, ids2[: 4 * (n - left)], at, n2))
-                                ids2, at, n = ids2[4 * (n - left) :], at + n - left, left
-                            rest.append((k2, ids2, at, n2))
-                            left -= n
-                        settle(waiting)
-                        waiting = rest
+                        waiting.append((k, ids[whole:].copy(), whole, size))  # a copy, so that the chunk can go
+                        total += size - whole
+                    if len(waiting) >= group and total >= 16 * capacity:
+                        settle(False)
                 if len(rows) > 5000:
                     yield emit()
         if waiting:
-            settle(waiting)
+            settle(True)
         if rows:
             yield emit()
 
