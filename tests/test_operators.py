@@ -291,3 +291,83 @@ def test_nulls_and_empty(spark):
     assert series.detect_jumps(p, ["s"]).count() == 0 and growth.fit_linear_closed(p, ["s"]).count() == 0
     f = spark.createDataFrame([(1, None), (2, ["blurry"]), (3, [])], "i int, flags array<string>")
     assert dict(rows(frames.flag_filter(f), "i", "excluded_by_flag")) == {1: False, 2: True, 3: False}
+
+
+def test_dilate_at_size(spark):
+    rng = np.random.default_rng(2)
+    w, h, radius = 1000, 700, 20
+    on = {(int(x), int(y)) for x, y in zip(rng.integers(0, w, 40), rng.integers(0, h, 40), strict=True)} | {(300 + i, 300) for i in range(200)}
+    want = np.zeros((w, h), bool)
+    gx, gy = np.ogrid[:w, :h]
+    for x, y in on:
+        want |= (gx - x) ** 2 + (gy - y) ** 2 <= radius**2
+    mask = spark.createDataFrame([(0, x, y) for x, y in on], "frame int, x int, y int")
+    got = pixels.dilate(mask, radius, w, h)
+    assert got.dtypes == mask.dtypes and {(r.x, r.y) for r in got.collect()} == set(zip(*(a.tolist() for a in np.nonzero(want)), strict=True))
+    assert pixels.dilate(mask, 0, w, h).count() == len(on) and pixels.dilate(mask.limit(0), 5, w, h).count() == 0
+    px = spark.range(w * 4).select(F.lit(0).cast("int").alias("frame"), (F.col("id") % w).cast("int").alias("x"), (300 + F.floor(F.col("id") / w)).cast("int").alias("y"))
+    left = pixels.lighting_region(px, mask, w, h)  # grown by 20, 2 % of the longer side
+    assert {(r.x, r.y) for r in left.collect()} == {(x, y) for x in range(w) for y in range(300, 304) if not want[x, y]}
+
+
+def test_each_experiment_has_its_own_reference(spark):
+    rows = [(e, f, i, v) for e, light in ((0, 100), (1, 200)) for f, v in ((0, light), (1, light // 2)) for i in range(60)]
+    px = spark.createDataFrame(rows, "exp int, frame int, x int, b int").selectExpr("exp", "frame", "x", "0 as y", "b", "b as g", "b as r")
+    got = {(r.exp, r.frame): r.gain_g for r in pixels.lighting_gains(px, F.col("frame") == 0, ["exp", "frame"], by=["exp"]).collect()}
+    assert got == {(0, 0): 1.0, (1, 0): 1.0, (0, 1): 2.0, (1, 1): 2.0}
+    none = pixels.lighting_gains(px, F.col("frame") == 9, ["exp", "frame"], by=["exp"]).collect()
+    assert len(none) == 4 and all(r.gain_b is None and r.saturated_rise is None for r in none)
+    q = spark.createDataFrame([(0, 0, 100.0), (0, 1, 100.0), (1, 0, 200.0), (1, 1, 100.0)], "exp int, frame int, brightness double").selectExpr("*", "1d as norm_sharpness", "true as align_ok", "0d as align_rms", "1d as align_ecc", "false as lighting_changed", "0d as saturated_rise", "5 as target_px")
+    assert {(r.exp, r.frame): r.flags for r in pixels.frame_flags(q, F.col("frame") == 0, ["exp"]).collect()} == {(0, 0): [], (0, 1): [], (1, 0): [], (1, 1): ["brightness_changed"]}
+    c = spark.createDataFrame([(e, f, 0, k, 10.0 * x + 5 * f + 100 * e, 10.0 * y) for e in (0, 1) for f in (0, 1) for k, (x, y) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)])], "exp int, frame int, marker int, corner int, x double, y double")
+    drift = {(r.exp, r.frame): round(r.shift_x, 6) for r in pixels.drift_from_corners(c, c.where("frame = 0"), ["exp", "frame"], ["exp"]).collect()}
+    assert drift == {(0, 0): 0, (1, 0): 0, (0, 1): -5, (1, 1): -5}
+
+
+def test_covariate_at_over_buckets(spark):
+    t0 = 1_700_000_000
+    readings = spark.createDataFrame([("a", t0 + 100 * i, float(i)) for i in range(50) if i % 7] + [("a", t0 + 50_000, 9.0), ("b", t0, None)], "name string, s long, value double").selectExpr("name", "timestamp_seconds(s) ts", "value")
+    asked = [t0 + 37 * i for i in range(150)] + [t0 - 5, t0 + 50_000, t0 + 90_000]
+    times = spark.createDataFrame([("a", s) for s in asked] + [("b", t0)], "name string, s long").selectExpr("name", "timestamp_seconds(s) ts", "s")
+    wide, narrow = ({(r.name, r.s): r.value for r in covariates.covariate_at(times, readings, bucket=b).collect()} for b in (1e9, 130.0))
+    assert wide == narrow and wide["b", t0] is None and wide["a", t0 - 5] is None and wide["a", t0 + 50_000] == 9
+    known = {t0 + 100 * i: float(i) for i in range(50) if i % 7}
+    for s in asked[:120]:
+        lo, hi = max((k for k in known if k <= s), default=None), min((k for k in known if k >= s), default=None)
+        want = None if lo is None or hi is None else known[lo] if lo == hi else known[lo] + (known[hi] - known[lo]) * (s - lo) / (hi - lo)
+        assert wide["a", s] == (want if want is None else pytest.approx(want))
+
+
+def test_refits_agree_with_single_fits():
+    rng = np.random.default_rng(5)
+    t = np.linspace(0, 20, 40)
+    for name, q in (("linear", [1.0, 2.0]), ("logistic", [50.0, 0.6, 9.0]), ("sqrt_lag", [4.0, 2.0])):
+        m = growth.MODELS[name]
+        y = m.value(t, *q) + rng.normal(0, 0.5, (6, len(t)))
+        found, good = growth.refit_many(m, t, y, lambda x: x, np.array(q))
+        assert good.all()
+        for k in range(6):
+            one = growth.fit_one(t, y[k], None, name, start=np.array(q))
+            a, b = m.value(t, *found[k]), m.value(t, *one["params"].values())
+            assert ((y[k] - a) ** 2).sum() <= ((y[k] - b) ** 2).sum() * (1 + 1e-4)
+
+
+def test_falling_logistic_and_singular_covariance():
+    t = np.linspace(0, 20, 40)
+    fall = growth.fit_one(t, 10 / (1 + np.exp(0.5 * (t - 8))), None, "logistic", start=np.array([10, -0.3, 8]))
+    assert fall["ok"] and fall["params"]["r"] < 0 and fall["rmse"] < 1e-3
+    flat = growth.fit_one(t, np.zeros(40), None, "power", start=np.array([0.0, 1.0]))
+    assert "no covariance" in flat["warnings"] and all(np.isinf(x) for x in flat["stderr"].values())
+
+
+def test_models_of_the_user(spark):
+    growth.register_model("square", growth.Model(("c",), lambda t, c: c * t**2, lambda t, y: [1.0], (-np.inf,), (np.inf,), lambda v, t: v("c") * t * t))
+    try:
+        p = spark.createDataFrame([(0, float(t), 3.0 * t * t, None) for t in range(10)], "s int, t double, y double, unc double")
+        fit = growth.fit_growth(p, ["s"], ["square"], "iid")
+        assert fit.first().params["c"] == pytest.approx(3) and growth.predict_curve(fit, 2).orderBy("t").collect()[1].y == pytest.approx(243)
+        drawn = growth.bootstrap_draws(p, fit, ["s"], 30, 10)
+        derived = growth.bootstrap_derived(drawn, fit, ["s"], [12.0, 1e6])
+        assert {r.quantity for r in derived.collect()} == {"time_to_12"} and drawn.count() == 30
+    finally:
+        del growth.MODELS["square"]

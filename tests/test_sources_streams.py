@@ -4,6 +4,7 @@ import struct
 import time
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from verdance.sources import tables
@@ -112,3 +113,66 @@ def test_stream_health(spark, tmp_path):
     q.stop()
     got = {(r.experiment, r.event) for r in spark.table("alerts").collect()}
     assert {("b", "problem"), ("b", "recovered"), ("c", "problem")} <= got and not any(e == "a" for e, _ in got)
+
+
+def test_logger_clocks_and_delimiters(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Logger 7\nTime,Temp (°C),Note\n1/2/2024 9:05:00 AM,20.5,x\n1/31/2024 9:05:00 PM,21,y\n")
+    (tmp_path / "b.csv").write_text("Time;RH %\n31/01/24 13:00;40,5\n02/01/24 13:30;41\n")
+    (tmp_path / "c.csv").write_text("a title, of two cells\nDate,Time,CO2\n2024-01-05,10:00,400\nbroken, line, with, many, cells\nanother, one, with, five, cells\n2024-01-05,11:00,410\nx,y\nz,1\n")
+    got = sorted((r.file[-5:], str(r.ts), r.name, r.value) for r in tables.read_logger(spark, str(tmp_path / "[ab].csv")).collect())
+    assert got == [("a.csv", "2024-01-02 09:05:00", "temp_c", 20.5), ("a.csv", "2024-01-31 21:05:00", "temp_c", 21.0), ("b.csv", "2024-01-02 13:30:00", "rh_pct", 41.0), ("b.csv", "2024-01-31 13:00:00", "rh_pct", 40.5)]
+    line = tmp_path / "d.csv"
+    line.write_text("Time,T\n2024-01-05 10:00,1,5\n2024-01-05 11:00,2,5,9\n2024-01-05 12:00,3\n")
+    assert [r.value for r in tables.read_logger(spark, str(line)).where("name = 't'").orderBy("ts").collect()] == [1.0, 2.0, 3.0]
+
+
+def test_coco_exchange(spark, tmp_path):
+    mask = spark.createDataFrame([(f"{f}.png", c, x, y) for f in "abc" for c in ("mold", "dye") for x in range(2, 5) for y in range(1, 4 if c == "dye" else 2)], "file string, class string, x int, y int")
+    tables.coco_write(mask, ["mold", "dye"], 6, 8, str(tmp_path / "out"), 2)
+    px, refused = tables.coco_read(spark, str(tmp_path / "out"), ["mold", "dye"])
+    assert refused.count() == 0 and sorted(map(tuple, px.collect())) == sorted(map(tuple, mask.collect()))
+    doc = {"categories": [{"id": 3, "name": "mold"}], "images": [{"id": 1, "file_name": "p.png", "width": 8, "height": 6}], "annotations": [
+        {"id": 1, "image_id": 1, "category_id": 3, "iscrowd": 0, "segmentation": [[1, 1, 4, 1, 4, 3, 1, 3], [6, 4, 7, 4, 7.2, 5.1]]},
+        {"id": 2, "image_id": 1, "category_id": 3, "iscrowd": 1, "segmentation": {"size": [6, 8], "counts": "T1L"}},
+        {"id": 3, "image_id": 1, "category_id": 9, "iscrowd": 1, "segmentation": {"size": [6, 7], "counts": [0, 42]}}]}
+    (tmp_path / "poly.json").write_text(json.dumps(doc))
+    px, refused = tables.coco_read(spark, str(tmp_path / "poly.json"), ["mold"])
+    assert refused.first().reason == "size differs"
+    drawn = {(x, y) for x in range(1, 5) for y in range(1, 4)} | {(6, 4), (7, 4), (7, 5)}
+    assert {(r.x, r.y) for r in px.collect()} >= drawn
+
+
+def test_compressed_run_lengths(spark):
+    def encode(counts):
+        out = ""
+        for i, n in enumerate(counts):
+            n -= counts[i - 2] if i > 2 else 0
+            more = True
+            while more:
+                c, n = n & 31, n >> 5
+                more = n != -1 if c & 16 else n != 0
+                out += chr((c | 32 if more else c) + 48)
+        return out
+
+    lists = [[0, 42], [5, 3, 100, 7, 2000, 1, 64], [70000, 1], [12, 1, 9, 3, 2]]
+    got = spark.createDataFrame([(i, encode(x)) for i, x in enumerate(lists)] + [(9, None)], "i int, s string").select("i", tables._decoded("s").alias("c")).collect()
+    assert {r.i: r.c for r in got} == {**dict(enumerate(lists)), 9: None}
+
+
+def test_baseline_and_registries(spark, tmp_path):
+    from verdance.operators import checks, segmenters
+
+    checks.register_evaluator("mean", lambda rows, settings: rows.agg(F.avg("v").alias("value")).select(F.lit(settings["check"]).alias("check"), F.lit("mean").alias("metric"), "value"))
+    values = checks.run_suite([("one", "mean", spark.createDataFrame([(1.0,), (3.0,)], "v double"), {"check": "c"}), ("two", "mean", spark.createDataFrame([], "v double"), {"check": "c"})])
+    checks.save_baseline(values, str(tmp_path / "base"))
+    base = spark.read.parquet(str(tmp_path / "base"))
+    assert [(r.case, r.value) for r in base.collect()] == [("one", 2.0)]
+    bounds = spark.createDataFrame([("one", "c", "mean", None, None, None, 0.5), ("two", "c", "mean", None, None, None, 0.5)], "case string, check string, metric string, min double, max double, abs_max double, max_drift double")
+    moved = values.withColumn("value", F.col("value") + 1)
+    assert {r.case: r.failures for r in checks.evaluate_bounds(moved, bounds, base).collect()} == {"one": ["drift"], "two": ["no value", "no baseline"]}
+    px = spark.createDataFrame([(0, 0, 0, 0, 200, 0), (0, 1, 0, 0, 0, 200)], "frame int, x int, y int, b int, g int, r int")
+    assert [r.x for r in segmenters.segment(px, "color", {"ranges": [((35, 40, 20), (85, 255, 255))]}).collect()] == [0]
+    segmenters.register_segmenter("all", lambda p, settings: p.drop("b", "g", "r"))
+    assert segmenters.segment(px, "all", {}).count() == 2
+    with pytest.raises(ValueError):
+        segmenters.segment(px, "none", {})

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,25 @@ def evaluate_bounds(values: DataFrame, bounds: DataFrame, baseline: DataFrame, k
     return j.select(*keys, "value", F.when(bound, fails).otherwise(F.array().cast("array<string>")).alias("failures"), F.when(~bound, "info").when(F.size(fails) > 0, "fail").otherwise("pass").alias("status"))
 
 
+def save_baseline(values: DataFrame, path: str, keys: Sequence[str] = ("case", "check", "metric")) -> None:
+    """Stores a run's values (keys, value) as the baseline that later runs are held against; null values are no baseline."""
+    values.where(F.col("value").isNotNull()).select(*keys, F.col("value").cast("double").alias("value"), F.current_timestamp().alias("saved")).write.mode("overwrite").parquet(path)
+
+
+#: Evaluators of a suite by name: (rows, settings) to values(check, metric, value).
+EVALUATORS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
+
+
+def register_evaluator(name: str, evaluate: Callable[[DataFrame, dict], DataFrame]) -> None:
+    EVALUATORS[name] = evaluate
+
+
+def run_suite(cases: Sequence[tuple[str, str, DataFrame, dict]]) -> DataFrame:
+    """case, check, metric, value of cases (name, evaluator, rows, settings), for evaluate_bounds and save_baseline."""
+    found = [EVALUATORS[how](rows, settings).select(F.lit(name).alias("case"), "check", "metric", F.col("value").cast("double").alias("value")) for name, how, rows, settings in cases]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def suite_rollup(results: DataFrame, errors: DataFrame, keys: Sequence[str] = ("case", "check")) -> DataFrame:
     """Per check: passed if it has no error and no failing metric; the row with null keys is the whole suite."""
     each = results.groupBy(*keys).agg(F.count_if(F.col("status") == "fail").alias("failing")).join(errors.select(*keys, F.lit(1).alias("__e")).distinct(), list(keys), "full")

@@ -23,14 +23,19 @@ def covariate_max_gap(readings: DataFrame, by: Sequence[str] = ("name",), factor
     return gaps.groupBy(*by).agg((factor * F.percentile("gap", 0.5)).alias("max_gap"))
 
 
-def covariate_at(times: DataFrame, readings: DataFrame, by: Sequence[str] = ("name",)) -> DataFrame:
+def covariate_at(times: DataFrame, readings: DataFrame, by: Sequence[str] = ("name",), bucket: float = 86400.0) -> DataFrame:
     """times(by, ts, ...) with value: linear between the readings before and after; null outside the log and inside a
-    gap of more than max_gap, but for times that are a reading's own."""
+    gap of more than max_gap, but for times that are a reading's own. Neighbours are looked for in time buckets, so that a
+    long log is not one task; what lies beyond a bucket comes from one row a bucket."""
     r = readings.where("value is not null").groupBy(*by, _sec("ts").alias("s")).agg(F.avg("value").alias("v"))
     both = times.select(*by, _sec("ts").alias("s"), F.lit(None).cast("double").alias("v")).distinct().unionByName(r)
-    w = Window.partitionBy(*by).orderBy("s")
+    both = both.withColumn("bk", F.floor(F.col("s") / bucket))
     known = F.when(F.col("v").isNotNull(), F.struct("s", "v"))
-    at = both.withColumn("lo", F.last(known, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first(known, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    edges = both.groupBy(*by, "bk").agg(F.min(known).alias("first"), F.max(known).alias("last"))
+    near = lambda c, order: F.last(c, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select(*by, "bk", near("last", F.asc("bk")).alias("before"), near("first", F.desc("bk")).alias("after"))
+    here = lambda order: F.last(known, ignorenulls=True).over(Window.partitionBy(*by, "bk").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    at = both.join(edges, [*by, "bk"]).withColumn("lo", F.coalesce(here(F.asc("s")), "before")).withColumn("hi", F.coalesce(here(F.desc("s")), "after"))
     at = at.where("v is null").join(covariate_max_gap(readings, by), list(by), "left")
     gap = F.col("hi.s") - F.col("lo.s")
     value = F.when(F.col("lo.s") == F.col("s"), F.col("lo.v")).when(F.col("hi.s") == F.col("s"), F.col("hi.v")).when(gap <= F.col("max_gap"), F.col("lo.v") + (F.col("hi.v") - F.col("lo.v")) * (F.col("s") - F.col("lo.s")) / gap)

@@ -27,11 +27,13 @@ def cameras_with_frames(frames: DataFrame, configured: Sequence[str] = ()) -> Da
     return have.withColumn("position", F.row_number().over(Window.orderBy(key, "camera")))  # one row a camera: tiny
 
 
-def frames_for_analysis(frames: DataFrame, files: DataFrame, camera: str) -> DataFrame:
-    """ok rows of the camera whose file exists, with is_reference: the first in time."""
+def frames_for_analysis(frames: DataFrame, files: DataFrame, camera: str, by: Sequence[str] = ()) -> DataFrame:
+    """ok rows of the camera whose file exists, with is_reference: the first in time, of each `by` (an experiment) or of
+    all."""
     mine = frames.where((F.col("status") == "ok") & (F.col("camera") == camera)).join(files.select("file").distinct(), "file", "left_semi")
-    first = mine.agg(F.min(F.struct("ts", "file")).alias("first"))
-    return mine.crossJoin(F.broadcast(first)).withColumn("is_reference", F.struct("ts", "file") == F.col("first")).drop("first")
+    first = mine.groupBy(*by).agg(F.min(F.struct("ts", "file")).alias("first"))
+    joined = mine.join(first, list(by)) if by else mine.crossJoin(first)  # without `by` one row
+    return joined.withColumn("is_reference", F.struct("ts", "file") == F.col("first")).drop("first")
 
 
 def flag_filter(rows: DataFrame, exclude: Sequence[str] = EXCLUDED_BY_DEFAULT, flags: str = "flags") -> DataFrame:

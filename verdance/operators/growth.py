@@ -6,7 +6,7 @@ series never keeps a task busy for long."""
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -14,16 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 @dataclass(frozen=True)
 class Model:
-    """A growth law: value(t, *params), first guesses from (t, y), and bounds of the parameters."""
+    """A growth law: value(t, *params), first guesses from (t, y), bounds of the parameters, the law as a column of the map
+    of its parameters and t, and for laws that are linear in their parameters the columns that these weigh."""
 
     params: tuple[str, ...]
     value: Callable[..., np.ndarray]
     start: Callable[[np.ndarray, np.ndarray], list[float]]
     low: tuple[float, ...]
     high: tuple[float, ...]
+    column: Callable[[Callable[[str], Column], Column], Column] | None = None
+    design: Callable[[np.ndarray], np.ndarray] | None = None
 
 
 def _logistic(t, K, r, t_mid):  # noqa: N803
@@ -51,24 +53,44 @@ MODELS: dict[str, Model] = {
     "linear": Model(("a", "b"), lambda t, a, b: a + b * t, lambda t, y: [float(y[0]), float((y[-1] - y[0]) / max(np.ptp(t), 1e-9))], (-_INF, -_INF), (_INF, _INF)),
     "sqrt": Model(("k",), lambda t, k: k * np.sqrt(np.maximum(t, 0)), lambda t, y: [float(np.max(y) / max(np.sqrt(max(np.max(t), 0)), 1e-9))], (-_INF,), (_INF,)),
     "sqrt_lag": Model(("k", "t0"), lambda t, k, t0: k * np.sqrt(np.maximum(t - t0, 0)), lambda t, y: [float(np.max(y) / max(np.sqrt(max(np.ptp(t), 0)), 1e-9)), float(t[0])], (-_INF, -_INF), (_INF, _INF)),
-    "power": Model(("k", "n"), lambda t, k, n: k * np.maximum(t, 1e-12) ** n, lambda t, y: [float(np.max(y) / max(np.max(t), 1e-9) ** 0.7), 0.7], (-_INF, 0.0), (_INF, 10.0)),
-    "logistic": Model(("K", "r", "t_mid"), _logistic, lambda t, y: [_rise(t, y)[0], _rise(t, y)[2], _rise(t, y)[1]], (0.0, 0.0, -_INF), (_INF, _INF, _INF)),
-    "gompertz": Model(("A", "mu", "lag"), _gompertz, lambda t, y: [_rise(t, y)[0], _rise(t, y)[0] * _rise(t, y)[2] / 4, max(_rise(t, y)[1] - np.ptp(t) / 4, float(t[0]))], (1e-9, 0.0, -_INF), (_INF, _INF, _INF)),
-    "richards": Model(("K", "r", "t_mid", "nu"), _richards, lambda t, y: [_rise(t, y)[0], _rise(t, y)[2], _rise(t, y)[1], 1.0], (0.0, 0.0, -_INF, 1e-3), (_INF, _INF, _INF, 50.0)),
+    "power": Model(("k", "n"), lambda t, k, n: k * np.maximum(t, 1e-12) ** n, lambda t, y: [float(np.max(y) / max(np.max(t), 1e-9) ** 0.7), 0.7], (-_INF, -_INF), (_INF, _INF)),
+    "logistic": Model(("K", "r", "t_mid"), _logistic, lambda t, y: [_rise(t, y)[0], _rise(t, y)[2], _rise(t, y)[1]], (-_INF, -_INF, -_INF), (_INF, _INF, _INF)),
+    "gompertz": Model(("A", "mu", "lag"), _gompertz, lambda t, y: [_rise(t, y)[0], _rise(t, y)[0] * _rise(t, y)[2] / 4, max(_rise(t, y)[1] - np.ptp(t) / 4, float(t[0]))], (-_INF, -_INF, -_INF), (_INF, _INF, _INF)),
+    "richards": Model(("K", "r", "t_mid", "nu"), _richards, lambda t, y: [_rise(t, y)[0], _rise(t, y)[2], _rise(t, y)[1], 1.0], (-_INF, -_INF, -_INF, 1e-3), (_INF, _INF, _INF, 50.0)),
 }
 DEFAULT_MODELS = ("linear", "sqrt", "power", "logistic")
 
 
+def _root(x: Column) -> Column:
+    return F.sqrt(F.greatest(x, F.lit(0.0)))
+
+
+_COLUMNS: dict[str, Callable[[Callable[[str], Column], Column], Column]] = {
+    "linear": lambda v, t: v("a") + v("b") * t,
+    "sqrt": lambda v, t: v("k") * _root(t),
+    "sqrt_lag": lambda v, t: v("k") * _root(t - v("t0")),
+    "power": lambda v, t: v("k") * F.pow(F.greatest(t, F.lit(1e-12)), v("n")),
+    "logistic": lambda v, t: v("K") / (1 + F.exp(-v("r") * (t - v("t_mid")))),
+    "gompertz": lambda v, t: v("A") * F.exp(-F.exp(v("mu") * float(np.e) / v("A") * (v("lag") - t) + 1)),
+    "richards": lambda v, t: v("K") * F.pow(1 + v("nu") * F.exp(-v("r") * (t - v("t_mid"))), -1 / v("nu")),
+}
+_DESIGNS = {"linear": lambda t: np.stack([np.ones(len(t)), t], axis=1), "sqrt": lambda t: np.sqrt(np.maximum(t, 0))[:, None]}
+MODELS = {name: replace(m, column=_COLUMNS[name], design=_DESIGNS.get(name)) for name, m in MODELS.items()}
+
+
+def register_model(name: str, model: Model) -> None:
+    """Adds a law of the user's: fits know it by value, predictions by its column. Executors get it with the function, so
+    it is registered before the fit is declared."""
+    MODELS[name] = model
+
+
 def curve(model: Column, p: Column, t: Column) -> Column:
-    """Value of the named model at t; p is the map of its parameters."""
-    v = lambda k: F.try_element_at(p, F.lit(k))
-    root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
-    return (
-        F.when(model == "linear", v("a") + v("b") * t).when(model == "sqrt", v("k") * root(t)).when(model == "sqrt_lag", v("k") * root(t - v("t0"))).when(model == "power", v("k") * F.pow(F.greatest(t, F.lit(1e-12)), v("n")))
-        .when(model == "logistic", v("K") / (1 + F.exp(-v("r") * (t - v("t_mid")))))
-        .when(model == "gompertz", v("A") * F.exp(-F.exp(v("mu") * float(np.e) / v("A") * (v("lag") - t) + 1)))
-        .when(model == "richards", v("K") * F.pow(1 + v("nu") * F.exp(-v("r") * (t - v("t_mid"))), -1 / v("nu")))
-    )
+    """Value of the named model at t; p is the map of its parameters. Null for a model without a column."""
+    out = F.lit(None).cast("double")
+    for name, m in MODELS.items():
+        if m.column is not None:
+            out = F.when(model == name, m.column(lambda k: F.try_element_at(p, F.lit(k)), t)).otherwise(out)
+    return out
 
 
 def predict_curve(fits: DataFrame, points: int = 50) -> DataFrame:
@@ -162,10 +184,10 @@ def _whiten(e: np.ndarray, lag: np.ndarray, phi: float) -> tuple[np.ndarray, np.
     return out, rho
 
 
-def fit_one(t: np.ndarray, y: np.ndarray, unc: np.ndarray | None, name: str, errors: str = "iid", evaluations: int = 2000, start: np.ndarray | None = None) -> dict:
+def fit_one(t: np.ndarray, y: np.ndarray, unc: np.ndarray | None, name: str | Model, errors: str = "iid", evaluations: int = 2000, start: np.ndarray | None = None) -> dict:
     """One series and one model: parameters and statistics. errors: iid, ar1, or auto (lower AICc, the simpler on ties).
     unc is used if every one is above 0."""
-    model = MODELS[name]
+    model = name if isinstance(name, Model) else MODELS[name]
     n, p = len(t), len(model.params)
     out: dict = {"ok": False, "n": n, "message": None}
     if n < p + 2:
@@ -221,7 +243,9 @@ def fit_one(t: np.ndarray, y: np.ndarray, unc: np.ndarray | None, name: str, err
             q, J, z, phi, k, aic, aicc = q2, J2, z2, f, p + 2, aic2, aicc2  # noqa: N806
     chi2 = float(z @ z) / max(n - p, 1)
     with np.errstate(all="ignore"):
-        cov = np.linalg.pinv(J.T @ J) * (1.0 if weighted else chi2)
+        normal = J.T @ J
+        sound = bool(np.all(np.isfinite(normal))) and np.linalg.cond(normal) <= 1e14
+        cov = np.linalg.inv(normal) * (1.0 if weighted else chi2) if sound else np.full(normal.shape, np.inf)
         err = np.sqrt(np.maximum(np.diag(cov), 0))
         e = y - model.value(t, *q)
         dw = float((np.diff(z) ** 2).sum() / max(float(z @ z), 1e-300))
@@ -246,11 +270,13 @@ def fit_growth(points: DataFrame, by: Sequence[str], models: Sequence[str] = DEF
     are rows with ok false and a message."""
     used = points.where("t is not null and y is not null and not isnan(y)").select(*by, F.col("t").cast("double").alias("t"), F.col("y").cast("double").alias("y"), F.col("unc").cast("double").alias("unc"))
     each = used.withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    own = {name: MODELS[name] for name in models if name not in _COLUMNS}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "y"])
         t = pdf["t"].to_numpy()
-        got = fit_one(t, pdf["y"].to_numpy(), pdf["unc"].to_numpy(), pdf["model"].iloc[0], errors) | {"t_first": float(t[0]), "t_last": float(t[-1])}
+        name = pdf["model"].iloc[0]
+        got = fit_one(t, pdf["y"].to_numpy(), pdf["unc"].to_numpy(), own.get(name, name), errors) | {"t_first": float(t[0]), "t_last": float(t[-1])}
         return pd.DataFrame([{**{b: pdf[b].iloc[0] for b in [*by, "model"]}, **{c: got.get(c) for c in _FIT_COLUMNS}}])
 
     return each.groupBy(*by, "model").applyInPandas(run, f"{_head(points, by)}, model string, {FIT}")
@@ -276,6 +302,56 @@ def derived_quantities(fits: DataFrame, by: Sequence[str], levels: Sequence[floa
     return a.select(*by, "model", F.when(flat | peak, F.col("m.rate")).alias("max_rate"), F.when(~flat & peak, F.col("m.t")).alias("t_max_rate"), F.when(~flat & peak, lag).alias("lag"), *(f"`time_to_{x:g}`" for x in levels))
 
 
+def _whiten_rows(e: np.ndarray, rho: np.ndarray) -> np.ndarray:
+    """_whiten for many residual rows [draws, n] at once."""
+    out = e.copy()
+    out[..., 1:] = (e[..., 1:] - rho * e[..., :-1]) / np.sqrt(1 - rho**2)
+    return out
+
+
+def refit_many(model: Model, t: np.ndarray, targets: np.ndarray, white: Callable[[np.ndarray], np.ndarray], start: np.ndarray, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters [draws, p] of all rows of targets [draws, n], and which converged. Laws that are linear in their
+    parameters are solved as one system; for others damped Gauss-Newton steps are made for all rows together, each row
+    with a damping of its own. white scales and decorrelates residual rows."""
+    m, p = len(targets), len(start)
+    with np.errstate(all="ignore"):
+        if model.design is not None:
+            found = np.linalg.lstsq(white(model.design(t).T).T, white(targets).T, rcond=None)[0].T
+            return found, np.all(np.isfinite(found), axis=1)
+        low, high = np.array(model.low), np.array(model.high)
+        out, good, live = np.tile(start, (m, 1)), np.zeros(m, bool), np.arange(m)
+        residual = lambda q: white(targets[live] - model.value(t[None, :], *(q[:, i : i + 1] for i in range(p))))
+        at, damp = out.copy(), np.full(m, 1e-3)
+        r = residual(at)
+        cost = (r * r).sum(axis=1)
+        for _ in range(rounds):
+            slope = np.empty((len(live), r.shape[1], p))
+            for i in range(p):
+                h = 1e-7 * np.maximum(np.abs(at[:, i]), 1e-3)
+                h = np.where(at[:, i] + h <= high[i], h, -h)
+                near = at.copy()
+                near[:, i] += h
+                slope[:, :, i] = (residual(near) - r) / h[:, None]
+            normal, pull = slope.transpose(0, 2, 1) @ slope, (slope.transpose(0, 2, 1) @ r[:, :, None])[:, :, 0]
+            fine = np.isfinite(normal).all(axis=(1, 2)) & np.isfinite(pull).all(axis=1)
+            normal[~fine], pull[~fine] = np.eye(p), 0
+            scale = np.einsum("mpp->mp", normal)
+            ridge = damp[:, None] * scale + 1e-12 * scale.max(axis=1, keepdims=True) + 1e-300
+            there = np.clip(at + np.linalg.solve(normal + np.eye(p) * ridge[:, None, :], -pull[:, :, None])[:, :, 0], low, high)
+            r2 = residual(there)
+            c2 = (r2 * r2).sum(axis=1)
+            better = fine & np.isfinite(c2) & (c2 <= cost)
+            done = (better & (cost - c2 <= 1e-9 * cost)) | (damp > 1e8)
+            at[better], r[better], cost[better] = there[better], r2[better], c2[better]
+            damp = np.where(better, damp / 5, damp * 5)
+            out[live[done]], good[live[done]] = at[done], np.isfinite(cost[done])
+            keep = ~done
+            live, at, r, cost, damp = live[keep], at[keep], r[keep], cost[keep], damp[keep]
+            if not len(live):
+                break
+    return out, good & np.all(np.isfinite(out), axis=1)
+
+
 def bootstrap_draws(points: DataFrame, fits: DataFrame, by: Sequence[str], draws: int = 200, block: int = 32, seed: int = 1) -> DataFrame:
     """by, model, draw, params: refits of series made from the fit and resampled residuals (for correlated errors their
     innovations, rebuilt). Centred, scaled by sqrt(n/(n-p)). Draws come in blocks, one group each; their random numbers
@@ -283,11 +359,12 @@ def bootstrap_draws(points: DataFrame, fits: DataFrame, by: Sequence[str], draws
     used = points.where("t is not null and y is not null and not isnan(y)").select(*by, F.col("t").cast("double").alias("t"), F.col("y").cast("double").alias("y"), F.col("unc").cast("double").alias("unc"))
     ok = fits.where("ok").select(*by, "model", "params", "ar1_phi", "weighted", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // block))).alias("blk"))
     each = used.join(ok, list(by)).withColumn("key", F.xxhash64(F.lit(seed), *by, "model", "blk"))
+    own = {name: m for name, m in MODELS.items() if name not in _COLUMNS}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "y"])
         name, phi, first = pdf["model"].iloc[0], float(pdf["ar1_phi"].iloc[0]), int(pdf["blk"].iloc[0]) * block
-        model, t, y = MODELS[name], pdf["t"].to_numpy(), pdf["y"].to_numpy()
+        model, t, y = own.get(name) or MODELS[name], pdf["t"].to_numpy(), pdf["y"].to_numpy()
         q = np.array([dict(pdf["params"].iloc[0])[k] for k in model.params])
         n, p = len(t), len(q)
         sigma = pdf["unc"].to_numpy() if pdf["weighted"].iloc[0] else np.ones(n)
@@ -296,17 +373,11 @@ def bootstrap_draws(points: DataFrame, fits: DataFrame, by: Sequence[str], draws
         z, rho = _whiten((y - model.value(t, *q)) / sigma, lag, phi)
         z = (z - z.mean()) * np.sqrt(n / max(n - p, 1))
         rng = np.random.default_rng(abs(int(pdf["key"].iloc[0])))
-        rows = []
-        for d in range(first, min(first + block, draws)):
-            e = rng.choice(z, n)
-            for i in range(1, n):
-                e[i] = rho[i - 1] * e[i - 1] + np.sqrt(1 - rho[i - 1] ** 2) * e[i]
-            y2 = model.value(t, *q) + e * sigma
-            res = lambda v, y2=y2: _whiten((y2 - model.value(t, *v)) / sigma, lag, phi)[0]
-            with np.errstate(all="ignore"):
-                v, _, good = least_squares(res, q, np.array(model.low), np.array(model.high), 500)
-            if good and np.all(np.isfinite(v)):
-                rows.append({**{b: pdf[b].iloc[0] for b in by}, "model": name, "draw": d, "params": dict(zip(model.params, map(float, v), strict=True))})
+        e = rng.choice(z, (min(block, draws - first), n))
+        for i in range(1, n) if phi else ():
+            e[:, i] = rho[i - 1] * e[:, i - 1] + np.sqrt(1 - rho[i - 1] ** 2) * e[:, i]
+        found, good = refit_many(model, t, model.value(t, *q) + e * sigma, lambda x: _whiten_rows(x / sigma, rho), q)
+        rows = [{**{b: pdf[b].iloc[0] for b in by}, "model": name, "draw": first + d, "params": dict(zip(model.params, found[d].tolist(), strict=True))} for d in np.flatnonzero(good).tolist()]
         return pd.DataFrame(rows, columns=[*by, "model", "draw", "params"])
 
     return each.groupBy(*by, "model", "blk").applyInPandas(run, f"{_head(points, by)}, model string, draw int, params map<string,double>")
@@ -319,6 +390,16 @@ def bootstrap_fit(drawn: DataFrame, by: Sequence[str], draws: int = 200) -> Data
     return p.join(n, [*by, "model"]).where(F.col("converged") >= max(20, draws // 2))
 
 
+def bootstrap_derived(drawn: DataFrame, fits: DataFrame, by: Sequence[str], levels: Sequence[float] = (), points: int = 400) -> DataFrame:
+    """by, model, quantity, low, high, finite, n: percentile 95 % intervals of the derived quantities of the bootstrap
+    curves; none for a quantity that under 80 % of the curves have."""
+    each = derived_quantities(drawn.join(fits.select(*by, "model", "t_first", "t_last"), [*by, "model"]), [*by, "draw"], levels, points)
+    names = [c for c in each.columns if c not in {*by, "draw", "model"}]
+    long = each.select(*by, "model", F.explode(F.array(*(F.struct(F.lit(c).alias("quantity"), F.col(f"`{c}`").alias("v")) for c in names))).alias("q")).select(*by, "model", "q.quantity", F.when(~F.isnan("q.v") & (F.abs("q.v") < float("inf")), F.col("q.v")).alias("v"))
+    got = long.groupBy(*by, "model", "quantity").agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"), F.count("v").alias("finite"), F.count(F.lit(1)).alias("n"))
+    return got.where("finite >= 0.8 * n")
+
+
 def confidence_band(drawn: DataFrame, fits: DataFrame, by: Sequence[str], points: int = 50) -> DataFrame:
     """by, model, t, low, high: pointwise 95 % band of at least 20 bootstrap curves."""
     grid = predict_curve(drawn.join(fits.select(*by, "model", "t_first", "t_last"), [*by, "model"]), points)

@@ -172,12 +172,12 @@ def split_items(items: DataFrame, fraction: float, groups: Sequence[str] | None
         return items.withColumn("validation", F.col("grp").isin(list(groups)))
     sizes = items.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
-    w = Window.orderBy("n", "grp")  # one row a group
+    w = Window.orderBy("n", "grp")  # counts, one row a group: the order over all groups is what is asked for
     need = F.greatest(F.bround(fraction * F.col("all")), F.lit(1))
     marked = sizes.crossJoin(F.broadcast(total)).withColumns({"before": F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "i": F.row_number().over(w)})
     marked = marked.select("grp", F.col("n").alias("__n"), "k", "all", ((F.col("before") < need) & (F.col("i") < F.col("k"))).alias("chosen"))
     last = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("ts"), F.desc("id")))
-    out = items.join(F.broadcast(marked), "grp").withColumn("__r", F.when(F.col("k") == 1, last))
+    out = items.join(marked, "grp").withColumn("__r", F.when(F.col("k") == 1, last))
     return out.withColumn("validation", F.when(F.col("k") == 1, F.col("__r") <= need).otherwise(F.col("chosen"))).drop("__n", "k", "all", "chosen", "__r")
 
 

@@ -56,7 +56,7 @@ def hsv_range_from_samples(samples: DataFrame, by: Sequence[str], margins: tuple
     circular mean hue, with margins; two rows where hue passes 0, the full circle from 179 on."""
     rad = F.radians(F.col("h") * 2)
     centre = samples.groupBy(*by).agg(F.degrees(F.atan2(F.avg(F.sin(rad)), F.avg(F.cos(rad)))).alias("__c"))
-    turned = samples.join(F.broadcast(centre), list(by)).withColumn("__d", F.pmod(F.col("h") - F.col("__c") / 2 + 90, F.lit(180.0)) - 90)
+    turned = samples.join(centre, list(by)).withColumn("__d", F.pmod(F.col("h") - F.col("__c") / 2 + 90, F.lit(180.0)) - 90)
     p = lambda c, q: F.percentile(c, q)
     got = turned.groupBy(*by).agg(
         F.first("__c").alias("c"), F.floor(F.first("__c") / 2 + p("__d", 0.01) - margins[0]).alias("a"), F.ceil(F.first("__c") / 2 + p("__d", 0.99) + margins[0]).alias("z"),
@@ -78,8 +78,19 @@ def _offsets(points: list[tuple[int, int]]) -> Column:
 
 
 def dilate(mask: DataFrame, radius: int, width: int, height: int, key: Sequence[str] = KEY) -> DataFrame:
-    out = mask.select(*key, "x", "y", _offsets(_disc(radius)).alias("o")).select(*key, (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-    return out.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height)).distinct()
+    """Pixels within `radius` of the mask, inside the image. Runs of one row reach over the rows around them as longer or
+    shorter runs, overlapping runs are merged, and only the result is listed pixel by pixel: work grows with the runs
+    times the radius, not with the disc's area."""
+    row, kind = [*key, "y"], dict(mask.dtypes)
+    w = Window.partitionBy(*row).orderBy("x")
+    runs = mask.select(*key, "x", "y").distinct().withColumn("run", F.col("x") - F.row_number().over(w)).groupBy(*row, "run").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    reach = F.floor(F.sqrt(F.lit(radius * radius) - F.col("dy") * F.col("dy")))
+    wide = runs.withColumn("dy", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).select(*key, (F.col("y") + F.col("dy")).alias("y"), F.greatest(F.col("a") - reach, F.lit(0)).alias("a"), F.least(F.col("b") + reach, F.lit(width - 1)).alias("b"))
+    wide = wide.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("a") <= F.col("b")))
+    order = Window.partitionBy(*row).orderBy("a", "b")
+    new = F.coalesce(F.col("a") > F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True)).cast("int")
+    merged = wide.withColumn("new", new).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*row, "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return merged.select(*key, F.explode(F.sequence(F.col("a").cast(kind["x"]), F.col("b").cast(kind["x"]))).alias("x"), F.col("y").cast(kind["y"]).alias("y"))
 
 
 def erode(mask: DataFrame, radius: int, width: int, height: int, key: Sequence[str] = KEY) -> DataFrame:
@@ -239,15 +250,23 @@ def lighting_region(pixels: DataFrame, measured: DataFrame, width: int, height:
     return pixels.join(grown, [*key, "x", "y"], "left_anti")
 
 
-def lighting_gains(region: DataFrame, reference: Column, key: Sequence[str] = KEY, least: int = 50, dark: float = 5.0) -> DataFrame:
+def _with_reference(rows: DataFrame, reference: Column, by: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """rows with the named columns of their reference row; `by` names what has a reference of its own (an experiment, a
+    camera), nothing: there is one for all. Of several reference rows the smallest counts; without one they are null."""
+    values = F.struct(*(F.col(c).alias(name) for name, c in columns.items()))
+    ref = rows.where(reference).groupBy(*by).agg(F.min(values).alias("__ref"))
+    joined = rows.join(ref, list(by), "left") if by else rows.crossJoin(ref)  # without `by` one row, an aggregate over all
+    return joined.select(*rows.columns, *(F.col(f"__ref.{name}").alias(name) for name in columns))
+
+
+def lighting_gains(region: DataFrame, reference: Column, key: Sequence[str] = KEY, least: int = 50, dark: float = 5.0, by: Sequence[str] = ()) -> DataFrame:
     """Per frame: gain of each channel, reference median / median (1 at least), within 1/3 to 3; null with fewer than
-    `least` pixels or a reference median under `dark`. saturated: share of pixels with a channel of 250 or more, and its
-    rise over the reference frame (0 at least)."""
+    `least` pixels or a reference median under `dark`, or without a reference. saturated: share of pixels with a channel of
+    250 or more, and its rise over the reference frame (0 at least). by: key columns that have a reference each."""
     med = region.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *(F.percentile(c, 0.5).alias(f"m{c}") for c in "bgr"), F.avg(F.when(F.greatest("b", "g", "r") >= 250, 1.0).otherwise(0.0)).alias("saturated"))
-    ref = med.where(reference).select(*(F.col(f"m{c}").alias(f"r{c}") for c in "bgr"), F.col("saturated").alias("rs")).limit(1)
-    joined = med.crossJoin(F.broadcast(ref))
+    joined = _with_reference(med, reference, by, {"rb": "mb", "rg": "mg", "rr": "mr", "rs": "saturated"})
     gain = lambda c: F.when((F.col("n") >= least) & (F.col(f"r{c}") >= dark), F.least(F.greatest(F.col(f"r{c}") / F.greatest(F.col(f"m{c}"), F.lit(1.0)), F.lit(1 / 3)), F.lit(3.0)))
-    return joined.select(*key, *(gain(c).alias(f"gain_{c}") for c in "bgr"), "saturated", F.greatest(F.col("saturated") - F.col("rs"), F.lit(0.0)).alias("saturated_rise"))
+    return joined.select(*key, *(gain(c).alias(f"gain_{c}") for c in "bgr"), "saturated", F.when(F.col("rs").isNotNull(), F.greatest(F.col("saturated") - F.col("rs"), F.lit(0.0))).alias("saturated_rise"))
 
 
 def apply_gains(pixels: DataFrame, gains: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -256,11 +275,10 @@ def apply_gains(pixels: DataFrame, gains: DataFrame, key: Sequence[str] = KEY) -
     return out.withColumns({c: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col(c) * F.coalesce(f"gain_{c}", F.lit(1.0))))).cast("int") for c in "bgr"}).drop("gain_b", "gain_g", "gain_r")
 
 
-def frame_flags(quality: DataFrame, reference: Column) -> DataFrame:
+def frame_flags(quality: DataFrame, reference: Column, by: Sequence[str] = ()) -> DataFrame:
     """quality(brightness, norm_sharpness, align_ok, align_rms, align_ecc, lighting_changed, saturated_rise, target_px) with
-    flags, against the one reference row."""
-    ref = quality.where(reference).select(F.col("brightness").alias("__b"), F.col("norm_sharpness").alias("__s")).limit(1)
-    q = quality.crossJoin(F.broadcast(ref))
+    flags, against the reference row: the one of the row's `by` columns, or one for all."""
+    q = _with_reference(quality, reference, by, {"__b": "brightness", "__s": "norm_sharpness"})
     flags = [
         ("align_failed", ~F.col("align_ok")), ("align_poor", F.col("align_ok") & ((F.col("align_rms") > 2) | (F.col("align_ecc") < 0.9))),
         ("brightness_changed", F.abs(F.col("brightness") / F.nullif("__b", F.lit(0.0)) - 1) > 0.2), ("blurry", F.col("norm_sharpness") < 0.5 * F.col("__s")),
@@ -354,10 +372,10 @@ def scale_from_corners(corners: DataFrame, size_mm: float, by: Sequence[str] = K
     return edge.where("edge > 0").groupBy(*by).agg((size_mm / F.avg("edge")).alias("mm_per_px"), F.stddev_samp(ratio).alias("sd"), (F.stddev_samp(ratio) / F.sqrt(F.count(F.lit(1)))).alias("se"), F.count(F.lit(1)).alias("n"))
 
 
-def drift_from_corners(corners: DataFrame, reference: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
-    """Least-squares similarity of each frame's marker corners to the reference's (marker, corner, x, y): zoom, turn,
-    shift and root mean square residual."""
-    j = corners.join(F.broadcast(reference.select("marker", "corner", F.col("x").alias("u"), F.col("y").alias("v"))), ["marker", "corner"])
+def drift_from_corners(corners: DataFrame, reference: DataFrame, by: Sequence[str] = KEY, within: Sequence[str] = ()) -> DataFrame:
+    """Least-squares similarity of each frame's marker corners to the reference's (within, marker, corner, x, y): zoom,
+    turn, shift and root mean square residual. within: columns of `by` that have a reference each."""
+    j = corners.join(reference.select(*within, "marker", "corner", F.col("x").alias("u"), F.col("y").alias("v")), [*within, "marker", "corner"])
     m = j.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m{c}") for c in "xyuv"))
     c = j.join(m, list(by)).withColumns({f"d{k}": F.col(k) - F.col(f"m{k}") for k in "xyuv"})
     s = c.groupBy(*by, "n", "mx", "my", "mu", "mv").agg(F.sum(F.col("dx") * F.col("du") + F.col("dy") * F.col("dv")).alias("a"), F.sum(F.col("dx") * F.col("dv") - F.col("dy") * F.col("du")).alias("b"), F.sum(F.col("dx") ** 2 + F.col("dy") ** 2).alias("q"), F.sum(F.col("du") ** 2 + F.col("dv") ** 2).alias("w"))
@@ -369,8 +387,8 @@ def drift_from_corners(corners: DataFrame, reference: DataFrame, by: Sequence[st
 def edge_advance(mask: DataFrame, frames: DataFrame, by: Sequence[str], cell: int = 64) -> DataFrame:
     """frames(by, frame, t, usable) with advance_p95 and advance_max: distances of the newly covered pixels to the patch of
     the baseline, the first usable frame with a target; 0 there, null before it and for unusable frames. Exact Euclidean
-    distances by rings of grid cells: each pixel first meets the baseline cells around it, then, if none is near enough,
-    wider rings."""
+    distances by grid cells: cells of pixels meet cells of the baseline's edge (an image has at most its area over cell^2
+    of either), and a pixel only the edge pixels of the cells that can hold its nearest one."""
     use = frames.where("usable")
     first = mask.join(use, [*by, "frame"]).groupBy(*by).agg(F.min(F.struct("t", "frame")).alias("f")).select(*by, F.col("f.frame").alias("__base"), F.col("f.t").alias("__t0"))
     base = mask.join(first.select(*by, F.col("__base").alias("frame")), [*by, "frame"], "left_semi").select(*by, "x", "y").distinct()
@@ -421,7 +439,19 @@ def sector_speeds(arrivals: DataFrame, by: Sequence[str], mm_per_px: float = 1.0
     off = F.pmod(F.col("a") - F.col("sector") * width + 180, F.lit(360.0)) - 180
     p = p.where((F.abs(off) <= half) | (F.col("d") == 0))
     times = arrivals.select(*by, F.col("arrival").alias("t")).distinct()
-    fronts = p.join(times, list(by)).where("arrival <= t").groupBy(*by, "sector", "t").agg(F.percentile("d", 0.95).alias("front")).where("front > 0")
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in arrivals.select(*by).schema)
+
+    def fronts_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("arrival")
+        t, first = np.unique(pdf["arrival"].to_numpy(), return_index=True)
+        d, ends = pdf["d"].to_numpy(), np.append(first[1:], len(pdf))
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in [*by, "sector"]}, "t": t, "own": [np.percentile(d[:n], 95) for n in ends]})
+
+    # a group holds one sector's pixels of one image; its front only moves at its own arrival times
+    own = p.select(*by, "sector", F.col("arrival").cast("double"), F.col("d").cast("double")).groupBy(*by, "sector").applyInPandas(fronts_of, f"{head}, sector int, t double, own double")
+    every = own.select(*by, "sector").distinct().join(times.withColumn("t", F.col("t").cast("double")), list(by)).join(own, [*by, "sector", "t"], "left")
+    last = F.last("own", ignorenulls=True).over(Window.partitionBy(*by, "sector").orderBy("t"))
+    fronts = every.withColumn("front", last).where("front > 0")
     g = fronts.groupBy(*by, "sector").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("front", "t").alias("speed"), F.regr_r2("front", "t").alias("r2"), F.regr_syy("front", "t").alias("syy"), F.regr_sxx("front", "t").alias("sxx"))
     g = g.where("n >= 3 and sxx > 0")
     return g.select(*by, "sector", "n", "speed", "r2", F.sqrt(F.greatest(F.col("syy") - F.col("speed") ** 2 * F.col("sxx"), F.lit(0.0)) / (F.col("n") - 2) / F.col("sxx")).alias("se"))

@@ -77,7 +77,7 @@ def welch_compare(stats: DataFrame, pairs: DataFrame, by: Sequence[str] = ("para
     """Differences b - a of condition means: se, Welch's degrees of freedom, t, p, 95 % interval and Hedges' g. Under 2
     values on a side the difference alone; nothing but it if the se is 0. stats(by, condition, n, mean, sd)."""
     one = lambda k: stats.select(*by, F.col("condition").alias(k), F.col("n").alias(f"n{k}"), F.col("mean").alias(f"m{k}"), F.col("sd").alias(f"s{k}"))
-    j = F.broadcast(pairs).join(one("a"), "a").join(one("b"), [*by, "b"])
+    j = pairs.join(one("a"), "a").join(one("b"), [*by, "b"])
     va, vb = F.col("sa") ** 2 / F.col("na"), F.col("sb") ** 2 / F.col("nb")
     j = j.withColumn("diff", F.col("mb") - F.col("ma")).withColumn("se", F.when((F.col("na") > 1) & (F.col("nb") > 1) & (va + vb > 0), F.sqrt(va + vb)))
     j = j.withColumn("df", F.when(F.col("se").isNotNull(), (va + vb) ** 2 / (va**2 / (F.col("na") - 1) + vb**2 / (F.col("nb") - 1)))).withColumn("t", F.col("diff") / F.col("se"))

@@ -31,6 +31,10 @@ def _(spark, d):
     return _hsv(spark, d).drop("grp")
 
 
+#: The ranges wider (1) and narrower (-1), as numbers: the SQL must not lean on what it tests.
+SHIFTED = {"green": {0: "h between 35 and 85 and s >= 40 and v >= 20", 1: "h between 31 and 89 and s >= 20", -1: "h between 39 and 81 and s >= 60 and v >= 40"}, "brown": {0: "h between 5 and 40 and s >= 30 and v >= 20", 1: "h between 1 and 44 and s >= 10", -1: "h between 9 and 36 and s >= 50 and v >= 40"}}
+
+
 def _in(r):
     (a, b, c), (e, f, g) = r
     return f"(h between {a} and {e} and s between {b} and {f} and v between {c} and {g})"
@@ -41,7 +45,7 @@ def _(spark, d):
     return _hsv(spark, d).where(pixels.hsv_in_ranges(F.col("h"), F.col("s"), F.col("v"), GREEN)).groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("shift_ranges", f"with {HSV}\n;;\nselect frame, count(*) filter ({_in(pixels.shift_ranges(GREEN, 1)[0])}) wider, count(*) filter ({_in(pixels.shift_ranges(GREEN, -1)[0])}) narrower from hs group by 1")
+@query("shift_ranges", f"with {HSV}\n;;\nselect frame, count(*) filter ({SHIFTED['green'][1]}) wider, count(*) filter ({SHIFTED['green'][-1]}) narrower from hs group by 1")
 def _(spark, d):
     on = lambda step: F.count_if(pixels.hsv_in_ranges(F.col("h"), F.col("s"), F.col("v"), pixels.shift_ranges(GREEN, step)))
     return _hsv(spark, d).groupBy("frame").agg(on(1).alias("wider"), on(-1).alias("narrower"))
@@ -93,15 +97,12 @@ def _(spark, d):
     return pixels.color_indices(px_table(spark, d))
 
 
-def _share(c, ranges, before=()):
-    cols = []
-    for step in (0, 1, -1):
-        at = lambda rs, step=step: " or ".join(_in(r) for r in (pixels.shift_ranges(rs, step) if step else rs))
-        cols.append(f"100 * avg(case when ({at(ranges)}){''.join(f' and not ({at(b)})' for b in before)} then 1.0 else 0.0 end)")
+def _share(c, before=()):
+    cols = [f"100 * avg(case when ({SHIFTED[c][step]}){''.join(f' and not ({SHIFTED[b][step]})' for b in before)} then 1.0 else 0.0 end)" for step in (0, 1, -1)]
     return f"{cols[0]} class_{c}_pct, (greatest({', '.join(cols)}) - least({', '.join(cols)})) / (2 * sqrt(3)) class_{c}_pct_unc"
 
 
-@query("class_shares", f"with {HSV}\n;;\nselect frame, {_share('green', GREEN)}, {_share('brown', BROWN, (GREEN,))} from hs where v > 0 group by 1", "class_green_pct class_green_pct_unc class_brown_pct class_brown_pct_unc", "frame")
+@query("class_shares", f"with {HSV}\n;;\nselect frame, {_share('green')}, {_share('brown', ('green',))} from hs where v > 0 group by 1", "class_green_pct class_green_pct_unc class_brown_pct class_brown_pct_unc", "frame")
 def _(spark, d):
     return pixels.class_shares(px_table(spark, d), {"green": GREEN, "brown": BROWN})
 
@@ -144,6 +145,12 @@ def _(spark, d):
     return _gains(spark, d)
 
 
+@query("lighting_gains_by_experiment", f"with {GAINS.replace('rf as (select * from md where frame = (select min(frame) from px))', 'rf as (select * from md where frame < 4)').replace('from md, rf)', 'from md join rf on md.frame % 4 = rf.frame)')}\n;;\nselect frame % 4 exp, * from gn", "gain_b gain_g gain_r saturated saturated_rise", "exp frame")
+def _(spark, d):
+    p = px_table(spark, d).withColumn("exp", F.col("frame") % 4)
+    return pixels.lighting_gains(p, F.col("frame") < 4, ["exp", "frame"], by=["exp"])
+
+
 @query("apply_gains", f"with {GAINS}\n;;\nselect frame, sum(floor(least(255, b * coalesce(gain_b, 1))))::bigint sb, sum(floor(least(255, r * coalesce(gain_r, 1))))::bigint sr from px join gn using (frame) group by 1")
 def _(spark, d):
     return pixels.apply_gains(px_table(spark, d), _gains(spark, d)).groupBy("frame").agg(F.sum("b").alias("sb"), F.sum("r").alias("sr"))
@@ -230,6 +237,16 @@ def _(spark, d):
     return pixels.drift_from_corners(c, c.where("frame = 0")).where("frame > 0")
 
 
+@query("drift_by_experiment", f"with {CR}, j as (select c.frame, c.x, c.y, r.x u, r.y v from cr c join cr r on r.frame = c.frame % 2 and r.marker = c.marker and r.corner = c.corner)\n;;\nselect frame, count(*) n, avg(u) - avg(x) mean_u, avg(v) - avg(y) mean_v from j group by 1", "mean_u mean_v", "frame n")
+def _(spark, d):
+    c = _corners(spark, d).withColumn("exp", F.col("frame") % 2)
+    out = pixels.drift_from_corners(c, c.where("frame < 2"), ["exp", "frame"], ["exp"])
+    zoom = F.radians("turn_deg")
+    m = c.groupBy("exp", "frame").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    a, b = F.col("zoom") * F.cos(zoom), F.col("zoom") * F.sin(zoom)  # the mean of the reference follows from the fit
+    return out.join(m, ["exp", "frame"]).select("frame", "n", (F.col("shift_x") + a * F.col("mx") - b * F.col("my") - F.col("mx")).alias("mean_u"), (F.col("shift_y") + b * F.col("mx") + a * F.col("my") - F.col("my")).alias("mean_v"))
+
+
 # --- spread: the images of a group are frames in id order --------------------------------------------------------------
 
 

@@ -46,7 +46,7 @@ def _(spark, d):
 @query("list_frame_names", f"with {FR}, n as (select event_id, strftime(date_trunc('hour', ts), '%Y%m%dT%H%M%S') || '_' || camera b, row_number() over (partition by date_trunc('hour', ts), camera order by event_id) - 1 k from fr)\n;;\nselect event_id, b || case when k > 0 then '~' || k else '' end || '.png' as name from n")
 def _(spark, d):
     f = frame_log(spark, d).withColumn("ts", F.date_trunc("hour", "ts"))
-    return tables.list_frame_names(f).select("event_id", "name")
+    return tables.list_frame_names(f, order=["event_id"]).select("event_id", "name")
 
 
 @query("safe_name", r"select doc_id, coalesce(nullif(regexp_replace(regexp_replace(replace(replace(lower(n), '°', ''), '%', 'pct'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'value') as name from (select doc_id, case doc_id % 4 when 0 then 'Temp (°C) ' || source when 1 then 'RH % ' || lang when 2 then '' else left(text, 20) end n from documents)")
@@ -55,10 +55,19 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", tables.safe_name(n).alias("name"))
 
 
-@query("choose_time_format", "select source, 'yyyy-MM-dd HH:mm:ss' as format from documents group by 1")
+#: What a logger's times look like, by the customer's market segment, and the layout that they have.
+LAYOUTS = {"AUTOMOBILE": ("dd.MM.yyyy HH:mm", "dd.MM.yyyy HH:mm"), "BUILDING": ("MM/dd/yyyy hh:mm:ss a", "MM/dd/yyyy hh:mm:ss a"), "FURNITURE": ("d/M/yy HH:mm", "dd/MM/yy HH:mm"), "HOUSEHOLD": ("M-d-yyyy H:mm:ss", "MM-dd-yyyy HH:mm:ss")}
+
+
+@query("choose_time_format", f"select c_mktsegment as segment, case c_mktsegment {' '.join(f"when '{k}' then '{v[1]}'" for k, v in LAYOUTS.items())} else 'yyyy-MM-dd HH:mm' end as format from customer join orders on c_custkey = o_custkey group by all")
 def _(spark, d):
-    s = table(spark, d, "documents").select("source", F.date_format(F.expr("timestamp_seconds(doc_id * 3601)"), "yyyy-MM-dd HH:mm:ss").alias("sample"))
-    return tables.choose_time_format(s, ["source"])
+    o = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    at = F.col("o_orderdate").cast("timestamp") + F.expr("make_interval(0, 0, 0, 0, 0, o_orderkey % 1440, 0)")
+    sample = F.lit(None).cast("string")
+    for segment, (layout, _) in LAYOUTS.items():
+        sample = F.when(F.col("c_mktsegment") == segment, F.date_format(at, layout)).otherwise(sample)
+    sample = F.when(F.col("c_mktsegment").isin(*LAYOUTS), sample).otherwise(F.date_format(at, "yyyy-MM-dd HH:mm"))
+    return tables.choose_time_format(o.select(F.col("c_mktsegment").alias("segment"), sample.alias("sample")), ["segment"])
 
 
 @query("merge_covariates", f"with {P}, r as (select event_type as name, date_trunc('hour', ts) h, y, k, event_id from p), o as (select name, h, arg_max(y, event_id) v from r where k % 2 = 0 group by all), n as (select name, h, arg_max(y, event_id) v from r where k % 2 = 1 group by all)\n;;\nselect name, epoch(h) s, coalesce(n.v, o.v) as value from o full join n using (name, h)", "s value", "name")
@@ -115,9 +124,9 @@ def _(spark, d):
     return tables.exclude_frames(c.where("false"), c).select("frame_file", "plot", "reason")
 
 
-@query("integrity_manifest", "select doc_id::varchar path, strlen(text)::bigint bytes, sha256(text) sha256 from documents where source like 'src1%' and source not like '%9'")
+@query("integrity_manifest", "select doc_id::varchar path, strlen(text)::bigint bytes, sha256(text) sha256 from documents")
 def _(spark, d):
-    f = table(spark, d, "documents").where("source like 'src1%' and source not like '%9'").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    f = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     return tables.integrity_manifest(f)
 
 
@@ -159,6 +168,12 @@ def _(spark, d):
     return frames.frames_for_analysis(f, f.where("event_id % 3 <> 0").select("file"), "view").select("event_id", "is_reference")
 
 
+@query("frames_for_analysis_by_experiment", f"with {FR}, a as (select * from fr where status = 'ok' and camera = 'view')\n;;\nselect event_id, (ts, file) = min((ts, file)) over (partition by experiment) is_reference from a")
+def _(spark, d):
+    f = frame_log(spark, d)
+    return frames.frames_for_analysis(f, f.select("file"), "view", ["experiment"]).select("event_id", "is_reference")
+
+
 @query("flag_filter", f"with {P}, {USED}\n;;\nselect event_id, x excluded_by_flag from u")
 def _(spark, d):
     return frames.flag_filter(points(spark, d)).select("event_id", "excluded_by_flag")
@@ -209,7 +224,7 @@ def _(spark, d):
     return frames.validation_template(points(spark, d), ["series_id"], 4).select("series_id", "frame_file", "plot")
 
 
-@query("frame_key_match", f"""with {FR}, h as (select event_id hand_id, case event_id % 4 when 0 then file when 1 then 'f' || event_id when 2 then 'f' || event_id || '.png' else left(strftime(ts, '%Y-%m-%d %H:%M:%S'), 13 + (k % 7)) end as key from fr where event_id % 10 < 4),
+@query("frame_key_match", f"""with {FR}, h as (select event_id hand_id, case event_id % 4 when 0 then file when 1 then 'f' || event_id when 2 then 'f' || event_id || '.png' else left(strftime(ts, '%Y-%m-%d %H:%M:%S'), 13 + (k % 7)) end as key from fr),
 n as (select hand_id, key, min(f.event_id) m from h left join fr f on key in (f.file, 'f' || f.event_id, 'f' || f.event_id || '.png') group by all),
 t as (select hand_id, count(*) c, min(f.event_id) e from n join fr f on m is null and starts_with(strftime(f.ts, '%Y-%m-%d %H:%M:%S'), key) group by 1)
 ;;
@@ -217,7 +232,7 @@ select hand_id, coalesce(m, case when c = 1 then e end) frame_id from n left joi
 def _(spark, d):
     f = frame_log(spark, d).withColumn("ts_text", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     key = F.when(F.col("event_id") % 4 == 0, F.col("file")).when(F.col("event_id") % 4 == 1, F.concat(F.lit("f"), "event_id")).when(F.col("event_id") % 4 == 2, F.concat(F.lit("f"), "event_id", F.lit(".png"))).otherwise(F.left("ts_text", F.lit(13) + F.col("k") % 7))
-    return frames.frame_key_match(f.where("event_id % 10 < 4").select(F.col("event_id").alias("hand_id"), key.alias("key")), f.select(F.col("event_id").alias("frame_id"), "file", "ts_text")).select("hand_id", "frame_id")
+    return frames.frame_key_match(f.select(F.col("event_id").alias("hand_id"), key.alias("key")), f.select(F.col("event_id").alias("frame_id"), "file", "ts_text")).select("hand_id", "frame_id")
 
 
 @query("frame_status", f"with {FR}, g as (select *, case when status = 'ok' then s - lag(s) over (partition by camera, status order by ts) end gap from fr)\n;;\nselect camera, count(*) filter (status = 'ok') saved, count(*) filter (status = 'failed') failed, epoch(min(ts)) first_s, epoch(max(ts)) last_s, list_sort(list(gap) filter (gap is not null))[(count(gap) // 2) + 1] median_gap, max(gap) largest_gap from g group by 1", "first_s last_s median_gap largest_gap", "camera saved failed")
@@ -297,7 +312,7 @@ for _how, _agg in (("median", "median(y)"), ("mean", "avg(y)"), ("p90", "quantil
 
 @query("daily_uncertainty")
 def _(spark, d):
-    return series.daily_uncertainty(_axis(spark, d), ["series_id"], draws=100)
+    return series.daily_uncertainty(_axis(spark, d), ["series_id"], draws=400)
 
 
 DAILY = f"{AXIS}, dd as (select series_id, epoch(ts::date)::bigint event_id, median(y) y, (epoch(ts::date) / 86400) t, null::double unc, false excluded from a where not excluded group by series_id, ts::date)"

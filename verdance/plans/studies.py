@@ -126,14 +126,17 @@ def _(spark, d):
     return growth.derived_quantities(f, BY, [20.0]).drop("model")
 
 
+DRAWS = 500
+
+
 def _draws(spark, d):
-    fits = _fits(spark, d, ("linear",))
-    return growth.bootstrap_draws(study_points(spark, d), fits, BY, 64, 32), fits
+    fits = _fits(spark, d)
+    return growth.bootstrap_draws(study_points(spark, d), fits, BY, DRAWS, 125), fits
 
 
 @query("bootstrap_fit")
 def _(spark, d):
-    return growth.bootstrap_fit(_draws(spark, d)[0], BY, 64)
+    return growth.bootstrap_fit(_draws(spark, d)[0], BY, DRAWS)
 
 
 @query("confidence_band")
@@ -142,6 +145,12 @@ def _(spark, d):
     return growth.confidence_band(drawn, fits, BY, 12)
 
 
+@query("bootstrap_derived")
+def _(spark, d):
+    drawn, fits = _draws(spark, d)
+    return growth.bootstrap_derived(drawn, fits, BY, [20.0], 100)
+
+
 @query("report_fits")
 def _(spark, d):
     p = series.mark_retreats(series.detect_jumps(_user_points(spark, d), ["series_id"]), ["series_id"])

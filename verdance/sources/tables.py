@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,17 +56,19 @@ def dedupe_by_content(files: DataFrame, log: DataFrame, order: Sequence[str] = (
     return new.join(first, "sha256").where(F.struct(*order) == F.col("__first")).drop("__first")
 
 
-def list_frame_names(frames: DataFrame, ext: str = "png") -> DataFrame:
-    """frames(camera, ts) with a sortable name; equal ones get ~1, ~2."""
+def list_frame_names(frames: DataFrame, ext: str = "png", order: Sequence[str] = ()) -> DataFrame:
+    """frames(camera, ts) with a sortable name; equal ones get ~1, ~2 by time and the `order` columns, which should tell
+    frames of one time apart (without them all columns that can be ordered do)."""
+    order = list(order) or [c for c, t in frames.dtypes if not t.startswith("map") and c != "ts"]
     base = F.concat_ws("_", F.date_format("ts", "yyyyMMdd'T'HHmmss"), "camera")
-    k = F.row_number().over(Window.partitionBy("__base").orderBy("ts", "event_id" if "event_id" in frames.columns else "ts")) - 1
+    k = F.row_number().over(Window.partitionBy("__base").orderBy("ts", *order)) - 1
     named = frames.withColumn("__base", base).withColumn("__k", k)
     return named.withColumn("name", F.concat("__base", F.when(F.col("__k") > 0, F.concat(F.lit("~"), F.col("__k"))).otherwise(""), F.lit(f".{ext}"))).drop("__base", "__k")
 
 
 def read_logger(spark: SparkSession, path: str, zone: str = "UTC", month_first: bool | None = None) -> DataFrame:
     """file, ts, name, value of sensor logger files of unknown layout: per file, the delimiter is the first of tab, `;`, `,`
-    with a constant count on 70 % of the last 30 lines; lines before the first row with two cells are titles; the time is a
+    with a constant count on 70 % of the last 30 lines, else `,`; lines before the first row with two cells are titles; the time is a
     Date and a Time column or the first header with a time word; `;` means decimal commas; columns under 50 % numeric and
     rows without a time are left out. Day- or month-first dates that fit both ways are refused."""
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.filter(F.split(F.regexp_replace("value", "﻿", ""), "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
@@ -77,17 +80,17 @@ def read_logger(spark: SparkSession, path: str, zone: str = "UTC", month_first:
         most = F.array_max(F.transform(n, lambda k: F.when(k > 0, F.size(F.filter(n, lambda j: j == k)))))
         return F.coalesce(most >= 0.7 * F.size(last), F.lit(False))
 
-    text = text.withColumn("d", F.coalesce(*(F.when(steady(d), F.lit(d)) for d in marks))).where("d is not null")
+    text = text.withColumn("d", F.coalesce(*(F.when(steady(d), F.lit(d)) for d in marks), F.lit(",")))
     rows = text.select("file", "d", F.posexplode("lines").alias("row", "line")).withColumn("cells", F.transform(F.expr("split(line, concat('\\\\Q', d, '\\\\E'), -1)"), lambda c: F.trim(F.replace(c, F.lit('"')))))
     rows = rows.where(F.size("cells") >= 2)
     head = rows.groupBy("file").agg(F.min(F.struct("row", "cells")).alias("h")).select("file", F.col("h.row").alias("hrow"), F.transform("h.cells", F.lower).alias("head"))
     find = lambda words: F.array_min(F.filter(F.transform("head", lambda x, i: F.when(x.rlike(words), i)), lambda i: i.isNotNull()))
     head = head.withColumns({"di": find(r"^(date|datum)$"), "ti": find(r"^(time|zeit|uhrzeit)$"), "wi": find(r"time|date|zeit|datum|timestamp")})
-    body = rows.join(F.broadcast(head), "file").where("row > hrow")
+    body = rows.join(head, "file").where("row > hrow")
     stamp = F.when(F.col("di").isNotNull() & F.col("ti").isNotNull(), F.concat_ws(" ", F.get("cells", F.col("di")), F.get("cells", F.col("ti")))).otherwise(F.get("cells", F.coalesce("wi", F.lit(0))))
-    body = body.withColumn("stamp", stamp)
+    body = body.withColumn("stamp", two_digits(stamp))
     formats = choose_time_format(body.select("file", F.col("stamp").alias("sample")), ["file"], month_first)
-    body = body.join(F.broadcast(formats), "file").withColumn("ts", F.to_utc_timestamp(F.try_to_timestamp("stamp", F.col("format")), zone)).where("ts is not null")
+    body = body.join(formats, "file").withColumn("ts", F.to_utc_timestamp(F.try_to_timestamp("stamp", F.col("format")), zone)).where("ts is not null")
     cells = body.select("file", "d", "ts", "head", "di", "ti", "wi", F.posexplode("cells").alias("i", "text")).where("not (i <=> di) and not (i <=> ti) and not (di is null and i <=> coalesce(wi, 0))")
     number = F.when(F.col("d") == ";", F.replace("text", F.lit(","), F.lit("."))).otherwise(F.col("text")).try_cast("double")
     cells = cells.withColumn("value", number)
@@ -97,13 +100,20 @@ def read_logger(spark: SparkSession, path: str, zone: str = "UTC", month_first:
 
 #: Time layouts, tried in this order; which of day and month comes first.
 TIME_FORMATS = [(f"{d}{t}", order) for order, dates in (("iso", ["yyyy-MM-dd", "yyyy/MM/dd"]), ("day", ["dd.MM.yyyy", "dd/MM/yyyy", "dd-MM-yyyy"]), ("month", ["MM/dd/yyyy", "MM-dd-yyyy"])) for d in dates for t in (" HH:mm:ss", " HH:mm", "'T'HH:mm:ss")]
+TIME_FORMATS += [(f"{d}{t}", "day") for d in ("dd/MM/yy", "dd.MM.yy") for t in (" HH:mm:ss", " HH:mm")]
+TIME_FORMATS += [(f"{d}{t}", "month") for d, times in (("MM/dd/yyyy", (" hh:mm:ss a", " hh:mm a")), ("MM/dd/yy", (" HH:mm:ss", " HH:mm", " hh:mm:ss a", " hh:mm a"))) for t in times]
+
+
+def two_digits(stamp: Column) -> Column:
+    """A time's single digits with a zero before them, as the layouts want them."""
+    return F.regexp_replace(F.trim(stamp), r"(?<![0-9])([0-9])(?![0-9])", "0$1")
 
 
 def choose_time_format(samples: DataFrame, by: Sequence[str], month_first: bool | None = None) -> DataFrame:
     """by and format: ISO if all samples(by, sample) parse so, else the first day-first or month-first layout that fits all.
     Both fitting, or none, is refused (unless month_first decides)."""
     cand = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f).alias("format"), F.lit(o).alias("kind")) for i, (f, o) in enumerate(TIME_FORMATS))))
-    fits = samples.where("sample is not null").select(*by, "sample", cand.alias("c")).groupBy(*by, "c").agg(F.bool_and(F.try_to_timestamp("sample", F.col("c.format")).isNotNull()).alias("all"))
+    fits = samples.where("sample is not null").select(*by, two_digits(F.col("sample")).alias("sample"), cand.alias("c")).groupBy(*by, "c").agg(F.bool_and(F.try_to_timestamp("sample", F.col("c.format")).isNotNull()).alias("all"))
     kind = lambda k: F.min(F.when(F.col("all") & (F.col("c.kind") == k), F.col("c")))["format"]
     best = fits.groupBy(*by).agg(kind("iso").alias("iso"), kind("day").alias("day"), kind("month").alias("month"))
     both = F.col("day").isNotNull() & F.col("month").isNotNull()
@@ -153,9 +163,12 @@ def list_runs(masks: DataFrame) -> DataFrame:
 
 
 def resolve_run(runs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """prefix and its only run; null if none or several begin so. Both are small lists."""
-    j = prefixes.join(F.broadcast(runs.select("run_id")), F.col("run_id").startswith(F.col("prefix")), "left")
-    return j.groupBy("prefix").agg(F.when(F.count("run_id") == 1, F.min("run_id")).alias("run_id"))
+    """prefix and its only run; null if none or several begin so. Every run is listed under each of its beginnings that is
+    as long as some prefix, so that they meet by equality."""
+    lengths = prefixes.select(F.length("prefix").alias("__k")).distinct()
+    starts = runs.select("run_id").crossJoin(lengths).where("length(run_id) >= __k").select(F.expr("left(run_id, __k)").alias("prefix"), "run_id")  # a handful of lengths
+    only = starts.groupBy("prefix").agg(F.when(F.count("run_id") == 1, F.min("run_id")).alias("run_id"))
+    return prefixes.select("prefix").distinct().join(only, "prefix", "left")
 
 
 def run_metadata(measured: DataFrame, runs: DataFrame) -> DataFrame:
@@ -190,24 +203,88 @@ def manifest_ok(verified: DataFrame) -> DataFrame:
     return verified.agg(F.count_if(F.col("status") == "changed").alias("changed"), F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status") == "extra").alias("extra"), F.bool_and(~F.col("status").isin("changed", "missing")).alias("ok"))
 
 
-COCO = "categories array<struct<id: long, name: string>>, images array<struct<id: long, file_name: string, width: int, height: int>>, annotations array<struct<id: long, image_id: long, category_id: long, area: double, bbox: array<double>, iscrowd: int, segmentation: struct<size: array<int>, counts: array<long>>>>"
+COCO = "categories array<struct<id: long, name: string>>, images array<struct<id: long, file_name: string, width: int, height: int>>, annotations array<struct<id: long, image_id: long, category_id: long, area: double, bbox: array<double>, iscrowd: int, segmentation: string>>"
+
+
+def _run_lengths(s: str | None) -> list[int] | None:
+    """Run lengths of their compressed text: six-bit characters from 48 on, five bits each, low ones first, the sixth: more
+    follow; from the fourth number on the difference to the number two before."""
+    if s is None:
+        return None
+    out: list[int] = []
+    value = shift = 0
+    for c in s.encode():
+        c -= 48
+        value |= (c & 31) << shift
+        shift += 5
+        if not c & 32:
+            value -= (1 << shift) if c & 16 else 0
+            out.append(value + out[-2] if len(out) > 2 else value)
+            value = shift = 0
+    return out
+
+
+def _decoded(text: str | Column) -> Column:
+    @F.pandas_udf("array<long>")
+    def decode(column: pd.Series) -> pd.Series:
+        return column.map(_run_lengths)
+
+    return decode(text)
+
+
+def polygon_pixels(polygons: DataFrame, by: Sequence[str], width: str = "width", height: str = "height") -> DataFrame:
+    """by, x, y: the pixels in the image whose centre lies in, or on the outline of, polygons(by, points (x, y in turn),
+    width, height), with points rounded to whole pixels."""
+    n = F.size("points") / 2
+    point = lambda i: F.struct(F.round(F.get("points", (2 * i).cast("int"))).alias("x"), F.round(F.get("points", (2 * i + 1).cast("int"))).alias("y"))
+    p = polygons.where(F.size("points") >= 6).withColumn("p", F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), point))
+    p = p.withColumn("q", F.concat(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1)))
+    ends = lambda c, top: F.sequence(F.greatest(F.array_min(F.transform("p", lambda v: v[c])), F.lit(0)).cast("int"), F.least(F.array_max(F.transform("p", lambda v: v[c])), F.col(top) - 1).cast("int"))
+    inside = lambda c, top: (F.array_max(F.transform("p", lambda v: v[c])) >= 0) & (F.array_min(F.transform("p", lambda v: v[c])) <= F.col(top) - 1)
+    box = p.where(inside("x", width) & inside("y", height)).withColumn("x", F.explode(ends("x", width))).withColumn("y", F.explode(ends("y", height)))
+    turn = lambda a, b: (b["x"] - a["x"]) * (F.col("y") - a["y"]) - (b["y"] - a["y"]) * (F.col("x") - a["x"])
+    on = F.zip_with("p", "q", lambda a, b: (turn(a, b) == 0) & F.col("x").between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & F.col("y").between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"])))
+    cross = F.zip_with("p", "q", lambda a, b: F.when((a["y"] <= F.col("y")) != (b["y"] <= F.col("y")), F.when(F.col("x") < a["x"] + (F.col("y") - a["y"]) * (b["x"] - a["x"]) / (b["y"] - a["y"]), 1)).otherwise(0))
+    hit = F.array_contains(on, True) | (F.aggregate(cross, F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0))) % 2 == 1)
+    return box.where(hit).select(*by, "x", "y").distinct()
 
 
 def coco_read(spark: SparkSession, path: str, classes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Target pixels (file, class, x, y) of uncompressed run lengths, and refused annotations with the reason: an unknown
-    category (unless there is but one class, which takes all) or a size that differs from the image's."""
+    """Target pixels (file, class, x, y) of polygons and of plain or compressed run lengths, and refused annotations with the
+    reason: an unknown category (unless there is but one class, which takes all) or a size that differs from the image's.
+    Ids hold within a document; there may be many."""
     from ..operators.masks import rle_to_pixels
 
-    doc = spark.read.schema(COCO).json(path, multiLine=True)
-    ann = doc.select(F.explode("annotations").alias("a")).select("a.*")
-    img = doc.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height")
-    cat = doc.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), "c.name")
-    j = ann.join(img, "image_id").join(cat, "category_id", "left")
+    doc = spark.read.schema(COCO).json(path, multiLine=True).withColumn("doc", F.input_file_name())
+    ann = doc.select("doc", F.explode("annotations").alias("a")).select("doc", "a.*")
+    img = doc.select("doc", F.explode("images").alias("i")).select("doc", F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height")
+    cat = doc.select("doc", F.explode("categories").alias("c")).select("doc", F.col("c.id").alias("category_id"), "c.name")
+    j = ann.join(img, ["doc", "image_id"]).join(cat, ["doc", "category_id"], "left")
+    rle = F.from_json("segmentation", "size array<int>, counts string")
     known = F.lit(classes[0]) if len(classes) == 1 else F.when(F.col("name").isin(*classes), F.col("name"))
-    j = j.withColumn("class", known).withColumn("reason", F.when(F.col("class").isNull(), "unknown category").when((F.get("segmentation.size", F.lit(0)) != F.col("height")) | (F.get("segmentation.size", F.lit(1)) != F.col("width")), "size differs"))
-    good = j.where("reason is null").select(F.col("file_name").alias("file"), "class", "height", F.col("segmentation.counts").alias("counts"))
-    px = rle_to_pixels(good.withColumn("key", F.monotonically_increasing_id()), F.col("height"), ["file", "class", "height", "key"])
-    return px.select("file", "class", "x", "y").distinct(), j.where("reason is not null").select("id", "file_name", "reason")
+    j = j.withColumns({"class": known, "polygons": F.when(F.col("segmentation").startswith("["), F.from_json("segmentation", "array<array<double>>")), "rle": F.when(F.col("segmentation").startswith("{"), rle)})
+    differs = F.col("rle").isNotNull() & ((F.get("rle.size", F.lit(0)) != F.col("height")) | (F.get("rle.size", F.lit(1)) != F.col("width")))
+    j = j.withColumn("reason", F.when(F.col("class").isNull(), "unknown category").when(differs, "size differs"))
+    good = j.where("reason is null").withColumnRenamed("file_name", "file")
+    plain = F.when(F.col("rle.counts").startswith("["), F.from_json("rle.counts", "array<long>")).otherwise(_decoded("rle.counts"))
+    counts = good.where("rle is not null").select("file", "class", "height", plain.alias("counts")).withColumn("key", F.monotonically_increasing_id())
+    px = rle_to_pixels(counts, F.col("height"), ["file", "class", "height", "key"]).select("file", "class", "x", "y")
+    drawn = polygon_pixels(good.where("polygons is not null").select("file", "class", "width", "height", F.explode("polygons").alias("points")), ["file", "class"])
+    return px.unionByName(drawn).distinct(), j.where("reason is not null").select("id", "file_name", "reason")
+
+
+def coco_write(mask: DataFrame, classes: Sequence[str], height: int, width: int, path: str, documents: int = 1) -> None:
+    """mask(file, class, x, y) as COCO documents with plain run lengths, a JSON file each: images are dealt over `documents`
+    by their name; ids count within a document, categories are the classes in their order."""
+    code = F.array_position(F.array(*map(F.lit, classes)), F.col("class"))
+    ann = coco_annotations(mask.where(F.col("class").isin(*classes)), ["file", "class"], height, width).withColumn("part", F.pmod(F.xxhash64("file"), F.lit(documents)))
+    size = F.struct(F.array(F.lit(height), F.lit(width)).alias("size"), F.col("counts").alias("counts"))
+    item = F.struct("file", code.alias("category_id"), F.col("area").cast("long").alias("area"), "bbox", size.alias("segmentation"))
+    doc = ann.groupBy("part").agg(F.array_sort(F.collect_set("file")).alias("files"), F.array_sort(F.collect_list(item)).alias("items"))
+    names = F.array(*(F.struct(F.lit(i + 1).alias("id"), F.lit(c).alias("name")) for i, c in enumerate(classes)))
+    images = F.transform("files", lambda f, i: F.struct((i + 1).alias("id"), f.alias("file_name"), F.lit(width).alias("width"), F.lit(height).alias("height")))
+    marks = F.transform("items", lambda a, i: F.struct((i + 1).alias("id"), F.array_position("files", a["file"]).alias("image_id"), a["category_id"].alias("category_id"), a["area"].alias("area"), a["bbox"].alias("bbox"), F.lit(1).alias("iscrowd"), a["segmentation"].alias("segmentation")))
+    doc.select("part", names.alias("categories"), images.alias("images"), marks.alias("annotations")).repartition(documents, "part").drop("part").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def coco_annotations(mask: DataFrame, by: Sequence[str], height: int, width: int) -> DataFrame:
