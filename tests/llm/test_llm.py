@@ -232,8 +232,32 @@ def test_forward_is_exact():
 
     assert lm.forward(s, chain) == pytest.approx([slow(x) for x in s])
     assert sum(10 ** lm.forward([np.array([i, j])], chain)[0] for i in range(7) for j in range(7)) == pytest.approx(1)
-    start, moves, emit = lm.expectations(s, chain, np.full(3, 1 / 3), 7, 4)
-    assert start.sum() == pytest.approx(3) and emit.sum() == pytest.approx(7) and moves.sum() == pytest.approx(4)
+
+
+def test_baum_welch_counts_are_those_of_whole_texts():
+    """Against posteriors by enumeration-free double precision recursions over whole texts longer than a row."""
+    rng = np.random.default_rng(7)
+    a, e = rng.random((3, 3)), rng.random((7, 3))
+    chain = lm.Chain(np.array([0.2, 0.3, 0.5]), a / a.sum(axis=1, keepdims=True), e / e.sum(axis=0))
+    texts = [rng.integers(0, 7, k) for k in (1, 3, 4, 5, 8, 9, 23, 40, 4)]
+    starts, moves, emit, total = np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3)), 0.0
+    for x in texts:
+        f, g = [chain.start * chain.emit[x[0]]], [np.ones(3)]
+        for k in x[1:]:
+            f.append(f[-1] @ chain.move * chain.emit[k])
+        for k in x[:0:-1]:
+            g.insert(0, chain.move @ (chain.emit[k] * g[0]))
+        p = f[-1].sum()
+        total += math.log(p)
+        starts += f[0] * g[0] / p
+        for k, (u, v) in enumerate(zip(f, g, strict=True)):
+            emit[x[k]] += u * v / p
+            if k:
+                moves += np.outer(f[k - 1], chain.emit[x[k]] * v) * chain.move / p
+    for rows in (2, 100):
+        got = lm.expectations(texts, chain, 7, 4, rows)
+        for mine, want in zip(got, (starts, moves, emit, total), strict=True):
+            assert np.allclose(mine, want, rtol=1e-4, atol=1e-4)
 
 
 def test_pii():

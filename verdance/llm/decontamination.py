@@ -113,7 +113,8 @@ def clean(docs: DataFrame, items: DataFrame, width: int = 10, key: str = "doc_id
     """docs without the rows in which a window of an item occurs."""
     number, sub = key_columns(docs, key, text)
     found = written(find_phrases(docs.select(number, sub, F.col(text).alias("__text")), phrases_of(items, width, item_key, "text")).select("__id", "__sub"))
-    return docs.withColumns({"__id": number, "__sub": sub}).join(small(found, max_broadcast), ["__id", "__sub"], "left_anti").drop("__id", "__sub")
+    packed = docs.select(F.struct("*").alias("row"), number, sub)  # no column of docs meets one of ours
+    return packed.join(small(found, max_broadcast), ["__id", "__sub"], "left_anti").select("row.*")
 
 
 def proximity(docs: DataFrame, queries: DataFrame, within: int, key: str = "doc_id", text: str = "text", max_broadcast: int = 1_000_000) -> DataFrame:

@@ -66,11 +66,12 @@ def train(docs: DataFrame, max_languages: int = 64) -> tuple[list[str], np.ndarr
             yield pa.record_batch([pa.array([x] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "gram", "n"])
 
     labelled = docs.select("text", "lang").where("text is not null and lang is not null")
+    seen = labelled.select("lang").distinct().limit(max_languages + 1).count()  # before any task counts for each of them
+    if seen > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     counted = labelled.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = counted.toArrow()  # bounded: BUCKETS rows a language
     names = sorted(set(got.column("lang").to_pylist()))
-    if len(names) > max_languages:
-        raise ValueError(f"{len(names)} languages; at most {max_languages} are allowed")
     model = np.full((BUCKETS, len(names)), 0.01)
     code = {x: i for i, x in enumerate(names)}
     model[got.column("gram").to_numpy(), [code[x] for x in got.column("lang").to_pylist()]] += got.column("n").to_numpy()

@@ -177,88 +177,131 @@ def first_chain(unigram: np.ndarray, seeds: list[np.ndarray], states: int) -> Ch
 
 
 def _segments_of(symbols: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts cut into rows of length (padded with -1), and which rows begin a text."""
+    """Texts cut into rows of length (padded with -1), each text's first row, and the texts' sizes."""
     sizes = np.array([len(s) for s in symbols])
     rows = -(-sizes // length)
     out = np.full((rows.sum(), length), -1, np.int32)
-    first = np.zeros(len(out), bool)
-    first[np.cumsum(rows) - rows] = True
     flat = np.concatenate(symbols).astype(np.int32)
     row = np.repeat(np.cumsum(rows) - rows, sizes)
     pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out[row + pos // length, pos % length] = flat
-    return out, first, sizes
+    return out, np.cumsum(rows) - rows, sizes
 
 
-def expectations(symbols: list[np.ndarray], chain: Chain, average: np.ndarray, n_symbols: int, length: int = 48) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of a batch: starts [K], moves [K, K], emissions [symbols, K]. Texts are cut into stretches of
-    length, later ones begin with the average share of states."""
-    obs, first, _ = _segments_of(symbols, length)
+def messages(symbols: list[np.ndarray], chain: Chain, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of _segments_of: the share of states before its first word, given the words before, and the
+    likelihood of the words after it by its last word's state (up to a factor). Whole texts go forward and backward side
+    by side; a text of one row takes no step."""
+    sizes = np.array([len(s) for s in symbols])
+    rows = -(-sizes // length)
+    K = len(chain.start)
+    heads, tails = np.tile(chain.start.astype(np.float32), (rows.sum(), 1)), np.ones((rows.sum(), K), np.float32)
+    order = np.argsort(-sizes, kind="stable")
+    order = order[: int((rows > 1).sum())]
+    if not len(order):
+        return heads, tails
+    flat = np.concatenate(symbols).astype(np.int32)
+    begin, row, n = (np.cumsum(sizes) - sizes)[order], (np.cumsum(rows) - rows)[order], sizes[order]
+    emit, move, back = chain.emit.astype(np.float32), chain.move.astype(np.float32), chain.move.T.astype(np.float32).copy()
+    longer = len(n) - np.searchsorted(n[::-1], np.arange(n[0] + 1), side="right")  # how many have more than t words
+    last = (-(-n // length) - 1) * length  # the last row's first word
+    open_ = len(n) - np.searchsorted(last[::-1], np.arange(last[0] + 1))  # how many have a row that begins at t or later
+    state = np.tile(chain.start.astype(np.float32), (len(n), 1))
+    for t, k in enumerate(open_.tolist()):
+        now = state[:k] if t == 0 else state[:k] @ move
+        if t and t % length == 0:
+            heads[row[:k] + t // length] = now
+        now = now * emit[flat[begin[:k] + t]]
+        state = now / now.sum(axis=1, keepdims=True)
+    beta = np.ones((len(n), K), np.float32)
+    for t in range(int(n[0]) - 1, length - 1, -1):  # from the word at t back to the one before
+        k = int(longer[t])
+        now = (emit[flat[begin[:k] + t]] * beta[:k]) @ back
+        beta[:k] = now / now.sum(axis=1, keepdims=True)
+        if t % length == 0:
+            tails[row[:k] + t // length - 1] = beta[:k]
+    return heads, tails
+
+
+def expectations(symbols: list[np.ndarray], chain: Chain, n_symbols: int, length: int = 48, rows: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Exact Baum-Welch counts of whole texts: starts [K], moves [K, K], emissions [symbols, K], and the texts' log
+    likelihood. Rows of `length` words are worked on many at a time, each between the messages of the rest of its text."""
+    obs, first, sizes = _segments_of(symbols, length)
+    heads, tails = messages(symbols, chain, length)
     K = len(chain.start)
     emit = np.vstack([chain.emit, np.ones((1, K))]).astype(np.float32)  # -1: padding, tells nothing
-    A = chain.move.astype(np.float32)
-    b = emit[obs.T]  # [length, rows, K]
-    alpha = np.empty_like(b)
-    scale = np.empty(obs.T.shape, np.float32)
-    now = np.where(first[:, None], chain.start, average).astype(np.float32)
-    for t in range(length):
-        x = (now if t == 0 else alpha[t - 1] @ A) * b[t]
-        scale[t] = np.maximum(x.sum(axis=1), 1e-30)
-        alpha[t] = x / scale[t][:, None]
-    beta = np.ones((len(obs), K), np.float32)
-    gamma, moves = alpha, np.zeros((K, K))
-    for t in range(length - 1, 0, -1):
-        real = (obs[:, t] >= 0)[:, None]
-        ahead = b[t] * beta / scale[t][:, None]
-        moves += (alpha[t - 1] * real).T @ ahead
-        last, beta = beta, ahead @ A.T
-        gamma[t] = alpha[t] * last
-    gamma[0] = alpha[0] * beta
-    gamma /= np.maximum(gamma.sum(axis=2, keepdims=True), 1e-30)
-    real = obs.T >= 0
-    flat, weights = obs.T[real], gamma[real]
-    out = np.stack([np.bincount(flat, weights=weights[:, k], minlength=n_symbols) for k in range(K)], axis=1)
-    return gamma[0][first].sum(axis=0).astype(np.float64), moves * chain.move, out
-
-
-def baum_welch(rows: DataFrame, counts: Counts, states: int = 8, rounds: int = 5) -> Chain:
-    """rows(symbols): Baum-Welch over all of them; each round's counts are summed per symbol by Spark."""
+    A, back = chain.move.astype(np.float32), chain.move.T.astype(np.float32).copy()  # noqa: N806
+    starts, moves, out, total = np.zeros(K), np.zeros((K, K)), np.zeros((n_symbols, K)), 0.0
+    ends, begins = np.empty_like(heads), np.empty_like(heads)
+    is_first = np.zeros(len(obs), bool)
+    is_first[first] = True
+    for lo in range(0, len(obs), rows):
+        part = obs[lo : lo + rows]
+        b = emit[part.T]  # [length, rows, K]
+        alpha, scale = np.empty_like(b), np.empty(part.T.shape, np.float32)
+        for t in range(length):
+            x = (heads[lo : lo + rows] if t == 0 else alpha[t - 1] @ A) * b[t]
+            scale[t] = np.maximum(x.sum(axis=1), 1e-30)
+            alpha[t] = x / scale[t][:, None]
+        real = part.T >= 0
+        total += float(np.log(scale[real]).sum())
+        ends[lo : lo + rows] = alpha[-1]
+        beta = tails[lo : lo + rows]
+        beta = beta / np.maximum((alpha[-1] * beta).sum(axis=1, keepdims=True), 1e-30)
+        gamma = alpha  # in place, from the end on
+        for t in range(length - 1, 0, -1):
+            ahead = b[t] * beta / scale[t][:, None]
+            moves += (alpha[t - 1] * real[t][:, None]).T @ ahead
+            gamma[t] = alpha[t] * beta
+            beta = ahead @ back
+        begins[lo : lo + rows] = b[0] * beta / scale[0][:, None]
+        gamma[0] = alpha[0] * beta
+        gamma /= np.maximum(gamma.sum(axis=2, keepdims=True), 1e-30)
+        flat, weights = part.T[real], gamma[real]
+        out += np.stack([np.bincount(flat, weights=weights[:, k], minlength=n_symbols) for k in range(K)], axis=1)
+        starts += gamma[0][is_first[lo : lo + rows]].sum(axis=0)
+    later = np.flatnonzero(~is_first)
+    moves += ends[later - 1].T @ begins[later]
+    return starts, moves * chain.move, out, total
+
+
+def baum_welch(rows: DataFrame, counts: Counts, states: int = 8, rounds: int = 5, least_gain: float = 1e-3) -> Chain:
+    """rows(symbols): Baum-Welch over all of them; each round's counts are summed per symbol by Spark. It ends after
+    `rounds`, or when a round raised the log likelihood of a word by less than least_gain."""
     n, names = counts.n_symbols, [f"g{k}" for k in range(states)]
     unigram = np.full(n, 1e-6)
-    unigram[counts.symbols] += 0
     np.add.at(unigram, counts.symbols[counts.symbols > TAIL], counts.counts[counts.symbols > TAIL])
     unigram[1 : TAIL + 1] += counts.tail_tokens
     unigram[0] += max(counts.tokens - unigram[1:].sum(), 1)
     unigram /= unigram.sum()
     seeds = rows.where(F.length("symbols") >= 200).select("symbols", F.xxhash64("symbols").alias("o")).orderBy("o").limit(states).collect()
-    chain = first_chain(unigram, [np.frombuffer(bytes(r[0]), "<u2") for r in seeds], states)
-    average = np.full(states, 1 / states)
+    chain, before = first_chain(unigram, [np.frombuffer(bytes(r[0]), "<u2") for r in seeds], states), -np.inf
     for _ in range(rounds):
 
-        def run(batches: Iterator[pa.RecordBatch], chain: Chain = chain, average: np.ndarray = average) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((n + 1 + states, states))
+        def run(batches: Iterator[pa.RecordBatch], chain: Chain = chain) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((n + 2 + states, states))
             for batch in batches:
                 texts = [np.frombuffer(x, "<u2") for x in batch.column(0).to_pylist()]
-                lo = size = 0
-                for i, x in enumerate(texts):
-                    size += len(x)
-                    if size > 100_000 or i == len(texts) - 1:
-                        start, moves, emit = expectations(texts[lo : i + 1], chain, average, n)
-                        total[:n] += emit
-                        total[n] += start
-                        total[n + 1 :] += moves
-                        lo, size = i + 1, 0
+                if texts:
+                    start, moves, emit, likelihood = expectations(texts, chain, n)
+                    total[:n] += emit
+                    total[n] += start
+                    total[n + 1 : n + 1 + states] += moves
+                    total[n + 1 + states, 0] += likelihood
             at = np.flatnonzero(total.any(axis=1))
             yield pa.record_batch([pa.array(at, pa.int32()), *(pa.array(total[at, k]) for k in range(states))], ["sym", *names])
 
         summed = rows.select("symbols").mapInArrow(run, "sym int, " + ", ".join(f"{x} double" for x in names))
         got = summed.groupBy("sym").agg(*(F.sum(x).alias(x) for x in names)).toArrow()  # bounded: a row a symbol
-        total = np.zeros((n + 1 + states, states))
+        total = np.zeros((n + 2 + states, states))
         for k, x in enumerate(names):
             total[got.column("sym").to_numpy(), k] = got.column(x).to_numpy()
-        emit = total[:n] + 2.0 * unigram[:, None] * states
-        average = (total[:n].sum(axis=0) + 1) / (total[:n].sum() + states)
-        chain = Chain((total[n] + 0.1) / (total[n] + 0.1).sum(), (total[n + 1 :] + 0.1) / (total[n + 1 :] + 0.1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        emit, moves = total[:n] + 2.0 * unigram[:, None] * states, total[n + 1 : n + 1 + states] + 0.1
+        chain = Chain((total[n] + 0.1) / (total[n] + 0.1).sum(), moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        now = total[n + 1 + states, 0] / max(total[:n].sum(), 1)
+        if now - before < least_gain:
+            break
+        before = now
     return chain
 
 
@@ -284,8 +327,13 @@ def forward(symbols: list[np.ndarray], chain: Chain) -> np.ndarray:
 
 def score_documents(docs: DataFrame, training: Column, keep: list[str], text: str = "text", states: int = 8, rounds: int = 5) -> DataFrame:
     """keep columns and n_tokens, n_known, train_tokens, base_score, score for every row; learns from the rows where
-    training holds. A null or empty text is the end alone. Repeated rows count and are scored each."""
-    marked = docs.withColumn("__train", training)
+    training holds. A null or empty text is the end alone. Repeated rows count and are scored each. Kept columns may have
+    any names; those of the results are replaced."""
+    fresh = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    keep = [c for c in dict.fromkeys(keep) if c.lower() not in fresh]
+    inner = {c: f"__kept{i}" for i, c in enumerate(keep)}  # no name of docs meets one of ours
+    docs = docs.select(*(F.col(c).alias(k) for c, k in inner.items()), F.col(text).alias("__body"), training.alias("__train"))
+    keep, text, marked = list(inner.values()), "__body", docs
     vocab = written(vocabulary(marked.where("__train"), text))
     counts = counts_of(vocab)
     ends = vocab.where(F.col("h") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
@@ -312,6 +360,6 @@ def score_documents(docs: DataFrame, training: Column, keep: list[str], text: st
     end_base = float(counts.base(np.array([ends]))[0])
     zero = lambda x: F.coalesce(x, F.lit(0))
     return scored.join(rare, "row", "left").select(
-        *keep, "n_tokens", (F.col("n_known") + zero("rare_known") + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(counts.tokens).cast("long").alias("train_tokens"),
+        *(F.col(k).alias(c) for c, k in inner.items()), "n_tokens", (F.col("n_known") + zero("rare_known") + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(counts.tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + end_base + zero("rare_base")).alias("base_score"), (F.col("hmm") + F.col("extra") + zero("rare_extra")).alias("score"),
     )

@@ -164,8 +164,13 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, seed:
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str], label: str = "quality", max_train: int = 20000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """keep columns of docs and score. Word vectors come from every text of docs; the network is fitted on at most
     max_train labelled rows (the lowest hashes of the key), the scores cover every row. labels(key, label): null keys or
-    labels teach nothing, of several labels of one key the highest counts."""
-    spark = docs.sparkSession
+    labels teach nothing, of several labels of one key the highest counts. Kept columns may have any names; a kept
+    `score` is replaced."""
+    keep = [c for c in dict.fromkeys(keep) if c.lower() != "score"]
+    inner = {c: f"__kept{i}" for i, c in enumerate(keep)}  # no name of docs meets one of ours
+    docs = docs.select(F.col(key).alias("__key"), F.col(text).alias("__body"), *(F.col(c).alias(k) for c, k in inner.items()))
+    labels = labels.select(F.col(key).alias("__key"), F.col(label).alias("__label"))
+    key, text, label, keep = "__key", "__body", "__label", list(inner.values())
     vectors = word_vectors(docs, text)
     feats = written(pooled(docs, vectors, list(dict.fromkeys([key, *keep])), text))
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max(label).cast("double").alias("__y"))
@@ -182,4 +187,5 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str], label: str = "
             p = net.score(f.flatten().to_numpy().reshape(-1, 2 * DIMS + 1).astype(np.float64)) if len(f) else np.zeros(0)
             yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(p, pa.float64())], [*keep, "score"])
 
-    return feats.mapInArrow(score, docs.select(*keep).schema.add("score", "double"))
+    scored = feats.mapInArrow(score, docs.select(*keep).schema.add("score", "double"))
+    return scored.select(*(F.col(k).alias(c) for c, k in inner.items()), "score")

@@ -98,7 +98,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str], text: str = "text") -> DataFrame:
-    """keep columns and score of every row; a null or empty text has the bias alone."""
+    """keep columns and score of every row; a null or empty text has the bias alone. Kept columns may have any names; a
+    kept `score` is replaced."""
+    keep = [c for c in dict.fromkeys(keep) if c.lower() != "score"]
+    inner = {c: f"__kept{i}" for i, c in enumerate(keep)}
+    docs = docs.select(F.col(text).alias("__body"), *(F.col(c).alias(k) for c, k in inner.items()))
+    keep, text = list(inner.values()), "__body"
     names, weights = model
     names, weights = names.astype(np.int64), weights.astype(np.float64)
 
@@ -116,4 +121,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str]
             p = 1 / (1 + np.exp(-np.clip(out, -40, 40)))
             yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(p, pa.float64())], [*keep, "score"])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(apply, docs.select(*keep).schema.add("score", "double"))
+    scored = docs.select(*keep, F.col(text).alias("__text")).mapInArrow(apply, docs.select(*keep).schema.add("score", "double"))
+    return scored.select(*(F.col(k).alias(c) for c, k in inner.items()), "score")
