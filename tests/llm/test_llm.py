@@ -341,3 +341,118 @@ def test_pipeline(spark, sf, docs):
     dirty = {i for i in first if any(tuple(w[k : k + n]) in grams for w in [word(texts[i])] for n in size for k in range(len(w) - n + 1))}
     assert kept == first - dirty
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_ftrl_is_the_textbook_rule():
+    rng = np.random.default_rng(8)
+    rows = [(np.unique(rng.integers(0, 40, 6)), float(rng.integers(0, 2))) for _ in range(50)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 1.0
+    z, n, bias = defaultdict(float), defaultdict(float), toxicity.BUCKETS
+
+    def weight(i):
+        cut = 0 if i == bias else l1
+        return 0.0 if abs(z[i]) <= cut else (math.copysign(cut, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for f, y in rows:
+            at = [*f.tolist(), bias]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    names, w, sums = toxicity.ftrl(rows, (np.zeros(0, np.int64), np.zeros(0), np.zeros(0)), 3, alpha, beta, l1, l2)
+    for i, a, b in zip(names.tolist(), w, sums, strict=True):
+        assert a == pytest.approx(weight(i), abs=1e-9) and b == pytest.approx(n[i])
+
+
+def auc(scores, truth):
+    order = np.argsort(np.argsort(scores))
+    k = truth.sum()
+    return (order[truth].sum() + k - k * (k + 1) / 2) / (k * (len(truth) - k))
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    for name, y, least in (("op1_quality_classifier", "quality", 0.95), ("op4_toxicity", "toxic", 0.8)):
+        got = queries.QUERIES[name](spark, d).where("held_out").join(labels, "doc_id").select("score", y).toPandas()
+        assert auc(got["score"].to_numpy(), got[y].to_numpy() == 1) > least
+
+
+def test_network_learns_what_a_single_layer_cannot():
+    """The sign of a product, with a tenth of the labels wrong: a single layer stays at 0.5."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (4000, 2 * quality.DIMS + 1))
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (rng.random(4000) < 0.1)).astype(float)
+    net = quality.fit(x[:3000], y[:3000], epochs=40)
+    p = net.score(x[3000:])
+    assert auc(p, y[3000:] == 1) > 0.65
+    for lo, hi in ((0, 0.4), (0.4, 0.6), (0.6, 1)):
+        at = (p >= lo) & (p < hi)
+        assert at.sum() < 30 or abs(p[at].mean() - y[3000:][at].mean()) < 0.15
+
+
+def test_mixture_against_plain_em():
+    rng = np.random.default_rng(2)
+    ll = np.log(rng.dirichlet([0.4] * 3, 30))
+    pi = np.full(3, 1 / 3)
+    for _ in range(400):
+        r = np.exp(ll) * pi
+        pi = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+    mine, _ = language_id._em(np.exp(ll), np.array([0, 30]), np.full((1, 3), 1 / 3), 400)
+    assert np.allclose(mine[0], pi, atol=1e-6)
+
+
+def test_feistel_inverse_and_independent_luhn():
+    key = b"k" * 32
+    image = [pii.permute(x, 777, key, "tag") for x in range(777)]
+    assert sorted(image) == list(range(777)) and image != list(range(777))
+
+    def valid(number):
+        digits = [int(c) for c in number][::-1]
+        return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+
+    seen = set()
+    for card in ("4111111111111111", "5500000000000004", "340000000000009", "6011000000000004"):
+        out, n = pii.pseudonymise(f"card {card} paid", key)
+        new = re.search(r"card (\d+) ", out)[1]
+        assert n["card"] == 1 and len(new) == len(card) and new != card and valid(new)
+        seen.add(new)
+    assert len(seen) == 4
+
+
+CLASH = "doc_id long, text string, score double, row long, symbols string, n_tokens string, __id string, __node string, __text string, __train string, lang_pred string, rejected_by string, n_words string"
+
+
+def test_clashing_columns(spark):
+    d = spark.createDataFrame([(i, f"some words of text {i % 3} " * (4 + i % 5), 0.5, i, "s", "t", "i", "n", "x", "y", "l", "r", "w") for i in range(12)] + [(None, None) + (None,) * 11], CLASH)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    keep = ["doc_id", "row", "symbols", "score", "__text", "__train"]
+    for out in (lm.score_documents(d, F.lit(True), keep), quality.classify(d, labels, keep), toxicity.score(d, toxicity.train(d, labels), keep)):
+        assert out.count() == 13 and out.columns.count("score") == 1 and {"row", "symbols", "__text", "__train"} <= set(out.columns)
+        assert {r.symbols for r in out.collect()} == {"s", None}
+    items = spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string")
+    for out in (near_dup.representatives(d), decontamination.clean(d, items)):
+        assert out.columns == d.columns and {r["__node"] for r in out.collect()} == {"n", None} and {r["__id"] for r in out.collect()} == {"i", None}
+    assert pii.protect(d, "k").count() == 13 and substring_dedup.deduplicate(d).count() == 13 and packing.pack_documents(d, queries.tokenizer_path()).count() >= 13
+    assert quality_rules.cascade(quality_rules.with_base(d), list(quality_rules.RULES)).columns.count("rejected_by") == 1
+
+
+def test_text_ids(spark):
+    d = spark.createDataFrame([("b", "one two three four five six seven"), ("a", "one two three four five six seven"), ("c", None)], "doc_id string, text string")
+    assert {r.id: r.class_id for r in near_dup.near_duplicates(d).collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_very_long_texts(spark):
+    """Texts over one chunk of a megabyte, with ties and repeated rows."""
+    long = " ".join(f"w{i % 5000}x{i}" for i in range(110_000))
+    assert len(long) > 1 << 20
+    d = spark.createDataFrame([(1, long), (2, long + " end"), (2, long + " end"), (3, "short")], "doc_id long, text string")
+    got = {(r.id, r.class_id) for r in near_dup.near_duplicates(d).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3)} and near_dup.representatives(d).count() == 2
+    gone = {(r.doc_id, r.n_removed) for r in substring_dedup.deduplicate(d).collect()}
+    assert (1, 0) in gone and (2, 110_000) in gone
+    assert packing.pack_documents(d, queries.tokenizer_path()).agg(F.countDistinct("doc_id")).first()[0] == 3
+    assert lm.score_documents(d, F.lit(True), ["doc_id"]).where("n_tokens > 110000 and score < 0").count() == 3
+    assert pii.protect(d, "k").count() == 4 and language_id.identify(d, language_id.train(d.withColumn("lang", F.lit("en")))).where("lang_pred = 'en'").count() == 4

@@ -40,7 +40,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def ftrl(rows: list[tuple[np.ndarray, float]], start: tuple[np.ndarray, np.ndarray, np.ndarray], epochs: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """FTRL-proximal with per-coordinate rates over rows (distinct features, label). Feature BUCKETS is the bias, which
-    has no L1. start: sorted features, weights, squared gradient sums. Returns features, weights (not 0), sums."""
+    has no L1. start: sorted features, weights, squared gradient sums. Returns features, weights, sums."""
     names = np.unique(np.concatenate([np.array([BUCKETS]), start[0], *(f for f, _ in rows)]))
     local = [np.searchsorted(names, f) for f, _ in rows]
     at, bias = np.searchsorted(names, start[0]), len(names) - 1
@@ -60,15 +60,14 @@ def ftrl(rows: list[tuple[np.ndarray, float]], start: tuple[np.ndarray, np.ndarr
             z[i] += g - s * w
             n[i] += g * g
     w = np.where(np.abs(z) <= first, 0.0, (np.sign(z) * first - z) / ((beta + np.sqrt(n)) / alpha + l2))
-    keep = w != 0
-    return names[keep], w[keep], n[keep]
+    return names, w, n
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", max_train: int = 16000, shard_rows: int = 4000, rounds: int = 1, epochs: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.18, l2: float = 1.0, min_docs: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Sorted features and weights, averaged over shards of about shard_rows rows after each round (iterative parameter
-    mixing). At most max_train labelled rows (lowest hashes of the key) are used; null keys or labels teach nothing, of
-    several labels of one key the highest counts. A shard's L1 is l1 times the root of its rows; features that fewer than
-    min_docs of its rows have are left out."""
+    mixing): a weight is the mean over the shards that have the feature. At most max_train labelled rows (lowest hashes of
+    the key) are used; null keys or labels teach nothing, of several labels of one key the highest counts. A shard's L1 is
+    l1 times the root of its rows; features that fewer than min_docs of all the used rows have are left out."""
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max(label).cast("double").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("__k"), "__k").limit(max_train)
     rows = written(docs.select(F.col(key), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col(key) == F.col("__k")).select(F.xxhash64("__k", F.lit(2)).alias("at"), F.coalesce("__text", F.lit("")).alias("text"), "__y"))
@@ -76,22 +75,38 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     rows = rows.withColumn("shard", F.pmod(F.hash("at"), F.lit(shards)))
     model = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
 
-    def fit(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("at", "ascending"), ("text", "ascending")])
-        labels, docs_ = group.column("__y").to_numpy() > 0, []
-        for _, hi, data, offs in chunks(group.column("text").combine_chunks()):
+    def distinct(column: pa.Array) -> list[np.ndarray]:
+        """Each text's different features."""
+        out = []
+        for _, _, data, offs in chunks(column):
             f, doc = features(data, offs)
             pair = np.unique(doc * (BUCKETS * 2) + f)
             cut = np.searchsorted(pair, np.arange(len(offs)) * (BUCKETS * 2))
-            docs_ += [pair[a:b] & (BUCKETS * 2 - 1) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        seen, times = np.unique(np.concatenate(docs_), return_counts=True) if docs_ else (np.zeros(0, np.int64), np.zeros(0))
-        common = np.union1d(seen[times >= min_docs], model[0])
-        kept = [f[np.isin(f, common, assume_unique=True)] for f in docs_]
-        names, w, n = ftrl(list(zip(kept, labels.astype(float), strict=True)), model, epochs, alpha, beta, l1 * len(labels) ** 0.5, l2)
+            out += [pair[a:b] & (BUCKETS * 2 - 1) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return out
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int32)
+        for batch in batches:
+            for f in distinct(batch.column(0)):
+                total[f] += 1
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at].astype(np.int64))], ["feature", "rows"])
+
+    often = rows.select("text").mapInArrow(count, "feature long, rows long").groupBy("feature").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= min_docs)
+    common = np.zeros(BUCKETS + 1, bool)
+    common[often.toArrow().column("feature").to_numpy()] = True  # at most BUCKETS rows
+    bits = np.packbits(common)
+
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("at", "ascending"), ("text", "ascending")])
+        labels, kept = group.column("__y").to_numpy() > 0, np.unpackbits(bits).astype(bool)
+        docs_ = [f[kept[f]] for f in distinct(group.column("text").combine_chunks())]
+        names, w, n = ftrl(list(zip(docs_, labels.astype(float), strict=True)), model, epochs, alpha, beta, l1 * len(labels) ** 0.5, l2)
         return pa.table({"feature": pa.array(names, pa.int64()), "w": pa.array(w, pa.float64()), "n": pa.array(n, pa.float64())})
 
     for _ in range(rounds):
-        mixed = rows.groupBy("shard").applyInArrow(fit, "feature long, w double, n double").groupBy("feature").agg((F.sum("w") / shards).alias("w"), (F.sum("n") / shards).alias("n"))
+        mixed = rows.groupBy("shard").applyInArrow(fit, "feature long, w double, n double").groupBy("feature").agg(F.avg("w").alias("w"), F.avg("n").alias("n"))
         got = mixed.where(F.abs("w") > 1e-3).orderBy("feature").toArrow()  # sparse by L1, at most BUCKETS + 1 rows
         model = tuple(got.column(c).to_numpy() for c in ("feature", "w", "n"))
     return model[0], model[1]
