@@ -14,8 +14,11 @@ LEAST_SHARE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or without a language of at least LEAST_SHARE."""
+    """Drops documents without a letter or without a language of at least LEAST_SHARE. Where no document names its language
+    nothing can be judged, and all stay."""
     model = language_id.train(docs.where(~language_id.held_out(3, 1)))
+    if not model[0]:
+        return docs
     extra = ["lang_pred", "score", "lang_set"]
     kept = language_id.identify(docs.select(*(c for c in docs.columns if c not in extra)), model)
     return kept.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).drop(*extra)
@@ -32,8 +35,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal values in the texts; n_chars follows."""
-    out = pii.protect(docs, DEMO_KEY, count=False)
+    """Replaces personal values in the texts; n_chars follows. The key is the setting spark.verdance.pii.key; without it a
+    demonstration key, whose pseudonyms anyone can undo, stands in."""
+    out = pii.protect(docs, spark.conf.get("spark.verdance.pii.key", DEMO_KEY), count=False)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
