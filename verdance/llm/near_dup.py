@@ -23,7 +23,7 @@ from .common import chunks, class_table, lower_table, mix, range_hash, runs, seg
 #: Words in a shingle, hash functions, keys that two nodes must share (at similarity 0.8 a pair misses that in about five
 #: of a million cases), leaders that a node is compared with in a round, nodes
 #: of a key to one leader in later rounds, later rounds at most.
-SHINGLE, BANDS, SHARED, LEADERS, GROUP, ROUNDS = 5, 16, 2, 6, 4, 3
+SHINGLE, BANDS, SHARED, LEADERS, GROUP, ROUNDS = 5, 16, 2, 16, 4, 3
 _CLASSES, _LOWER = class_table(), lower_table()
 
 
@@ -123,8 +123,8 @@ def _labelled(raw: bytes) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """x, y of pairs(x, y) whose alignment reaches `least`. words(nid, words). The two texts of a pair are of about one
-    size, so what a pair carries is bounded by its own texts."""
+    """x, y of pairs(x, y) that share SHARED keys and whose alignment reaches `least`. words(nid, sig, words). The two
+    texts of a pair are of about one size, so what a pair carries is bounded by its own texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sh(raw: bytes) -> np.ndarray:
@@ -133,15 +133,19 @@ def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
 
         for batch in batches:
             good, last, seen = [], None, None
-            for p, q in zip(batch.column(2), batch.column(3), strict=True):
+            a, b = (c.flatten().to_numpy().reshape(-1, BANDS) for c in (batch.column(4), batch.column(5)))
+            for near, p, q in zip(((a == b).sum(axis=1) >= SHARED).tolist(), batch.column(2), batch.column(3), strict=True):
+                if not near:
+                    good.append(False)
+                    continue
                 p, q = p.as_py(), q.as_py()
                 if q != last:
                     last, seen = q, sh(q)
                 good.append(alignment(sh(p), seen, least) >= least)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    a, b = (words.select(F.col("nid").alias(v), F.col("words").alias(f"w{v}")) for v in "xy")
-    both = pairs.join(a, "x").join(b, "y").select("x", "y", "wx", "wy")
+    a, b = (words.select(F.col("nid").alias(v), F.col("words").alias(f"w{v}"), F.col("sig").alias(f"s{v}")) for v in "xy")
+    both = pairs.join(a, "x").join(b, "y").select("x", "y", "wx", "wy", "sx", "sy")
     return both.mapInArrow(run, "x long, y long")
 
 
@@ -279,10 +283,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
     multi = written(keys.join(leads, "key"))
 
     def words_of(wanted: DataFrame, most: int) -> DataFrame:
-        """nid and words of the wanted nodes, at most `most`."""
+        """nid, sig and words of the wanted nodes, at most `most`."""
         named = nodes.select("nid", "node", "rep").join(wanted.distinct(), "nid", "left_semi")
         named = F.broadcast(named) if most <= max_broadcast else named
-        found = rows.select("id", "node", "words").join(named, "node").where(F.col("id").eqNullSafe(F.col("rep"))).select("nid", "words")
+        found = rows.select("id", "node", "sig", "words").join(named, "node").where(F.col("id").eqNullSafe(F.col("rep"))).select("nid", "sig", "words")
         return written(found.dropDuplicates(["nid"]))
 
     def links_of(pairs: DataFrame) -> DataFrame:
@@ -304,7 +308,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
         linked = found.count()
         placed = joined(placed, found, max_broadcast) if linked else placed
         left = crowded(left, placed)
-        if linked < 0.05 * many:  # further rounds would cost more than they save the last step
+        if linked < 0.005 * many:  # further rounds would cost more than they save the last step
             break
     apart = left.groupBy("nid", "comp").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED)
     apart = written(apart.select("nid", "comp"))
