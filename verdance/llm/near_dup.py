@@ -198,12 +198,14 @@ def crowded(keys: DataFrame, placed: DataFrame) -> DataFrame:
 def leader_pairs(keys: DataFrame, salt: int, least: float) -> DataFrame:
     """x, y: each node of keys(key, nid, n, comp, size) with leaders of other classes, those it meets most often. A key's
     nodes are dealt by hash into groups of about GROUP; each group has two leaders, of its smallest and its largest
-    class."""
+    class. After the first of these rounds only nodes of classes that links have made lead: for two nodes that are both
+    still alone the last step looks."""
     dealt = keys.withColumn("part", F.pmod(F.xxhash64("nid", "key", F.lit(salt)), F.ceil(F.col("size") / GROUP)))
     node = F.struct("comp", "nid", "n")
-    led = dealt.groupBy("key", "part").agg(F.min(node).alias("a"), F.max(node).alias("b")).where("a.comp < b.comp")
-    met = dealt.join(led, ["key", "part"]).select("nid", "n", F.when(F.col("comp") == F.col("a.comp"), F.col("b")).otherwise(F.col("a")).alias("o"))
-    return _ordered(_closest(met.where(_apart("n", "o.n", least)).select("nid", F.col("o.nid").alias("other")), 1), "nid", "other")
+    leading = dealt.where("nid != comp") if salt else dealt  # a class has its smallest node's name
+    led = leading.groupBy("key", "part").agg(F.min(node).alias("a"), F.max(node).alias("b"))
+    met = dealt.join(led, ["key", "part"]).select("nid", "n", "comp", F.when(F.col("comp") == F.col("a.comp"), F.col("b")).otherwise(F.col("a")).alias("o"))
+    return _ordered(_closest(met.where((F.col("comp") != F.col("o.comp")) & _apart("n", "o.n", least)).select("nid", F.col("o.nid").alias("other")), 1), "nid", "other")
 
 
 def _closest(met: DataFrame, least_times: int) -> DataFrame:
@@ -308,7 +310,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
         linked = found.count()
         placed = joined(placed, found, max_broadcast) if linked else placed
         left = crowded(left, placed)
-        if linked < 0.005 * many:  # further rounds would cost more than they save the last step
+        if not linked:
             break
     apart = left.groupBy("nid", "comp").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED)
     apart = written(apart.select("nid", "comp"))
