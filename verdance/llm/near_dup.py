@@ -188,11 +188,18 @@ def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x < y").distinct()
 
 
-def crowded(keys: DataFrame, placed: DataFrame) -> DataFrame:
-    """key, nid, n, comp and size (its nodes) of the keys of keys(key, nid, n) that nodes of several classes have."""
+def untested(pairs: DataFrame, tested: DataFrame, max_broadcast: int) -> DataFrame:
+    """The distinct pairs(x, y) that tested(x, y) lacks. They are written first, as Spark would move the anti-join to
+    before the distinct, where a pair stands once for each key that its nodes share."""
+    return written(written(pairs).join(small(tested, max_broadcast), ["x", "y"], "left_anti"))
+
+
+def crowded(keys: DataFrame, placed: DataFrame, max_broadcast: int) -> DataFrame:
+    """key, nid, n, comp and size (its nodes) of the keys of keys(key, nid, n) that nodes of several classes have. The
+    keys are counted first, so that while they are few the nodes of a frequent key stay where they are."""
     labelled = keys.select("key", "nid", "n").join(placed, "nid")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1").select("key", "size")
-    return labelled.join(mixed, "key").select("key", "nid", "n", "comp", "size")
+    return labelled.join(small(written(mixed), max_broadcast), "key").select("key", "nid", "n", "comp", "size")
 
 
 def leader_pairs(keys: DataFrame, salt: int, least: float) -> DataFrame:
@@ -298,10 +305,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
     tested = written(_closest(met, SHARED).select(F.col("other").alias("x"), F.col("nid").alias("y")))
     edges = links_of(tested)
     placed = joined(nodes.select("nid", F.col("nid").alias("comp")), edges, max_broadcast)
-    left = crowded(multi, placed)
+    left = crowded(multi, placed, max_broadcast)
     for salt in range(ROUNDS):
         left = written(left)
-        pairs = written(leader_pairs(left, salt, least).join(small(tested, max_broadcast), ["x", "y"], "left_anti"))
+        pairs = untested(leader_pairs(left, salt, least), tested, max_broadcast)
         many = pairs.count()
         if not many:
             break
@@ -309,14 +316,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, key: str = "doc_id", te
         tested, edges = tested.unionByName(pairs), edges.unionByName(found)
         linked = found.count()
         placed = joined(placed, found, max_broadcast) if linked else placed
-        left = crowded(left, placed)
+        left = crowded(left, placed, max_broadcast)
         if not linked:
             break
     apart = left.groupBy("nid", "comp").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED)
     apart = written(apart.select("nid", "comp"))
     if many := apart.count():
         words = words_of(apart.select("nid"), many)
-        pairs = written(prefix_pairs(words.join(small(apart, max_broadcast), "nid"), least).join(small(tested, max_broadcast), ["x", "y"], "left_anti"))
+        pairs = untested(prefix_pairs(words.join(small(apart, max_broadcast), "nid"), least), tested, max_broadcast)
         edges = edges.unionByName(written(verified(pairs, words, least)))
     placed = nodes.select("nid").join(components(edges, max_broadcast).withColumnRenamed("node", "nid"), "nid", "left").select("nid", F.coalesce("comp", "nid").alias("comp"))
     final = nodes.join(placed, "nid").select("nid", "node", "n_copies", F.struct(F.when(F.col("nulls") == 0, F.col("rep")).alias("id"), "node").alias("lead"), "comp")
