@@ -323,6 +323,19 @@ def test_substrings_on_odd_rows(spark, odd, empty):
     assert substring_dedup.deduplicate(odd).count() == 7 and substring_dedup.deduplicate(empty).count() == 0
 
 
+def test_substrings_with_colliding_hashes(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1 << 12)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    s, e = np.array([0, len(one)]), np.array([len(one), len(data)])
+    assert len(set(substring_dedup.range_hash(data, s, e).tolist())) == 1  # different words, one polynomial hash
+    assert len(set(substring_dedup.second_hash(data, s, e).tolist())) == 2
+    before, after, more = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("x", 10), ("y", 9), ("z", 10)))
+    rows = [(1, f"{before} {one} {after}"), (2, f"{before} {two} {after}"), (3, f"{before} {one} {after} {more}"), (4, f"{before} {two} {after} {more}")]
+    got = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), 20)
+    assert {(r.doc_id, r.n_words, r.n_removed) for r in got.collect()} == {(1, 20, 0), (2, 20, 0), (3, 30, 20), (4, 30, 20)}
+
+
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline as p
 

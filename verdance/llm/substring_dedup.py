@@ -5,7 +5,7 @@ Each window of `width` words has one anchor: the smallest hash of its k-word gra
 windows that choose it, and equal windows choose equal anchors at equal places. So windows need comparing only among the
 occurrences of one anchor, and only if the anchor occurs twice. Occurrences whose whole runs are equal form a class:
 all but its first are removed without looking further. Only the first ones of anchors with several classes are
-extended word by word."""
+extended word by word. Runs and windows are equal where two 64-bit hashes of different make agree."""
 
 from __future__ import annotations
 
@@ -46,8 +46,20 @@ def anchor_runs(words: np.ndarray, seg: np.ndarray, width: int) -> tuple[np.ndar
     return grams[p[new]], lo, hi, doc[lo]
 
 
+def second_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Another 64-bit hash of each word data[s:e]: a sum of its bytes mixed with their places, no polynomial, so that
+    words which range_hash confuses differ here. Words have a byte at least."""
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    n = e - s
+    first = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(first, n)
+    mixed = mix(data[np.repeat(s, n) + place].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1))
+    return mix(np.add.reduceat(mixed, first) + n.astype(np.uint64))
+
+
 def anchors(corpus: DataFrame, width: int) -> DataFrame:
-    """a (anchor), c (its whole run of windows), __id, __sub, at (first window start x 64 + further windows)."""
+    """a (anchor), c and d (hashes of its whole run of windows), __id, __sub, at (first window start x 64 + further windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,10 +70,11 @@ def anchors(corpus: DataFrame, width: int) -> DataFrame:
                 a, first, last, of = anchor_runs(words, seg, width)
                 if len(a):
                     c = mix(range_hash(words, first, last + width) + (last - first).astype(np.uint64))
+                    d = range_hash(second_hash(data, s, e), first, last + width)
                     at = (first - seg[of]) * 64 + (last - first)
-                    yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[lo + of]), pa.array(subs[lo + of]), pa.array(at)], ["a", "c", "__id", "__sub", "at"])
+                    yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d.view(np.int64)), pa.array(ids[lo + of]), pa.array(subs[lo + of]), pa.array(at)], ["a", "c", "d", "__id", "__sub", "at"])
 
-    return corpus.mapInArrow(run, "a long, c long, __id long, __sub long, at long")
+    return corpus.mapInArrow(run, "a long, c long, d long, __id long, __sub long, at long")
 
 
 def _within_budget(df: DataFrame, size: str, max_values: int) -> bool:
@@ -75,8 +88,8 @@ def removed_spans(corpus: DataFrame, width: int, max_values: int = 2_000_000) ->
     twice = found.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
     seeds = written(found.join(twice, "a", "left_semi"))
     place = F.struct("__id", "__sub", "at")
-    classes = written(seeds.groupBy("a", "c").agg(F.min(place).alias("first")))
-    later = seeds.join(classes, ["a", "c"]).where(place != F.col("first"))
+    classes = written(seeds.groupBy("a", "c", "d").agg(F.min(place).alias("first")))
+    later = seeds.join(classes, ["a", "c", "d"]).where(place != F.col("first"))
     spans = later.select("__id", "__sub", F.shiftright("at", 6).alias("lo"), (F.shiftright("at", 6) + F.col("at").bitwiseAND(63) + width).alias("hi"))
 
     several = classes.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
@@ -97,13 +110,13 @@ def removed_spans(corpus: DataFrame, width: int, max_values: int = 2_000_000) ->
                 more = at % 64 + 1
                 start = np.repeat(at // 64, more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
                 of = np.repeat(of, more)
-                h = range_hash(words, seg[of] + start, seg[of] + start + width)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ids[lo + of]), pa.array(subs[lo + of]), pa.array(start)], ["w", "__id", "__sub", "lo"])
+                w, v = (range_hash(x, seg[of] + start, seg[of] + start + width) for x in (words, second_hash(data, s, e)))
+                yield pa.record_batch([pa.array(w.view(np.int64)), pa.array(v.view(np.int64)), pa.array(ids[lo + of]), pa.array(subs[lo + of]), pa.array(start)], ["w", "v", "__id", "__sub", "lo"])
 
-    windows = written(corpus.join(edges, ["__id", "__sub"]).select("__id", "__sub", "__text", "ats").mapInArrow(extend, "w long, __id long, __sub long, lo long"))
+    windows = written(corpus.join(edges, ["__id", "__sub"]).select("__id", "__sub", "__text", "ats").mapInArrow(extend, "w long, v long, __id long, __sub long, lo long"))
     where = F.struct("__id", "__sub", "lo")
-    firsts = windows.groupBy("w").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "first")
-    extended = windows.join(firsts, "w").where(where != F.col("first")).select("__id", "__sub", "lo", (F.col("lo") + width).alias("hi"))
+    firsts = windows.groupBy("w", "v").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "v", "first")
+    extended = windows.join(firsts, ["w", "v"]).where(where != F.col("first")).select("__id", "__sub", "lo", (F.col("lo") + width).alias("hi"))
 
     by = Window.partitionBy("__id", "__sub").orderBy("lo", "hi")
     reach = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
