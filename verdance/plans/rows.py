@@ -49,9 +49,9 @@ def _(spark, d):
     return tables.list_frame_names(f, order=["event_id"]).select("event_id", "name")
 
 
-@query("safe_name", r"select doc_id, coalesce(nullif(regexp_replace(regexp_replace(replace(replace(lower(n), '°', ''), '%', 'pct'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'value') as name from (select doc_id, case doc_id % 4 when 0 then 'Temp (°C) ' || source when 1 then 'RH % ' || lang when 2 then '' else left(text, 20) end n from documents)")
+@query("safe_name", r"select doc_id, coalesce(nullif(regexp_replace(regexp_replace(replace(replace(lower(n), '°', ''), '%', 'pct'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'value') as name from (select doc_id, case doc_id % 4 when 0 then 'Temp (°C) ' || source when 1 then 'RH % ' || lang when 2 then '' else text end n from documents)")
 def _(spark, d):
-    n = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Temp (°C) "), "source")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("RH % "), "lang")).when(F.col("doc_id") % 4 == 2, F.lit("")).otherwise(F.left("text", F.lit(20)))
+    n = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Temp (°C) "), "source")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("RH % "), "lang")).when(F.col("doc_id") % 4 == 2, F.lit("")).otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", tables.safe_name(n).alias("name"))
 
 
