@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, and their SQL where SQL can express them."""
+"""The thirteen operators as queries over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lm, near_dup, packing, pii, quality, quality_rules, substring_dedup, toxicity
+from . import clustering, decontamination, exact_dedup, filter_audit, language_id, lm, near_dup, packing, pii, quality, quality_rules, substring_dedup, toxicity
 from .common import crc_mod, table
 
 #: Key of the pseudonyms in the queries; a user passes their own.
@@ -76,6 +76,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "lang_set")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_minhash_neardup": op2_minhash_neardup,
@@ -87,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 _SQL5 = r"""
@@ -126,4 +141,46 @@ not (base_failed or word_chars < 2 * n_words or word_chars > 15 * n_words or 10
 from f
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": _SQL5, "op8_substring_dedup": _SQL8, "op9_quality_rules": _SQL9}
+_SQL11 = r"""
+with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents)
+select doc_id, max(doc_id) over (partition by t) keep_id, count(*) over (partition by t) group_size,
+row_number() over (partition by t order by doc_id desc) = 1 kept, sha256(t) text_sha256
+from d
+"""
+
+_SQL12 = r"""
+with w as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+first as (select t, min(doc_id) doc_id from w group by t),
+f as (select w.doc_id, part, case when len(w) < 100 then 1 else 0 end + case when 100 * len(list_distinct(w)) < 80 * len(w) then 2 else 0 end
++ case when 100 * length(regexp_replace(w.t, '[^A-Z]+', '', 'g')) > 10 * length(w.t) then 4 else 0 end + case when regexp_matches(w.t, '[#$%&*|]') then 8 else 0 end
++ case when first.doc_id < w.doc_id then 16 else 0 end bits from w join first using (t)),
+c as (select part, bits, count(*) n, sum(case when quality = 1 then 1 else 0 end) good, sum(case when toxic = 1 then 1 else 0 end) toxic from f left join labels using (doc_id) group by all),
+l as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(l, b)),
+o as (select p.l || q.l || r.l || s.l || t.l filter_order, [p.b, q.b, r.b, s.b, t.b] b from l p, l q, l r, l s, l t where p.b + q.b + r.b + s.b + t.b = 31 and p.b | q.b | r.b | s.b | t.b = 31),
+s as (select filter_order, i step, b[i] bit, list_sum(list_concat([0], b[1 : i - 1]))::integer before from o, (select unnest(range(1, 6)) i)),
+r as (select part, filter_order, step, bit, sum(case when bits & before = 0 and bits & bit = 0 then n else 0 end)::bigint kept, sum(case when bits & before = 0 and bits & bit <> 0 then n else 0 end)::bigint removed,
+sum(case when bits & before <> 0 and bits & bit <> 0 then n else 0 end)::bigint redundant, sum(case when bits = bit then n else 0 end)::bigint unique_fails,
+sum(case when bits & before = 0 and bits & bit <> 0 then good else 0 end)::bigint good_lost, sum(case when bits & before = 0 and bits & bit <> 0 then toxic else 0 end)::bigint toxic_lost
+from c, s group by all)
+select part, filter_order, step::integer step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, bit))::bigint shapley from r
+"""
+
+
+def _sql13(k: int = 40, rounds: int = 5) -> str:
+    """The rounds written out; a component is a row. Distances are whole numbers."""
+    parts = [
+        "v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)",
+        "x as (select vec_id, unnest(range(64)) d, unnest(e) x from v)",
+        f"c0 as (select n, unnest(range(64)) d, unnest(e) y from (select row_number() over (order by sha256('2:' || vec_id)) - 1 n, e from v) where n < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} as (select vec_id, n, s from (select vec_id, n, sum((x - y) * (x - y))::bigint s, row_number() over (partition by vec_id order by sum((x - y) * (x - y)), n) r from x join c{i} using (d) group by vec_id, n) where r = 1)")
+        if i < rounds:
+            parts.append(f"m{i} as (select n, d, sum(x)::bigint s, count(*) m from x join a{i} using (vec_id) group by n, d)")
+            exact = "case when m.s >= 0 then m.s // m.m else -((m.m - 1 - m.s) // m.m) end"
+            parts.append(f"c{i + 1} as (select n, d, coalesce({exact}, y) y from c{i} left join m{i} m using (n, d))")
+    last = f"h as (select n, sha256(string_agg(y::bigint::varchar, ',' order by d)) centroid_sha256 from c{rounds} group by n)"
+    return f"with {', '.join([*parts, last])} select vec_id, n::integer as cluster, s distance, (sum(s) over (partition by n))::bigint cluster_inertia, (sum(s) over ())::bigint inertia, centroid_sha256 from a{rounds} join h using (n)"
+
+
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": _SQL5, "op8_substring_dedup": _SQL8, "op9_quality_rules": _SQL9, "op11_exact_dedup": _SQL11, "op12_filter_audit": _SQL12, "op13_centroid_clustering": _sql13()}
