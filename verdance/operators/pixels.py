@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .regions import dilate, distances, erode, label_blobs, mask_cleanup, running_quantile
+
+__all__ = ["dilate", "erode", "label_blobs", "mask_cleanup"]
 KEY = ["frame"]
 
 
@@ -69,85 +72,10 @@ def hsv_range_from_samples(samples: DataFrame, by: Sequence[str], margins: tuple
     return got.select(*by, F.posexplode(parts).alias("part", "h"), "s0", "s1", "v0", "v1").select(*by, "part", "h.h0", "h.h1", *(F.col(c).cast("int").alias(c) for c in ("s0", "s1", "v0", "v1")))
 
 
-def _disc(radius: int) -> list[tuple[int, int]]:
-    return [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if dx * dx + dy * dy <= radius * radius]
-
-
 def _offsets(points: list[tuple[int, int]]) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in points)))
 
 
-def dilate(mask: DataFrame, radius: int, width: int, height: int, key: Sequence[str] = KEY) -> DataFrame:
-    """Pixels within `radius` of the mask, inside the image. Runs of one row reach over the rows around them as longer or
-    shorter runs, overlapping runs are merged, and only the result is listed pixel by pixel: work grows with the runs
-    times the radius, not with the disc's area."""
-    row, kind = [*key, "y"], dict(mask.dtypes)
-    w = Window.partitionBy(*row).orderBy("x")
-    runs = mask.select(*key, "x", "y").distinct().withColumn("run", F.col("x") - F.row_number().over(w)).groupBy(*row, "run").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    reach = F.floor(F.sqrt(F.lit(radius * radius) - F.col("dy") * F.col("dy")))
-    wide = runs.withColumn("dy", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).select(*key, (F.col("y") + F.col("dy")).alias("y"), F.greatest(F.col("a") - reach, F.lit(0)).alias("a"), F.least(F.col("b") + reach, F.lit(width - 1)).alias("b"))
-    wide = wide.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("a") <= F.col("b")))
-    order = Window.partitionBy(*row).orderBy("a", "b")
-    new = F.coalesce(F.col("a") > F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True)).cast("int")
-    merged = wide.withColumn("new", new).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*row, "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return merged.select(*key, F.explode(F.sequence(F.col("a").cast(kind["x"]), F.col("b").cast(kind["x"]))).alias("x"), F.col("y").cast(kind["y"]).alias("y"))
-
-
-def erode(mask: DataFrame, radius: int, width: int, height: int, key: Sequence[str] = KEY) -> DataFrame:
-    """Pixels whose whole disc, as far as it lies in the image, is in the mask."""
-    disc = _disc(radius)
-    need = sum((((F.col("x") + a).between(0, width - 1)) & ((F.col("y") + b).between(0, height - 1))).cast("int") for a, b in disc)
-    votes = mask.select(*key, "x", "y", _offsets(disc).alias("o")).select(*key, (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-    return votes.groupBy(*key, "x", "y").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") == need) & F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).drop("n")
-
-
-def label_blobs(mask: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """mask with blob: 8-connected runs of one frame are joined; a frame's runs are one group."""
-    w = Window.partitionBy(*key, "x").orderBy("y")
-    runs = mask.distinct().withColumn("run", F.col("y") - F.row_number().over(w)).groupBy(*key, "x", "run").agg(F.min("y").alias("y0"), F.max("y").alias("y1"))
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "y0"]).reset_index(drop=True)
-        up = list(range(len(pdf)))
-
-        def top(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        rows = {x: g for x, g in pdf.groupby("x")}
-        for x, g in rows.items():
-            left = rows.get(x - 1)
-            if left is None:
-                continue
-            a, b = list(zip(left.index, left.y0, left.y1, strict=True)), list(zip(g.index, g.y0, g.y1, strict=True))
-            i = j = 0
-            while i < len(a) and j < len(b):
-                if a[i][1] <= b[j][2] + 1 and b[j][1] <= a[i][2] + 1:
-                    p, q = top(a[i][0]), top(b[j][0])
-                    up[max(p, q)] = min(p, q)
-                if a[i][2] < b[j][2]:
-                    i += 1
-                else:
-                    j += 1
-        return pdf.assign(blob=[top(i) for i in range(len(pdf))]).drop(columns="run")
-
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.select(*key).schema)
-    x = dict(runs.dtypes)["x"]
-    labelled = runs.groupBy(*key).applyInPandas(join, f"{head}, x {x}, y0 {dict(runs.dtypes)['y0']}, y1 {dict(runs.dtypes)['y1']}, blob long")
-    return labelled.select(*key, "x", F.explode(F.sequence("y0", "y1")).alias("y"), "blob")
-
-
-def mask_cleanup(mask: DataFrame, width: int, height: int, radius: int = 1, min_area: int = 4, key: Sequence[str] = KEY) -> DataFrame:
-    """Opened, then closed with a disc; 8-connected blobs of fewer than min_area pixels are dropped."""
-    opened = dilate(erode(mask, radius, width, height, key), radius, width, height, key)
-    closed = erode(dilate(opened, radius, width, height, key), radius, width, height, key)
-    blobs = label_blobs(closed, key)
-    large = blobs.groupBy(*key, "blob").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_area).select(*key, "blob")
-    return blobs.join(large, [*key, "blob"], "left_semi").drop("blob")
-
-
 def polygon_mask(pixels: DataFrame, plots: DataFrame) -> DataFrame:
     """pixels x plots whose pixel centre lies in the polygon (array<struct<x,y>>), by crossing number with half-open edges;
     plots(plot, polygon) is a settings table and is broadcast; their boxes come first."""
@@ -384,28 +312,15 @@ def drift_from_corners(corners: DataFrame, reference: DataFrame, by: Sequence[st
     return s.select(*by, "n", F.hypot("ca", "cb").alias("zoom"), F.degrees(F.atan2("cb", "ca")).alias("turn_deg"), (F.col("mu") - F.col("ca") * F.col("mx") + F.col("cb") * F.col("my")).alias("shift_x"), (F.col("mv") - F.col("cb") * F.col("mx") - F.col("ca") * F.col("my")).alias("shift_y"), F.sqrt(rest / F.col("n")).alias("rms"))
 
 
-def edge_advance(mask: DataFrame, frames: DataFrame, by: Sequence[str], cell: int = 64) -> DataFrame:
-    """frames(by, frame, t, usable) with advance_p95 and advance_max: distances of the newly covered pixels to the patch of
-    the baseline, the first usable frame with a target; 0 there, null before it and for unusable frames. Exact Euclidean
-    distances by grid cells: cells of pixels meet cells of the baseline's edge (an image has at most its area over cell^2
-    of either), and a pixel only the edge pixels of the cells that can hold its nearest one."""
+def edge_advance(mask: DataFrame, frames: DataFrame, by: Sequence[str]) -> DataFrame:
+    """frames(by, frame, t, usable) with advance_p95 and advance_max: exact Euclidean distances of the newly covered pixels to
+    the patch of the baseline, the first usable frame with a target; 0 there, null before it and for unusable frames. A pixel's
+    distance is worked out once, whatever the number of frames that hold it."""
     use = frames.where("usable")
     first = mask.join(use, [*by, "frame"]).groupBy(*by).agg(F.min(F.struct("t", "frame")).alias("f")).select(*by, F.col("f.frame").alias("__base"), F.col("f.t").alias("__t0"))
     base = mask.join(first.select(*by, F.col("__base").alias("frame")), [*by, "frame"], "left_semi").select(*by, "x", "y").distinct()
-    # only the patch's edge can be nearest: pixels with all four neighbours in it are inner ones
-    inner = base.select(*by, _offsets([(1, 0), (-1, 0), (0, 1), (0, -1)]).alias("o"), "x", "y").select(*by, (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y")).groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n = 4").drop("n")
-    edge = base.join(inner, [*by, "x", "y"], "left_anti").withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
     new = mask.join(use.select(*by, "frame", "t"), [*by, "frame"]).join(first, list(by)).where("t > __t0").join(base, [*by, "x", "y"], "left_anti").select(*by, "frame", "x", "y")
-    cells = edge.groupBy(*by, "cx", "cy").agg(F.collect_list(F.struct("x", "y")).alias("edge"))  # cell x cell pixels at most
-    spots = new.select(*by, "x", "y").distinct().withColumns({"px": F.floor(F.col("x") / cell), "py": F.floor(F.col("y") / cell)})
-    grid = spots.select(*by, "px", "py").distinct()
-    # cells that can hold the nearest edge pixel: those whose least distance is within the best cell's largest one
-    gap = lambda a, b, k: F.greatest((F.abs(F.col(a) - F.col(b)) - k) * cell, F.lit(0))
-    pairs = grid.join(cells.select(*by, "cx", "cy"), list(by)).withColumn("far", F.hypot(gap("px", "cx", -1), gap("py", "cy", -1))).withColumn("near", F.hypot(gap("px", "cx", 1), gap("py", "cy", 1)))
-    bound = F.min("far").over(Window.partitionBy(*by, "px", "py"))
-    useful = pairs.withColumn("bound", bound).where("near <= bound").select(*by, "px", "py", "cx", "cy")
-    dist = spots.join(useful, [*by, "px", "py"]).join(cells, [*by, "cx", "cy"]).withColumn("d", F.array_min(F.transform("edge", lambda e: F.hypot(e["x"] - F.col("x"), e["y"] - F.col("y")))))
-    nearest = dist.groupBy(*by, "x", "y").agg(F.min("d").alias("d"))
+    nearest = distances(new.select(*by, "x", "y").distinct(), base, by)
     adv = new.join(nearest, [*by, "x", "y"]).groupBy(*by, "frame").agg(F.percentile("d", 0.95).alias("advance_p95"), F.max("d").alias("advance_max"))
     later = F.col("usable") & (F.col("t") >= F.col("__t0"))
     out = frames.join(first.drop("__base"), list(by), "left").join(adv, [*by, "frame"], "left")
@@ -445,7 +360,7 @@ def sector_speeds(arrivals: DataFrame, by: Sequence[str], mm_per_px: float = 1.0
         pdf = pdf.sort_values("arrival")
         t, first = np.unique(pdf["arrival"].to_numpy(), return_index=True)
         d, ends = pdf["d"].to_numpy(), np.append(first[1:], len(pdf))
-        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in [*by, "sector"]}, "t": t, "own": [np.percentile(d[:n], 95) for n in ends]})
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in [*by, "sector"]}, "t": t, "own": running_quantile(d, ends, 0.95)})
 
     # a group holds one sector's pixels of one image; its front only moves at its own arrival times
     own = p.select(*by, "sector", F.col("arrival").cast("double"), F.col("d").cast("double")).groupBy(*by, "sector").applyInPandas(fronts_of, f"{head}, sector int, t double, own double")

@@ -56,11 +56,33 @@ def _(spark, d):
     return pixels.hsv_range_from_samples(_hsv(spark, d).where("v > 0"), ["grp"])
 
 
-@query("mask_cleanup")
+def _disc_sql(name, source, grow):
+    """A disc of radius 1 in 8 x 8 images: grown, or what keeps its whole disc."""
+    inside = "x + dx between 0 and 7 and y + dy between 0 and 7"
+    if grow:
+        return f"{name} as (select distinct frame, (x + dx)::int x, (y + dy)::int y from {source}, off where {inside})"
+    return f"{name} as (select frame, x, y from (select m.frame, m.x, m.y, count(*) need, count(n.x) got from (select * from {source}, off where {inside}) m left join {source} n on n.frame = m.frame and n.x = m.x + dx and n.y = m.y + dy group by all) where need = got)"
+
+
+CLEAN = f"""off as (select * from (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy)), {_disc_sql("c1", "mk", False)}, {_disc_sql("c2", "c1", True)}, {_disc_sql("c3", "c2", True)}, {_disc_sql("c4", "c3", False)},
+rc as (select frame, x, y, y * 8 + x l from c4 union select n.frame, n.x, n.y, rc.l from rc join c4 n on n.frame = rc.frame and abs(n.x - rc.x) <= 1 and abs(n.y - rc.y) <= 1), bl as (select frame, x, y, min(l) l from rc group by all), cl as (select frame, x, y, l from bl join (select frame, l, count(*) n from bl group by all) using (frame, l) where n >= 4)"""
+
+
+@query("mask_cleanup", f"with recursive {PX}, {MASK}, {CLEAN}\n;;\nselect frame, x, y from cl")
 def _(spark, d):
     return pixels.mask_cleanup(_mask(spark, d).select("frame", "x", "y"), 8, 8, 1, 4)
 
 
+@query("label_blobs", f"with recursive {PX}, {MASK}, rc as (select frame, x, y, y * 8 + x l from mk union select n.frame, n.x, n.y, rc.l from rc join mk n on n.frame = rc.frame and abs(n.x - rc.x) <= 1 and abs(n.y - rc.y) <= 1)\n;;\nselect frame, x, y, (min(l) // 8) * 4294967296 + min(l) % 8 blob from rc group by frame, x, y", "", "frame x y blob")
+def _(spark, d):
+    return pixels.label_blobs(_mask(spark, d).select("frame", "x", "y"), tile=4, block=8)
+
+
+@query("erode", f"with {PX}, {MASK}, off as (select * from (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy)), {_disc_sql('c1', 'mk', False)}\n;;\nselect frame, x, y from c1")
+def _(spark, d):
+    return pixels.erode(_mask(spark, d).select("frame", "x", "y"), 1, 8, 8)
+
+
 PLOTS = [("left", [(0.5, 0.5), (4.2, 0.9), (3.7, 6.5), (0.6, 6.1)]), ("star", [(4.5, 0.5), (7.6, 3.2), (5.8, 3.4), (7.1, 7.3), (4.4, 4.6)])]
 
 
@@ -261,7 +283,7 @@ dd as (select nw.grp, frame, nw.x, nw.y, min(sqrt((nw.x - bp.x) ** 2 + (nw.y - b
 ;;
 select grp, frame, case when usable and frame >= base then coalesce(p, 0) end advance_p95, case when usable and frame >= base then coalesce(m, 0) end advance_max from fu left join b using (grp) left join ad using (grp, frame)""", "advance_p95 advance_max", "grp frame")
 def _(spark, d):
-    return pixels.edge_advance(_mask(spark, d), _frames(spark, d), ["grp"], 4).select("grp", "frame", "advance_p95", "advance_max")
+    return pixels.edge_advance(_mask(spark, d), _frames(spark, d), ["grp"]).select("grp", "frame", "advance_p95", "advance_max")
 
 
 ARR = f"""{PX}, {MASK}, od as (select grp, frame, frame::double t, row_number() over (partition by grp order by frame) i from (select distinct grp, frame from px where frame % 7 <> 0)),
