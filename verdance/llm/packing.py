@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import CHUNK_BYTES, chunks, class_table, range_hash, runs
+from .common import CHUNK_BYTES, chunks, class_table, runs
 
-#: Bytes of known words that an encoder keeps (hashes, ids and their bounds); when they are full it starts anew.
-CACHE_BYTES = 24 << 20
+#: Bytes of known words that an encoder keeps (their own, WORD_BYTES for each, and ids); when they are full it starts anew.
+CACHE_BYTES = 48 << 20
+WORD_BYTES = 150
 #: Punctuation that is encoded apart from the letter or digit before it.
 TAIL = ".,;:!?|#$%&*+=/)]}"
 _CLASSES = class_table()
@@ -40,17 +41,18 @@ def load_tokenizer(path: str):
 
 class Encoder:
     """Token ids of whole texts. The tokenizer never joins text across white space and ends each run of letters with a
-    word-end token, so each different word (by its 64-bit hash) is encoded once and its ids are copied: punctuation at a
-    word's end apart, runs of letters many at a time. What it keeps is bounded by CACHE_BYTES, and it lives as long as a
-    task."""
+    word-end token, so each different word is encoded once, known by all of its bytes, and its ids are copied: punctuation
+    at a word's end apart, runs of letters many at a time. What it keeps is bounded by CACHE_BYTES, and it lives as long as
+    a task."""
 
     def __init__(self, path: str):
         self.tokenizer, self.ends = load_tokenizer(path)
         self._forget()
 
     def _forget(self) -> None:
-        self.names, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.spot: dict[bytes, int] = {}
+        self.held = 0
+        self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each word."""
@@ -71,8 +73,9 @@ class Encoder:
             size.append(many)
         return np.concatenate(ids), np.concatenate(size)
 
-    def _learn(self, names: np.ndarray, words: list[str]) -> None:
-        """Adds new names (ascending hashes) and their words."""
+    def _learn(self, new: list[bytes]) -> None:
+        """Adds words that it does not know, each once."""
+        words = [w.decode() for w in new]
         letters = np.fromiter((w.isalpha() for w in words), bool, len(words))
         at, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         for kind, how in ((True, self._together), (False, self._each)):
@@ -80,8 +83,9 @@ class Encoder:
             ids, many = how([words[i] for i in where.tolist()])
             size[where], at[where] = many, len(self.ids) + np.cumsum(many) - many
             self.ids = np.concatenate([self.ids, ids])
-        spot = np.searchsorted(self.names, names)
-        self.names, self.at, self.size = np.insert(self.names, spot, names), np.insert(self.at, spot, at), np.insert(self.size, spot, size)
+        self.spot.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
+        self.held += sum(map(len, new)) + WORD_BYTES * len(new)
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all the texts, one after another, and the texts' offsets; data and offs as chunks() has them."""
@@ -93,18 +97,19 @@ class Encoder:
         cut = np.flatnonzero((core < end) & (core > start) & _IS_ALNUM[data[core - 1]])
         lo, hi = np.insert(start, cut + 1, core[cut]), np.insert(end, cut, core[cut])
         doc = np.insert(doc, cut, doc[cut])
-        names, first, which = np.unique(range_hash(data, lo, hi), return_index=True, return_inverse=True)
-        if 24 * len(self.names) + 4 * len(self.ids) > CACHE_BYTES:
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+        if self.held + 4 * len(self.ids) > CACHE_BYTES:
             self._forget()
-        spot = np.minimum(np.searchsorted(self.names, names), max(len(self.names) - 1, 0))
-        new = np.flatnonzero(self.names[spot] != names) if len(self.names) else np.arange(len(names))
-        if len(new):
-            raw = data.tobytes()
-            self._learn(names[new], [raw[a:b].decode() for a, b in zip(lo[first[new]].tolist(), hi[first[new]].tolist(), strict=True)])
-            spot = np.searchsorted(self.names, names)
-        size = self.size[spot][which]
+        known = self.spot.get
+        which = np.fromiter((known(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(which < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys(words[i] for i in new)))
+            which[new] = [self.spot[words[i]] for i in new]
+        size = self.size[which]
         cut = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.at[spot][which] - cut[:-1], size) + np.arange(cut[-1])]
+        ids = self.ids[np.repeat(self.at[which] - cut[:-1], size) + np.arange(cut[-1])]
         return ids, cut[np.searchsorted(doc, np.arange(len(offs)))]
 
 
