@@ -469,3 +469,36 @@ def test_very_long_texts(spark):
     assert packing.pack_documents(d, queries.tokenizer_path()).agg(F.countDistinct("doc_id")).first()[0] == 3
     assert lm.score_documents(d, F.lit(True), ["doc_id"]).where("n_tokens > 110000 and score < 0").count() == 3
     assert pii.protect(d, "k").count() == 4 and language_id.identify(d, language_id.train(d.withColumn("lang", F.lit("en")))).where("lang_pred = 'en'").count() == 4
+
+
+def test_words_that_share_a_hash_have_their_own_ids(spark):
+    """The Thue-Morse word and its complement have the same polynomial hash modulo 2^64, whatever the odd multiplier."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate({97: "b", 98: "a"})
+    other = word.translate({97: "b", 98: "a"})
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    rows = [(1, word), (2, other), (3, f"{word} {other}."), (4, "and " + word)]
+    got = defaultdict(dict)
+    for r in packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), queries.tokenizer_path(), 512).collect():
+        got[r.doc_id][r.start] = (r.length, r.ids_crc32)
+    for i, text in rows:
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        assert sum(n for n, _ in got[i].values()) == len(ids)
+        assert all(zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()) == c for s, (n, c) in got[i].items())
+
+
+def test_every_day_has_its_own_pseudonym():
+    import datetime
+
+    first, key = datetime.date(1900, 1, 1).toordinal(), b"k" * 16
+    days = [datetime.date.fromordinal(first + i) for i in range(73049)]
+    for sep in "-/.":
+        for form, some in ((("y", "m", "d"), days), (("d", "m", "y"), days), (("m", "d", "y"), [d for d in days if d.day > 12])):
+            put = [sep.join({"y": f"{d.year:04d}", "m": f"{d.month:02d}", "d": f"{d.day:02d}"}[c] for c in form) for d in (some if sep == "/" else some[::7])]
+            new = [pii.date(x, key) for x in put]
+            assert len(set(new)) == len(put)
+    both = {pii.date(f"{d.day:02d}/{d.month:02d}/{d.year}", key) for d in days} | {pii.date(f"{d.month:02d}/{d.day:02d}/{d.year}", key) for d in days if d.day > 12}
+    assert len(both) == len(days) + sum(d.day > 12 for d in days)

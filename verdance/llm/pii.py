@@ -106,7 +106,9 @@ def iban(text: str, key: bytes) -> str | None:
 
 
 def date(text: str, key: bytes) -> str | None:
-    """A day of 1900 to 2099 as y-m-d, d-m-y or (if that is no day) m-d-y with -, / or dots; permuted among those days."""
+    """A day of 1900 to 2099 as y-m-d, d-m-y or (if that is no day) m-d-y with -, / or dots; permuted among those days. What is
+    read as m-d-y has a day over 12, and so has what is written for it: the permutation is walked until it comes to one, so
+    different days have different pseudonyms and each can be undone."""
     sep = re.search("[-/.]", text)[0]
     p = text.split(sep)
     orders = ("ymd",) if len(p[0]) == 4 else ("dmy", "mdy")
@@ -118,9 +120,11 @@ def date(text: str, key: bytes) -> str | None:
             continue
         if not 0 <= day < _DAYS:
             continue
-        new = datetime.date.fromordinal(permute(day, _DAYS, key, "date") + _DAY0)
-        if order == "mdy" and new.day <= 12 or order == "dmy":
-            order = order  # the order read is the order written
+        while True:
+            day = permute(day, _DAYS, key, "date")
+            new = datetime.date.fromordinal(day + _DAY0)
+            if order != "mdy" or new.day > 12:
+                break
         value = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
         return sep.join(value[c] for c in order)
     return None
