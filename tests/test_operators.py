@@ -338,20 +338,6 @@ def test_covariate_at_over_buckets(spark):
         assert wide["a", s] == (want if want is None else pytest.approx(want))
 
 
-def test_refits_agree_with_single_fits():
-    rng = np.random.default_rng(5)
-    t = np.linspace(0, 20, 40)
-    for name, q in (("linear", [1.0, 2.0]), ("logistic", [50.0, 0.6, 9.0]), ("sqrt_lag", [4.0, 2.0])):
-        m = growth.MODELS[name]
-        y = m.value(t, *q) + rng.normal(0, 0.5, (6, len(t)))
-        found, good = growth.refit_many(m, t, y, lambda x: x, np.array(q))
-        assert good.all()
-        for k in range(6):
-            one = growth.fit_one(t, y[k], None, name, start=np.array(q))
-            a, b = m.value(t, *found[k]), m.value(t, *one["params"].values())
-            assert ((y[k] - a) ** 2).sum() <= ((y[k] - b) ** 2).sum() * (1 + 1e-4)
-
-
 def test_falling_logistic_and_singular_covariance():
     t = np.linspace(0, 20, 40)
     fall = growth.fit_one(t, 10 / (1 + np.exp(0.5 * (t - 8))), None, "logistic", start=np.array([10, -0.3, 8]))

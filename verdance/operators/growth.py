@@ -1,23 +1,26 @@
 """Growth curves: closed-form lines in SQL, non-linear fits of many series at once, correlated errors, bootstrap.
 
-A group holds one series and one model: some hundred points. Bootstrap draws are spread over blocks of draws, so one
-series never keeps a task busy for long."""
+A series is one row of some hundred points; a batch of rows is fitted side by side (fitting.py). Bootstrap draws are spread
+over blocks of draws, so one series never keeps a task busy for long."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fitting import Law, Series, aicc, covariance, solve, with_errors
+
 
 @dataclass(frozen=True)
 class Model:
     """A growth law: value(t, *params), first guesses from (t, y), bounds of the parameters, the law as a column of the map
-    of its parameters and t, and for laws that are linear in their parameters the columns that these weigh."""
+    of its parameters and t, for laws that are linear in their parameters the columns that these weigh, and for others the
+    parameter, if any, that scales the rest. value takes a row of times for each set of parameters."""
 
     params: tuple[str, ...]
     value: Callable[..., np.ndarray]
@@ -26,6 +29,10 @@ class Model:
     high: tuple[float, ...]
     column: Callable[[Callable[[str], Column], Column], Column] | None = None
     design: Callable[[np.ndarray], np.ndarray] | None = None
+    scale: str | None = None
+
+    def law(self) -> Law:
+        return Law(self.value, np.array(self.low, float), np.array(self.high, float), self.params.index(self.scale) if self.scale else None, self.design)
 
 
 def _logistic(t, K, r, t_mid):  # noqa: N803
@@ -75,7 +82,8 @@ _COLUMNS: dict[str, Callable[[Callable[[str], Column], Column], Column]] = {
     "richards": lambda v, t: v("K") * F.pow(1 + v("nu") * F.exp(-v("r") * (t - v("t_mid"))), -1 / v("nu")),
 }
 _DESIGNS = {"linear": lambda t: np.stack([np.ones(len(t)), t], axis=1), "sqrt": lambda t: np.sqrt(np.maximum(t, 0))[:, None]}
-MODELS = {name: replace(m, column=_COLUMNS[name], design=_DESIGNS.get(name)) for name, m in MODELS.items()}
+_SCALES = {"sqrt_lag": "k", "power": "k", "logistic": "K", "richards": "K"}
+MODELS = {name: replace(m, column=_COLUMNS[name], design=_DESIGNS.get(name), scale=_SCALES.get(name)) for name, m in MODELS.items()}
 
 
 def register_model(name: str, model: Model) -> None:
@@ -133,128 +141,51 @@ def akaike_weights(fits: DataFrame, by: Sequence[str], value: str = "aicc") -> D
 # --- non-linear fits -------------------------------------------------------------------------------------------------
 
 
-def least_squares(residual: Callable[[np.ndarray], np.ndarray], start: np.ndarray, low: np.ndarray, high: np.ndarray, evaluations: int = 2000) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Levenberg-Marquardt with bounds by clipping: parameters, Jacobian there, converged."""
-
-    def jac(p: np.ndarray, r: np.ndarray) -> np.ndarray:
-        out = np.empty((len(r), len(p)))
-        for i in range(len(p)):
-            h = 1e-7 * max(abs(p[i]), 1e-3)
-            q = p.copy()
-            q[i] = p[i] + h if p[i] + h <= high[i] else p[i] - h
-            out[:, i] = (residual(q) - r) / (q[i] - p[i])
+def fit_many(series: Series, law: Law, names: Sequence[str], starts: np.ndarray, weighted: np.ndarray, errors: str = "iid") -> list[dict]:
+    """Parameters and statistics of one law for many series, one FIT record each."""
+    n, p = series.used.sum(axis=1), len(names)
+    out: list[dict] = [{"ok": False, "n": int(k), "message": f"too few points: {k}"} for k in n]
+    rows = np.flatnonzero(n >= p + 2)
+    if not len(rows):
         return out
-
-    p = np.clip(np.array(start, float), low, high)
-    r = residual(p)
-    cost, damp, used = float(r @ r), 1e-3, 1
-    while used < evaluations:
-        J = jac(p, r)  # noqa: N806
-        used += len(p)
-        if not np.all(np.isfinite(J)):
-            return p, J, False
-        A, g = J.T @ J, J.T @ r  # noqa: N806
-        for _ in range(30):
-            try:
-                step = np.linalg.solve(A + damp * np.diag(np.diag(A) + 1e-12), -g)
-            except np.linalg.LinAlgError:
-                damp *= 10
-                continue
-            q = np.clip(p + step, low, high)
-            rq = residual(q)
-            used += 1
-            new = float(rq @ rq)
-            if np.isfinite(new) and new < cost:
-                small = cost - new <= 1e-12 * cost and np.all(np.abs(q - p) <= 1e-9 * (np.abs(p) + 1e-9))
-                p, r, cost, damp = q, rq, new, max(damp / 10, 1e-12)
-                if small:
-                    return p, jac(p, r), True
-                break
-            damp *= 10
-        else:
-            return p, jac(p, r), True
-    return p, jac(p, r), False
-
-
-def _whiten(e: np.ndarray, lag: np.ndarray, phi: float) -> tuple[np.ndarray, np.ndarray]:
-    """Innovations of correlated errors, scaled to one variance, and the correlations; lag in typical gaps."""
-    rho = np.minimum(phi**lag, 1 - 1e-9) if phi > 0 else np.zeros(len(lag))
-    out = e.copy()
-    out[1:] = (e[1:] - rho * e[:-1]) / np.sqrt(1 - rho**2)
-    return out, rho
-
-
-def fit_one(t: np.ndarray, y: np.ndarray, unc: np.ndarray | None, name: str | Model, errors: str = "iid", evaluations: int = 2000, start: np.ndarray | None = None) -> dict:
-    """One series and one model: parameters and statistics. errors: iid, ar1, or auto (lower AICc, the simpler on ties).
-    unc is used if every one is above 0."""
-    model = name if isinstance(name, Model) else MODELS[name]
-    n, p = len(t), len(model.params)
-    out: dict = {"ok": False, "n": n, "message": None}
-    if n < p + 2:
-        return out | {"message": f"too few points: {n}"}
-    weighted = unc is not None and bool(np.all(np.isfinite(unc) & (unc > 0)))
-    sigma = unc if weighted else np.ones(n)
-    low, high = np.array(model.low), np.array(model.high)
-    gap = np.diff(t)
-    lag = gap / np.median(gap[gap > 0]) if np.any(gap > 0) else np.ones(n - 1)
-
-    def solve(phi: float, begin: np.ndarray) -> tuple:
-        res = lambda q: _whiten((y - model.value(t, *q)) / sigma, lag, phi)[0]
-        with np.errstate(all="ignore"):
-            q, J, good = least_squares(res, begin, low, high, evaluations)  # noqa: N806
-            return q, J, good, res(q)
-
-    begin = np.array(model.start(t, y) if start is None else start, float)
-    q, J, good, z = solve(0.0, begin)  # noqa: N806
-    if not good or not np.all(np.isfinite(z)):
-        return out | {"message": "no convergence"}
-
-    def stats(z: np.ndarray, k: int, phi: float) -> tuple[float, float | None]:
-        rho = _whiten(np.zeros(n), lag, phi)[1]
-        aic = n * np.log(max(float(z @ z), 1e-300) / n) + float(np.log(1 - rho**2).sum()) + 2 * k
-        return aic, aic + 2 * k * (k + 1) / (n - k - 1) if n - k - 1 > 0 else None
-
-    phi, k = 0.0, p + 1
-    aic, aicc = stats(z, k, 0.0)
-    if errors != "iid" and n >= p + 5:
-        warm = [q]
-
-        def profile(f: float) -> float:
-            got = solve(f, warm[0])
-            warm[0] = got[0]
-            return stats(got[3], p + 2, f)[0]
-
-        a, b, g = 0.0, 0.98, (5**0.5 - 1) / 2
-        c, d = b - g * (b - a), a + g * (b - a)
-        fc, fd = profile(c), profile(d)
-        for _ in range(14):
-            if fc < fd:
-                b, d, fd = d, c, fc
-                c = b - g * (b - a)
-                fc = profile(c)
-            else:
-                a, c, fc = c, d, fd
-                d = a + g * (b - a)
-                fd = profile(d)
-        f = (a + b) / 2
-        q2, J2, good2, z2 = solve(f, warm[0])  # noqa: N806
-        aic2, aicc2 = stats(z2, p + 2, f)
-        if good2 and (errors == "ar1" or (aicc2 is not None and aicc is not None and aicc2 < aicc)):
-            q, J, z, phi, k, aic, aicc = q2, J2, z2, f, p + 2, aic2, aicc2  # noqa: N806
-    chi2 = float(z @ z) / max(n - p, 1)
+    s, n, weighted = series.rows(rows), n[rows], weighted[rows]
+    fit, k = with_errors(s, law, starts[rows], errors)
+    squares = (fit.z**2).sum(axis=1)
+    chi2 = squares / np.maximum(n - p, 1)
     with np.errstate(all="ignore"):
-        normal = J.T @ J
-        sound = bool(np.all(np.isfinite(normal))) and np.linalg.cond(normal) <= 1e14
-        cov = np.linalg.inv(normal) * (1.0 if weighted else chi2) if sound else np.full(normal.shape, np.inf)
-        err = np.sqrt(np.maximum(np.diag(cov), 0))
-        e = y - model.value(t, *q)
-        dw = float((np.diff(z) ** 2).sum() / max(float(z @ z), 1e-300))
-    tss = float(((y - y.mean()) ** 2).sum())
-    notes = [m for m, on in (("chi2 over 3", weighted and chi2 > 3), ("durbin-watson under 1", phi == 0 and dw < 1), ("strongly correlated", phi > 0.7), ("no covariance", not np.all(np.isfinite(err)))) if on]
-    return out | {
-        "ok": True, "params": dict(zip(model.params, map(float, q), strict=True)), "stderr": dict(zip(model.params, map(float, err), strict=True)), "r2": 1 - float(e @ e) / tss if tss > 0 else None, "rmse": float(np.sqrt(e @ e / n)),
-        "aic": aic, "aicc": aicc, "bic": aic - 2 * k + k * float(np.log(n)), "weighted": weighted, "reduced_chi2": chi2 if weighted else None, "durbin_watson": dw, "error_model": "ar1" if phi > 0 else "iid", "ar1_phi": phi, "warnings": notes,
-    }
+        spread = covariance(s, law, fit) * np.where(weighted, 1.0, chi2)[:, None, None]
+        err = np.sqrt(np.maximum(np.einsum("mpp->mp", spread), 0))
+        err = np.where(np.isfinite(spread).all(axis=(1, 2))[:, None], err, np.inf)
+        e = np.where(s.used, s.y - law.at(s.t, fit.q), 0.0)
+        mean = np.where(s.used, s.y, 0.0).sum(axis=1) / n
+        total = (np.where(s.used, s.y - mean[:, None], 0.0) ** 2).sum(axis=1)
+        rest = (e * e).sum(axis=1)
+        watson = (np.where(s.used[:, 1:], np.diff(fit.z, axis=1), 0.0) ** 2).sum(axis=1) / np.maximum(squares, 1e-300)
+    aic, small = fit.deviance + 2 * k, aicc(fit.deviance, n, k)
+    for i, row in enumerate(rows.tolist()):
+        if not fit.good[i]:
+            out[row]["message"] = "no convergence"
+            continue
+        phi = float(fit.phi[i])
+        notes = [m for m, on in (("chi2 over 3", weighted[i] and chi2[i] > 3), ("durbin-watson under 1", phi == 0 and watson[i] < 1), ("strongly correlated", phi > 0.7), ("no covariance", not np.isfinite(err[i]).all())) if on]
+        out[row] = {
+            "ok": True, "n": int(n[i]), "message": None, "params": dict(zip(names, fit.q[i].tolist(), strict=True)), "stderr": dict(zip(names, err[i].tolist(), strict=True)), "r2": float(1 - rest[i] / total[i]) if total[i] > 0 else None, "rmse": float(np.sqrt(rest[i] / n[i])),
+            "aic": float(aic[i]), "aicc": None if np.isnan(small[i]) else float(small[i]), "bic": float(fit.deviance[i] + k[i] * np.log(n[i])), "weighted": bool(weighted[i]), "reduced_chi2": float(chi2[i]) if weighted[i] else None, "durbin_watson": float(watson[i]),
+            "error_model": "ar1" if phi > 0 else "iid", "ar1_phi": phi, "warnings": notes,
+        }
+    return out
+
+
+def _weights(unc: np.ndarray | None) -> np.ndarray | None:
+    """Uncertainties, if every point has one above 0."""
+    return unc if unc is not None and len(unc) and bool(np.all(np.isfinite(unc) & (unc > 0))) else None
+
+
+def fit_one(t: np.ndarray, y: np.ndarray, unc: np.ndarray | None, name: str | Model, errors: str = "iid", start: np.ndarray | None = None) -> dict:
+    """One series and one model, as fit_growth has them."""
+    model, w = name if isinstance(name, Model) else MODELS[name], _weights(unc)
+    begin = model.start(t, y) if start is None else start
+    return fit_many(Series.of([t], [y], [w]), model.law(), model.params, np.array([begin], float), np.array([w is not None]), errors)[0]
 
 
 FIT = "ok boolean, n long, message string, params map<string,double>, stderr map<string,double>, r2 double, rmse double, aic double, aicc double, bic double, weighted boolean, reduced_chi2 double, durbin_watson double, error_model string, ar1_phi double, warnings array<string>, t_first double, t_last double"
@@ -265,21 +196,66 @@ def _head(df: DataFrame, by: Sequence[str]) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
 
 
-def fit_growth(points: DataFrame, by: Sequence[str], models: Sequence[str] = DEFAULT_MODELS, errors: str = "auto") -> DataFrame:
-    """by, model and FIT columns: every model for every series of points(by, t, y, unc); null t or y are left out. Failures
-    are rows with ok false and a message."""
-    used = points.where("t is not null and y is not null and not isnan(y)").select(*by, F.col("t").cast("double").alias("t"), F.col("y").cast("double").alias("y"), F.col("unc").cast("double").alias("unc"))
-    each = used.withColumn("model", F.explode(F.array(*map(F.lit, models))))
-    own = {name: MODELS[name] for name in models if name not in _COLUMNS}
+#: Points, with padding, that are fitted side by side.
+CELLS = 1 << 17
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "y"])
-        t = pdf["t"].to_numpy()
-        name = pdf["model"].iloc[0]
-        got = fit_one(t, pdf["y"].to_numpy(), pdf["unc"].to_numpy(), own.get(name, name), errors) | {"t_first": float(t[0]), "t_last": float(t[-1])}
-        return pd.DataFrame([{**{b: pdf[b].iloc[0] for b in [*by, "model"]}, **{c: got.get(c) for c in _FIT_COLUMNS}}])
+def _series(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by and pts, the points of each series in order (some hundred); null t or y are left out. Series are dealt out over as
+    many tasks as shuffles have, however few bytes they are: fits are work, not data."""
+    used = points.where("t is not null and y is not null and not isnan(y)").select(*by, F.struct(F.col("t").cast("double").alias("t"), F.col("y").cast("double").alias("y"), F.col("unc").cast("double").alias("unc")).alias("p"))
+    return used.groupBy(*by).agg(F.array_sort(F.collect_list("p")).alias("pts")).where(F.size("pts") > 0)
 
-    return each.groupBy(*by, "model").applyInPandas(run, f"{_head(points, by)}, model string, {FIT}")
+
+def _dealt(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by) if by else df
+
+
+def _points_of(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """t, y and uncertainties (where all are above 0) of each row's pts."""
+    pts = batch.column("pts")
+    flat, at = pts.flatten(), np.concatenate([[0], np.cumsum(pts.value_lengths().to_numpy(zero_copy_only=False))])
+    t, y, u = (flat.field(i).fill_null(float("nan")).to_numpy(zero_copy_only=False) for i in range(3))
+    return [(t[a:b], y[a:b], _weights(u[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _side_by_side(sizes: list[int]) -> Iterator[list[int]]:
+    """Rows, by length, in groups of about CELLS points with their padding."""
+    group: list[int] = []
+    for i in sorted(range(len(sizes)), key=lambda i: sizes[i]):
+        if group and (len(group) + 1) * sizes[i] > CELLS:
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
+def fit_growth(points: DataFrame, by: Sequence[str], models: Sequence[str] = DEFAULT_MODELS, errors: str = "auto") -> DataFrame:
+    """by, model and FIT columns: every model for every series of points(by, t, y, unc); null t or y are left out. Failures
+    are rows with ok false and a message. Series that lie in one Arrow batch are fitted side by side."""
+    chosen = {name: MODELS[name] for name in models}
+    head = _head(points, by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = _points_of(batch)
+            row, found = [], []
+            for group in _side_by_side([len(t) for t, _, _ in each]):
+                part = [each[i] for i in group]
+                s, weighted = Series.of(*zip(*part, strict=True)), np.array([w is not None for _, _, w in part])
+                for name, model in chosen.items():
+                    starts = np.array([model.start(t, y) for t, y, _ in part], float)
+                    fits = fit_many(s, model.law(), model.params, starts, weighted, errors)
+                    found += [f | {"model": name, "t_first": float(t[0]), "t_last": float(t[-1])} for f, (t, _, _) in zip(fits, part, strict=True)]
+                    row += group
+            own = [batch.column(c).take(pa.array(row, pa.int64())) for c in by]
+            texts, maps = pa.string(), pa.map_(pa.string(), pa.float64())
+            kinds = {"ok": pa.bool_(), "n": pa.int64(), "message": texts, "params": maps, "stderr": maps, "weighted": pa.bool_(), "error_model": texts, "warnings": pa.list_(texts)}
+            put = lambda c: [list(v.items()) if isinstance(v := f.get(c), dict) else v for f in found]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([f["model"] for f in found], texts), *(pa.array(put(c), kinds.get(c, pa.float64())) for c in _FIT_COLUMNS)], [*by, "model", *_FIT_COLUMNS])
+
+    return _dealt(_series(points, by), by).mapInArrow(run, f"{head}, model string, {FIT}" if by else f"model string, {FIT}")
 
 
 def derived_quantities(fits: DataFrame, by: Sequence[str], levels: Sequence[float] = (), points: int = 400) -> DataFrame:
@@ -302,85 +278,42 @@ def derived_quantities(fits: DataFrame, by: Sequence[str], levels: Sequence[floa
     return a.select(*by, "model", F.when(flat | peak, F.col("m.rate")).alias("max_rate"), F.when(~flat & peak, F.col("m.t")).alias("t_max_rate"), F.when(~flat & peak, lag).alias("lag"), *(f"`time_to_{x:g}`" for x in levels))
 
 
-def _whiten_rows(e: np.ndarray, rho: np.ndarray) -> np.ndarray:
-    """_whiten for many residual rows [draws, n] at once."""
-    out = e.copy()
-    out[..., 1:] = (e[..., 1:] - rho * e[..., :-1]) / np.sqrt(1 - rho**2)
-    return out
+def simulate(s: Series, law: Law, q: np.ndarray, phi: float, draws: int, rng: np.random.Generator) -> np.ndarray:
+    """[draws, n] values made from the fit of one series and its white residuals, drawn anew with replacement: centred, scaled
+    by sqrt(n / (n - p)), and correlated again as the errors are."""
+    rho = s.correlation(np.array([phi]))
+    z = s.white(s.y - law.at(s.t, q[None, :]), rho)[0]
+    n, p = len(z), len(q)
+    e = rng.choice((z - z.mean()) * np.sqrt(n / max(n - p, 1)), (draws, n))
+    for i in range(1, n) if phi else ():
+        e[:, i] = rho[0, i] * e[:, i - 1] + np.sqrt(1 - rho[0, i] ** 2) * e[:, i]
+    return law.at(s.t, q[None, :]) + e * s.sigma
 
 
-def refit_many(model: Model, t: np.ndarray, targets: np.ndarray, white: Callable[[np.ndarray], np.ndarray], start: np.ndarray, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters [draws, p] of all rows of targets [draws, n], and which converged. Laws that are linear in their
-    parameters are solved as one system; for others damped Gauss-Newton steps are made for all rows together, each row
-    with a damping of its own. white scales and decorrelates residual rows."""
-    m, p = len(targets), len(start)
-    with np.errstate(all="ignore"):
-        if model.design is not None:
-            found = np.linalg.lstsq(white(model.design(t).T).T, white(targets).T, rcond=None)[0].T
-            return found, np.all(np.isfinite(found), axis=1)
-        low, high = np.array(model.low), np.array(model.high)
-        out, good, live = np.tile(start, (m, 1)), np.zeros(m, bool), np.arange(m)
-        residual = lambda q: white(targets[live] - model.value(t[None, :], *(q[:, i : i + 1] for i in range(p))))
-        at, damp = out.copy(), np.full(m, 1e-3)
-        r = residual(at)
-        cost = (r * r).sum(axis=1)
-        for _ in range(rounds):
-            slope = np.empty((len(live), r.shape[1], p))
-            for i in range(p):
-                h = 1e-7 * np.maximum(np.abs(at[:, i]), 1e-3)
-                h = np.where(at[:, i] + h <= high[i], h, -h)
-                near = at.copy()
-                near[:, i] += h
-                slope[:, :, i] = (residual(near) - r) / h[:, None]
-            normal, pull = slope.transpose(0, 2, 1) @ slope, (slope.transpose(0, 2, 1) @ r[:, :, None])[:, :, 0]
-            fine = np.isfinite(normal).all(axis=(1, 2)) & np.isfinite(pull).all(axis=1)
-            normal[~fine], pull[~fine] = np.eye(p), 0
-            scale = np.einsum("mpp->mp", normal)
-            ridge = damp[:, None] * scale + 1e-12 * scale.max(axis=1, keepdims=True) + 1e-300
-            there = np.clip(at + np.linalg.solve(normal + np.eye(p) * ridge[:, None, :], -pull[:, :, None])[:, :, 0], low, high)
-            r2 = residual(there)
-            c2 = (r2 * r2).sum(axis=1)
-            better = fine & np.isfinite(c2) & (c2 <= cost)
-            done = (better & (cost - c2 <= 1e-9 * cost)) | (damp > 1e8)
-            at[better], r[better], cost[better] = there[better], r2[better], c2[better]
-            damp = np.where(better, damp / 5, damp * 5)
-            out[live[done]], good[live[done]] = at[done], np.isfinite(cost[done])
-            keep = ~done
-            live, at, r, cost, damp = live[keep], at[keep], r[keep], cost[keep], damp[keep]
-            if not len(live):
-                break
-    return out, good & np.all(np.isfinite(out), axis=1)
-
-
-def bootstrap_draws(points: DataFrame, fits: DataFrame, by: Sequence[str], draws: int = 200, block: int = 32, seed: int = 1) -> DataFrame:
+def bootstrap_draws(points: DataFrame, fits: DataFrame, by: Sequence[str], draws: int = 200, block: int = 128, seed: int = 1) -> DataFrame:
     """by, model, draw, params: refits of series made from the fit and resampled residuals (for correlated errors their
-    innovations, rebuilt). Centred, scaled by sqrt(n/(n-p)). Draws come in blocks, one group each; their random numbers
-    depend on the seed, series, model and block alone."""
-    used = points.where("t is not null and y is not null and not isnan(y)").select(*by, F.col("t").cast("double").alias("t"), F.col("y").cast("double").alias("y"), F.col("unc").cast("double").alias("unc"))
+    innovations, rebuilt). Draws come in blocks, one row each, so that one series does not hold a task; the draws of a block
+    are refitted side by side. Random numbers depend on the seed, series, model and block alone."""
     ok = fits.where("ok").select(*by, "model", "params", "ar1_phi", "weighted", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // block))).alias("blk"))
-    each = used.join(ok, list(by)).withColumn("key", F.xxhash64(F.lit(seed), *by, "model", "blk"))
+    each = _series(points, by).join(ok, list(by)).withColumn("key", F.xxhash64(F.lit(seed), *by, "model", "blk"))
     own = {name: m for name, m in MODELS.items() if name not in _COLUMNS}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "y"])
-        name, phi, first = pdf["model"].iloc[0], float(pdf["ar1_phi"].iloc[0]), int(pdf["blk"].iloc[0]) * block
-        model, t, y = own.get(name) or MODELS[name], pdf["t"].to_numpy(), pdf["y"].to_numpy()
-        q = np.array([dict(pdf["params"].iloc[0])[k] for k in model.params])
-        n, p = len(t), len(q)
-        sigma = pdf["unc"].to_numpy() if pdf["weighted"].iloc[0] else np.ones(n)
-        gap = np.diff(t)
-        lag = gap / np.median(gap[gap > 0]) if np.any(gap > 0) else np.ones(n - 1)
-        z, rho = _whiten((y - model.value(t, *q)) / sigma, lag, phi)
-        z = (z - z.mean()) * np.sqrt(n / max(n - p, 1))
-        rng = np.random.default_rng(abs(int(pdf["key"].iloc[0])))
-        e = rng.choice(z, (min(block, draws - first), n))
-        for i in range(1, n) if phi else ():
-            e[:, i] = rho[i - 1] * e[:, i - 1] + np.sqrt(1 - rho[i - 1] ** 2) * e[:, i]
-        found, good = refit_many(model, t, model.value(t, *q) + e * sigma, lambda x: _whiten_rows(x / sigma, rho), q)
-        rows = [{**{b: pdf[b].iloc[0] for b in by}, "model": name, "draw": first + d, "params": dict(zip(model.params, found[d].tolist(), strict=True))} for d in np.flatnonzero(good).tolist()]
-        return pd.DataFrame(rows, columns=[*by, "model", "draw", "params"])
-
-    return each.groupBy(*by, "model", "blk").applyInPandas(run, f"{_head(points, by)}, model string, draw int, params map<string,double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            info = {c: batch.column(c).to_pylist() for c in ("model", "params", "ar1_phi", "weighted", "blk", "key")}
+            for i, (t, y, w) in enumerate(_points_of(batch)):
+                name, phi, first = info["model"][i], float(info["ar1_phi"][i]), info["blk"][i] * block
+                model = own.get(name) or MODELS[name]
+                law, q = model.law(), np.array([dict(info["params"][i])[k] for k in model.params])
+                s = Series.of([t], [y], [w if info["weighted"][i] else None])
+                many = s.drawn(simulate(s, law, q, phi, min(block, draws - first), np.random.default_rng(abs(info["key"][i]))))
+                found, good = solve(many, law, np.tile(q, (len(many.y), 1)), np.full(len(many.y), phi), rounds=100, fine=1e-9)
+                which = np.flatnonzero(good).tolist()
+                keep = pa.array([i] * len(which), pa.int64())
+                params = pa.array([list(zip(model.params, found[d].tolist(), strict=True)) for d in which], pa.map_(pa.string(), pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in by), pa.array([name] * len(which), pa.string()), pa.array([first + d for d in which], pa.int32()), params], [*by, "model", "draw", "params"])
+
+    return _dealt(each, [*by, "model", "blk"]).mapInArrow(run, f"{_head(points, by)}, model string, draw int, params map<string,double>")
 
 
 def bootstrap_fit(drawn: DataFrame, by: Sequence[str], draws: int = 200) -> DataFrame:
