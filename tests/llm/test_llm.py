@@ -502,3 +502,23 @@ def test_every_day_has_its_own_pseudonym():
             assert len(set(new)) == len(put)
     both = {pii.date(f"{d.day:02d}/{d.month:02d}/{d.year}", key) for d in days} | {pii.date(f"{d.month:02d}/{d.day:02d}/{d.year}", key) for d in days if d.day > 12}
     assert len(both) == len(days) + sum(d.day > 12 for d in days)
+
+
+def test_words_of_one_hash_in_the_encoder(monkeypatch):
+    """With a hash of eight values nearly all words share theirs; with a small memory it starts anew."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdeéß.,;-1Aあ"), rng.integers(1, 24))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(40)] + ["", "x" * 15, "x" * 16, "x" * 15 + "é", "x" * 8, "ab", "ab\x00", "\x00" * 15, "\x00" * 14]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for name, value in (("mix", lambda x: x & np.uint64(7)), ("CACHE_BYTES", 100), ("WORD_BYTES", packing.WORD_BYTES)):
+        with monkeypatch.context() as m:
+            m.setattr(packing, name, value)
+            e = packing.Encoder(queries.tokenizer_path())
+            for _ in range(3):
+                ids, at = e.encode(data, offs)
+                assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want

@@ -13,14 +13,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import CHUNK_BYTES, chunks, class_table, runs
+from .common import CHUNK_BYTES, chunks, class_table, mix, runs
 
-#: Bytes of known words that an encoder keeps (their own, WORD_BYTES for each, and ids); when they are full it starts anew.
-CACHE_BYTES = 48 << 20
-WORD_BYTES = 150
+#: Bytes that an encoder keeps: ids, WORD_BYTES for each known word, and of those known by their bytes these and KEY_BYTES;
+#: when they are full it starts anew.
+CACHE_BYTES = 40 << 20
+WORD_BYTES, KEY_BYTES = 48, 120
 #: Punctuation that is encoded apart from the letter or digit before it.
 TAIL = ".,;:!?|#$%&*+=/)]}"
 _CLASSES = class_table()
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
 _IS_TAIL, _IS_ALNUM = np.zeros(256, bool), np.zeros(256, bool)
 _IS_TAIL[list(TAIL.encode())] = True
 _IS_ALNUM[[b for b in range(128) if chr(b).isalnum()]] = True
@@ -41,9 +43,10 @@ def load_tokenizer(path: str):
 
 class Encoder:
     """Token ids of whole texts. The tokenizer never joins text across white space and ends each run of letters with a
-    word-end token, so each different word is encoded once, known by all of its bytes, and its ids are copied: punctuation
-    at a word's end apart, runs of letters many at a time. What it keeps is bounded by CACHE_BYTES, and it lives as long as
-    a task."""
+    word-end token, so each different word is encoded once and its ids are copied: punctuation at a word's end apart, runs of
+    letters many at a time. Words are told apart by all their bytes: up to 15 bytes and the length are two numbers, which are
+    compared whenever hashes agree; longer words, and those whose hash another word has, are looked up by their bytes. What it
+    keeps is bounded by CACHE_BYTES, and it lives as long as a task."""
 
     def __init__(self, path: str):
         self.tokenizer, self.ends = load_tokenizer(path)
@@ -53,6 +56,8 @@ class Encoder:
         self.spot: dict[bytes, int] = {}
         self.held = 0
         self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.names, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each word."""
@@ -73,8 +78,8 @@ class Encoder:
             size.append(many)
         return np.concatenate(ids), np.concatenate(size)
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Adds words that it does not know, each once."""
+    def _learn(self, new: list[bytes]) -> np.ndarray:
+        """Adds words that it does not know, each once; their slots."""
         words = [w.decode() for w in new]
         letters = np.fromiter((w.isalpha() for w in words), bool, len(words))
         at, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
@@ -83,9 +88,28 @@ class Encoder:
             ids, many = how([words[i] for i in where.tolist()])
             size[where], at[where] = many, len(self.ids) + np.cumsum(many) - many
             self.ids = np.concatenate([self.ids, ids])
-        self.spot.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        slots = len(self.at) + np.arange(len(new))
         self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
-        self.held += sum(map(len, new)) + WORD_BYTES * len(new)
+        self.held += WORD_BYTES * len(new)
+        return slots
+
+    def _short(self, raw: bytes, lo: np.ndarray, hi: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Slots of words of up to 15 bytes, by their two numbers; -1 for a word whose hash stands for another one."""
+        names, first, which = np.unique(mix(low ^ mix(high)), return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.names, names)
+        known = np.zeros(len(names), bool)
+        inside = spot < len(self.names)
+        known[inside] = self.names[spot[inside]] == names[inside]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            at = first[fresh]
+            slots = self._learn([raw[a:b] for a, b in zip(lo[at].tolist(), hi[at].tolist(), strict=True)])
+            put = spot[fresh]
+            self.names, self.slot = np.insert(self.names, put, names[fresh]), np.insert(self.slot, put, slots)
+            self.low, self.high = np.insert(self.low, put, low[at]), np.insert(self.high, put, high[at])
+            spot = np.searchsorted(self.names, names)
+        mine = spot[which]
+        return np.where((self.low[mine] == low) & (self.high[mine] == high), self.slot[mine], -1)
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all the texts, one after another, and the texts' offsets; data and offs as chunks() has them."""
@@ -97,16 +121,24 @@ class Encoder:
         cut = np.flatnonzero((core < end) & (core > start) & _IS_ALNUM[data[core - 1]])
         lo, hi = np.insert(start, cut + 1, core[cut]), np.insert(end, cut, core[cut])
         doc = np.insert(doc, cut, doc[cut])
-        raw = data.tobytes()
-        words = [raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
         if self.held + 4 * len(self.ids) > CACHE_BYTES:
             self._forget()
-        known = self.spot.get
-        which = np.fromiter((known(w, -1) for w in words), np.int64, len(words))
-        new = np.flatnonzero(which < 0).tolist()
-        if new:
-            self._learn(list(dict.fromkeys(words[i] for i in new)))
-            which[new] = [self.spot[words[i]] for i in new]
+        raw = data.tobytes()
+        # eight bytes from each place on, as a number; those after the word's end are blanked
+        eight = np.ndarray((len(raw) + 8,), "<u8", raw + bytes(16), strides=(1,))
+        size = hi - lo
+        low = eight[lo] & _BYTES[np.minimum(size, 8)]
+        high = (eight[np.minimum(lo + 8, len(raw))] & _BYTES[np.clip(size - 8, 0, 7)]) | (np.minimum(size, 255).astype(np.uint64) << np.uint64(56))
+        which = np.full(len(lo), -1, np.int64)
+        few = np.flatnonzero(size <= 15)
+        which[few] = self._short(raw, lo[few], hi[few], low[few], high[few])
+        rest = np.flatnonzero(which < 0).tolist()
+        if rest:
+            words = [raw[a:b] for a, b in zip(lo[rest].tolist(), hi[rest].tolist(), strict=True)]
+            new = [w for w in dict.fromkeys(words) if w not in self.spot]
+            self.spot.update(zip(new, self._learn(new).tolist(), strict=True))
+            self.held += sum(map(len, new)) + KEY_BYTES * len(new)
+            which[rest] = [self.spot[w] for w in words]
         size = self.size[which]
         cut = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.at[which] - cut[:-1], size) + np.arange(cut[-1])]
