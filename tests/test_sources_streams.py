@@ -4,9 +4,11 @@ import struct
 import time
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from verdance.operators import series
 from verdance.sources import tables
 from verdance.streaming import live
 
@@ -73,17 +75,76 @@ def test_stream_import(spark, tmp_path):
     assert spark.read.parquet(log).count() == 2
 
 
-def test_stream_days_equal_batch(spark, tmp_path):
-    src = str(tmp_path / "pts")
-    rows = [("s", dt.datetime(2024, 1, 1 + d, h), float(d * 10 + h), False) for d in range(3) for h in (9, 12, 15)]
-    schema = "s string, ts timestamp, y double, excluded boolean"
-    spark.createDataFrame(rows[:5], schema).write.parquet(src)
-    run = lambda: live.stream_daily(spark.readStream.schema(schema).parquet(src), ["s"], str(tmp_path / "store"), str(tmp_path / "days"), str(tmp_path / "cp")).awaitTermination()
+def test_stream_import_waits_for_files_to_settle(spark, tmp_path):
+    """A file that is still new waits over runs; of equal contents the earliest is logged; a lost checkpoint logs nothing twice."""
+    folder, log = tmp_path / "photos", str(tmp_path / "log")
+    folder.mkdir()
+    for n, c, age in (("a", b"1", 100), ("b", b"1", 200), ("young", b"2", 3)):
+        (folder / n).write_bytes(c)
+        import os
+        os.utime(folder / n, (1_700_000_000 - age, 1_700_000_000 - age))
+    at = lambda s: str(dt.datetime.fromtimestamp(1_700_000_000 + s, dt.UTC).replace(tzinfo=None))
+    run = lambda cp, s: live.stream_import(spark, str(folder), log, str(tmp_path / cp), 5.0, at(s)).awaitTermination()
+    names = lambda: sorted(r.path[-5:] for r in spark.read.parquet(log).collect())
+    run("cp", 0)
+    assert names() == ["tos/b"]
+    run("cp", 1)
+    assert names() == ["tos/b"]
+    run("cp", 10)
+    run("cp", 11)
+    assert names() == ["tos/b", "young"]
+    run("lost", 20)
+    assert names() == ["tos/b", "young"]
+
+
+def test_batches_do_not_read_the_target_again(spark, tmp_path, monkeypatch):
+    """Only a new checkpoint reads the target; a known one starts from its state though the target is gone."""
+    src, target = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([("a",), ("b",)], "frame_file string").write.parquet(src)
+    run = lambda: live.stream_measure(spark.readStream.schema("frame_file string").parquet(src), lambda f: f.withColumn("value", F.length("frame_file")), target, "h", str(tmp_path / "cp"), "frame_file string, value int").awaitTermination()
     run()
-    spark.createDataFrame(rows[5:], schema).write.mode("append").parquet(src)
+    (tmp_path / "out").rename(tmp_path / "moved")
+    spark.createDataFrame([("a",), ("c",)], "frame_file string").write.mode("append").parquet(src)
     run()
-    got = {r.day.day: r.y for r in live.latest_days(spark.read.parquet(str(tmp_path / "days")), ["s"]).collect()}
-    assert got == {1: 12.0, 2: 22.0, 3: 32.0}
+    assert [r.frame_file for r in spark.read.parquet(target).collect()] == ["c"]
+
+
+def _days(spark, src, schema, tmp_path, zone, how):
+    days = live.stream_daily(spark.readStream.schema(schema).parquet(src), ["s"], zone, how, "3 days")
+    live.write_days(days, str(tmp_path / "days"), str(tmp_path / "cp")).awaitTermination()
+
+
+@pytest.mark.parametrize(("zone", "how"), [("UTC", "median"), ("Europe/Berlin", "p90"), ("America/New_York", "mean")])
+def test_stream_days_equal_batch(spark, tmp_path, zone, how):
+    """Days over the change to summer time, rows out of order and late, excluded ones and ones without a value, in three runs."""
+    rng = np.random.default_rng(3)
+    start = dt.datetime(2024, 3, 29)
+    rows = [("ab"[i % 2], start + dt.timedelta(minutes=int(m)), None if i % 17 == 0 else float(rng.normal()), i % 11 == 0) for i, m in enumerate(np.sort(rng.uniform(0, 4 * 1440, 240)))]
+    early, late = [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if i % 5 == 0]
+    schema, src = "s string, ts timestamp, y double, excluded boolean", str(tmp_path / "pts")
+    for part in (early[:100], early[100:] + late[:20], late[20:]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(src)
+        _days(spark, src, schema, tmp_path, zone, how)
+    got = {(r.s, r.day): (r.y, r.ts_mid, r.n_frames) for r in live.latest_days(spark.read.parquet(str(tmp_path / "days")), ["s"]).collect()}
+    want = {(r.s, r.day): (r.y, r.ts_mid, r.n_frames) for r in series.daily_series(spark.createDataFrame(rows, schema), ["s"], zone, how).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    touched = spark.read.parquet(str(tmp_path / "days")).groupBy("batch").count().orderBy("batch").collect()
+    assert len(touched) >= 3
+
+
+def test_late_rows_touch_their_day_alone_and_closed_days_go(spark, tmp_path):
+    schema, src = "s string, ts timestamp, y double, excluded boolean", str(tmp_path / "pts")
+    put = lambda *days: (spark.createDataFrame([("s", dt.datetime(2024, 1, d, h), float(d), False) for d in days for h in (1, 2)], schema).write.mode("append").parquet(src), _days(spark, src, schema, tmp_path, "UTC", "median"))
+    put(1, 2, 3)
+    put(2)
+    put(20)
+    put(21)
+    put(1, 22)  # the first is behind the watermark
+    rows = sorted((int(r.batch), r.day.day, r.n_frames) for r in spark.read.parquet(str(tmp_path / "days")).collect())
+    per = {}
+    for b, d, n in rows:
+        per.setdefault(b, []).append((d, n))
+    assert [v for _, v in sorted(per.items())] == [[(1, 2), (2, 2), (3, 2)], [(2, 4)], [(20, 2)], [(21, 2)], [(22, 2)]]
 
 
 def test_stream_window(spark, tmp_path):

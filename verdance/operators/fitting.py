@@ -119,15 +119,14 @@ def descend(residual: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.
     for _ in range(rounds):
         if not len(live):
             break
-        slope = np.empty((*r.shape, p))
+        slope = np.empty((p, *r.shape))
         for i in range(p):
             h = 1e-7 * np.maximum(np.abs(at[:, i]), 1e-3)
             h = np.where(at[:, i] + h <= high[i], h, -h)
             near = at.copy()
             near[:, i] += h
-            slope[:, :, i] = (residual(near, live) - r) / h[:, None]
-        across = slope.transpose(0, 2, 1)
-        normal, pull = across @ slope, (across @ r[:, :, None])[:, :, 0]
+            slope[i] = (residual(near, live) - r) / h[:, None]
+        normal, pull = np.einsum("imn,jmn->mij", slope, slope), np.einsum("imn,mn->mi", slope, r)
         sound = np.isfinite(normal).all(axis=(1, 2)) & np.isfinite(pull).all(axis=1)
         normal[~sound], pull[~sound] = np.eye(p), 0
         # parameters that lie on a bound and are pulled beyond it stay there

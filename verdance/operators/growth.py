@@ -318,9 +318,8 @@ def bootstrap_draws(points: DataFrame, fits: DataFrame, by: Sequence[str], draws
 
 def bootstrap_fit(drawn: DataFrame, by: Sequence[str], draws: int = 200) -> DataFrame:
     """by, model, param, low, high, converged: percentile 95 % intervals, with at least max(20, draws/2) converged refits."""
-    n = drawn.groupBy(*by, "model").agg(F.count(F.lit(1)).alias("converged"))
-    p = drawn.select(*by, "model", F.explode("params").alias("param", "v")).groupBy(*by, "model", "param").agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
-    return p.join(n, [*by, "model"]).where(F.col("converged") >= max(20, draws // 2))
+    both = drawn.select(*by, "model", F.explode("params").alias("param", "v")).groupBy(*by, "model", "param").agg(F.percentile("v", [0.025, 0.975]).alias("p"), F.count(F.lit(1)).alias("converged"))
+    return both.where(F.col("converged") >= max(20, draws // 2)).select(*by, "model", "param", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "converged")
 
 
 def bootstrap_derived(drawn: DataFrame, fits: DataFrame, by: Sequence[str], levels: Sequence[float] = (), points: int = 400) -> DataFrame:

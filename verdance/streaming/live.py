@@ -1,18 +1,17 @@
-"""Watching running experiments as streams. Every stream ends in a foreachBatch that is safe to repeat: it writes only rows
-that its target lacks."""
+"""Watching running experiments as streams. What a stream has seen lies in its state store, keyed, so a batch never reads its
+target again; batches write to folders of their own, so one that is repeated replaces itself."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.series import daily_series
-from ..sources.tables import pending_frames
-
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -25,36 +24,92 @@ def _existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _run_of(spark: SparkSession, checkpoint: str) -> tuple[str, bool]:
+    """A name that lives and dies with the checkpoint, and whether it is new: batches of a checkpoint that was lost keep their
+    folders when a new one counts from 0 again."""
+    known = _existing(spark, f"{checkpoint}/run-name", "run string").collect()
+    if known:
+        return known[0]["run"], False
+    run = uuid.uuid4().hex[:12]
+    spark.createDataFrame([(run,)], "run string").coalesce(1).write.parquet(f"{checkpoint}/run-name")
+    return run, True
+
+
+class Once(StatefulProcessor):
+    """Lets the first row of each key pass, of several in one batch the first in order of `order`. Keys of the initial state
+    have been seen. With `ready`, a boolean column, rows that are not ready pass unseen, and `ready` tells them apart."""
+
+    def __init__(self, order: Sequence[str], ready: str | None = None):
+        self.order, self.ready = list(order), ready
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        self.seen.update((True,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = None
+        for part in rows:
+            if self.ready:
+                if len(wait := part[~part[self.ready]]):
+                    yield wait
+                part = part[part[self.ready]]
+            if len(part):
+                best = part.sort_values(self.order).iloc[:1]
+                first = best if first is None else pd.concat([first, best]).sort_values(self.order).iloc[:1]
+        if first is not None and not self.seen.exists():
+            self.seen.update((True,))
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
+def first_of_each(rows: DataFrame, key: Sequence[str], order: Sequence[str], seen: DataFrame | None, ready: str | None = None) -> DataFrame:
+    """The stream's rows, one for each key over its whole life; keys in `seen` (a table, read when the state is new) never.
+    Needs the RocksDB state store; the state holds a byte a key."""
+    initial = None if seen is None else seen.select(*key).distinct().groupBy(*key)
+    return rows.groupBy(*key).transformWithStateInPandas(Once(order, ready), rows.schema, "Append", "None", initialState=initial)
+
+
 def stream_measure(frames: DataFrame, measure: Callable[[DataFrame], DataFrame], target: str, settings: str, checkpoint: str, schema: str) -> StreamingQuery:
     """Measures new frames (a stream with frame_file) as they come, each once per settings hash. measure gives rows of
-    schema without settings_hash."""
+    schema without settings_hash. The state knows the frames that were measured; a new checkpoint learns them from the target,
+    once."""
+    spark = frames.sparkSession
+    run, new = _run_of(spark, checkpoint)
+    key = ["settings_hash", "frame_file"]
+    seen = _existing(spark, target, f"{schema}, settings_hash string").select(*key) if new else None
+    todo = first_of_each(frames.withColumn("settings_hash", F.lit(settings)), key, ["frame_file"], seen)
 
-    def batch(df: DataFrame, _: int) -> None:
-        done = _existing(df.sparkSession, target, f"{schema}, settings_hash string")
-        todo = pending_frames(df.dropDuplicates(["frame_file"]), done, settings)
-        measure(todo).withColumn("settings_hash", F.lit(settings)).write.mode("append").parquet(target)
+    def batch(df: DataFrame, number: int) -> None:
+        measure(df.drop("settings_hash")).withColumn("settings_hash", F.lit(settings)).write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
 
-    return frames.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return todo.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_import(spark: SparkSession, folder: str, log: str, checkpoint: str, settle_s: float = 5.0, now: str | None = None) -> StreamingQuery:
-    """Logs files as they appear, once per content; files changed within the last settle_s seconds wait in a table beside
-    the log and are looked at again with the next batch. The log is the memory: content has no time limit."""
+    """Logs files as they appear, once per content (of equal ones the earliest, by path on ties); content has no time limit.
+    Files changed within the last settle_s seconds go to a table beside the log that is a source of the same stream, so the next
+    batch looks at them again. The state knows the contents; a new checkpoint learns them from the log, once."""
+    run, new = _run_of(spark, checkpoint)
+    known, waiting = "sha256 string, path string, ts timestamp, bytes long", "sha256 string, path string, ts timestamp, bytes long"
+    spark.createDataFrame([], waiting).write.mode("append").parquet(f"{log}-waiting/run={run}/batch=-1")
     files = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", True).load(folder)
-    schema, waiting = "sha256 string, path string, ts timestamp, bytes long", "path string, modificationTime timestamp, length long, sha256 string"
+    fresh = files.select(F.sha2("content", 256).alias("sha256"), "path", F.col("modificationTime").alias("ts"), F.col("length").alias("bytes"))
+    again = spark.readStream.schema(waiting).option("recursiveFileLookup", True).parquet(f"{log}-waiting/run={run}")
+    clock = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+    rows = fresh.unionByName(again).withColumn("ready", F.col("ts") <= clock - F.make_dt_interval(secs=F.lit(settle_s)))
+    out = first_of_each(rows, ["sha256"], ["ts", "path"], _existing(spark, log, known).select("sha256") if new else None, "ready")
 
     def batch(df: DataFrame, number: int) -> None:
-        clock = F.lit(now).cast("timestamp") if now else F.current_timestamp()
-        new = df.select("path", "modificationTime", "length", F.sha2("content", 256).alias("sha256"))
-        held = _existing(spark, f"{log}-waiting/batch={number - 1}", waiting)
-        both = new.unionByName(held)
-        ready = F.col("modificationTime") <= clock - F.make_dt_interval(secs=F.lit(settle_s))
-        both.where(~ready).write.mode("overwrite").parquet(f"{log}-waiting/batch={number}")
-        first = both.where(ready).groupBy("sha256").agg(F.min(F.struct(F.col("modificationTime").alias("ts"), "path", F.col("length").alias("bytes"))).alias("f"))
-        fresh = first.select("sha256", "f.path", "f.ts", "f.bytes").join(_existing(spark, log, schema).select("sha256"), "sha256", "left_anti")
-        fresh.write.mode("append").parquet(log)
+        df = df.persist()
+        df.where("not ready").drop("ready").write.mode("overwrite").parquet(f"{log}-waiting/run={run}/batch={number}")
+        df.where("ready").drop("ready").write.mode("overwrite").parquet(f"{log}/run={run}/batch={number}")
+        df.unpersist()
 
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return out.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class Health(StatefulProcessor):
@@ -109,21 +164,62 @@ def stream_series_window(points: DataFrame, by: list[str], delay: str = "2 days"
     return points.withWatermark("ts", delay).groupBy(*by, F.window("ts", "1 day").alias("w")).agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n_frames")).select(*by, F.to_date("w.start").alias("day"), "y", "n_frames")
 
 
-def stream_daily(points: DataFrame, by: list[str], store: str, target: str, checkpoint: str, zone: str = "UTC", how: str = "median") -> StreamingQuery:
-    """Exact daily values: the batch's rows are kept, and the days they touch are worked out again from all their rows."""
-    schema = points.schema
+class Days(StatefulProcessor):
+    """The usable rows of one series and local day, as a list; a batch that brings some gives the day's row anew. When the
+    watermark passes the day's end no row can come any more, and the list goes."""
+
+    def __init__(self, by: Sequence[str], how: str):
+        self.by, self.how = list(by), how
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "y double, s double")
+        self.timed = handle.getValueState("timed", "until long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows))
+        self.rows.appendList(list(zip(new["y_"].astype(float).tolist(), new["at_"].tolist(), strict=True)))
+        if not self.timed.exists():
+            until = int(new["until_"].iloc[0])
+            self.timed.update((until,))
+            self.handle.registerTimer(until)
+        every = np.array(list(self.rows.get()), float)
+        known = every[~np.isnan(every[:, 0]), 0]  # rows without a value count as frames alone
+        y = None if not len(known) else {"median": np.median, "mean": np.mean, "p90": lambda v: np.percentile(v, 90)}[self.how](known)
+        yield pd.DataFrame({**{c: [k] for c, k in zip([*self.by, "day"], key, strict=True)}, "y": [y], "ts_mid": [float(np.median(every[:, 1]))], "n_frames": [len(every)]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.rows.clear()
+        self.timed.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_daily(points: DataFrame, by: Sequence[str], zone: str = "UTC", how: str = "median", delay: str = "2 days") -> DataFrame:
+    """The rows of daily_series (by, day, y, ts_mid, n_frames) of a stream of points(by, ts, y, excluded): whenever a batch has
+    rows of a local day, that day's row over all its rows so far, late ones too as long as the newest row is less than `delay`
+    ahead of the day's end. Other days are not looked at. The state holds the open days; needs the RocksDB state store."""
+    day = F.to_date(F.from_utc_timestamp("ts", zone))
+    until = F.to_utc_timestamp(F.date_add("day", 1).cast("timestamp_ntz").cast("timestamp"), zone)
+    used = points.withWatermark("ts", delay).where(~F.col("excluded")).withColumn("day", day)
+    rows = used.select(*by, "day", "ts", F.col("y").cast("double").alias("y_"), F.col("ts").cast("timestamp").cast("double").alias("at_"), (until.cast("double") * 1000).cast("long").alias("until_"))
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema)
+    return rows.groupBy(*by, "day").transformWithStateInPandas(Days(by, how), f"{head}, day date, y double, ts_mid double, n_frames long", "Update", "EventTime")
+
+
+def write_days(days: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Writes the rows of stream_daily with the version (batch) they belong to; see latest_days."""
+    run, _ = _run_of(days.sparkSession, checkpoint)
 
     def batch(df: DataFrame, number: int) -> None:
-        day = F.to_date(F.from_utc_timestamp("ts", zone))
-        df.withColumn("day", day).write.mode("overwrite").parquet(f"{store}/batch={number}")
-        days = df.select(*by, day.alias("day")).distinct()
-        rows = df.sparkSession.read.parquet(store).join(days, [*by, "day"], "left_semi").select(*schema.names)
-        daily_series(rows, by, zone, how).withColumn("version", F.lit(number)).write.mode("append").parquet(target)
+        df.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
 
-    return points.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return days.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_days(target: DataFrame, by: list[str]) -> DataFrame:
-    """The newest version of each day that stream_daily wrote."""
-    rest = [c for c in target.columns if c not in (*by, "day", "version", "batch")]
-    return target.groupBy(*by, "day").agg(F.max(F.struct("version", *rest)).alias("v")).select(*by, "day", *(f"v.{c}" for c in rest))
+    """The newest version of each day that write_days wrote."""
+    rest = [c for c in target.columns if c not in (*by, "day", "version", "batch", "run")]
+    return target.groupBy(*by, "day").agg(F.max_by(F.struct(*rest), "version").alias("v")).select(*by, "day", *(f"v.{c}" for c in rest))
