@@ -237,3 +237,48 @@ def test_baseline_and_registries(spark, tmp_path):
     assert segmenters.segment(px, "all", {}).count() == 2
     with pytest.raises(ValueError):
         segmenters.segment(px, "none", {})
+
+
+def _logger(spark, path, zone="UTC", **kw):
+    rows, refused = tables.read_loggers(spark, str(path), zone, **kw)
+    return sorted((r.file.rsplit("/", 1)[1], str(r.ts), r.name, r.value) for r in rows.collect()), {r.file.rsplit("/", 1)[1]: r.reason for r in refused.collect()}
+
+
+def test_iso_times_and_refusal_per_file(spark, tmp_path):
+    stamps = {
+        "z": ("2024-01-05T10:00:00Z", "2024-01-05 10:00:00"), "offset": ("2024-01-05T10:00:00+01:00", "2024-01-05 09:00:00"), "minus": ("2024-01-05 10:00-0530", "2024-01-05 15:30:00"), "fraction": ("2024-01-05T10:00:00.5", "2024-01-05 08:00:00.500000"),
+        "micro": ("2024-01-05 10:00:00.123456Z", "2024-01-05 10:00:00.123456"), "short": ("2024-01-05T10:00", "2024-01-05 08:00:00"), "basic": ("20240105T100000Z", "2024-01-05 10:00:00"), "day": ("2024-01-05", "2024-01-04 22:00:00"), "hour": ("2024-01-05T10+02", "2024-01-05 08:00:00"),
+    }
+    for name, (text, _) in stamps.items():
+        (tmp_path / f"{name}.csv").write_text(f"Time,T\n{text},1.5\n{text},2.5\n")
+    (tmp_path / "mixed.csv").write_text("Time,T\n2024-01-05T10:00:00Z,1\n2024-01-05 11:00,2\n")
+    (tmp_path / "bad.csv").write_text("Time,T\nyesterday,1\n2024-01-05T10:00:00Z,2\n")
+    (tmp_path / "which.csv").write_text("Time,T\n01/02/2024 10:00,1\n03/04/2024 10:00,2\n")
+    (tmp_path / "head.csv").write_text("Time,T\n")
+    (tmp_path / "text.csv").write_text("only a title\nand another line\n")
+    (tmp_path / "nonday.csv").write_text("Time,T\n2024-02-30T10:00:00Z,1\n")
+    got, refused = _logger(spark, tmp_path, "Etc/GMT-2")
+    assert refused == {"bad.csv": "no time layout fits", "which.csv": "day or month first? the times fit both", "head.csv": "no data rows", "text.csv": "no data rows", "nonday.csv": "no time layout fits"}
+    want = [(f"{n}.csv", at, "t", v) for n, (_, at) in stamps.items() for v in (1.5, 2.5)] + [("mixed.csv", "2024-01-05 10:00:00", "t", 1.0), ("mixed.csv", "2024-01-05 09:00:00", "t", 2.0)]
+    assert got == sorted(want)
+    assert "which.csv" not in _logger(spark, tmp_path, month_first=True)[1]
+
+
+def test_large_logger_file_is_read_by_several_tasks(spark, tmp_path):
+    n = 30_000
+    lines = [f"{1 + i // 1440 % 28:02d}.{1 + i // 40320:02d}.2024;{i // 60 % 24:02d}:{i % 60:02d};{i % 50},5;x;{'' if i % 3 else i}" for i in range(n)]
+    (tmp_path / "big.csv").write_text("A long title, with a mark\n\nDatum;Zeit;Temp;Note;Rare\n" + "\n".join(lines) + "\n")
+    (tmp_path / "small.csv").write_text("Time\tX\n2024-01-01 00:00\t1\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "65536")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        rows, refused = tables.read_loggers(spark, str(tmp_path))
+        assert refused.count() == 0
+        got = {r.name: (r.n, r.s) for r in rows.groupBy("name").agg(F.count("*").alias("n"), F.sum("value").alias("s")).collect()}
+        assert got == {"temp": (n, sum(i % 50 + 0.5 for i in range(n))), "x": (1, 1.0)}
+        first = rows.where("name = 'temp'").agg(F.min("ts"), F.max("ts")).first()
+        assert str(first[0]) == "2024-01-01 00:00:00" and first[1] == max(dt.datetime(2024, 1 + i // 40320, 1 + i // 1440 % 28, i // 60 % 24, i % 60) for i in range(n))
+    finally:
+        spark.conf.set(key, before)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir
 from ..operators import checks, covariates, frames, series
 from ..sources import tables
+from ..streaming import live
 from .sample import FR, P, query, readings, table
 from .sample import frames as frame_log
 from .sample import points
@@ -70,6 +74,29 @@ def _(spark, d):
     return tables.choose_time_format(o.select(F.col("c_mktsegment").alias("segment"), sample.alias("sample")), ["segment"])
 
 
+#: How the times of each kind of event are written into logger files; errors are not.
+STAMPS = {"purchase": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "view": "yyyy-MM-dd'T'HH:mm:ss'+01:00'", "click": "yyyy-MM-dd HH:mm:ss.SSSSSS", "signup": "yyyyMMdd'T'HHmmss'Z'"}
+
+
+@query("read_logger", f"""with {P}, w as (select event_type, case event_type when 'purchase' then date_trunc('millisecond', ts) when 'click' then ts else date_trunc('second', ts) end ts, y from p)
+\n;;\nselect event_type, epoch_us(case event_type when 'view' then ts - interval 1 hour when 'click' then ts - interval 2 hour else ts end)::bigint us, 'temp_c' as name, y as value, null as reason from w where event_type <> 'error' and y is not null
+union all select 'error', null, null, null, 'no time layout fits' from (select distinct event_id // 50000 from p where event_type = 'error')""".replace("\\n", "\n"), "value", "event_type us name reason")
+def _(spark, d):
+    """events as logger files, one for each kind and 50,000 ids, written and read again."""
+    p = points(spark, d).select("event_type", F.floor(F.col("event_id") / 50000).alias("part"), "ts", "y")
+    stamp = F.concat(F.lit("some time in "), F.date_format("ts", "yyyy"))
+    for kind, layout in STAMPS.items():
+        stamp = F.when(F.col("event_type") == kind, F.date_format("ts", layout)).otherwise(stamp)
+    lines = p.select("event_type", "part", F.lit(1).alias("k"), F.concat_ws(",", stamp, F.coalesce(F.col("y").cast("string"), F.lit(""))).alias("line"))
+    heads = p.select("event_type", "part").distinct().select("*", F.lit(0).alias("k"), F.lit("Time,Temp (°C)").alias("line"))
+    out = f"{shared_dir(spark)}/logger-{uuid.uuid4().hex}"
+    lines.unionByName(heads).repartition("event_type", "part").sortWithinPartitions("event_type", "part", "k").select("event_type", "part", "line").write.partitionBy("event_type", "part").text(out)
+    rows, refused = tables.read_loggers(spark, f"{out}/*/*", "Etc/GMT-2")
+    kind = F.regexp_extract("file", "event_type=([a-z]+)", 1).alias("event_type")
+    return rows.select(kind, F.unix_micros("ts").alias("us"), "name", "value", F.lit(None).cast("string").alias("reason")).unionByName(refused.select(kind, "reason"), allowMissingColumns=True)
+
+
+
 @query("merge_covariates", f"with {P}, r as (select event_type as name, date_trunc('hour', ts) h, y, k, event_id from p), o as (select name, h, arg_max(y, event_id) v from r where k % 2 = 0 group by all), n as (select name, h, arg_max(y, event_id) v from r where k % 2 = 1 group by all)\n;;\nselect name, epoch(h) s, coalesce(n.v, o.v) as value from o full join n using (name, h)", "s value", "name")
 def _(spark, d):
     r = points(spark, d).select(F.col("event_type").alias("name"), F.date_trunc("hour", "ts").alias("ts"), "y", "k", "event_id")
@@ -310,6 +337,22 @@ for _how, _agg in (("median", "median(y)"), ("mean", "avg(y)"), ("p90", "quantil
         return series.daily_series(_axis(spark, d), ["series_id"], "Europe/Berlin", how)
 
 
+@query("stream_daily", f"{AXIS}\n;;\nselect series_id, (ts + interval 1 hour)::date as day, median(y) y, median(s) ts_mid, count(*) n_frames from a where not excluded group by all", "y ts_mid", "series_id day n_frames")
+def _(spark, d):
+    """The same from a stream: the series' rows as files, read as they come, with state."""
+    home = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}"
+    rows = _axis(spark, d).select("series_id", "ts", "y", "excluded")
+    rows.write.parquet(f"{home}/rows")
+    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        live.write_days(live.stream_daily(spark.readStream.schema(rows.schema).parquet(f"{home}/rows"), ["series_id"], "Europe/Berlin"), f"{home}/days", f"{home}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return live.latest_days(spark.read.parquet(f"{home}/days"), ["series_id"])
+
+
 @query("daily_uncertainty")
 def _(spark, d):
     return series.daily_uncertainty(_axis(spark, d), ["series_id"], draws=400)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import settled
 from ..schemas import FRAMES
 
 
@@ -66,36 +67,56 @@ def list_frame_names(frames: DataFrame, ext: str = "png", order: Sequence[str] =
     return named.withColumn("name", F.concat("__base", F.when(F.col("__k") > 0, F.concat(F.lit("~"), F.col("__k"))).otherwise(""), F.lit(f".{ext}"))).drop("__base", "__k")
 
 
-def read_logger(spark: SparkSession, path: str, zone: str = "UTC", month_first: bool | None = None) -> DataFrame:
-    """file, ts, name, value of sensor logger files of unknown layout: per file, the delimiter is the first of tab, `;`, `,`
-    with a constant count on 70 % of the last 30 lines, else `,`; lines before the first row with two cells are titles; the time is a
-    Date and a Time column or the first header with a time word; `;` means decimal commas; columns under 50 % numeric and
-    rows without a time are left out. Day- or month-first dates that fit both ways are refused."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.filter(F.split(F.regexp_replace("value", "﻿", ""), "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    last = F.slice("lines", F.greatest(F.size("lines") - 29, F.lit(1)), 30)
-    marks = ["\t", ";", ","]
+#: Files whose layouts are sent to every task; beyond, lines meet their file's layout by a shuffle.
+MAX_LAYOUTS = 100_000
+
+
+def _meet(lines: DataFrame, per_file: DataFrame) -> DataFrame:
+    """lines with the columns of per_file (file, ...), a settled table."""
+    return lines.join(F.broadcast(per_file) if per_file.limit(MAX_LAYOUTS + 1).count() <= MAX_LAYOUTS else per_file, "file")
+
 
-    def steady(d: str) -> Column:
-        n = F.transform(last, lambda x: F.length(x) - F.length(F.replace(x, F.lit(d))))
-        most = F.array_max(F.transform(n, lambda k: F.when(k > 0, F.size(F.filter(n, lambda j: j == k)))))
-        return F.coalesce(most >= 0.7 * F.size(last), F.lit(False))
+def read_loggers(spark: SparkSession, path: str, zone: str = "UTC", month_first: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sensor logger files of unknown layout: the rows (file, ts in UTC, name, value) of those that can be read, and the
+    others (file, reason). Per file, the delimiter is the first of tab, `;`, `,` with a constant count on 70 % of the last 30
+    lines, else `,`; lines before the first row with two cells are titles; the time is a Date and a Time column or the first
+    header with a time word; `;` means decimal commas; columns under 50 % numeric and rows without a time are left out. Times
+    with an offset or Z keep it, others are of `zone`. Refused are files without data rows, with times that no layout fits,
+    or with day- or month-first dates that fit both ways.
 
-    text = text.withColumn("d", F.coalesce(*(F.when(steady(d), F.lit(d)) for d in marks), F.lit(",")))
-    rows = text.select("file", "d", F.posexplode("lines").alias("row", "line")).withColumn("cells", F.transform(F.expr("split(line, concat('\\\\Q', d, '\\\\E'), -1)"), lambda c: F.trim(F.replace(c, F.lit('"')))))
-    rows = rows.where(F.size("cells") >= 2)
-    head = rows.groupBy("file").agg(F.min(F.struct("row", "cells")).alias("h")).select("file", F.col("h.row").alias("hrow"), F.transform("h.cells", F.lower).alias("head"))
+    Files are read by blocks, so a large one is many tasks: lines are ordered by their block and place, and only the last 30
+    lines, the head and sums over columns are gathered per file."""
+    marks = ["\t", ";", ","]
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), F.regexp_replace("value", "\ufeff", "").alias("line")).where(F.trim("line") != "")
+    late = lines.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy(F.col("place").desc()))).where("k <= 30")
+    count = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.length("line") - F.length(F.replace("line", F.lit(d)))).alias("n")) for i, d in enumerate(marks))))
+    alike = late.select("file", count.alias("c")).groupBy("file", "c").agg(F.count(F.lit(1)).alias("same"))
+    steady = alike.withColumn("all", F.sum("same").over(Window.partitionBy("file", "c.i"))).where("c.n > 0 and same >= 0.7 * all").groupBy("file").agg(F.min("c.i").alias("i"))
+    cells = lambda d: F.transform(F.split("line", d, -1), lambda c: F.trim(F.replace(c, F.lit('"'))))
+    first = lambda d: F.min(F.when(F.size(F.filter(cells(d), lambda c: c != "")) >= 2, F.struct("place", F.transform(cells(d), F.lower).alias("head"))))
+    heads = lines.groupBy("file").agg(*(first(d).alias(f"h{i}") for i, d in enumerate(marks)))
+    heads = heads.join(steady, "file", "left").withColumn("i", F.coalesce("i", F.lit(2)))
+    head = heads.select("file", F.element_at(F.array(*map(F.lit, marks)), F.col("i") + 1).alias("d"), F.element_at(F.array("h0", "h1", "h2"), F.col("i") + 1).alias("h")).select("file", "d", F.col("h.place").alias("top"), F.col("h.head").alias("head"))
     find = lambda words: F.array_min(F.filter(F.transform("head", lambda x, i: F.when(x.rlike(words), i)), lambda i: i.isNotNull()))
-    head = head.withColumns({"di": find(r"^(date|datum)$"), "ti": find(r"^(time|zeit|uhrzeit)$"), "wi": find(r"time|date|zeit|datum|timestamp")})
-    body = rows.join(head, "file").where("row > hrow")
+    head = settled(head.withColumns({"di": find(r"^(date|datum)$"), "ti": find(r"^(time|zeit|uhrzeit)$"), "wi": find(r"time|date|zeit|datum|timestamp")}))
+    body = _meet(lines, head).where("place > top").withColumn("cells", F.when(F.col("d") == marks[0], cells(marks[0])).when(F.col("d") == marks[1], cells(marks[1])).otherwise(cells(marks[2]))).where(F.size("cells") >= 2)
     stamp = F.when(F.col("di").isNotNull() & F.col("ti").isNotNull(), F.concat_ws(" ", F.get("cells", F.col("di")), F.get("cells", F.col("ti")))).otherwise(F.get("cells", F.coalesce("wi", F.lit(0))))
-    body = body.withColumn("stamp", two_digits(stamp))
-    formats = choose_time_format(body.select("file", F.col("stamp").alias("sample")), ["file"], month_first)
-    body = body.join(formats, "file").withColumn("ts", F.to_utc_timestamp(F.try_to_timestamp("stamp", F.col("format")), zone)).where("ts is not null")
-    cells = body.select("file", "d", "ts", "head", "di", "ti", "wi", F.posexplode("cells").alias("i", "text")).where("not (i <=> di) and not (i <=> ti) and not (di is null and i <=> coalesce(wi, 0))")
+    body = settled(body.select("file", "cells", F.trim(stamp).alias("stamp")))
+    formats = settled(head.select("file").join(time_layouts(body.select("file", F.col("stamp").alias("sample")), ["file"], month_first), "file", "left").withColumn("problem", F.coalesce("problem", F.when(F.col("format").isNull(), F.lit("no data rows")))))
+    layout = settled(head.drop("top").join(formats.where("problem is null").select("file", "format"), "file"))
+    timed = _meet(body, layout).withColumn("ts", parse_time(F.col("stamp"), F.col("format"), zone)).where("ts is not null")
+    each = timed.select("file", "d", "ts", "head", "di", "ti", "wi", F.posexplode("cells").alias("i", "text")).where("not (i <=> di) and not (i <=> ti) and not (di is null and i <=> coalesce(wi, 0))")
     number = F.when(F.col("d") == ";", F.replace("text", F.lit(","), F.lit("."))).otherwise(F.col("text")).try_cast("double")
-    cells = cells.withColumn("value", number)
-    share = F.avg(F.when(F.col("value").isNotNull(), 1.0).otherwise(0.0)).over(Window.partitionBy("file", "i"))
-    return cells.withColumn("share", share).where("share >= 0.5 and value is not null").select("file", "ts", safe_name(F.get("head", F.col("i"))).alias("name"), "value")
+    each = each.select("file", "ts", "i", safe_name(F.get("head", F.col("i"))).alias("name"), number.alias("value"))
+    numeric = settled(each.groupBy("file", "i").agg(F.avg(F.when(F.col("value").isNotNull(), 1.0).otherwise(0.0)).alias("share")).where("share >= 0.5").groupBy("file").agg(F.collect_set("i").alias("columns")))
+    rows = _meet(each.where("value is not null"), numeric).where(F.array_contains("columns", F.col("i"))).select("file", "ts", "name", "value")
+    return rows, formats.where("problem is not null").select("file", F.col("problem").alias("reason"))
+
+
+def read_logger(spark: SparkSession, path: str, zone: str = "UTC", month_first: bool | None = None) -> DataFrame:
+    """file, ts, name, value of the logger files that can be read; read_loggers also tells of the others."""
+    return read_loggers(spark, path, zone, month_first)[0]
 
 
 #: Time layouts, tried in this order; which of day and month comes first.
@@ -109,17 +130,51 @@ def two_digits(stamp: Column) -> Column:
     return F.regexp_replace(F.trim(stamp), r"(?<![0-9])([0-9])(?![0-9])", "0$1")
 
 
+#: A time in ISO 8601: date, time to the hour, minute, second or its fraction, offset; with or without separators.
+ISO = r"^([0-9]{4})-?([0-9]{2})-?([0-9]{2})(?:[T ]([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:[.,]([0-9]{1,9}))?)?)?)?\s*(Z|z|[+-][0-9]{2}(?::?[0-9]{2})?)?$"
+
+
+def iso_time(stamp: Column, zone: str) -> Column:
+    """UTC time of an ISO stamp; null for anything else. One without an offset is of `zone`."""
+    part = lambda k: F.regexp_extract(stamp, ISO, k)
+    or_zero = lambda k: F.when(part(k) == "", F.lit("00")).otherwise(part(k))
+    clock = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), or_zero(4), F.lit(":"), or_zero(5), F.lit(":"), or_zero(6), F.lit("."), F.rpad(F.substring(part(7), 1, 6), 6, "0"))
+    naive = F.try_to_timestamp(clock, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    offset = F.replace(part(8), F.lit(":"))
+    minutes = F.substring(offset, 2, 2).try_cast("int") * 60 + F.coalesce(F.substring(offset, 4, 2).try_cast("int"), F.lit(0))
+    shifted = naive - F.make_dt_interval(mins=F.coalesce(F.when(F.substring(offset, 1, 1) == "-", -minutes).otherwise(minutes), F.lit(0)))
+    return F.when(stamp.rlike(ISO), F.when(offset == "", F.to_utc_timestamp(naive, zone)).otherwise(shifted))
+
+
+def parse_time(stamp: Column, layout: Column, zone: str) -> Column:
+    """UTC time of stamps in their layouts (time_layouts)."""
+    return F.when(layout == "iso", iso_time(F.trim(stamp), zone)).otherwise(F.to_utc_timestamp(F.try_to_timestamp(two_digits(stamp), F.when(layout != "iso", layout)), zone))
+
+
+def _shape(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, "[0-9]", "9"), "(?i)[ap]m$", "a")
+
+
+def time_layouts(samples: DataFrame, by: Sequence[str], month_first: bool | None = None) -> DataFrame:
+    """by, format and problem of samples(by, sample): ISO if all samples are (one layout of TIME_FORMATS if it fits all, else
+    `iso`), else the first day-first or month-first layout that fits all. Both fitting (unless month_first decides) or none is
+    a problem. A layout is only tried on samples of its shape."""
+    stamp = samples.where("sample is not null").select(*by, F.trim("sample").alias("raw"), two_digits(F.col("sample")).alias("stamp")).withColumn("shape", _shape(F.col("stamp")))
+    look = lambda f: "".join("9" if c in "yMdHhms" else c for c in f.replace("'", ""))
+    fits = lambda f: F.bool_and((F.col("shape") == look(f)) & F.try_to_timestamp("stamp", F.lit(f)).isNotNull())
+    every = stamp.groupBy(*by).agg(F.bool_and(iso_time(F.col("raw"), "UTC").isNotNull()).alias("any_iso"), *(fits(f).alias(f"f{i}") for i, (f, _) in enumerate(TIME_FORMATS)))
+    best = lambda kind: F.coalesce(*(F.when(F.col(f"f{i}"), F.lit(f)) for i, (f, k) in enumerate(TIME_FORMATS) if k == kind))
+    found = every.select(*by, F.coalesce(best("iso"), F.when(F.col("any_iso"), F.lit("iso"))).alias("iso"), best("day").alias("day"), best("month").alias("month"))
+    both = F.col("iso").isNull() & F.col("day").isNotNull() & F.col("month").isNotNull() & F.lit(month_first is None)
+    chosen = F.coalesce("iso", *(("month", "day") if month_first else ("day", "month")))
+    problem = F.when(both, F.lit("day or month first? the times fit both")).when(chosen.isNull(), F.lit("no time layout fits"))
+    return found.select(*by, F.when(problem.isNull(), chosen).alias("format"), problem.alias("problem"))
+
+
 def choose_time_format(samples: DataFrame, by: Sequence[str], month_first: bool | None = None) -> DataFrame:
-    """by and format: ISO if all samples(by, sample) parse so, else the first day-first or month-first layout that fits all.
-    Both fitting, or none, is refused (unless month_first decides)."""
-    cand = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f).alias("format"), F.lit(o).alias("kind")) for i, (f, o) in enumerate(TIME_FORMATS))))
-    fits = samples.where("sample is not null").select(*by, two_digits(F.col("sample")).alias("sample"), cand.alias("c")).groupBy(*by, "c").agg(F.bool_and(F.try_to_timestamp("sample", F.col("c.format")).isNotNull()).alias("all"))
-    kind = lambda k: F.min(F.when(F.col("all") & (F.col("c.kind") == k), F.col("c")))["format"]
-    best = fits.groupBy(*by).agg(kind("iso").alias("iso"), kind("day").alias("day"), kind("month").alias("month"))
-    both = F.col("day").isNotNull() & F.col("month").isNotNull()
-    pick = F.when(F.lit(bool(month_first)), F.coalesce("month", "day")).otherwise(F.coalesce("day", "month")) if month_first is not None else F.when(both, F.raise_error(F.lit("day or month first? the times fit both"))).otherwise(F.coalesce("day", "month"))
-    chosen = F.coalesce("iso", F.when(F.col("iso").isNull(), pick))
-    return best.select(*by, F.when(chosen.isNull(), F.raise_error(F.lit("no time layout fits"))).otherwise(chosen).alias("format"))
+    """by and format (time_layouts); a problem ends the job."""
+    found = time_layouts(samples, by, month_first)
+    return found.select(*by, F.when(F.col("problem").isNotNull(), F.raise_error("problem")).otherwise(F.col("format")).alias("format"))
 
 
 def safe_name(text: Column) -> Column:
