@@ -152,3 +152,68 @@ def test_running_quantile():
         ends = np.unique(rng.integers(1, n + 1, 60))
         for q in (0.0, 0.5, 0.95, 1.0):
             assert np.allclose(regions.running_quantile(v, ends, q), [np.percentile(v[:e], 100 * q) for e in ends], rtol=0, atol=1e-12)
+
+
+def test_variants_are_measured_as_each_alone(spark):
+    """Six settings, with and without light correction, against one run a setting."""
+    from verdance.operators import series, variants
+
+    rng = np.random.default_rng(12)
+    n = 24
+    grid = rng.integers(0, 256, (3, n, n, 3))
+    grid[:, 4:18, 5:20] = rng.integers([0, 140, 0], [60, 255, 60], (3, 14, 15, 3))
+    pd = __import__("pandas")
+    f, y, x = np.mgrid[0:3, 0:n, 0:n].reshape(3, -1)
+    px = spark.createDataFrame(pd.DataFrame({"frame": f, "x": x, "y": y, **dict(zip("bgr", grid.reshape(-1, 3).T))}))
+    gains = spark.createDataFrame([(0, 1.2, 0.9, 1.0), (1, 0.8, 1.1, 1.0)], "frame long, gain_b double, gain_g double, gain_r double")
+    green = [((35, 40, 20), (85, 255, 255))]
+    grid_of = series.variant_grid(spark, ["hsv", "cleanup", "front", "lighting"]).where("variant <> 'lighting_background'")
+    run = lambda v: variants.measure_variants(px, v, green, (12.0, 23.0), (12.0, 0.0), n, n, 1, 6, gains=gains)
+    all_ = {(r.variant, r.frame): (r.target_px, r.extent_px) for r in run(grid_of).collect()}
+    assert len(all_) == 3 * grid_of.count() and run(grid_of).where("lighting = 'off'").count() == 3
+    for name in ("lighting_off",):
+        alone = {(r.variant, r.frame): (r.target_px, r.extent_px) for r in run(grid_of.where(F.col("variant") == name)).collect()}
+        assert alone == {k: v for k, v in all_.items() if k[0] == name}
+    h, s, v = pixels.bgr_to_hsv()
+    lit = pixels.apply_gains(px, gains).withColumns({"h": h, "s": s, "v": v})
+    mask = lit.where(pixels.hsv_in_ranges(F.col("h"), F.col("s"), F.col("v"), green))
+    assert {r.frame: r["count"] for r in regions.mask_cleanup(mask, n, n, 1, 6).groupBy("frame").count().collect()} == {f: c for (name, f), (c, _) in all_.items() if name == "baseline"}
+    with pytest.raises(ValueError, match="unknown settings"):
+        run(spark.createDataFrame([("x", {"zoom": "2"})], "variant string, overrides map<string,string>"))
+
+
+def test_images_shrink_by_area(spark):
+    """A 90 x 60 image to 64 x 43 by brute force; one of 40 x 64 stays."""
+    from verdance.operators import masks
+
+    rng = np.random.default_rng(3)
+    pd = __import__("pandas")
+
+    def table(frame, a):
+        y, x = np.mgrid[0 : a.shape[0], 0 : a.shape[1]].reshape(2, -1)
+        return pd.DataFrame({"frame": frame, "x": x, "y": y, **dict(zip("bgr", a.reshape(-1, 3).T))})
+
+    large, small = rng.integers(0, 256, (60, 90, 3)), rng.integers(0, 256, (64, 40, 3))
+    got = masks.shrink_images(spark.createDataFrame(pd.concat([table(1, large), table(2, small)])), side=64).toPandas()
+    same = got[got.frame == 2].sort_values(["y", "x"])
+    assert (same[["b", "g", "r"]].to_numpy() == small.reshape(-1, 3)).all()
+
+    def cover(n, m):
+        w = np.zeros((m, n))
+        for i in range(m):
+            for j in range(n):
+                w[i, j] = max(0, min((i + 1) * n / m, j + 1) - max(i * n / m, j))
+        return w / w.sum(1, keepdims=True)
+
+    want = np.round(np.einsum("ij,jkc,lk->ilc", cover(60, 43), large, cover(90, 64)).round(9))
+    one = got[got.frame == 1].sort_values(["y", "x"])
+    assert len(one) == 43 * 64 and (one[["b", "g", "r"]].to_numpy() == want.reshape(-1, 3)).all()
+
+
+def test_lab_of_known_colours(spark):
+    from verdance.operators import masks
+
+    known = {(255, 255, 255): (255, 128, 128), (0, 0, 0): (0, 128, 128), (0, 0, 255): (136, 208, 195), (0, 255, 0): (224, 42, 211), (255, 0, 0): (82, 207, 20), (128, 128, 128): (137, 128, 128)}
+    df = spark.createDataFrame(list(known), "b int, g int, r int")
+    l, a, b = masks.bgr_to_lab()  # noqa: E741
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in df.select("b", "g", "r", l.alias("l1"), a.alias("a1"), b.alias("b1")).collect()} == known

@@ -282,3 +282,43 @@ def test_large_logger_file_is_read_by_several_tasks(spark, tmp_path):
         assert str(first[0]) == "2024-01-01 00:00:00" and first[1] == max(dt.datetime(2024, 1 + i // 40320, 1 + i // 1440 % 28, i // 60 % 24, i % 60) for i in range(n))
     finally:
         spark.conf.set(key, before)
+
+
+def test_coco_ids_count_over_documents(spark, tmp_path):
+    """Many documents of bounded size, ids dense over all of them, compressed run lengths read back."""
+    rng = np.random.default_rng(4)
+    rows = [(f"f{i:03d}.png", c, int(x), int(y)) for i in range(60) for c in ("mold", "dye") if (i + len(c)) % 3 for x, y in set(map(tuple, rng.integers(0, [20, 15], (40, 2)).tolist()))]
+    mask = spark.createDataFrame(rows, "file string, class string, x int, y int").repartition(7)
+    for compressed in (False, True):
+        out = str(tmp_path / f"out{compressed}")
+        tables.coco_write(mask, ["mold", "dye"], 15, 20, out, 500, compressed)
+        docs = [json.loads(line) for f in sorted(__import__("glob").glob(out + "/part-*")) for line in open(f)]
+        assert len(docs) > 3 and all(sum(len(a["segmentation"]["counts"]) for a in d["annotations"]) < (3000 if compressed else 700) for d in docs)
+        images = sorted(((i["id"], i["file_name"]) for d in docs for i in d["images"]))
+        assert images == [(k + 1, name) for k, name in enumerate(sorted({r[0] for r in rows}))]
+        marks = sorted((a["id"], a["image_id"], a["category_id"]) for d in docs for a in d["annotations"])
+        assert [m[0] for m in marks] == list(range(1, len(marks) + 1)) and [m[1:] for m in marks] == sorted(m[1:] for m in marks)
+        assert all({a["image_id"] for a in d["annotations"]} == {i["id"] for i in d["images"]} for d in docs)
+        px, refused = tables.coco_read(spark, out, ["mold", "dye"])
+        assert refused.count() == 0 and sorted(map(tuple, px.collect())) == sorted(rows)
+
+
+def test_run_lengths_as_text_and_back():
+    rng = np.random.default_rng(1)
+    assert tables._as_text([1, 3]) == "13"
+    for _ in range(200):
+        counts = rng.integers(0, 10 ** int(rng.integers(1, 8)), rng.integers(1, 12)).tolist()
+        assert tables._run_lengths(tables._as_text(counts)) == counts
+
+
+def test_numbers_over_ranges(spark):
+    from verdance.functions.numbering import numbered
+
+    rows = [(f"k{i * 7919 % 1000:04d}", i % 5) for i in range(1000)]
+    got = numbered(spark.createDataFrame(rows, "k string, w int").repartition(6), ["k"], weight=F.col("w")).collect()
+    total = 0
+    for i, (k, w) in enumerate(sorted(rows)):
+        r = next(x for x in got if x.n == i + 1)
+        assert (r.k, r.before) == (k, total)
+        total += w
+    assert numbered(spark.createDataFrame([], "k string"), ["k"]).count() == 0

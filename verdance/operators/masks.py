@@ -135,6 +135,56 @@ def rank_items(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 FEATURES = ["f0", "f1", "f2", "f3", "f4", "f5", "f6", "f7"]
 
 
+FEATURES = ("lightness_mean", "lightness_sd", "a_mean", "a_sd", "b_mean", "b_sd", "saturation_mean", "texture")
+
+
+def shrink_images(pixels: DataFrame, key: Sequence[str] = ("frame",), side: int = 512) -> DataFrame:
+    """pixels(key, x, y, b, g, r) of images whose longer side is at most `side`: larger ones by area averaging, each new pixel
+    the mean of what it covers, in parts where it cuts pixels, rounded."""
+    size = pixels.groupBy(*key).agg((F.max("x") + 1).alias("__w"), (F.max("y") + 1).alias("__h"))
+    long = F.greatest("__w", "__h")
+    new = lambda c: F.when(long > side, F.greatest(F.bround(F.col(c) * (F.lit(float(side)) / long)), F.lit(1))).otherwise(F.col(c)).cast("double")
+    fit = pixels.join(size, list(key)).withColumns({"__fx": new("__w") / F.col("__w"), "__fy": new("__h") / F.col("__h")})
+    # a pixel lies in one or two new columns, and rows; the last place keeps what rounding moves beyond the edge
+    def parts(c: str, f: str) -> Column:
+        lo, hi = F.col(c) * F.col(f), (F.col(c) + 1) * F.col(f)
+        cut = F.floor(lo + 1e-9) + 1
+        whole = F.array(F.struct((cut - 1).cast("int").alias("at"), F.least(hi, cut).alias("end"), lo.alias("start")))
+        rest = F.array(F.struct(cut.cast("int").alias("at"), hi.alias("end"), cut.cast("double").alias("start")))
+        return F.when(hi > cut + 1e-9, F.concat(whole, rest)).otherwise(whole)
+
+    split = fit.withColumn("__x", F.explode(parts("x", "__fx"))).withColumn("__y", F.explode(parts("y", "__fy")))
+    weight = (F.col("__x.end") - F.col("__x.start")) * (F.col("__y.end") - F.col("__y.start"))
+    mean = lambda c: F.bround(F.round(F.sum(F.col(c) * weight) / F.sum(weight), 9)).cast("int").alias(c)
+    return split.groupBy(*key, F.col("__x.at").alias("x"), F.col("__y.at").alias("y")).agg(mean("b"), mean("g"), mean("r"))
+
+
+def bgr_to_lab(b: str = "b", g: str = "g", r: str = "r") -> tuple[Column, Column, Column]:
+    """8-bit L (0-255 for 0-100), a and b (each plus 128) of sRGB values under D65."""
+    line = lambda c: F.when(F.col(c) / 255 > 0.04045, F.pow((F.col(c) / 255 + 0.055) / 1.055, F.lit(2.4))).otherwise(F.col(c) / 255 / 12.92)
+    red, green, blue = line(r), line(g), line(b)
+    # fixed values: sRGB to XYZ, divided by the white point
+    x = (0.412453 * red + 0.357580 * green + 0.180423 * blue) / 0.950456
+    y = 0.212671 * red + 0.715160 * green + 0.072169 * blue
+    z = (0.019334 * red + 0.119193 * green + 0.950227 * blue) / 1.088754
+    bend = lambda t: F.when(t > 0.008856, F.cbrt(t)).otherwise(7.787 * t + 16 / 116)
+    light = F.when(y > 0.008856, 116 * F.cbrt(y) - 16).otherwise(903.3 * y)
+    byte = lambda v: F.least(F.greatest(F.floor(v + 0.5), F.lit(0)), F.lit(255)).cast("int")
+    return byte(light * 255 / 100), byte(500 * (bend(x) - bend(y)) + 128), byte(200 * (bend(y) - bend(z)) + 128)
+
+
+def image_features(pixels: DataFrame, key: Sequence[str] = ("frame",), side: int = 512) -> DataFrame:
+    """key and FEATURES of every image of pixels(key, x, y, b, g, r), seen at most `side` pixels large: mean and spread of
+    lightness and the two colour axes (8-bit Lab), mean saturation, and mean size of the grey level's Laplacian."""
+    from .pixels import bgr_to_hsv, laplacian
+
+    small = laplacian(shrink_images(pixels.select(*key, "x", "y", "b", "g", "r"), key, side), list(key))
+    (light, a, b), (_, s, _) = bgr_to_lab(), bgr_to_hsv()
+    each = small.select(*key, light.alias("l"), a.alias("a_"), b.alias("b_"), s.alias("s"), "lap")
+    values = [F.avg("l"), F.stddev_pop("l"), F.avg("a_"), F.stddev_pop("a_"), F.avg("b_"), F.stddev_pop("b_"), F.avg("s"), F.avg(F.abs("lap"))]
+    return each.groupBy(*key).agg(*(v.alias(n) for v, n in zip(values, FEATURES, strict=True)))
+
+
 def input_profile(features: DataFrame, columns: Sequence[str]) -> tuple[list[float], list[list[float]], float]:
     """Mean, inverse covariance (shrunk to its diagonal by min(1, d/n), with 1e-6 max(trace, 1) added) and distance limit of
     training images: sums of products in Spark, a d x d matrix on the driver."""

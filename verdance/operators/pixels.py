@@ -150,7 +150,7 @@ def frame_brightness(pixels: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return pixels.groupBy(*key).agg(F.avg(grey()).alias("mean_brightness"))
 
 
-def _laplacian(pixels: DataFrame, key: Sequence[str]) -> DataFrame:
+def laplacian(pixels: DataFrame, key: Sequence[str]) -> DataFrame:
     """luma and lap: the 4-neighbour Laplacian; at the border the inner neighbour counts twice."""
     p = pixels.withColumn("luma", grey())
     col, row = Window.partitionBy(*key, "x").orderBy("y"), Window.partitionBy(*key, "y").orderBy("x")
@@ -159,13 +159,13 @@ def _laplacian(pixels: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def frame_sharpness(pixels: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    return _laplacian(pixels, key).groupBy(*key).agg(F.var_pop("lap").alias("sharpness"))
+    return laplacian(pixels, key).groupBy(*key).agg(F.var_pop("lap").alias("sharpness"))
 
 
 def normalized_sharpness(pixels: DataFrame, region: Column | None = None, least: int = 100, key: Sequence[str] = KEY) -> DataFrame:
     """Variance of the Laplacian over that of the grey level, in the region if it has more than `least` pixels; 0 if flat."""
     inside = region if region is not None else F.lit(True)
-    got = _laplacian(pixels, key).groupBy(*key).agg(F.count_if(inside).alias("n"), F.var_pop(F.when(inside, F.col("lap"))).alias("a"), F.var_pop(F.when(inside, F.col("luma"))).alias("b"), F.var_pop("lap").alias("c"), F.var_pop("luma").alias("d"))
+    got = laplacian(pixels, key).groupBy(*key).agg(F.count_if(inside).alias("n"), F.var_pop(F.when(inside, F.col("lap"))).alias("a"), F.var_pop(F.when(inside, F.col("luma"))).alias("b"), F.var_pop("lap").alias("c"), F.var_pop("luma").alias("d"))
     use = F.col("n") > least
     top, low = F.when(use, F.col("a")).otherwise(F.col("c")), F.when(use, F.col("b")).otherwise(F.col("d"))
     return got.select(*key, F.when(low > 0, top / F.nullif(low, F.lit(0.0))).otherwise(0.0).alias("norm_sharpness"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import masks, pixels
-from ..sources.tables import coco_annotations
+from ..functions.shared import settled
+from ..operators import masks, pixels, series, variants
+from ..sources.tables import coco_annotations, coco_tables
 from .sample import LB, PX, labelled, query, table
 from .sample import pixels as px_table
 
@@ -509,6 +510,68 @@ def _(spark, d):
     return masks.rle_to_pixels(masks.rle_counts(masks.rle_runs(_mask(spark, d), 8, ["frame"]), 64, ["frame"]), 8, ["frame"])
 
 
+#: The variants' looks as a mask each (frame * 10 + look), cleaned, and the axis from (0, 7) up to (0, 0).
+_LOOKS = " union all ".join(f"select frame * 10 + {i} frame, x, y from hs where {SHIFTED['green'][step]}" for i, step in enumerate((0, 1, -1)))
+_SEEN = " union all ".join(f"select '{name}' variant, {p} p, frame // 10 frame, x, y from {source} where frame % 10 = {i}" for name, source, i, p in (("baseline", "cl", 0, 0.5), ("hsv_wider", "cl", 1, 0.5), ("hsv_narrower", "cl", 2, 0.5), ("no_cleanup", "mk", 0, 0.5), ("front_25", "cl", 0, 0.25), ("front_75", "cl", 0, 0.75)))
+VARIANTS = f"""with recursive {HSV}, mk as ({_LOOKS}), {CLEAN}, sn as ({_SEEN}),
+st as (select variant, p, frame, x, greatest(max(7.5::double - y), 0) front, count(*) n from sn group by all), ex as (select variant, frame, sum(n)::bigint target_px, case any_value(p) when 0.25 then quantile_cont(front, 0.25) when 0.75 then quantile_cont(front, 0.75) else quantile_cont(front, 0.5) end extent_px from st group by all),
+vs as (select * from (values ('baseline'), ('hsv_wider'), ('hsv_narrower'), ('no_cleanup'), ('front_25'), ('front_75')) v(variant)), fm as (select distinct frame, grp from px),
+vr as (select variant, frame, grp, coalesce(target_px, 0)::bigint target_px, 100.0 * coalesce(target_px, 0) / 64 coverage_pct, extent_px from (select * from vs, fm) left join ex using (variant, frame))"""
+
+
+def _variant_rows(spark, d):
+    grid = series.variant_grid(spark, ["hsv", "cleanup", "front"])
+    return variants.measure_variants(px_table(spark, d), grid, GREEN, (0.0, 7.0), (0.0, 0.0), 8, 8, key=["frame", "grp"])
+
+
+@query("variant_runs", f"{VARIANTS}\n;;\nselect variant, frame, target_px, coverage_pct, extent_px from vr", "coverage_pct extent_px", "variant frame target_px")
+def _(spark, d):
+    return _variant_rows(spark, d).select("variant", "frame", "target_px", "coverage_pct", "extent_px")
+
+
+@query("variant_sensitivity", f"""{VARIANTS}, vb as (select v.variant, v.grp, v.frame, v.extent_px - b.extent_px dd from vr v join vr b on b.frame = v.frame and b.variant = 'baseline' where v.variant <> 'baseline' and v.extent_px is not null and b.extent_px is not null)
+;;
+select grp, variant, count(*) n, avg(abs(dd)) mean_abs, max(abs(dd)) max_abs, avg(dd) mean_change, arg_max(dd, frame) last_change from vb group by all""", "mean_abs max_abs mean_change last_change", "grp variant n")
+def _(spark, d):
+    rows = _variant_rows(spark, d).select("grp", "variant", F.col("frame").cast("string").alias("frame_file"), F.col("frame").alias("ts"), F.col("extent_px").alias("y"), F.lit(None).cast("double").alias("unc"), F.lit(False).alias("excluded"))
+    return series.sensitivity_compare(rows, "baseline", ["grp"]).where("n > 0").select("grp", "variant", "n", "mean_abs", "max_abs", "mean_change", "last_change")
+
+
+_BEND = "(case when {0} > 0.008856 then cbrt({0}) else 7.787 * {0} + 16.0 / 116 end)"
+_SRGB = ", ".join(f"case when {c} / 255.0 > 0.04045 then pow(({c} / 255.0 + 0.055) / 1.055, 2.4) else {c} / 255.0 / 12.92 end l{c}" for c in "bgr")
+LAB = f"""xy as (select *, (0.412453 * lr + 0.357580 * lg + 0.180423 * lb) / 0.950456 cx, 0.212671 * lr + 0.715160 * lg + 0.072169 * lb cy, (0.019334 * lr + 0.119193 * lg + 0.950227 * lb) / 1.088754 cz from (select *, {_SRGB} from hs)),
+la as (select frame, x, y, s, floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5) gr, greatest(least(floor((case when cy > 0.008856 then 116 * cbrt(cy) - 16 else 903.3 * cy end) * 2.55 + 0.5), 255), 0) l1, floor(500 * ({_BEND.format("cx")} - {_BEND.format("cy")}) + 128.5) a1, floor(200 * ({_BEND.format("cy")} - {_BEND.format("cz")}) + 128.5) b1 from xy),
+sd as (select a.*, u.gr gu, o.gr go, l.gr gl, i.gr gi from la a join la u on u.frame = a.frame and u.x = a.x and u.y = abs(a.y - 1) join la o on o.frame = a.frame and o.x = a.x and o.y = 7 - abs(6 - a.y) join la l on l.frame = a.frame and l.y = a.y and l.x = abs(a.x - 1) join la i on i.frame = a.frame and i.y = a.y and i.x = 7 - abs(6 - a.x))"""
+
+
+@query("image_features", f"with {HSV}, {LAB}\n;;\nselect frame, avg(l1) lightness_mean, stddev_pop(l1) lightness_sd, avg(a1) a_mean, stddev_pop(a1) a_sd, avg(b1) b_mean, stddev_pop(b1) b_sd, avg(s) saturation_mean, avg(abs(gu + go + gl + gi - 4 * gr)) texture from sd group by 1", " ".join(masks.FEATURES), "frame")
+def _(spark, d):
+    return masks.image_features(px_table(spark, d))
+
+
+@query("unfamiliar_images")
+def _(spark, d):
+    """Distance of every image from the even ones, by all eight features."""
+    f = settled(masks.image_features(px_table(spark, d)))
+    return masks.input_distance(f, masks.FEATURES, masks.input_profile(f.where("frame % 2 = 0"), masks.FEATURES)).select("frame", "distance", "flag")
+
+
+_TWO = "ml as (select frame, 'green' class, 1 category_id, x, y from px where g >= 110 union all select frame, 'red', 2, x, y from px where r >= 128)"
+
+
+@query("coco_tables", f"""with {PX}, {_TWO},
+al as (select k.frame, k.category_id, i, case when ml.x is null then 0 else 1 end v from (select distinct frame, category_id from ml) k cross join (select unnest(range(64)) i) left join ml on ml.frame = k.frame and ml.category_id = k.category_id and ml.x * 8 + ml.y = i),
+ch as (select *, case when v <> lag(v, 1, 0) over (partition by frame, category_id order by i) then 1 else 0 end c from al), il as (select *, sum(c) over (partition by frame, category_id order by i) k from ch),
+rn as (select frame, category_id, k, count(*) n, min(v) v from il group by all), ct as (select frame, category_id, case when min(k) = 0 then '' else '0 ' end || string_agg(n::varchar, ' ' order by k) counts from rn group by all),
+im as (select frame, row_number() over (order by 'f' || frame)::bigint image_id from (select distinct frame from ml))
+;;
+select row_number() over (order by image_id, category_id)::bigint id, image_id, category_id, area, bbox, counts from (select frame, category_id, count(*) area, [min(x), min(y), max(x) - min(x) + 1, max(y) - min(y) + 1] bbox from ml group by all) join ct using (frame, category_id) join im using (frame)""", "", "id image_id category_id area bbox counts")
+def _(spark, d):
+    p = px_table(spark, d).withColumn("class", F.explode(F.filter(F.array(F.when(F.col("g") >= 110, F.lit("green")), F.when(F.col("r") >= 128, F.lit("red"))), lambda c: c.isNotNull())))
+    marks = coco_tables(p.select(F.concat(F.lit("f"), "frame").alias("file"), "class", "x", "y"), ["green", "red"], 8, 8, 1000)[1]
+    return marks.select("id", "image_id", "category_id", "area", "bbox", F.array_join("counts", " ").alias("counts"))
+
+
 @query("coco_annotations", f"with {PX}\n;;\nselect frame, count(*) area, [min(x), min(y), max(x) - min(x) + 1, max(y) - min(y) + 1] bbox from px where g >= 110 group by 1", "", "frame area bbox")
 def _(spark, d):
     return coco_annotations(_mask(spark, d), ["frame"], 8, 8).select("frame", "area", "bbox")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from ..functions.shared import settled
 from ..schemas import FRAMES
 
@@ -328,18 +329,53 @@ def coco_read(spark: SparkSession, path: str, classes: Sequence[str]) -> tuple[D
     return px.unionByName(drawn).distinct(), j.where("reason is not null").select("id", "file_name", "reason")
 
 
-def coco_write(mask: DataFrame, classes: Sequence[str], height: int, width: int, path: str, documents: int = 1) -> None:
-    """mask(file, class, x, y) as COCO documents with plain run lengths, a JSON file each: images are dealt over `documents`
-    by their name; ids count within a document, categories are the classes in their order."""
-    code = F.array_position(F.array(*map(F.lit, classes)), F.col("class"))
-    ann = coco_annotations(mask.where(F.col("class").isin(*classes)), ["file", "class"], height, width).withColumn("part", F.pmod(F.xxhash64("file"), F.lit(documents)))
-    size = F.struct(F.array(F.lit(height), F.lit(width)).alias("size"), F.col("counts").alias("counts"))
-    item = F.struct("file", code.alias("category_id"), F.col("area").cast("long").alias("area"), "bbox", size.alias("segmentation"))
-    doc = ann.groupBy("part").agg(F.array_sort(F.collect_set("file")).alias("files"), F.array_sort(F.collect_list(item)).alias("items"))
+def _as_text(counts: list[int]) -> str:
+    """Run lengths in their compressed text (see _run_lengths)."""
+    out = []
+    for i, n in enumerate(counts):
+        v, size = n - (counts[i - 2] if i > 2 else 0), 1
+        while not -(16 << 5 * (size - 1)) <= v < 16 << 5 * (size - 1):
+            size += 1
+        out += [chr(48 + (v >> 5 * k & 31) + (32 if k < size - 1 else 0)) for k in range(size)]
+    return "".join(out)
+
+
+def compressed_counts(counts: str | Column) -> Column:
+    @F.pandas_udf("string")
+    def encode(column: pd.Series) -> pd.Series:
+        return column.map(lambda c: _as_text([int(x) for x in c]))
+
+    return encode(counts)
+
+
+#: Run lengths that one COCO document holds, but for one larger image alone.
+RUNS_A_DOCUMENT = 1_000_000
+
+
+def coco_tables(mask: DataFrame, classes: Sequence[str], height: int, width: int, runs: int = RUNS_A_DOCUMENT) -> tuple[DataFrame, DataFrame]:
+    """Images (id, file_name, document) and annotations (id, image_id, category_id, area, bbox, counts, document) of
+    mask(file, class, x, y). Ids count on over all documents, images by name, annotations by image and category (place of the
+    class). Images lie in documents by the runs of those before them."""
+    code = F.array_position(F.array(*map(F.lit, classes)), F.col("class")).cast("int")
+    ann = settled(coco_annotations(mask.where(F.col("class").isin(*classes)), ["file", "class"], height, width).withColumn("category_id", code))
+    images = numbered(ann.groupBy("file").agg(F.sum(F.size("counts")).alias("runs")), ["file"], "id", F.col("runs"))
+    images = settled(images.select("id", F.col("file").alias("file_name"), F.floor(F.col("before") / runs).alias("document")))
+    of = images.select(F.col("id").alias("image_id"), F.col("file_name").alias("file"), "document")
+    marks = numbered(ann.join(of, "file"), ["image_id", "category_id"], "id")
+    return images, marks.select("id", "image_id", "category_id", F.col("area").cast("long").alias("area"), "bbox", "counts", "document")
+
+
+def coco_write(mask: DataFrame, classes: Sequence[str], height: int, width: int, path: str, runs: int = RUNS_A_DOCUMENT, compressed: bool = False) -> None:
+    """mask(file, class, x, y) as COCO documents, a JSON file each of about `runs` run lengths, plain or compressed; see
+    coco_tables. A document's images and annotations are gathered in one row; no row holds more than a document."""
+    images, marks = coco_tables(mask, classes, height, width, runs)
+    counts = compressed_counts("counts") if compressed else F.col("counts")
+    item = F.struct("id", "image_id", "category_id", "area", "bbox", F.lit(1).alias("iscrowd"), F.struct(F.array(F.lit(height), F.lit(width)).alias("size"), counts.alias("counts")).alias("segmentation"))
+    named = F.struct("id", "file_name", F.lit(width).alias("width"), F.lit(height).alias("height"))
     names = F.array(*(F.struct(F.lit(i + 1).alias("id"), F.lit(c).alias("name")) for i, c in enumerate(classes)))
-    images = F.transform("files", lambda f, i: F.struct((i + 1).alias("id"), f.alias("file_name"), F.lit(width).alias("width"), F.lit(height).alias("height")))
-    marks = F.transform("items", lambda a, i: F.struct((i + 1).alias("id"), F.array_position("files", a["file"]).alias("image_id"), a["category_id"].alias("category_id"), a["area"].alias("area"), a["bbox"].alias("bbox"), F.lit(1).alias("iscrowd"), a["segmentation"].alias("segmentation")))
-    doc.select("part", names.alias("categories"), images.alias("images"), marks.alias("annotations")).repartition(documents, "part").drop("part").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+    left = images.select("document", named.alias("i")).groupBy("document").agg(F.array_sort(F.collect_list("i")).alias("images"))
+    right = marks.select("document", item.alias("a")).groupBy("document").agg(F.array_sort(F.collect_list("a")).alias("annotations"))
+    left.join(right, "document").select(names.alias("categories"), "images", "annotations").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def coco_annotations(mask: DataFrame, by: Sequence[str], height: int, width: int) -> DataFrame:
