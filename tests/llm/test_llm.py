@@ -522,3 +522,18 @@ def test_words_of_one_hash_in_the_encoder(monkeypatch):
             for _ in range(3):
                 ids, at = e.encode(data, offs)
                 assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+
+
+def test_rules_are_measured_steadily(spark, docs, odd, empty):
+    """Ten measurements of one table are the same; empty tables, null texts and ties have a defined order."""
+    rules = quality_rules.RULES
+    first = quality_rules.measure(docs, rules)
+    assert all(quality_rules.measure(docs.repartition(3 + i), rules) == first for i in range(10))
+    assert {n: c for n, _, c in first if n in ("capitals", "few_letters")}["capitals"] > 1 == dict((n, c) for n, _, c in first)["symbols"]
+    bad = {n: s for n, s, _ in first}
+    assert bad["too_few_words"] == pytest.approx(docs.where("size(regexp_extract_all(coalesce(text, ''), '[^ \\\\t\\\\n\\\\u000B\\\\f\\\\r]+', 0)) < 50").count() / docs.count())
+    assert quality_rules.measure(empty, rules) == [(n, 0.0, 1.0) for n in rules]
+    assert quality_rules.order_rules(quality_rules.measure(empty, rules)) == sorted(rules)
+    nulls = quality_rules.measure(spark.createDataFrame([(None,), (None,)], "text string"), rules)
+    assert {n: s for n, s, _ in nulls}["too_few_words"] == 1 and len(quality_rules.measure(odd, rules)) == len(rules)
+    assert quality_rules.work("n_words < 50", ()) == quality_rules.MATCH and quality_rules.work("n_words < 50") == 0
