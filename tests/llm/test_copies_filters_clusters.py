@@ -59,6 +59,15 @@ def test_exact_dedup_beyond_its_broadcasts(odd, monkeypatch, limit):
     assert sorted((tuple(r) for r in exact_dedup.deduplicate(odd, n_digest=1).collect()), key=repr) == expected_groups(TEXTS)
 
 
+def test_hot_groups_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 20)
+    monkeypatch.setattr(exact_dedup, "HOT_GROUPS", 5)
+    rows = [(i, "hot one" if i % 3 == 0 else "HOT two" if i % 3 == 1 else f"text {i % 40}") for i in range(300)]
+    for n_digest in (16, 1):
+        got = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), n_digest=n_digest)
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == expected_groups(rows)
+
+
 def test_one_digest_of_two_contents_keeps_texts_apart(spark):
     """256 digests of one byte, 600 different one-chunk texts: by digests alone many would be equal."""
     rows = [(i, f"text number {i % 600}") for i in range(1200)]

@@ -21,6 +21,9 @@ LEAST, MOST, CUT_BITS = 256, 1 << 14, 11
 WINDOW = 32
 #: Shared recipes up to which a broadcast picks the documents whose chunks are verified (8 bytes each); beyond, all are.
 MAX_SHARED = 1 << 20
+#: Groups of more than one in HOT_GROUPS of all rows, and more than HOT_ROWS, with a recipe of at most HOT_BYTES (a text of some
+#: hundred thousand bytes) are broadcast: 16 MB at most. Larger recipes and smaller groups are shuffled.
+HOT_GROUPS, HOT_ROWS, HOT_BYTES = 1000, 1000, 1 << 14
 #: Digests with two contents that are named one by one; beyond, every chunk is its own identifier.
 MAX_DOUBLED = 1 << 12
 _LOWER = lower_table()
@@ -149,10 +152,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that tie in id and text one stays. A null id is smaller than any other: it stays only where all of the group
     are null, and keep_id is null there. Texts never leave their tasks but for verification (see recipes); groups are
-    counted before rows meet, and the rows join back by recipe."""
+    counted before rows meet, and the rows join back by recipe, those of hot groups by broadcast."""
     listed = recipes(docs, id_col, text_col, n_digest)
     best = F.max(F.struct("id", "row")).alias("best")
     groups = listed.groupBy("recipe").agg(best, F.count("*").alias("group_size"))
-    return listed.join(groups, "recipe").select(
+    # groups of more than a thousandth of the rows are under a thousand, so their rows meet them without a shuffle
+    many = max(listed.count() // HOT_GROUPS, HOT_ROWS)
+    counted = listed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > many).select("key")
+    hot = F.broadcast(written(listed.join(F.broadcast(counted), "key").groupBy("recipe").agg(best, F.count("*").alias("group_size")).where((F.length("recipe") <= HOT_BYTES) & (F.col("group_size") > many))))
+    rest = listed.join(hot.select("recipe"), "recipe", "left_anti")
+    joined = listed.join(hot, "recipe").unionByName(rest.join(groups, "recipe"))
+    return joined.select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256")
     )
