@@ -175,7 +175,7 @@ def time_layouts(samples: DataFrame, by: Sequence[str], month_first: bool | None
 def choose_time_format(samples: DataFrame, by: Sequence[str], month_first: bool | None = None) -> DataFrame:
     """by and format (time_layouts); a problem ends the job."""
     found = time_layouts(samples, by, month_first)
-    return found.select(*by, F.when(F.col("problem").isNotNull(), F.raise_error("problem")).otherwise(F.col("format")).alias("format"))
+    return found.select(*by, F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem"))).otherwise(F.col("format")).alias("format"))
 
 
 def safe_name(text: Column) -> Column:
