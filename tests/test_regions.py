@@ -217,3 +217,18 @@ def test_lab_of_known_colours(spark):
     df = spark.createDataFrame(list(known), "b int, g int, r int")
     l, a, b = masks.bgr_to_lab()  # noqa: E741
     assert {tuple(r)[:3]: tuple(r)[3:] for r in df.select("b", "g", "r", l.alias("l1"), a.alias("a1"), b.alias("b1")).collect()} == known
+
+
+def test_tiles_in_batches_are_scored_as_one_by_one(spark):
+    """A model that looks at neighbours, so overlapping tiles differ; images of two sizes of batch."""
+    pd = __import__("pandas")
+    rng = np.random.default_rng(6)
+    y, x = np.mgrid[0:10, 0:13].reshape(2, -1)
+    px = spark.createDataFrame(pd.concat([pd.DataFrame({"frame": f, "x": x, "y": y, "b": rng.integers(0, 256, 130), "g": rng.integers(0, 256, 130), "r": rng.integers(0, 256, 130)}) for f in range(5)]))
+    blur = lambda a: (a[..., 1] + np.roll(a[..., 2], 1, axis=-1)) / 200 - 1
+    one = {(r.frame, r.x, r.y): r.p for r in pixels.tile_scores(px, lambda t: blur(t[["b", "g", "r"]].to_numpy(float).reshape(1, 6, 6, 3)).ravel(), 13, 10, 6, 2).collect()}
+    for batch in (1, 4):
+        got = {(r.frame, r.x, r.y): r.p for r in pixels.tile_predictions(px, lambda: blur, 13, 10, 6, 2, batch=batch).collect()}
+        assert got.keys() == one.keys() and all(got[k] == pytest.approx(one[k], abs=1e-5) for k in one)
+    with pytest.raises(Exception, match="lacks pixels"):
+        pixels.tile_predictions(px.where("x <> 3"), lambda: blur, 13, 10, 6, 2).collect()

@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .regions import dilate, distances, erode, label_blobs, mask_cleanup, running_quantile
 
@@ -390,24 +392,49 @@ def tiles(width: int, height: int, tile: int, overlap: int) -> list[tuple[int, i
     return [(x, y) for x in starts(width) for y in starts(height)]
 
 
-def tile_scores(pixels: DataFrame, score: Callable[[pd.DataFrame], np.ndarray], width: int, height: int, tile: int, overlap: int, key: Sequence[str] = KEY) -> DataFrame:
-    """Probability of each pixel: the user's score(tile's pixels) gives logits per tile, blended with weights that rise
-    from the tile's edge, then the logistic function. One tile of one frame is one group."""
+def _tiled(pixels: DataFrame, width: int, height: int, tile: int, overlap: int) -> DataFrame:
+    """pixels once for each tile that holds them, with its corner tx, ty."""
     corners = F.explode(F.array(*(F.struct(F.lit(a).alias("tx"), F.lit(b).alias("ty")) for a, b in tiles(width, height, tile, overlap))))
     each = pixels.withColumn("t", corners).where((F.col("x") >= F.col("t.tx")) & (F.col("x") < F.col("t.tx") + tile) & (F.col("y") >= F.col("t.ty")) & (F.col("y") < F.col("t.ty") + tile))
-    each = each.select(*pixels.columns, "t.tx", "t.ty")
+    return each.select(*pixels.columns, "t.tx", "t.ty")
+
+
+def _blended(scored: DataFrame, tile: int, overlap: int, key: Sequence[str]) -> DataFrame:
+    """Probability of each pixel from its tiles' logits l, by weights that rise from a tile's edge to the overlap."""
+    ramp = lambda c, o: F.least(F.col(c) - F.col(o) + 1, tile - (F.col(c) - F.col(o)), F.lit(max(overlap, 1))).cast("double")
+    w = ramp("x", "tx") * ramp("y", "ty")
+    return scored.groupBy(*key, "x", "y").agg((1 / (1 + F.exp(-F.sum(w * F.col("l")) / F.sum(w)))).alias("p"))
+
+
+def tile_scores(pixels: DataFrame, score: Callable[[pd.DataFrame], np.ndarray], width: int, height: int, tile: int, overlap: int, key: Sequence[str] = KEY) -> DataFrame:
+    """Probability of each pixel: the user's score(tile's pixels, by row and column) gives logits per tile, blended, then the
+    logistic function. One tile of one frame is one group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"])
-        ramp = lambda c, o: np.minimum.reduce([c - o + 1, tile - (c - o), np.full(len(c), max(overlap, 1))])
-        out = pdf[[*key, "x", "y"]].copy()
-        out["w"] = ramp(pdf.x.to_numpy(), pdf.tx.to_numpy()) * ramp(pdf.y.to_numpy(), pdf.ty.to_numpy()).astype(float)
-        out["l"] = np.asarray(score(pdf), float)
-        return out
+        return pdf[[*key, "x", "y", "tx", "ty"]].assign(l=np.asarray(score(pdf), float))
 
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pixels.select(*key, "x", "y").schema)
-    scored = each.groupBy(*key, "tx", "ty").applyInPandas(run, f"{head}, w double, l double")
-    return scored.groupBy(*key, "x", "y").agg((1 / (1 + F.exp(-F.sum(F.col("w") * F.col("l")) / F.sum("w")))).alias("p"))
+    return _blended(_tiled(pixels, width, height, tile, overlap).groupBy(*key, "tx", "ty").applyInPandas(run, f"{head}, tx int, ty int, l double"), tile, overlap, key)
+
+
+def tile_predictions(pixels: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], width: int, height: int, tile: int, overlap: int, channels: Sequence[str] = ("b", "g", "r"), batch: int = 16, key: Sequence[str] = KEY) -> DataFrame:
+    """The same with a model: load() is called once a Python worker and gives a function from tiles [n, tile, tile, channels]
+    (32-bit floats) to logits [n, tile, tile]; it is called with at most `batch` tiles, whatever frames they are of. A tile that
+    lacks pixels is refused."""
+    spot = F.struct("y", "x", F.array(*(F.col(c).cast("float") for c in channels)).alias("v"))
+    rows = _tiled(pixels, width, height, tile, overlap).groupBy(*key, "tx", "ty").agg(F.array_sort(F.collect_list(spot)).alias("px"))
+    whole = F.when(F.size("px") == tile * tile, F.flatten(F.transform("px", lambda p: p["v"]))).otherwise(F.raise_error(F.lit("a tile lacks pixels")))
+
+    def make() -> Callable[[np.ndarray], np.ndarray]:
+        model = load()
+        return lambda tiles_: np.asarray(model(tiles_), np.float32).reshape(len(tiles_), tile * tile)
+
+    predict = predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch, input_tensor_shapes=[[tile, tile, len(channels)]])
+    kinds = dict(pixels.dtypes)
+    scored = rows.select(*key, "tx", "ty", predict(whole).alias("out")).select(*key, "tx", "ty", F.posexplode("out").alias("i", "l"))
+    placed = scored.withColumns({"x": (F.col("tx") + F.col("i") % tile).cast(kinds["x"]), "y": (F.col("ty") + F.floor(F.col("i") / tile)).cast(kinds["y"])})
+    return _blended(placed.withColumn("l", F.col("l").cast("double")), tile, overlap, key)
 
 
 def threshold_mask(prob: DataFrame, threshold: float, delta: float = 0.1) -> DataFrame:
