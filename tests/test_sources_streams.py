@@ -27,6 +27,18 @@ def test_ingest_images(spark, tmp_path):
     assert {(r.b, r.g, r.r) for r in pixels.collect()} == {(20, 10, 255)} and pixels.count() == 6
 
 
+def test_image_strips(spark):
+    """Strips of any size give the pixels of the whole image, whatever its width; images of other kinds have none."""
+    data = bytes(range(1, 1 + 5 * 7 * 3))
+    rows = [("a", 5, 7, 3, data), ("b", 3, 2, 1, bytes(range(6))), ("c", 2, 1, 4, bytes(range(8))), ("d", 0, 0, 3, b""), ("e", 2, 2, 2, bytes(8)), ("f", None, 1, 3, None)]
+    images = spark.createDataFrame(rows, "path string, width int, height int, channels int, data binary")
+    want = {("a", i % 5, i // 5, *data[3 * i : 3 * i + 3]) for i in range(35)} | {("b", i % 3, i // 3, i, i, i) for i in range(6)} | {("c", 0, 0, 0, 1, 2), ("c", 1, 0, 4, 5, 6)}
+    for strip in (1, 10, 12, 1 << 16):
+        got = [tuple(r) for r in tables.image_pixels(images, strip).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert tables.image_pixels(images.limit(0)).count() == 0
+
+
 def test_frame_log_round_trip(spark, tmp_path):
     (tmp_path / "frames.csv").write_text("timestamp_utc,camera,status,file,sha256,width,height,source,scheduled_utc,lag_s,mean_brightness,sharpness,camera_settings,notes\n2024-01-01T00:00:00.250Z,a,ok,f.png,,3,2,capture,,0.5,200,500,\"{\"\"iso\"\": \"\"100\"\"}\",\n")
     r = tables.read_frames(spark, str(tmp_path / "frames.csv")).first()

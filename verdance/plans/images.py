@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions.shared import settled
+from ..functions.shared import settled, shared_dir
 from ..operators import masks, pixels, series, variants
-from ..sources.tables import coco_annotations, coco_tables
+from ..sources.tables import coco_annotations, coco_read, coco_tables, coco_write, image_pixels
 from .sample import LB, PX, labelled, query, table
 from .sample import pixels as px_table
 
@@ -572,6 +574,25 @@ def _(spark, d):
     return marks.select("id", "image_id", "category_id", "area", "bbox", F.array_join("counts", " ").alias("counts"))
 
 
+@query("coco_read", f"with {PX}, {_TWO}\n;;\nselect 'f' || frame as file, case category_id when 1 then 'green' else 'red' end as class, x, y from ml", "", "file class x y")
+def _(spark, d):
+    """Masks written as COCO documents with compressed run lengths and read back: the pixels they were made of."""
+    p = px_table(spark, d).withColumn("class", F.explode(F.filter(F.array(F.when(F.col("g") >= 110, F.lit("green")), F.when(F.col("r") >= 128, F.lit("red"))), lambda c: c.isNotNull())))
+    path = f"{shared_dir(spark)}/verdance-coco-{uuid.uuid4().hex}"
+    coco_write(p.select(F.concat(F.lit("f"), "frame").alias("file"), "class", "x", "y"), ["green", "red"], 8, 8, path, 1000, compressed=True)
+    return coco_read(spark, path, ["green", "red"])[0].select("file", "class", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+
+
+@query("image_pixels", "with dt as (select doc_id, hex(encode(text)) h from documents where length(text) > 0), sz as (select *, 1 + doc_id % 7 w, length(h) // 2 n from dt)\n;;\nselect path, count(*) n, sum(b * (1 + x))::bigint by_x, sum(b * (1 + y))::bigint by_y, max(y) last from (select doc_id as path, (i % w)::int x, (i // w)::int y, ('0x' || substr(h, 2 * i + 1, 2))::int b from (select doc_id, h, w, unnest(range(w * (n // w))) i from sz)) group by 1", "", "path n by_x by_y last")
+def _(spark, d):
+    """Every text's bytes as a grey image of 1 to 7 columns, taken apart in strips of 16 pixels."""
+    size = table(spark, d, "documents").where("length(text) > 0").select(F.col("doc_id").alias("path"), (1 + F.col("doc_id") % 7).cast("int").alias("width"), F.encode("text", "UTF-8").alias("data"))
+    grey = size.withColumns({"height": F.floor(F.length("data") / F.col("width")).cast("int"), "channels": F.lit(1)})
+    grey = grey.withColumn("data", F.substring("data", F.lit(1), F.col("width") * F.col("height")))
+    px = image_pixels(grey, 16)
+    return px.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b") * (1 + F.col("x"))).alias("by_x"), F.sum(F.col("b") * (1 + F.col("y"))).alias("by_y"), F.max("y").alias("last"))
+
+
 @query("tile_predictions", f"with {PX}\n;;\nselect frame, x, y, 1 / (1 + exp(-((g - 110) / 32.0))) p from px", "p", "frame x y")
 def _(spark, d):
     """A model that looks at one pixel at a time gives the same logit in every tile, so blending leaves it."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir
 from ..operators import checks, covariates, growth, series, study
 from .rows import AXIS
 from .sample import FR, P, S, frames, points, query, study_points, table
@@ -320,12 +323,17 @@ eb as (select coalesce(v."case", b."case") cs, coalesce(v."check", b."check") ck
 st as (select cs, ck, metric, value, case when nob then 'info' when bad then 'fail' else 'pass' end status from eb)"""
 
 
-def _bounds(spark, d):
+def _runs(spark, d):
+    """Values of a run, bounds, and values of an earlier run."""
     p = table(spark, d, "part").select(F.col("p_brand").alias("case"), F.col("p_type").alias("check"), F.col("p_name").alias("metric"), "p_size", "p_retailprice")
     k = ["case", "check", "metric"]
     mean = lambda x: x.groupBy(*k).agg(F.avg("p_retailprice").alias("value"))
     b = p.where("p_size between 5 and 30").select(*k).distinct().withColumns({"min": F.lit(1000.0), "max": F.when(F.col("metric") < "m", 2000.0), "abs_max": F.lit(None).cast("double"), "max_drift": F.lit(5.0)})
-    return checks.evaluate_bounds(mean(p.where("p_size > 10")), b, mean(p.where("p_size > 12")))
+    return mean(p.where("p_size > 10")), b, mean(p.where("p_size > 12"))
+
+
+def _bounds(spark, d):
+    return checks.evaluate_bounds(*_runs(spark, d))
 
 
 @query("evaluate_bounds", f"with {EB}\n;;\nselect cs, ck, metric, value as v, status from st", "v", "cs ck metric status")
@@ -333,6 +341,16 @@ def _(spark, d):
     return _bounds(spark, d).select(F.col("case").alias("cs"), F.col("check").alias("ck"), "metric", F.col("value").alias("v"), "status")
 
 
+@query("save_baseline", f"with {EB}\n;;\nselect cs, ck, metric, value as v, status from st", "v", "cs ck metric status")
+def _(spark, d):
+    """The earlier run's values are saved, and the present run is held against what was saved."""
+    path = f"{shared_dir(spark)}/verdance-baseline-{uuid.uuid4().hex}"
+    values, bounds, before = _runs(spark, d)
+    checks.save_baseline(before, path)
+    held = checks.evaluate_bounds(values, bounds, spark.read.parquet(path).drop("saved"))
+    return held.select(F.col("case").alias("cs"), F.col("check").alias("ck"), "metric", F.col("value").alias("v"), "status")
+
+
 @query("suite_rollup", f"with {EB}, e as (select cs, ck, count(*) filter (status = 'fail') failing, count(*) filter (status = 'fail') = 0 and ck <> 'ECONOMY' passed from st group by cs, ck)\n;;\nselect cs, ck, failing::bigint failing, passed from e union all select null, null, sum(failing)::bigint, bool_and(passed) from e")
 def _(spark, d):
     r = _bounds(spark, d)

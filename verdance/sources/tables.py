@@ -27,17 +27,33 @@ def append_frames(frames: DataFrame, path: str) -> None:
 IMAGE_TYPES = ("jpg", "jpeg", "png", "tif", "tiff", "bmp")
 
 
+#: Pixels of an image that travel as one row on their way from the decoder.
+STRIP = 1 << 16
+
+
+def image_pixels(images: DataFrame, strip: int = STRIP) -> DataFrame:
+    """path, x, y, b, g, r of decoded images(path, width, height, channels, data: rows of interleaved bytes). Each image is
+    cut into strips of whole lines, at most about `strip` pixels, which are dealt out by hash, so that one large image
+    spreads over tasks and no row or array holds more pixels than a strip. Images of 1, 3 or 4 channels count; grey ones
+    have equal b, g and r, a fourth channel is left out; images without pixels have no rows."""
+    lines = F.greatest(F.lit(1), F.floor(F.lit(strip) / F.col("width"))).cast("int")
+    sized = images.where("channels in (1, 3, 4) and width > 0 and height > 0").withColumn("lines", lines)
+    line = F.col("width") * F.col("channels")
+    cut = sized.withColumn("top", F.explode(F.expr("sequence(0, height - 1, lines)")))
+    strips = cut.select("path", "width", "channels", "top", F.substring("data", F.col("top") * line + 1, F.col("lines") * line).alias("bytes")).repartition("path", "top")
+    px = strips.withColumn("i", F.explode(F.sequence(F.lit(0), (F.length("bytes") / F.col("channels")).cast("int") - 1)))
+    at = lambda c: F.conv(F.hex(F.substring("bytes", F.col("i") * F.col("channels") + 1 + F.least(F.lit(c), F.col("channels") - 1), F.lit(1))), 16, 10).cast("int")
+    return px.select("path", (F.col("i") % F.col("width")).alias("x"), (F.col("top") + F.floor(F.col("i") / F.col("width"))).cast("int").alias("y"), at(0).alias("b"), at(1).alias("g"), at(2).alias("r"))
+
+
 def ingest_images(spark: SparkSession, path: str, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
-    """Files (path, bytes, sha256, size, time and its source, in time order) and pixels (path, x, y, b, g, r) of the
-    readable images under a folder."""
+    """Files (path, bytes, sha256, size, time and its source) and pixels (path, x, y, b, g, r) of the readable images under
+    a folder. Neither is in an order; a report sorts the files by ts and path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).isin(*IMAGE_TYPES))
-    image = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(path).select("image.*").withColumn("origin", F.regexp_replace("origin", "^file:/+", "file:/"))
+    image = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(path).select("image.*").withColumn("path", F.regexp_replace("origin", "^file:/+", "file:/"))
     log = frame_time_from_name(files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "modificationTime"), "path", "modificationTime", zone)
-    size = image.select(F.col("origin").alias("path"), "width", "height")
-    px = image.where("nChannels in (1, 3, 4)").select(F.col("origin").alias("path"), "width", F.col("nChannels").alias("k"), "data", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))
-    at = lambda c: F.conv(F.hex(F.substring(F.col("data"), F.col("i") * F.col("k") + 1 + F.least(F.lit(c), F.col("k") - 1), F.lit(1))), 16, 10).cast("int")
-    pixels = px.select("path", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), at(0).alias("b"), at(1).alias("g"), at(2).alias("r"))
-    return log.join(size, "path").orderBy("ts", "path"), pixels
+    pixels = image_pixels(image.select("path", "width", "height", F.col("nChannels").alias("channels"), "data"))
+    return log.join(image.select("path", "width", "height"), "path"), pixels
 
 
 def frame_time_from_name(files: DataFrame, path: str = "path", modified: str = "modified", zone: str | Column = "UTC") -> DataFrame:
