@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.shared import settled, shared_dir
 from ..operators import masks, pixels, series, variants
 from ..sources.tables import coco_annotations, coco_read, coco_tables, coco_write, image_pixels
+from ..streaming import live
 from .sample import LB, PX, labelled, query, table
 from .sample import pixels as px_table
 
@@ -583,6 +584,29 @@ def _(spark, d):
     return coco_read(spark, path, ["green", "red"])[0].select("file", "class", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
 
 
+@query("stream_measure", f"with {PX}, st as (select 'g110' settings_hash, 110 low union all select 'g140', 140)\n;;\nselect settings_hash, frame::varchar as frame_file, sum(case when g >= low then 1 else 0 end)::bigint n from px cross join st group by all", "", "settings_hash frame_file n")
+def _(spark, d):
+    """Frames that arrive twice, measured once for each of two settings, by streams that are started again after more came."""
+    home = f"{shared_dir(spark)}/measure-{uuid.uuid4().hex}"
+    px = px_table(spark, d).select(F.col("frame").cast("string").alias("frame_file"), "g")
+    frames = settled(px.select("frame_file").distinct())
+
+    def run(low: int) -> None:
+        def measure(df):
+            return df.select("frame_file").join(px, "frame_file").groupBy("frame_file").agg(F.count_if(F.col("g") >= low).alias("n"))
+
+        stream = spark.readStream.schema(frames.schema).parquet(f"{home}/frames")
+        live.stream_measure(stream, measure, f"{home}/out/{low}", f"g{low}", f"{home}/checkpoint/{low}", "frame_file string, n long").awaitTermination()
+
+    with live.keyed_state(spark):
+        frames.where(F.crc32("frame_file") % 2 == 0).write.parquet(f"{home}/frames")
+        run(110)
+        frames.write.mode("append").parquet(f"{home}/frames")
+        run(110)
+        run(140)
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{home}/out").select("settings_hash", "frame_file", "n")
+
+
 @query("image_pixels", "with dt as (select doc_id, hex(encode(text)) h from documents where length(text) > 0), sz as (select *, 1 + doc_id % 7 w, length(h) // 2 n from dt)\n;;\nselect path, count(*) n, sum(b * (1 + x))::bigint by_x, sum(b * (1 + y))::bigint by_y, max(y) last from (select doc_id as path, (i % w)::int x, (i // w)::int y, ('0x' || substr(h, 2 * i + 1, 2))::int b from (select doc_id, h, w, unnest(range(w * (n // w))) i from sz)) group by 1", "", "path n by_x by_y last")
 def _(spark, d):
     """Every text's bytes as a grey image of 1 to 7 columns, taken apart in strips of 16 pixels."""

@@ -343,13 +343,8 @@ def _(spark, d):
     home = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}"
     rows = _axis(spark, d).select("series_id", "ts", "y", "excluded")
     rows.write.parquet(f"{home}/rows")
-    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(key)
-    spark.conf.set(key, store)
-    try:
+    with live.keyed_state(spark):
         live.write_days(live.stream_daily(spark.readStream.schema(rows.schema).parquet(f"{home}/rows"), ["series_id"], "Europe/Berlin"), f"{home}/days", f"{home}/checkpoint").awaitTermination()
-    finally:
-        spark.conf.set(key, before)
     return live.latest_days(spark.read.parquet(f"{home}/days"), ["series_id"])
 
 

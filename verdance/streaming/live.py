@@ -3,6 +3,7 @@ target again; batches write to folders of their own, so one that is repeated rep
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -15,6 +16,19 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB, which the streams of this module need; the session's setting
+    comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
