@@ -159,6 +159,18 @@ def test_late_rows_touch_their_day_alone_and_closed_days_go(spark, tmp_path):
     assert [v for _, v in sorted(per.items())] == [[(1, 2), (2, 2), (3, 2)], [(2, 4)], [(20, 2)], [(21, 2)], [(22, 2)]]
 
 
+def test_days_stay_open_to_their_end_and_are_kept_without_python(spark, tmp_path):
+    """A row behind the watermark counts while its day's end is before it; many days are one aggregation."""
+    schema, src = "s string, ts timestamp, y double, excluded boolean", str(tmp_path / "pts")
+    for batch in ([(1, 1), (1, 5)], [(4, 12)], [(1, 3)], [(5, 1), (1, 4)], [(1, 6)]):
+        spark.createDataFrame([("s", dt.datetime(2024, 1, d, h), float(h), False) for d, h in batch], schema).write.mode("append").parquet(src)
+        _days(spark, src, schema, tmp_path, "UTC", "median")
+    got = {(r.batch, r.day.day): (r.y, r.n_frames) for r in spark.read.parquet(str(tmp_path / "days")).collect()}
+    assert [v for (_, d), v in sorted(got.items()) if d == 1] == [(3.0, 2), (3.0, 3), (3.5, 4)]
+    plan = live.stream_daily(spark.readStream.schema(schema).parquet(src), ["s"])._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_stream_window(spark, tmp_path):
     src = str(tmp_path / "w")
     spark.createDataFrame([("s", dt.datetime(2024, 1, 1, h), float(h)) for h in (1, 3)], "s string, ts timestamp, y double").write.parquet(src)

@@ -7,7 +7,6 @@ import contextlib
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -178,56 +177,18 @@ def stream_series_window(points: DataFrame, by: list[str], delay: str = "2 days"
     return points.withWatermark("ts", delay).groupBy(*by, F.window("ts", "1 day").alias("w")).agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n_frames")).select(*by, F.to_date("w.start").alias("day"), "y", "n_frames")
 
 
-def _quantile(values: np.ndarray, q: float) -> float:
-    """As percentile() has it: neighbours weighed by their distance."""
-    v, at = np.sort(values), (len(values) - 1) * q
-    k = int(at)
-    return float(v[k] if at == k else (k + 1 - at) * v[k] + (at - k) * v[k + 1])
-
-
-class Days(StatefulProcessor):
-    """The usable rows of one series and local day, as a list; a batch that brings some gives the day's row anew. When the
-    watermark passes the day's end no row can come any more, and the list goes."""
-
-    def __init__(self, by: Sequence[str], how: str):
-        self.by, self.how = list(by), how
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", "y double, s double")
-        self.timed = handle.getValueState("timed", "until long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = pd.concat(list(rows))
-        self.rows.appendList(list(zip(new["y_"].astype(float).tolist(), new["at_"].tolist(), strict=True)))
-        if not self.timed.exists():
-            until = int(new["until_"].iloc[0])
-            self.timed.update((until,))
-            self.handle.registerTimer(until)
-        every = np.array(list(self.rows.get()), float)
-        known = every[~np.isnan(every[:, 0]), 0]  # rows without a value count as frames alone
-        y = None if not len(known) else float(known.mean()) if self.how == "mean" else _quantile(known, {"median": 0.5, "p90": 0.9}[self.how])
-        yield pd.DataFrame({**{c: [k] for c, k in zip([*self.by, "day"], key, strict=True)}, "y": [y], "ts_mid": [_quantile(every[:, 1], 0.5)], "n_frames": [len(every)]})
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.rows.clear()
-        self.timed.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
-
-
 def stream_daily(points: DataFrame, by: Sequence[str], zone: str = "UTC", how: str = "median", delay: str = "2 days") -> DataFrame:
     """The rows of daily_series (by, day, y, ts_mid, n_frames) of a stream of points(by, ts, y, excluded): whenever a batch has
     rows of a local day, that day's row over all its rows so far, late ones too as long as the newest row is less than `delay`
-    ahead of the day's end. Other days are not looked at. The state holds the open days; needs the RocksDB state store."""
-    day = F.to_date(F.from_utc_timestamp("ts", zone))
-    until = F.to_utc_timestamp(F.date_add("day", 1).cast("timestamp_ntz").cast("timestamp"), zone)
-    used = points.withWatermark("ts", delay).where(~F.col("excluded")).withColumn("day", day)
-    rows = used.select(*by, "day", "ts", F.col("y").cast("double").alias("y_"), F.col("ts").cast("timestamp").cast("double").alias("at_"), (until.cast("double") * 1000).cast("long").alias("until_"))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema)
-    return rows.groupBy(*by, "day").transformWithStateInPandas(Days(by, how), f"{head}, day date, y double, ts_mid double, n_frames long", "Update", "EventTime")
+    ahead of the day's end, by the zone's clock. Other days give no row. The state holds the open days' values; rows without a
+    time have no day."""
+    y = {"median": F.percentile("y", 0.5), "mean": F.avg("y"), "p90": F.percentile("y", 0.9)}[how]
+    sec = F.col("ts").cast("timestamp").cast("double")
+    used = points.withColumn("__local", F.from_utc_timestamp("ts", zone)).withWatermark("__local", delay).where(~F.col("excluded"))
+    days = used.groupBy(*by, F.window("__local", "1 day").alias("w")).agg(y.alias("y"), F.percentile(sec, 0.5).alias("ts_mid"), F.count(F.lit(1)).alias("n_frames"))
+    # windows begin at whole days of the epoch, whatever the session's zone
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("w.start") / 86400).cast("int"))
+    return days.select(*by, day.alias("day"), "y", "ts_mid", "n_frames")
 
 
 def write_days(days: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
