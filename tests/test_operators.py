@@ -141,6 +141,22 @@ def test_sector_speeds(spark):
     assert got[0]["speed"] == pytest.approx(1.5, rel=0.1) and got[2]["speed"] == pytest.approx(0.5, rel=0.15)
 
 
+def test_sector_speeds_on_lines_between_sectors(spark):
+    """Origins between pixels, so that others lie on the diagonals but for the last digits: the sides are the SQL's."""
+    import duckdb
+    import pandas as pd
+
+    from verdance.plans import images
+
+    rng = np.random.default_rng(5)
+    ar = pd.concat([pd.DataFrame({"grp": g, "x": np.arange(64) % 8, "y": np.arange(64) // 8, "arrival": rng.permutation(np.minimum(np.arange(64) // rng.integers(3, 16), 6)).astype(float)}) for g in range(400)])
+    duck = duckdb.connect()
+    duck.register("ar", ar)
+    want = {r[:2]: r[2:] for r in duck.sql(f"with {images.SEC.removeprefix(images.ARR + ', ')} select grp, sector, n, speed, se from ss").fetchall()}
+    got = {(r.grp, r.sector): (r.n, r.speed, r.se) for r in pixels.sector_speeds(spark.createDataFrame(ar), ["grp"], 1.0, 4, 45.0).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_colours(spark):
     px = spark.createDataFrame([(0, 0, 0, 0, 200, 0), (1, 0, 0, 20, 10, 255)], "frame int, x int, y int, b int, g int, r int")
     got = {r["frame"]: r for r in pixels.color_indices(px).collect()}
