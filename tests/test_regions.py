@@ -232,3 +232,46 @@ def test_tiles_in_batches_are_scored_as_one_by_one(spark):
         assert got.keys() == one.keys() and all(got[k] == pytest.approx(one[k], abs=1e-5) for k in one)
     with pytest.raises(Exception, match="lacks pixels"):
         pixels.tile_predictions(px.where("x <> 3"), lambda: blur, 13, 10, 6, 2).collect()
+
+
+def test_tiles_are_scored_one_by_one_across_batches(spark):
+    """Tiles that go on over several Arrow batches are whole when scored; keys may be null; no call to Python a group."""
+    pd = __import__("pandas")
+    rng = np.random.default_rng(8)
+    y, x = np.mgrid[0:7, 0:9].reshape(2, -1)
+    px = spark.createDataFrame(pd.concat([pd.DataFrame({"frame": f, "x": x, "y": y, "g": rng.integers(0, 256, 63)}) for f in range(4)])).withColumn("frame", F.when(F.col("frame") > 0, F.col("frame")))
+
+    def score(t):
+        a = t["g"].to_numpy(float).reshape(4, 4)  # a part of a tile has no such shape
+        return ((a - a.mean()) / 50 + np.arange(4)).ravel()
+
+    def reference():
+        out = {}
+        for r in px.select("frame").distinct().collect():
+            g = {(p.x, p.y): p.g for p in px.where(F.col("frame").eqNullSafe(r.frame)).collect()}
+            top, low = {}, {}
+            for tx in (0, 3, 5):
+                for ty in (0, 3):
+                    a = np.array([[g[tx + i, ty + j] for i in range(4)] for j in range(4)], float)
+                    l = (a - a.mean()) / 50 + np.arange(4)  # noqa: E741
+                    for j in range(4):
+                        for i in range(4):
+                            w = min(i + 1, 4 - i, 1) * min(j + 1, 4 - j, 1)
+                            k = (tx + i, ty + j)
+                            top[k], low[k] = top.get(k, 0) + w * l[j, i], low.get(k, 0) + w
+            out |= {(r.frame, *k): 1 / (1 + np.exp(-top[k] / low[k])) for k in top}
+        return out
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, want = spark.conf.get(key), reference()
+    try:
+        for rows in ("5", "37", before):
+            spark.conf.set(key, rows)
+            df = pixels.tile_scores(px, score, 9, 7, 4, 1)
+            got = {(r.frame, r.x, r.y): r.p for r in df.collect()}
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    finally:
+        spark.conf.set(key, before)
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().analyzed().toString()
+    small = pixels.tile_scores(px.where("x < 3 and y < 2"), lambda t: np.full(len(t), len(t)), 3, 2, 4, 1).select(F.round("p", 6).alias("p")).distinct().collect()
+    assert [r.p for r in small] == [pytest.approx(1 / (1 + np.exp(-6)), abs=1e-6)]
