@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,29 @@ def test_daily_uncertainty(spark):
     assert 0.5 < got[1] < 1.2 and got[2] == pytest.approx(1.0) and got[3] == 0
 
 
+@pytest.mark.parametrize("how", ["median", "mean"])
+def test_daily_uncertainty_draws_by_hash_in_blocks(spark, monkeypatch, how):
+    """Draw d takes the values at xxhash64(seed, day, by, d, i) modulo n; blocks of any size give the same."""
+    n = {"a": 3, "b": 7, "c": 40, "d": 3, "e": 2}
+    data = [(s, at(60 * i), float((i * 37 + ord(s)) % 101) / 7 if i else None, False) for s in n for i in range(n[s] + 1)]
+    p = spark.createDataFrame(data, "s string, ts timestamp, y double, excluded boolean").withColumn("unc", F.lit(None).cast("double"))
+    places = spark.createDataFrame([(s, d, i) for s in n for d in range(30) for i in range(n[s])], "s string, d int, i int")
+    day = F.to_date(F.lit(str(at(0))[:10]))
+    hashed = {(r.s, r.d, r.i): r.h for r in places.select("s", "d", "i", F.xxhash64(F.lit(5), day, "s", "d", "i").alias("h")).collect()}
+    want = {}
+    for s in n:
+        ys = sorted(r[2] for r in data if r[0] == s and r[2] is not None)
+        boot = [getattr(np, how)([ys[hashed[s, d, i] % n[s]] for i in range(n[s])]) for d in range(30)]
+        want[s] = np.std(boot, ddof=1) if n[s] > 2 else np.std(ys, ddof=1) / 2**0.5
+    run = lambda: {r.s: r.unc for r in series.daily_uncertainty(p, ["s"], how=how, draws=30, seed=5).collect()}
+    first = run()
+    assert first == pytest.approx(want)
+    ys, base = pa.array([[1.0, 2.0, 4.0], None, [0.5] * 3, [1.0, 3.0, 3.5, 9.0], [2.0, 2.5, 8.0]]), pa.array([7, 8, -9, 2**62, 3])
+    whole = series._resampled(ys, base, 30, how).to_pylist()
+    monkeypatch.setattr(series, "DRAWN", 16)
+    assert series._resampled(ys, base, 30, how).to_pylist() == whole and whole[1] is None and whole[2] == 0
+
+
 def test_combine_views(spark):
     v = [25.0, 50.0, 75.0, 100.0]
     data = [("p", "a", at(600 * i), x) for i, x in enumerate(v)] + [("p", "b", at(600 * i + 5), 0.8 * x) for i, x in enumerate(v)]

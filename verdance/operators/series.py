@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..schemas import EXCLUDED_BY_DEFAULT
 from .frames import flag_filter, hours_filter, manual_filter, time_axis
@@ -67,21 +71,60 @@ def daily_series(points: DataFrame, by: Sequence[str], zone: str = "UTC", how: s
     return used.groupBy(*by, "day").agg(y.alias("y"), F.percentile(sec, 0.5).alias("ts_mid"), F.count(F.lit(1)).alias("n_frames"))
 
 
+#: Values that a bootstrap draws at once in a task.
+DRAWN = 1 << 20
+
+
+def _xxhash64(values: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """xxHash64 of 32-bit whole numbers, one seed each: what F.xxhash64 gives for one more int column after the seed."""
+    u = np.uint64
+    p1, p2, p3, p5 = u(0x9E3779B185EBCA87), u(0xC2B2AE3D27D4EB4F), u(0x165667B19E3779F9), u(0x27D4EB2F165667C5)
+    h = (seeds + p5 + u(4)) ^ (values.astype(np.uint64) * p1)
+    h = ((h << u(23)) | (h >> u(41))) * p2 + p3
+    h = (h ^ (h >> u(33))) * p2
+    h = (h ^ (h >> u(29))) * p3
+    return h ^ (h >> u(32))
+
+
+def _resampled(ys: pa.Array, base: pa.Array, draws: int, how: str) -> pa.Array:
+    """Variance of the medians (or means) of `draws` resamples of each list, null for a null list. Value i of draw d is the
+    one at place xxhash64(base, d, i) modulo the list's length. Lists of one length are drawn side by side, a long one in
+    blocks of draws; sums run in the order of the draws."""
+    size = pc.fill_null(pc.list_value_length(ys), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, start = ys.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
+    seed, var = base.to_numpy(zero_copy_only=False).view(np.uint64), np.zeros(len(size))
+    for n in np.unique(size[size > 0]).tolist():
+        every = np.flatnonzero(size == n)
+        wide = max(1, DRAWN // (draws * n))
+        for rows in (every[k : k + wide] for k in range(0, len(every), wide)):
+            values, one = flat[start[rows][:, None] + np.arange(n)], np.arange(len(rows))[None, :, None]
+            total, squares = np.zeros((1, len(rows))), np.zeros((1, len(rows)))
+            deep = max(1, DRAWN // (len(rows) * n))
+            for d in (np.arange(k, min(k + deep, draws)) for k in range(0, draws, deep)):
+                place = np.mod(_xxhash64(np.arange(n), _xxhash64(d[:, None], seed[rows])[:, :, None]).view(np.int64), n)
+                drawn = values[one, place]
+                if how == "median":
+                    drawn.sort(axis=2)
+                    stat = (drawn[:, :, (n - 1) // 2] + drawn[:, :, n // 2]) / 2
+                else:
+                    stat = np.add.accumulate(drawn, axis=2)[:, :, -1] / n
+                total = np.add.accumulate(np.concatenate([total, stat]))[-1:]
+                squares = np.add.accumulate(np.concatenate([squares, stat * stat]))[-1:]
+            var[rows] = np.maximum(squares - total * total / draws, 0)[0] / (draws - 1)
+    return pa.array(var, mask=size == 0)
+
+
 def daily_uncertainty(points: DataFrame, by: Sequence[str], zone: str = "UTC", how: str = "median", draws: int = 400, seed: int = 1) -> DataFrame:
     """by, day, unc: root of the squared mean frame uncertainty (only if every frame has one) and the squared standard
     error: a bootstrap of `draws` seeded resamples from 3 frames on, sd/sqrt(2) for 2, none for 1. Draws are hashes of
     (seed, day, draw, place), so the result does not depend on the partitioning; they are summed up inside the day's
-    row, which holds one day's frames."""
+    row, which holds one day's frames, over Arrow batches of days."""
     used = points.where(~F.col("excluded")).withColumn("day", F.to_date(F.from_utc_timestamp("ts", zone)))
-    days = used.groupBy(*by, "day").agg(F.array_sort(F.collect_list(F.col("y").cast("double"))).alias("ys"), F.when(F.bool_and(F.col("unc").isNotNull()), F.avg("unc")).alias("own"), F.stddev_samp("y").alias("sd"))
+    days = used.groupBy(*by, "day").agg(F.sort_array(F.collect_list(F.col("y").cast("double"))).alias("ys"), F.when(F.bool_and(F.col("unc").isNotNull()), F.avg("unc")).alias("own"), F.stddev_samp("y").alias("sd"))
     n = F.size("ys")
-    one = lambda d: F.transform("ys", lambda _, i: F.get("ys", F.pmod(F.xxhash64(F.lit(seed), F.col("day"), *by, d, i), n).cast("int")))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a)
-    value = median if how == "median" else mean
-    boot = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: value(one(d)))
-    spread = days.withColumn("boot", F.when(n >= 3, boot))
-    var = F.aggregate("boot", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")), lambda a: F.greatest(a["q"] - a["s"] * a["s"] / draws, F.lit(0.0)) / (draws - 1))
-    se = F.when(n >= 3, F.sqrt(var)).when(n == 2, F.col("sd") / F.sqrt(F.lit(2.0)))
+    boot = F.arrow_udf(lambda ys, base: _resampled(ys, base, draws, how), DoubleType())
+    spread = days.withColumn("var", boot(F.when(n >= 3, F.col("ys")), F.xxhash64(F.lit(seed), F.col("day"), *by)))
+    se = F.when(n >= 3, F.sqrt("var")).when(n == 2, F.col("sd") / F.sqrt(F.lit(2.0)))
     return spread.select(*by, "day", F.sqrt(F.coalesce(F.col("own") ** 2, F.lit(0.0)) + F.coalesce(se**2, F.lit(0.0))).alias("unc"), n.alias("n_frames"))
 
 
