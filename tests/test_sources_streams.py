@@ -211,6 +211,15 @@ def test_logger_clocks_and_delimiters(spark, tmp_path):
     assert [r.value for r in tables.read_logger(spark, str(line)).where("name = 't'").orderBy("ts").collect()] == [1.0, 2.0, 3.0]
 
 
+def test_logger_heads_by_line_and_times_parsed_once(spark, tmp_path):
+    """Titles with one filled cell, of quotes and blanks beside it, are no head; the rows' plan parses no time again."""
+    (tmp_path / "q.csv").write_text('a title," "\n"", ,\n"Time","T 1",\n2024-01-05 10:00,1.5,x\n2024-01-05 11:00,2.5,y\n')
+    rows = tables.read_logger(spark, str(tmp_path))
+    assert [(str(r.ts), r.name, r.value) for r in rows.orderBy("ts").collect()] == [("2024-01-05 10:00:00", "t_1", 1.5), ("2024-01-05 11:00:00", "t_1", 2.5)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "gettimestamp" not in plan and "regexp" not in plan
+
+
 def test_coco_exchange(spark, tmp_path):
     mask = spark.createDataFrame([(f"{f}.png", c, x, y) for f in "abc" for c in ("mold", "dye") for x in range(2, 5) for y in range(1, 4 if c == "dye" else 2)], "file string, class string, x int, y int")
     tables.coco_write(mask, ["mold", "dye"], 6, 8, str(tmp_path / "out"), 2)

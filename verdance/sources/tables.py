@@ -111,23 +111,29 @@ def read_loggers(spark: SparkSession, path: str, zone: str = "UTC", month_first:
     alike = late.select("file", count.alias("c")).groupBy("file", "c").agg(F.count(F.lit(1)).alias("same"))
     steady = alike.withColumn("all", F.sum("same").over(Window.partitionBy("file", "c.i"))).where("c.n > 0 and same >= 0.7 * all").groupBy("file").agg(F.min("c.i").alias("i"))
     cells = lambda d: F.transform(F.split("line", d, -1), lambda c: F.trim(F.replace(c, F.lit('"'))))
-    first = lambda d: F.min(F.when(F.size(F.filter(cells(d), lambda c: c != "")) >= 2, F.struct("place", F.transform(cells(d), F.lower).alias("head"))))
+    # two cells with something in them, told from the line alone; the cells of a file's first such line are taken apart later
+    filled = lambda d: F.contains("line", F.lit(d)) & F.col("line").rlike(f'(?s)[^ "{d}][^{d}]*{d}.*[^ "{d}]')
+    first = lambda d: F.min(F.when(filled(d), F.struct("place", "line")))
     heads = lines.groupBy("file").agg(*(first(d).alias(f"h{i}") for i, d in enumerate(marks)))
     heads = heads.join(steady, "file", "left").withColumn("i", F.coalesce("i", F.lit(2)))
-    head = heads.select("file", F.element_at(F.array(*map(F.lit, marks)), F.col("i") + 1).alias("d"), F.element_at(F.array("h0", "h1", "h2"), F.col("i") + 1).alias("h")).select("file", "d", F.col("h.place").alias("top"), F.col("h.head").alias("head"))
+    head = heads.select("file", F.element_at(F.array(*map(F.lit, marks)), F.col("i") + 1).alias("d"), F.element_at(F.array("h0", "h1", "h2"), F.col("i") + 1).alias("h")).select("file", "d", F.col("h.place").alias("top"), F.col("h.line").alias("line"))
+    by_mark = lambda form: F.when(F.col("d") == marks[0], form(marks[0])).when(F.col("d") == marks[1], form(marks[1])).otherwise(form(marks[2]))
+    head = head.select("file", "d", "top", by_mark(lambda d: F.transform(cells(d), F.lower)).alias("head"))
     find = lambda words: F.array_min(F.filter(F.transform("head", lambda x, i: F.when(x.rlike(words), i)), lambda i: i.isNotNull()))
     head = settled(head.withColumns({"di": find(r"^(date|datum)$"), "ti": find(r"^(time|zeit|uhrzeit)$"), "wi": find(r"time|date|zeit|datum|timestamp")}))
-    body = _meet(lines, head).where("place > top").withColumn("cells", F.when(F.col("d") == marks[0], cells(marks[0])).when(F.col("d") == marks[1], cells(marks[1])).otherwise(cells(marks[2]))).where(F.size("cells") >= 2)
+    body = _meet(lines, head).where("place > top").withColumn("cells", by_mark(cells)).where(F.size("cells") >= 2)
     stamp = F.when(F.col("di").isNotNull() & F.col("ti").isNotNull(), F.concat_ws(" ", F.get("cells", F.col("di")), F.get("cells", F.col("ti")))).otherwise(F.get("cells", F.coalesce("wi", F.lit(0))))
     body = settled(body.select("file", "cells", F.trim(stamp).alias("stamp")))
     formats = settled(head.select("file").join(time_layouts(body.select("file", F.col("stamp").alias("sample")), ["file"], month_first), "file", "left").withColumn("problem", F.coalesce("problem", F.when(F.col("format").isNull(), F.lit("no data rows")))))
     layout = settled(head.drop("top").join(formats.where("problem is null").select("file", "format"), "file"))
-    timed = _meet(body, layout).withColumn("ts", parse_time(F.col("stamp"), F.col("format"), zone)).where("ts is not null")
-    each = timed.select("file", "d", "ts", "head", "di", "ti", "wi", F.posexplode("cells").alias("i", "text")).where("not (i <=> di) and not (i <=> ti) and not (di is null and i <=> coalesce(wi, 0))")
-    number = F.when(F.col("d") == ";", F.replace("text", F.lit(","), F.lit("."))).otherwise(F.col("text")).try_cast("double")
-    each = each.select("file", "ts", "i", safe_name(F.get("head", F.col("i"))).alias("name"), number.alias("value"))
-    numeric = settled(each.groupBy("file", "i").agg(F.avg(F.when(F.col("value").isNotNull(), 1.0).otherwise(0.0)).alias("share")).where("share >= 0.5").groupBy("file").agg(F.collect_set("i").alias("columns")))
-    rows = _meet(each.where("value is not null"), numeric).where(F.array_contains("columns", F.col("i"))).select("file", "ts", "name", "value")
+    # times and numbers are worked out once a line, and kept
+    number = lambda c: F.when(F.col("d") == ";", F.replace(c, F.lit(","), F.lit("."))).otherwise(c).try_cast("double")
+    timed = settled(_meet(body, layout).select("file", parse_time(F.col("stamp"), F.col("format"), zone).alias("ts"), F.transform("cells", number).alias("numbers"))).where("ts is not null")
+    share = timed.select("file", F.posexplode("numbers").alias("i", "value")).groupBy("file", "i").agg(F.avg(F.when(F.col("value").isNotNull(), 1.0).otherwise(0.0)).alias("share")).where("share >= 0.5")
+    named = share.join(layout, "file").where("not (i <=> di) and not (i <=> ti) and not (di is null and i <=> coalesce(wi, 0))")
+    columns = settled(named.groupBy("file").agg(F.collect_list(F.struct("i", safe_name(F.get("head", F.col("i"))).alias("name"))).alias("columns")))
+    each = _meet(timed, columns).select("file", "ts", "numbers", F.explode("columns").alias("c"))
+    rows = each.select("file", "ts", "c.name", F.get("numbers", F.col("c.i")).alias("value")).where("value is not null")
     return rows, formats.where("problem is not null").select("file", F.col("problem").alias("reason"))
 
 
@@ -153,14 +159,19 @@ ISO = r"^([0-9]{4})-?([0-9]{2})-?([0-9]{2})(?:[T ]([0-9]{2})(?::?([0-9]{2})(?::?
 
 def iso_time(stamp: Column, zone: str) -> Column:
     """UTC time of an ISO stamp; null for anything else. One without an offset is of `zone`."""
-    part = lambda k: F.regexp_extract(stamp, ISO, k)
-    or_zero = lambda k: F.when(part(k) == "", F.lit("00")).otherwise(part(k))
-    clock = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), or_zero(4), F.lit(":"), or_zero(5), F.lit(":"), or_zero(6), F.lit("."), F.rpad(F.substring(part(7), 1, 6), 6, "0"))
-    naive = F.try_to_timestamp(clock, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    offset = F.replace(part(8), F.lit(":"))
-    minutes = F.substring(offset, 2, 2).try_cast("int") * 60 + F.coalesce(F.substring(offset, 4, 2).try_cast("int"), F.lit(0))
-    shifted = naive - F.make_dt_interval(mins=F.coalesce(F.when(F.substring(offset, 1, 1) == "-", -minutes).otherwise(minutes), F.lit(0)))
-    return F.when(stamp.rlike(ISO), F.when(offset == "", F.to_utc_timestamp(naive, zone)).otherwise(shifted))
+    def read(part: Column) -> Column:
+        at = lambda k: F.get(part, F.lit(k - 1))
+        or_zero = lambda k: F.when(at(k) == "", F.lit("00")).otherwise(at(k))
+        clock = F.concat(at(1), F.lit("-"), at(2), F.lit("-"), at(3), F.lit(" "), or_zero(4), F.lit(":"), or_zero(5), F.lit(":"), or_zero(6), F.lit("."), F.rpad(F.substring(at(7), 1, 6), 6, "0"))
+        naive = F.try_to_timestamp(clock, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))
+        offset = F.replace(at(8), F.lit(":"))
+        minutes = F.substring(offset, 2, 2).try_cast("int") * 60 + F.coalesce(F.substring(offset, 4, 2).try_cast("int"), F.lit(0))
+        shifted = naive - F.make_dt_interval(mins=F.coalesce(F.when(F.substring(offset, 1, 1) == "-", -minutes).otherwise(minutes), F.lit(0)))
+        return F.when(offset == "", F.to_utc_timestamp(naive, zone)).otherwise(shifted)
+
+    # one match a stamp: its groups in one text, taken apart once, as an array of one
+    groups = F.split(F.regexp_replace(stamp, ISO, "$1|$2|$3|$4|$5|$6|$7|$8"), "[|]", -1)
+    return F.when(stamp.rlike(ISO), F.get(F.transform(F.array(groups), read), F.lit(0)))
 
 
 def parse_time(stamp: Column, layout: Column, zone: str) -> Column:
